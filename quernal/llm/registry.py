@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernal.llm import mixing
+from quernal.llm import mixing, quality
 
-QUERIES = {"op6_mixing": mixing.query}
-ORACLES = {"op6_mixing": mixing.ORACLE}
+QUERIES = {"op4_quality": quality.query, "op6_mixing": mixing.query}
+ORACLES = {"op4_quality": quality.ORACLE, "op6_mixing": mixing.ORACLE}
