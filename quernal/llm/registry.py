@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernal.llm import mixing, neardup, quality
+from quernal.llm import linedup, mixing, neardup, quality
 
-QUERIES = {"op4_quality": quality.query, "op6_mixing": mixing.query, "op8_neardup": neardup.query}
+QUERIES = {"op1_linedup": linedup.query, "op4_quality": quality.query, "op6_mixing": mixing.query, "op8_neardup": neardup.query}
 ORACLES = {"op4_quality": quality.ORACLE, "op6_mixing": mixing.ORACLE}
