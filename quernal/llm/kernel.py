@@ -56,11 +56,13 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets of each text in them and the end) of blocks of rows; null is empty."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if texts.null_count:
+        texts = texts.fill_null("")
     n = len(texts)
     if not n:
         return
-    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(texts.buffers()[1], width)[texts.offset : texts.offset + n + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None and at[-1] else np.zeros(0, np.uint8)
     row = 0
     while row < n:
@@ -124,3 +126,9 @@ def fold(values: np.ndarray, first: np.ndarray, how: np.ufunc) -> np.ndarray:
     if len(full):
         out[full] = how.reduceat(values, first[full])
     return out
+
+
+def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column without nulls, and where each list begins in them (one more at the end)."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return values, offsets

@@ -8,10 +8,10 @@ documents with probability J.  26 bands of 5 values make candidates: a pair at J
 How big groups are kept from squaring:
 
 * documents with equal sets are one node, counted by a partially aggregated group-by;
-* of each band bucket only the pairs with its least document are candidates at first;
-* what that leaves open is the buckets whose members are still in different components: only there, pairs across
-  components are formed (the band key, the set-size bound and the components are all in the join condition), so no link
-  between components is lost and a group that hangs together costs one pair a document.
+* of each band bucket only the pairs with its most central document are candidates at first;
+* what that leaves open is the buckets whose members are still in different components: the sets of those members are
+  joined across components, exactly, by rarity-ordered prefixes (see :func:`across`), so no link between components is
+  lost, and a group that hangs together costs one pair a document.
 
 Texts are shuffled only for the documents that candidates name.  Every stage is a written table in the shared folder.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernal.llm import kernel
@@ -87,7 +87,7 @@ def _sets(k: int):
         for batch in batches:
             for row, stop, data, offsets in kernel.blocks(batch.column("text")):
                 grams, first = kernel.shingles(kernel.words(data, offsets), k)
-                own = pa.array([grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                own = pa.ListArray.from_arrays(first.astype(np.int32), grams.view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[row:stop].cast(pa.int64()), own], names=["doc_id", "grams"])
 
     return run
@@ -97,10 +97,10 @@ def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            left, right = batch.column("left"), batch.column("right")
+            (left, at), (right, to) = (kernel.lists(batch.column(side)) for side in ("left", "right"))
             good = np.zeros(len(a), bool)
             for i in range(len(a)):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
+                x, y = left[at[i] : at[i + 1]], right[to[i] : to[i + 1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
@@ -108,19 +108,37 @@ def _confirm(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets are similar enough; docs has doc_id and text."""
-    pairs = scratch.table(pairs, f"{name}-pairs")
-    ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
+def sets_of(ids: DataFrame, docs: DataFrame, k: int, scratch: Scratch, name: str) -> DataFrame:
+    """ids (id), docs (doc_id, text) -> table (doc_id, grams) of the whole shingle sets of those documents."""
+    ids = scratch.table(ids.distinct(), f"{name}-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = scratch.table(texts.mapInArrow(_sets(k), "doc_id long, grams binary").where("length(grams) > 0").distinct(), f"{name}-sets")
+    sets = texts.mapInArrow(_sets(k), "doc_id long, grams array<long>").where("size(grams) > 0").distinct()
+    return scratch.table(sets, f"{name}-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose full shingle sets are similar enough."""
     left, right = sets.select(F.col("doc_id").alias("ida"), F.col("grams").alias("left")), sets.select(F.col("doc_id").alias("idb"), F.col("grams").alias("right"))
     both = pairs.join(left, F.col("a") == F.col("ida")).join(right, F.col("b") == F.col("idb")).select("a", "b", "left", "right")
-    links = scratch.table(both.mapInArrow(_confirm(percent), "a long, b long").distinct(), f"{name}-links")
-    for done in ("pairs", "ids", "sets"):
-        scratch.drop(f"{name}-{done}")
-    return links
+    return scratch.table(both.mapInArrow(_confirm(percent), "a long, b long").distinct(), f"{name}-links")
+
+
+def across(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """sets (doc_id, grams), labels (node, c) -> candidate pairs (a, b) of similar sets with different labels.
+
+    Exact: shingles in order of rarity among these sets, prefix, positional and length filters, all in the join.  A copy
+    with many edits of its own has only rare shingles in its prefix, so it meets few others, however big its group.
+    """
+    n, rare = F.size("grams"), Window.partitionBy("doc_id", "size", "c", "mark").orderBy("df", "gram")
+    rows = sets.join(labels.withColumnRenamed("node", "known"), F.col("doc_id") == F.col("known"))
+    rows = rows.select("doc_id", "c", n.alias("size"), F.xxhash64("grams").alias("mark"), F.explode("grams").alias("gram"))
+    counts = rows.groupBy("gram").agg(F.count("*").alias("df")).withColumnRenamed("gram", "counted")
+    rows = rows.join(counts, F.col("gram") == F.col("counted")).select("*", (F.row_number().over(rare) - 1).alias("pos"))
+    rows = rows.where(f"df > 1 and pos <= size - cast(({percent} * size + 99) div 100 as int)").select("gram", "doc_id", "c", "size", "pos")
+    near = f"""x.gram = y.gram and x.doc_id < y.doc_id and x.c <> y.c and 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)
+        and {100 + percent} * least(x.size - x.pos, y.size - y.pos) >= {percent} * (x.size + y.size)"""
+    return rows.alias("x").join(rows.alias("y"), F.expr(near)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -139,24 +157,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # links between the sets of one doc_id that has several
     same_id = full.select("doc_id", "set_a", "set_b").distinct().join(nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     rows = nodes.select(F.explode("bands").alias("band"), "node", "n")
-    least = rows.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1").select(F.col("band").alias("shared"), "hub", "members")
-    bucketed = scratch.table(rows.join(least, F.col("band") == F.col("shared")).select("band", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "members"), "bucketed")
-    close = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
-    first = confirmed(bucketed.where("node <> hub").where(close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), texts, k, percent, scratch, "hubs").unionByName(same_id)
+    shared = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").withColumnRenamed("band", "shared")
+    bucketed = scratch.table(rows.join(shared, F.col("band") == F.col("shared")).select("band", "node", "n", "members"), "bucketed")
+    # the hub of a bucket is its most central document: the one that shares most over all buckets
+    central = bucketed.groupBy(F.col("node").alias("ranked")).agg(F.sum("members").alias("weight"))
+    weighed = bucketed.join(central, F.col("node") == F.col("ranked")).select("band", "node", "n", "members", "weight")
+    hubs = weighed.groupBy(F.col("band").alias("hub_band")).agg(F.max(F.struct("weight", F.negative("node").alias("order"), "node", "n")).alias("hub")).select("hub_band", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    bucketed = scratch.table(bucketed.join(hubs, F.col("band") == F.col("hub_band")).select("band", "node", "n", "members", "hub", "hub_n"), "hubs")
+    stars = bucketed.where("node <> hub").where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = scratch.table(stars, "stars")
+    sets = sets_of(stars.select(F.explode(F.array("a", "b")).alias("id")), texts, k, scratch, "star")
+    first = confirmed(stars, sets, percent, scratch, "star").unionByName(same_id)
     groups = components(first, scratch, "first")
-    # buckets whose members are still apart: pairs across components, but for those already tried
-    open_rows = bucketed.where("members > 2").join(groups.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").select("band", "node", "n", "hub", F.coalesce("component", "node").alias("c"))
-    open_rows = scratch.table(open_rows, "open")
-    apart = open_rows.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("band").alias("apart"))
-    open_rows = scratch.table(open_rows.join(apart, F.col("band") == F.col("apart"), "left_semi"), "apart")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    across = x.join(y, F.expr(f"x.band = y.band and x.c <> y.c and x.node < y.node and x.node <> x.hub and {close('x.n', 'y.n')}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    second = confirmed(across, texts, k, percent, scratch, "across")
+    for done in ("star-ids", "star-sets", "stars"):
+        scratch.drop(done)
+    # buckets whose members are still apart
+    labelled = bucketed.where("members > 2").join(groups.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").select("band", "node", F.coalesce("component", "node").alias("c"))
+    labelled = scratch.table(labelled, "labelled")
+    apart = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("band").alias("apart"))
+    open_nodes = scratch.table(labelled.join(apart, F.col("band") == F.col("apart"), "left_semi").select("node", "c").distinct(), "open")
+    sets = sets_of(open_nodes.select(F.col("node").alias("id")), texts, k, scratch, "open")
+    second = confirmed(scratch.table(across(sets, open_nodes, percent), "across"), sets, percent, scratch, "across")
     if not second.isEmpty():
         groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), scratch, "second")
     found = nodes.select("set_a", "set_b", "node").join(groups.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     found = scratch.table(found, "found")
-    for done in ("bucketed", "open", "apart", "nodes", "hubs-links", "across-links"):
+    for done in ("bucketed", "hubs", "labelled", "open", "open-ids", "open-sets", "nodes", "star-links", "across", "across-links"):
         scratch.drop(done)
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(found.withColumnsRenamed({"set_a": "fa", "set_b": "fb"}), F.expr("set_a = fa and set_b = fb and n_shingles > 0 and doc_id is not null"), "left")
     component = F.coalesce("component", "doc_id")
