@@ -10,8 +10,8 @@ is at least ``percent``.  A line is removed if a line that comes earlier, by (do
 * Prefix filter: matching lines share one of their first ``n - ceil(t n) + 1`` words.  Prefix words are joined with the
   length filter, the positional filter and a parity-bitmap bound on the overlap in the join condition, so the join's
   output is close to the matches.
-* A prefix word that may occur in more than HEAVY lines isn't paired with all of them: its lines meet the earliest line
-  with that word first, and only lines still without a match meet the others.
+* Near copies don't square: first each line meets only the earliest line that shares one of KEYS min-hash values of the
+  set with it, and in the prefix join only lines still without a match look for earlier ones.
 * Candidates are verified on whole sets, recomputed from the texts that hold them.
 
 Defined cases: lines without a word are never removed and match nothing; a null text stays null; a row with a null
@@ -33,13 +33,13 @@ from quernal.llm.scratch import Scratch
 from quernal.llm.text import packed, table
 
 SKETCH_BITS = 18
-#: A word whose count may be above this is joined in two steps.
-HEAVY = 1000
+#: Min-hash values of a line's set by which near copies find the earliest of them before the prefix join.
+KEYS = 4
 #: Rows of (doc_id, line) that are broadcast at most; beyond it the same join is shuffled.
 BROADCAST_ROWS = 2_000_000
 FAN_IN = 32
 
-_LINE = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("size", pa.int64()), ("bitmap", pa.int64()), ("prefix", pa.list_(pa.int64())), ("heavy", pa.list_(pa.bool_()))])
+_LINE = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("size", pa.int64()), ("bitmap", pa.int64()), ("prefix", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -96,7 +96,7 @@ class Lines:
         self.number = np.arange(n) - np.searchsorted(at, offsets[:-1])[self.text] if n else np.zeros(0, np.int64)
 
 
-def _lines(rank, limit: int, percent: int):
+def _lines(rank, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = rank.value
         for batch in batches:
@@ -115,8 +115,8 @@ def _lines(rank, limit: int, percent: int):
                 tokens = x.tokens[pick]
                 starts = np.concatenate([[0], ends]).astype(np.int32)
                 ids = batch.column("doc_id")[row:stop].take(pa.array(x.text[full]))
-                heavy = ranks[_slot(tokens)] >= limit
-                columns = [ids, pa.array(x.number[full]), pa.array(sums[0]), pa.array(sums[1]), pa.array(sizes), pa.array(bitmap), pa.ListArray.from_arrays(starts, tokens.view(np.int64)), pa.ListArray.from_arrays(starts, pa.array(heavy))]
+                keys = np.stack([kernel.fold(kernel.mix(x.tokens + np.uint64(1001 + i)), x.first, np.minimum)[full] + np.uint64(i) for i in range(KEYS)], axis=1)
+                columns = [ids, pa.array(x.number[full]), pa.array(sums[0]), pa.array(sums[1]), pa.array(sizes), pa.array(bitmap), pa.ListArray.from_arrays(starts, tokens.view(np.int64)), pa.ListArray.from_arrays(np.arange(0, KEYS * len(full) + 1, KEYS, dtype=np.int32), keys.ravel().view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, schema=_LINE)
 
     return run
@@ -179,39 +179,34 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     scratch = Scratch(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     # 16-bit ranks, monotone in the count
-    as_rank = lambda n: (np.log2(np.asarray(n, np.float64) + 1) * 1000).astype(np.uint16)
-    rank = spark.sparkContext.broadcast(as_rank(word_counts(texts)))
-    schema = "doc_id long, line long, set_a long, set_b long, size long, bitmap long, prefix array<long>, heavy array<boolean>"
-    lines = scratch.table(texts.mapInArrow(_lines(rank, int(as_rank(HEAVY)), percent), schema), "lines")
+    rank = spark.sparkContext.broadcast((np.log2(word_counts(texts) + 1.0) * 1000).astype(np.uint16))
+    schema = "doc_id long, line long, set_a long, set_b long, size long, bitmap long, prefix array<long>, keys array<long>"
+    lines = scratch.table(texts.mapInArrow(_lines(rank, percent), schema), "lines")
     equal = lines.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "line")).alias("e"), F.count("*").alias("n")).where("n > 1")
     equal = equal.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "e")
     copies = lines.join(equal, F.expr("set_a = a and set_b = b and (doc_id > e.doc_id or (doc_id = e.doc_id and line > e.line))")).select("doc_id", "line").distinct()
     copies = scratch.table(copies, "copies")
     first = lines.join(_small(copies.withColumnsRenamed({"doc_id": "cd", "line": "cl"})), F.expr("doc_id = cd and line = cl"), "left_anti")
-    entries = first.select("doc_id", "line", "size", "bitmap", F.posexplode(F.arrays_zip("prefix", "heavy")).alias("pos", "p"))
-    entries = entries.select(F.col("p.prefix").alias("token"), "doc_id", "line", F.shiftleft("size", 32).bitwiseOR(F.col("pos").cast("long")).alias("meta"), "bitmap", F.col("p.heavy").alias("heavy"))
-    heavy = scratch.table(entries.where("heavy").drop("heavy"), "heavy")
-    light = entries.where("not heavy").drop("heavy")
-
-    size, pos = lambda t: f"shiftright({t}.meta, 32)", lambda t: f"({t}.meta & 4294967295)"
-    sx, sy, px, py, u = size("x"), size("y"), pos("x"), pos("y"), 100 + percent
-    near = f"""x.token = y.token and (x.doc_id < y.doc_id or (x.doc_id = y.doc_id and x.line < y.line))
-        and 100 * least({sx}, {sy}) >= {percent} * greatest({sx}, {sy})
-        and {u} * (1 + least({sx} - {px}, {sy} - {py}) - 1) >= {percent} * ({sx} + {sy})
-        and {u} * ({sx} + {sy} - bit_count(x.bitmap ^ y.bitmap)) >= {2 * percent} * ({sx} + {sy})"""
-
-    def candidates(x: DataFrame, y: DataFrame) -> DataFrame:
-        named = [F.col("x.doc_id").alias("xd"), F.col("x.line").alias("xl"), F.col("y.doc_id").alias("yd"), F.col("y.line").alias("yl")]
-        return x.alias("x").join(y.alias("y"), F.expr(near)).select(*named)
-
     verify = _Verifier(texts, percent, scratch)
-    hubs = heavy.groupBy("token").agg(F.min(F.struct("doc_id", "line", "meta", "bitmap")).alias("h")).select("token", "h.*")
-    found = verify.matched(candidates(light, light).unionByName(candidates(hubs, heavy)).distinct(), "first")
-    known = found.withColumnsRenamed({"doc_id": "fd", "line": "fl"})
-    unmatched = heavy.join(known, F.expr("doc_id = fd and line = fl"), "left_anti")
-    later = verify.matched(candidates(heavy, unmatched).distinct(), "later")
-    for done in ("lines", "heavy"):
-        scratch.drop(done)
+
+    alike = f"""100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)
+        and {100 + percent} * (x.size + y.size - bit_count(x.bitmap ^ y.bitmap)) >= {2 * percent} * (x.size + y.size)"""
+    earlier = "(x.doc_id < y.doc_id or (x.doc_id = y.doc_id and x.line < y.line))"
+    named = [F.col("x.doc_id").alias("xd"), F.col("x.line").alias("xl"), F.col("y.doc_id").alias("yd"), F.col("y.line").alias("yl")]
+
+    keyed = first.select(F.explode("keys").alias("key"), "doc_id", "line", "size", "bitmap")
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "line", "size", "bitmap")).alias("h"), F.count("*").alias("n")).where("n > 1").select("key", "h.*")
+    pairs = hubs.alias("x").join(keyed.alias("y"), F.expr(f"x.key = y.key and {earlier} and {alike}")).select(*named).distinct()
+    found = verify.matched(pairs, "hubs")
+
+    known = _small(found.withColumnsRenamed({"doc_id": "fd", "line": "fl"}))
+    entries = first.join(known, F.expr("doc_id = fd and line = fl"), "left")
+    entries = entries.select("doc_id", "line", "size", "bitmap", F.col("fd").isNull().cast("int").alias("open"), F.posexplode("prefix").alias("pos", "token"))
+    # ``open`` of y is tested with a column of x, so that the test stays in the join and both sides share one shuffle
+    near = f"""x.token = y.token and {earlier} and x.size + y.open > x.size and {alike}
+        and {100 + percent} * least(x.size - x.pos, y.size - y.pos) >= {percent} * (x.size + y.size)"""
+    later = verify.matched(entries.alias("x").join(entries.alias("y"), F.expr(near)).select(*named).distinct(), "prefix")
+    scratch.drop("lines")
     return copies.unionByName(found).unionByName(later).distinct()
 
 
