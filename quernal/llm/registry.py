@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernal.llm import decontam, linedup, mixing, neardup, quality
+from quernal.llm import decontam, linedup, mixing, neardup, quality, secrets
 
-QUERIES = {"op1_linedup": linedup.query, "op4_quality": quality.query, "op6_mixing": mixing.query, "op8_neardup": neardup.query, "op10_decontam": decontam.query}
-ORACLES = {"op4_quality": quality.ORACLE, "op6_mixing": mixing.ORACLE, "op10_decontam": decontam.ORACLE}
+QUERIES = {"op1_linedup": linedup.query, "op4_quality": quality.query, "op6_mixing": mixing.query, "op8_neardup": neardup.query, "op9_secrets": secrets.query, "op10_decontam": decontam.query}
+ORACLES = {"op4_quality": quality.ORACLE, "op6_mixing": mixing.ORACLE, "op9_secrets": secrets.ORACLE, "op10_decontam": decontam.ORACLE}
