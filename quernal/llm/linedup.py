@@ -205,7 +205,15 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # ``open`` of y is tested with a column of x, so that the test stays in the join and both sides share one shuffle
     near = f"""x.token = y.token and {earlier} and x.size + y.open > x.size and {alike}
         and {100 + percent} * least(x.size - x.pos, y.size - y.pos) >= {percent} * (x.size + y.size)"""
-    later = verify.matched(entries.alias("x").join(entries.alias("y"), F.expr(near)).select(*named).distinct(), "prefix")
+    distance = F.expr("bit_count(x.bitmap ^ y.bitmap)").cast("int").alias("distance")
+    pairs = scratch.table(entries.alias("x").join(entries.alias("y"), F.expr(near)).select(*named, distance).distinct(), "candidates")
+    # a line needs one match: the likeliest candidate first, the others only for lines that it leaves
+    likeliest = pairs.groupBy("yd", "yl").agg(F.min(F.struct("distance", "xd", "xl")).alias("best")).select("best.xd", "best.xl", "yd", "yl")
+    later = verify.matched(likeliest, "best")
+    done = later.withColumnsRenamed({"doc_id": "fd", "line": "fl"})
+    rest = pairs.join(done, F.expr("yd = fd and yl = fl"), "left_anti").select("xd", "xl", "yd", "yl")
+    later = later.unionByName(verify.matched(rest, "rest"))
+    scratch.drop("candidates")
     scratch.drop("lines")
     return copies.unionByName(found).unionByName(later).distinct()
 
