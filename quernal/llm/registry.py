@@ -2,7 +2,25 @@
 
 from __future__ import annotations
 
-from quernal.llm import decontam, langid, linedup, mixing, neardup, quality, secrets, toxicity
+from quernal.llm import decontam, htmlmain, langid, licences, linedup, mixing, neardup, quality, secrets, toxicity
 
-QUERIES = {"op1_linedup": linedup.query, "op4_quality": quality.query, "op5_langid": langid.query, "op6_mixing": mixing.query, "op7_toxicity": toxicity.query, "op8_neardup": neardup.query, "op9_secrets": secrets.query, "op10_decontam": decontam.query}
-ORACLES = {"op4_quality": quality.ORACLE, "op6_mixing": mixing.ORACLE, "op9_secrets": secrets.ORACLE, "op10_decontam": decontam.ORACLE}
+QUERIES = {
+    "op1_linedup": linedup.query,
+    "op2_licences": licences.query,
+    "op3_htmlmain": htmlmain.query,
+    "op4_quality": quality.query,
+    "op5_langid": langid.query,
+    "op6_mixing": mixing.query,
+    "op7_toxicity": toxicity.query,
+    "op8_neardup": neardup.query,
+    "op9_secrets": secrets.query,
+    "op10_decontam": decontam.query,
+}
+#: Operators that SQL can express; the others are tested against brute force or held-out rows.
+ORACLES = {
+    "op2_licences": licences.ORACLE,
+    "op4_quality": quality.ORACLE,
+    "op6_mixing": mixing.ORACLE,
+    "op9_secrets": secrets.ORACLE,
+    "op10_decontam": decontam.ORACLE,
+}
