@@ -34,12 +34,12 @@ from quernal.llm.text import packed, table
 
 SKETCH_BITS = 18
 #: Min-hash values of a line's set by which near copies find the earliest of them before the prefix join.
-KEYS = 4
+KEYS = 2
 #: Rows of (doc_id, line) that are broadcast at most; beyond it the same join is shuffled.
 BROADCAST_ROWS = 2_000_000
 FAN_IN = 32
 
-_LINE = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("size", pa.int64()), ("bitmap", pa.int64()), ("prefix", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+_LINE = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("size", pa.int64()), ("bitmap", pa.int64()), ("bitmap2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -106,9 +106,10 @@ def _lines(rank, percent: int):
                 if not len(full):
                     continue
                 sizes, first = x.sizes[full], x.first[full]
-                bits = np.uint64(1) << (x.tokens & np.uint64(63))
+                # 128 parity bits: what two sets have in common cancels out, so bits that differ are at most words that do
+                bits, high = np.uint64(1) << (x.tokens & np.uint64(63)), (x.tokens & np.uint64(64)) != 0
                 sums = [kernel.fold(v, x.first, np.add)[full].view(np.int64) for v in (x.tokens, kernel.mix(x.tokens + np.uint64(77)))]
-                bitmap = kernel.fold(bits, x.first, np.bitwise_xor)[full].view(np.int64)
+                bitmap, bitmap2 = (kernel.fold(np.where(high == side, bits, np.uint64(0)), x.first, np.bitwise_xor)[full].view(np.int64) for side in (False, True))
                 length = sizes - (percent * sizes + 99) // 100 + 1
                 ends = np.cumsum(length)
                 pick = np.arange(ends[-1]) - np.repeat(ends - length, length) + np.repeat(first, length)
@@ -116,7 +117,7 @@ def _lines(rank, percent: int):
                 starts = np.concatenate([[0], ends]).astype(np.int32)
                 ids = batch.column("doc_id")[row:stop].take(pa.array(x.text[full]))
                 keys = np.stack([kernel.fold(kernel.mix(x.tokens + np.uint64(1001 + i)), x.first, np.minimum)[full] + np.uint64(i) for i in range(KEYS)], axis=1)
-                columns = [ids, pa.array(x.number[full]), pa.array(sums[0]), pa.array(sums[1]), pa.array(sizes), pa.array(bitmap), pa.ListArray.from_arrays(starts, tokens.view(np.int64)), pa.ListArray.from_arrays(np.arange(0, KEYS * len(full) + 1, KEYS, dtype=np.int32), keys.ravel().view(np.int64))]
+                columns = [ids, pa.array(x.number[full]), pa.array(sums[0]), pa.array(sums[1]), pa.array(sizes), pa.array(bitmap), pa.array(bitmap2), pa.ListArray.from_arrays(starts, tokens.view(np.int64)), pa.ListArray.from_arrays(np.arange(0, KEYS * len(full) + 1, KEYS, dtype=np.int32), keys.ravel().view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, schema=_LINE)
 
     return run
@@ -180,7 +181,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     # 16-bit ranks, monotone in the count
     rank = spark.sparkContext.broadcast((np.log2(word_counts(texts) + 1.0) * 1000).astype(np.uint16))
-    schema = "doc_id long, line long, set_a long, set_b long, size long, bitmap long, prefix array<long>, keys array<long>"
+    schema = "doc_id long, line long, set_a long, set_b long, size long, bitmap long, bitmap2 long, prefix array<long>, keys array<long>"
     lines = scratch.table(texts.mapInArrow(_lines(rank, percent), schema), "lines")
     equal = lines.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "line")).alias("e"), F.count("*").alias("n")).where("n > 1")
     equal = equal.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "e")
@@ -190,22 +191,22 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     verify = _Verifier(texts, percent, scratch)
 
     alike = f"""100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)
-        and {100 + percent} * (x.size + y.size - bit_count(x.bitmap ^ y.bitmap)) >= {2 * percent} * (x.size + y.size)"""
+        and {100 + percent} * (x.size + y.size - bit_count(x.bitmap ^ y.bitmap) - bit_count(x.bitmap2 ^ y.bitmap2)) >= {2 * percent} * (x.size + y.size)"""
     earlier = "(x.doc_id < y.doc_id or (x.doc_id = y.doc_id and x.line < y.line))"
     named = [F.col("x.doc_id").alias("xd"), F.col("x.line").alias("xl"), F.col("y.doc_id").alias("yd"), F.col("y.line").alias("yl")]
 
-    keyed = first.select(F.explode("keys").alias("key"), "doc_id", "line", "size", "bitmap")
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "line", "size", "bitmap")).alias("h"), F.count("*").alias("n")).where("n > 1").select("key", "h.*")
+    keyed = first.select(F.explode("keys").alias("key"), "doc_id", "line", "size", "bitmap", "bitmap2")
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "line", "size", "bitmap", "bitmap2")).alias("h"), F.count("*").alias("n")).where("n > 1").select("key", "h.*")
     pairs = hubs.alias("x").join(keyed.alias("y"), F.expr(f"x.key = y.key and {earlier} and {alike}")).select(*named).distinct()
     found = verify.matched(pairs, "hubs")
 
     known = _small(found.withColumnsRenamed({"doc_id": "fd", "line": "fl"}))
     entries = first.join(known, F.expr("doc_id = fd and line = fl"), "left")
-    entries = entries.select("doc_id", "line", "size", "bitmap", F.col("fd").isNull().cast("int").alias("open"), F.posexplode("prefix").alias("pos", "token"))
+    entries = entries.select("doc_id", "line", "size", "bitmap", "bitmap2", F.col("fd").isNull().cast("int").alias("open"), F.posexplode("prefix").alias("pos", "token"))
     # ``open`` of y is tested with a column of x, so that the test stays in the join and both sides share one shuffle
     near = f"""x.token = y.token and {earlier} and x.size + y.open > x.size and {alike}
         and {100 + percent} * least(x.size - x.pos, y.size - y.pos) >= {percent} * (x.size + y.size)"""
-    distance = F.expr("bit_count(x.bitmap ^ y.bitmap)").cast("int").alias("distance")
+    distance = F.expr("bit_count(x.bitmap ^ y.bitmap) + bit_count(x.bitmap2 ^ y.bitmap2)").cast("int").alias("distance")
     pairs = scratch.table(entries.alias("x").join(entries.alias("y"), F.expr(near)).select(*named, distance).distinct(), "candidates")
     # a line needs one match: the likeliest candidate first, the others only for lines that it leaves
     likeliest = pairs.groupBy("yd", "yl").agg(F.min(F.struct("distance", "xd", "xl")).alias("best")).select("best.xd", "best.xl", "yd", "yl")
