@@ -16,12 +16,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quernal.llm.scratch import Scratch
 from quernal.llm.text import n_words_of, packed, table
 
 SEED = "mix-1"
 MAX_EPOCHS = 3
 #: Leading hex digits of the key that name a bucket: 65,536 buckets a source keep a bucket small at any size.
 BUCKET_DIGITS = 4
+#: Sources whose one-row plans are broadcast at most; beyond it the same joins are shuffled.
+BROADCAST_SOURCES = 100_000
 
 
 def targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -53,7 +56,10 @@ def mix(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS) -> Data
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("key"),
     )
     slim = keyed.select("source", "size", "key", F.substring("key", 1, BUCKET_DIGITS).alias("bucket"))
-    buckets = slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    scratch = Scratch(docs.sparkSession)
+    buckets = scratch.table(slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
+    few = buckets.select("source").distinct().count() <= BROADCAST_SOURCES
+    small = F.broadcast if few else lambda rows: rows
     goal = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), max_epochs)
     goal = goal.withColumn("budget", F.floor(F.col("target") + 0.5).cast("long"))
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -61,18 +67,19 @@ def mix(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS) -> Data
     # where the rest of the budget ends: first the bucket, by prefix sums of bucket totals, then the document in it
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ends = buckets.select("source", "bucket", "bucket_size", F.sum("bucket_size").over(upto).alias("end"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
     g, e = goal.alias("g"), ends.alias("e")
-    cut_bucket = e.join(F.broadcast(g.select("source", "rest")), F.expr("e.source <=> g.source")).where(
+    cut_bucket = e.join(small(g.select("source", "rest")), F.expr("e.source <=> g.source")).where(
         "end - bucket_size <= rest and rest < end"
     ).select("e.source", "e.bucket", F.expr("end - bucket_size").alias("offset"), "rest")
-    units = slim.alias("s").join(F.broadcast(cut_bucket.alias("c")), F.expr("s.source <=> c.source and s.bucket = c.bucket")).groupBy("s.source", "s.key", "c.offset", "c.rest").agg(F.sum("size").alias("unit"))
+    units = slim.alias("s").join(small(cut_bucket.alias("c")), F.expr("s.source <=> c.source and s.bucket = c.bucket")).groupBy("s.source", "s.key", "c.offset", "c.rest").agg(F.sum("size").alias("unit"))
     running = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     cut = units.select("*", (F.col("offset") + F.sum("unit").over(running)).alias("unit_end")).where("unit_end - unit <= rest and rest < unit_end")
     cut = cut.select("source", F.col("key").alias("cut_key"), F.expr("rest - (unit_end - unit)").alias("cut_words"), "unit")
     plan = goal.alias("g").join(cut.alias("c"), F.expr("g.source <=> c.source"), "left").select(F.col("g.source").alias("plan_source"), "source_size", "target", "epochs", "cut_key", "cut_words", "unit")
+    plan = scratch.table(plan, "plan")
+    scratch.drop("buckets")
     extra = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.floor(F.col("size") * F.col("cut_words") / F.col("unit"))).otherwise(0)
-    return keyed.join(plan, F.expr("source <=> plan_source")).select("row", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.coalesce(extra, F.lit(0))).cast("long").alias("taken"))
+    return keyed.join(small(plan), F.expr("source <=> plan_source")).select("row", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.coalesce(extra, F.lit(0))).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
