@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernal.llm.text import held_out
 
 
-def sample(rows: DataFrame, label: Column, bound: int, max_chars: int) -> list[tuple[str, object]]:
-    """(text, label) of at most ``bound`` rows that may be learnt from: those whose hashed doc_id comes first.
+def sample(docs: DataFrame, labelled: DataFrame, bound: int, max_chars: int) -> list[tuple[str, object]]:
+    """docs (doc_id, text), labelled (doc_id, label) -> (text, label) of at most about ``bound`` rows to learn from.
 
-    Rows are whole texts; texts of over ``max_chars`` characters are no training rows, which bounds what the driver
-    gets to ``bound * max_chars``.  (They are scored like any other.)
+    They are the labelled rows whose hashed doc_id comes first, chosen by id alone, so that no text is shuffled or sent
+    but theirs.  Rows are whole texts; texts of over ``max_chars`` characters are no training rows, which bounds what
+    the driver gets to ``bound * max_chars``.  (They are scored like any other.)  Held-out and null ids, null labels and
+    null texts are left out.
     """
-    usable = rows.where(label.isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.char_length("text") <= max_chars))
-    picked = usable.select(F.xxhash64("doc_id", F.lit(11)).alias("order"), "doc_id", "text", label.alias("label")).orderBy("order", "doc_id", "text").limit(bound)
-    return [(row.text, row.label) for row in picked.select("text", "label").collect()]
+    usable = labelled.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    ids = usable.select(F.xxhash64("doc_id", F.lit(11)).alias("order"), F.col("doc_id").alias("picked"), "label").orderBy("order", "picked", "label").limit(bound)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("picked")).where(F.char_length("text") <= max_chars)
+    found = rows.select("order", "text", "label").toArrow().to_pylist()
+    return [(row["text"], row["label"]) for row in sorted(found, key=lambda r: (r["order"], r["text"], str(r["label"])))]
 
 
 def splits(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -155,7 +155,7 @@ def _predict(shared):
 
 def fit(docs: DataFrame) -> Model | None:
     """A model from labelled rows of docs (doc_id, text, lang); None if there are none."""
-    rows = sample(docs, F.col("lang"), TRAIN_ROWS, TRAIN_CHARS)
+    rows = sample(docs, docs.select("doc_id", F.col("lang").alias("label")), TRAIN_ROWS, TRAIN_CHARS)
     return train(rows) if rows else None
 
 

@@ -121,8 +121,7 @@ def _score(shared):
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from docs (doc_id, text) and labels (doc_id, toxic); None without labelled rows."""
-    known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic")).where("toxic in (0, 1)")
-    rows = sample(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("label_id")), F.col("toxic"), TRAIN_ROWS, TRAIN_CHARS)
+    rows = sample(docs, labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").alias("label")), TRAIN_ROWS, TRAIN_CHARS)
     return train(rows) if rows else None
 
 
