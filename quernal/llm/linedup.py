@@ -202,12 +202,17 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     known = _small(found.withColumnsRenamed({"doc_id": "fd", "line": "fl"}))
     entries = first.join(known, F.expr("doc_id = fd and line = fl"), "left")
-    entries = entries.select("doc_id", "line", "size", "bitmap", "bitmap2", F.col("fd").isNull().cast("int").alias("open"), F.posexplode("prefix").alias("pos", "token"))
-    # ``open`` of y is tested with a column of x, so that the test stays in the join and both sides share one shuffle
-    near = f"""x.token = y.token and {earlier} and x.size + y.open > x.size and {alike}
-        and {100 + percent} * least(x.size - x.pos, y.size - y.pos) >= {percent} * (x.size + y.size)"""
+    # packed, since they are what is shuffled: place is the line and whether it still has no match, span size and position
+    entries = entries.select("doc_id", "line", "size", "bitmap", "bitmap2", F.col("fd").isNull().cast("long").alias("open"), F.posexplode("prefix").alias("pos", "token"))
+    entries = entries.select("token", "doc_id", (F.col("line") * 2 + F.col("open")).alias("place"), F.shiftleft("size", 32).bitwiseOR(F.col("pos").cast("long")).alias("span"), "bitmap", "bitmap2")
+    # every column is read on both sides, so that both share one shuffle; hence also the test of y's open flag with x's
+    size, pos = lambda t: f"shiftright({t}.span, 32)", lambda t: f"({t}.span & 4294967295)"
+    packed_alike = alike.replace("x.size", size("x")).replace("y.size", size("y"))
+    near = f"""x.token = y.token and (x.doc_id < y.doc_id or (x.doc_id = y.doc_id and x.place < y.place - 1)) and (x.place & 1) + 2 * (y.place & 1) >= 2 and {packed_alike}
+        and {100 + percent} * least({size("x")} - {pos("x")}, {size("y")} - {pos("y")}) >= {percent} * ({size("x")} + {size("y")})"""
+    packed_named = [F.col("x.doc_id").alias("xd"), F.shiftright("x.place", 1).alias("xl"), F.col("y.doc_id").alias("yd"), F.shiftright("y.place", 1).alias("yl")]
     distance = F.expr("bit_count(x.bitmap ^ y.bitmap) + bit_count(x.bitmap2 ^ y.bitmap2)").cast("int").alias("distance")
-    pairs = scratch.table(entries.alias("x").join(entries.alias("y"), F.expr(near)).select(*named, distance).distinct(), "candidates")
+    pairs = scratch.table(entries.alias("x").join(entries.alias("y"), F.expr(near)).select(*packed_named, distance).distinct(), "candidates")
     # a line needs one match: the likeliest candidate first, the others only for lines that it leaves
     likeliest = pairs.groupBy("yd", "yl").agg(F.min(F.struct("distance", "xd", "xl")).alias("best")).select("best.xd", "best.xl", "yd", "yl")
     later = verify.matched(likeliest, "best")
