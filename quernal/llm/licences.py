@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernal.llm.text import table
+from quernal.llm.text import once, table
 
 #: Words that count as equal, by the SPDX matching guidelines.
 SPELLINGS = {
@@ -70,7 +70,7 @@ def digested(rows: DataFrame, text: str) -> DataFrame:
     spelt = F.col("plain")
     for word, other in SPELLINGS.items():
         spelt = F.regexp_replace(spelt, rf"\b{word}\b", other)
-    rows = rows.select(*others, plain.alias("plain"))  # few texts have a word to respell: one look spares many passes
+    rows = rows.select(*others, once(plain).alias("plain"))  # few texts have a word to respell: one look spares many passes
     normal = F.btrim(F.when(F.col("plain").rlike(ANY_SPELLING), spelt).otherwise(F.col("plain")))
     return rows.select(*others, F.sha2(normal.cast("binary"), 256).alias("digest"))
 

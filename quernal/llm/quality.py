@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernal.llm.text import packed, table, words_of
+from quernal.llm.text import once, packed, table, words_of
 
 WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_chars", "n_letters", "n_capitals", "n_stutters", "n_bullet_lines", "n_ellipsis_lines")
@@ -105,7 +105,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("n_ellipsis_lines"),
     )
     bits = sum((F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()), F.lit(0)).cast("long")
-    return step.select("row", *MEASURES, bits.alias("failed_bits"))
+    return step.select("row", *MEASURES, once(bits).alias("failed_bits"))
 
 
 def passes(policy: str = POLICY) -> Column:

@@ -39,3 +39,13 @@ def held_out(doc_id: Column) -> Column:
 def packed(df: DataFrame) -> Column:
     """All columns of a row in one struct, so that no name of theirs can clash with an operator's own."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def once(value: Column) -> Column:
+    """The same value, but not to be computed anew further up or down.
+
+    The optimizer pushes a filter below the projection that makes its column and writes the column's expression into
+    it, lambdas included, so that one look at a text becomes one for each element.  It leaves expressions alone that
+    aren't deterministic.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
