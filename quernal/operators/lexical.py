@@ -18,7 +18,8 @@ K1, B = 1.5, 0.75
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, file_path, chunk_no, tf, len): one row for each term of each chunk."""
     tokens = chunks.select(*KEY, tokenize(enriched("content", "file_path")).alias("tokens"))
-    terms = tokens.select(*KEY, F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term"))
+    # outer: a plain explode makes the optimizer filter on the array's size, and so tokenize each text again for that
+    terms = tokens.select(*KEY, F.size("tokens").cast("long").alias("len"), F.explode_outer("tokens").alias("term")).where("term is not null")
     return terms.groupBy("term", *KEY, "len").agg(F.count("*").alias("tf"))
 
 
