@@ -1,23 +1,28 @@
 """Main text of web pages, by site template removal.
 
-Pass one hashes the subtree of every block element of every page; Spark counts on how many pages of its host each hash
-occurs.  Pass two extracts text and deletes the subtrees that recur on many pages of the host, together with what tag,
-class or role says is no article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader
-comments).  Where a page marks its article, text comes from there alone, and prose elements in it (paragraphs,
-headings, list items, quotes) are never taken for a template: sites do repeat sentences.
+Pass one hashes the subtree of every block element of every page; Spark counts in how many different parents on its host
+each hash occurs, so copies of a page count once.  Pass two extracts text and deletes the subtrees that recur on the
+host, together with what tag, class or role says is no article (menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, reader comments).  Where a page marks its article, text comes from there alone.
 
-A hot host only ever meets as partial counts and as one row of at most a few hashes: a template is on at least
-MIN_SHARE of a host's pages, so a host has at most (block elements a page) / MIN_SHARE of them.
+Sites do repeat sentences, and copy articles with small changes.  So a prose element in an article (paragraph, heading,
+list item, cell, quote) is a template only if it keeps its place, counted from the start or the end of the article, or
+is on most pages of the host; and if half of an article's blocks or more would go so, it is taken for a copy and stays whole.
+
+The count is absolute, so a host may have any number of templates.  They are broadcast behind a count; beyond it each
+page is joined with those of its own subtrees.
 
 Defined cases: null or empty html gives empty text; broken markup is read as far as it goes, a tag left open closes with
-its parent; a null or odd url is the host ''; rows that repeat a page count once per host and hash and get equal texts.
+its parent; a null or odd url is the host ''; rows that repeat a page count once and get equal texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Container, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -27,10 +32,12 @@ from pyspark.sql import functions as F
 from quernal.llm.scratch import Scratch
 from quernal.llm.text import packed, table
 
-#: A subtree is template if it is on so many pages of its host, and on so great a share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.2
-#: Hosts with templates that are broadcast at most; beyond it the same join is shuffled.
-BROADCAST_HOSTS = 100_000
+#: A subtree is template if it is in so many different parents on its host.
+MIN_PAGES = 5
+#: Prose in articles must also be at one place in so great a share of its parents, or on so great a share of the pages.
+SAME_PLACE, MOST_PAGES = 0.8, 0.5
+#: Template hashes that are broadcast at most; beyond it they are joined to pages by shuffling.
+BROADCAST_TEMPLATES = 8_000_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*>""", re.S)
 _MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -62,39 +69,63 @@ def _is_no_article(tag: str, attributes: str) -> bool:
     return False
 
 
-def _hash(html: str, start: int, end: int) -> int:
-    subtree = " ".join(html[start:end].split())
+def _hash(html: str, start: int, end: int, host: str) -> int:
+    subtree = host + "\n" + " ".join(html[start:end].split())
     return int.from_bytes(hashlib.blake2b(subtree.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def read(html: str, templates: frozenset[int] | None) -> tuple[str, set[int]]:
-    """(main text, hashes of the page's block subtrees).  templates: hashes to delete; None only collects hashes."""
+def read(html: str, templates: Container[int] | None, host: str = "") -> tuple[str, set[tuple[int, int, int]]]:
+    """(main text, (hash, place, hash of the parent) of the page's block subtrees).  Place 0 is anywhere; prose in an
+    article also has places from its start (1, 2, ..) and from its end (-1, -2, ..).  templates: hashes to delete; None
+    only collects hashes."""
     marked = bool(_ARTICLE.search(html))
-    blocks: list[list] = []  # [text pieces, the open elements it is in]: deleted with any of them
-    hashes: set[int] = set()
+    blocks: list[tuple[str, bool, list[int]]] = []  # text, in article, the open elements it is in: deleted with any of them
+    hashes: set[tuple[int, int, int]] = set()
     gone: set[int] = set()  # ids of elements found to be templates
-    stack: list[tuple[str, int, bool, bool, int]] = []  # tag, start, dropped, in article, id
+    gone_prose: set[int] = set()  # of them, prose in articles
+    stack: list[tuple[str, int, bool, bool, int, int, list]] = []  # tag, start, dropped, in article, id, place, (hash, place) of children
     pieces: list[str] = []
-    ids = 0
+    waiting: list[tuple[int, int, int]] = []  # prose of the open article, until its length is known
+    ids = places = 0
 
     def flush() -> None:
         if pieces:
-            blocks.append([pieces[:], [e[4] for e in stack]])
+            own = " ".join("".join(pieces).split())
+            if own:
+                blocks.append((own, bool(stack) and stack[-1][3], [e[4] for e in stack]))
             pieces.clear()
 
     def close(upto: int, end: int) -> None:
         """Close the elements from place ``upto`` of the stack on."""
+        nonlocal places
         while len(stack) > upto:
-            tag, start, dropped, inside, own = stack[-1]
-            if tag in _BLOCK:
+            tag, start, dropped, inside, own, place, children = stack[-1]
+            outermost = inside and not (len(stack) > 1 and stack[-2][3])
+            if tag in _BLOCK or outermost:
                 if not dropped or templates is None:
                     flush()
-                if tag not in _FREE and not (inside and tag in _PROSE):
-                    h = _hash(html, start, end)
-                    hashes.add(h)
-                    if templates and h in templates:
-                        gone.add(own)
+                if templates is None:
+                    h = _hash(html, start, end, host)
+                    for child, at_place in children:
+                        if at_place:
+                            waiting.append((child, at_place, h))
+                        else:
+                            hashes.add((child, 0, h))
+                    children = []
+                    if tag in _BLOCK and tag not in _FREE:
+                        children.append((h & ~1 | (place > 0), place))
+                elif templates and tag not in _FREE and tag in _BLOCK:
+                    h = _hash(html, start, end, host)
+                    if (h & ~1 | (place > 0)) in templates:
+                        (gone_prose if place else gone).add(own)
             stack.pop()
+            if children and stack:
+                stack[-1][6].extend(children)
+            if outermost:
+                for child, at_place, parent in waiting:
+                    hashes.update(((child, 0, parent), (child, at_place, parent), (child, at_place - places - 1, parent)))
+                waiting.clear()
+                places = 0
 
     def text(raw: str) -> None:
         if templates is not None and stack and not stack[-1][2] and (stack[-1][3] or not marked) and raw:
@@ -138,8 +169,11 @@ def read(html: str, templates: frozenset[int] | None) -> tuple[str, set[int]]:
         dropped, inside = stack[-1][2:4] if stack else (False, False)
         dropped = dropped or _is_no_article(tag, m[3])
         inside = inside or tag in ("article", "main") or "role" in m[3] and bool(re.search(r"role\s*=\s*[\"']?main\b", m[3], re.I))
+        place = 0
+        if inside and tag in _PROSE:
+            place = places = places + 1
         ids += 1
-        stack.append((tag, m.start(), dropped, inside, ids))
+        stack.append((tag, m.start(), dropped, inside, ids, place, []))
         if tag in _RAW:
             end = _RAW[tag].search(html, at)
             at = end.end() if end else size
@@ -148,8 +182,12 @@ def read(html: str, templates: frozenset[int] | None) -> tuple[str, set[int]]:
             stack.pop()
     flush()
     close(0, size)
-    kept = (" ".join("".join(own).split()) for own, inside in blocks if gone.isdisjoint(inside))
-    return "\n".join(block for block in kept if block), hashes
+    kept = [block for block in blocks if gone.isdisjoint(block[2])]
+    if gone_prose:
+        own = [block for block in kept if not block[1] or gone_prose.isdisjoint(block[2])]
+        if 2 * (len(kept) - len(own)) < sum(block[1] for block in kept):
+            kept = own
+    return "\n".join(block[0] for block in kept), hashes
 
 
 def _wrapped(html: str | None) -> str:
@@ -157,24 +195,57 @@ def _wrapped(html: str | None) -> str:
     return f"<html>{html}" if html else ""
 
 
+class Sorted:
+    """A set of numbers in eight bytes each."""
+
+    def __init__(self, values: array):
+        self.values = values
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def __contains__(self, value: int) -> bool:
+        at = bisect_left(self.values, value)
+        return at < len(self.values) and self.values[at] == value
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, len(batch), 256):
             part = batch.slice(start, 256)
             hosts, found = [], []
             for host, html in zip(part.column("host").to_pylist(), part.column("html"), strict=True):
-                own = read(_wrapped(html.as_py()), None)[1]
+                own = read(_wrapped(html.as_py()), None, host)[1]
                 hosts += [host] * len(own)
                 found += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "subtree"])
+            columns = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True))], names=["host", "subtree", "place", "parent"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, len(batch), 256):
             part = batch.slice(start, 256)
-            texts = [read(_wrapped(html.as_py()), frozenset(own.as_py() or ()))[0] for html, own in zip(part.column("html"), part.column("templates"), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+            pages, found = [], []
+            for page, host, html in zip(part.column("page").to_pylist(), part.column("host").to_pylist(), part.column("html"), strict=True):
+                own = {h for h, _, _ in read(_wrapped(html.as_py()), None, host)[1]}
+                pages += [page] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.binary()), pa.array(found, pa.int64())], names=["page", "subtree"])
+
+
+def _texts(known):
+    """known: a broadcast of all templates, or None where each page has its own in a column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                owns = [known.value] * len(part) if known else [frozenset(own.as_py() or ()) for own in part.column("templates")]
+                texts = [read(_wrapped(html.as_py()), own, host)[0] for html, host, own in zip(part.column("html"), part.column("host").to_pylist(), owns, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+    return run
 
 
 def host_of(url: Column) -> Column:
@@ -182,21 +253,29 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """pages -> (host, templates): hashes of the subtrees that recur on many pages of the host."""
+    """pages -> (subtree): hashes, host included, of the subtrees that recur on the host."""
     rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").cast("string").alias("html"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages")).where(f"pages >= {MIN_PAGES}").withColumnRenamed("host", "big")
-    counts = rows.mapInArrow(_subtrees, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("n")).where(f"n >= {MIN_PAGES}")
-    met = counts.join(sizes, F.col("host") == F.col("big")).where(f"n >= {MIN_SHARE} * pages")
-    return met.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    found = rows.mapInArrow(_subtrees, "host string, subtree long, place int, parent long").distinct()
+    counts = found.groupBy("host", "subtree", "place").agg(F.count("*").alias("at")).where(f"at >= {MIN_PAGES}")
+    counts = counts.groupBy("host", "subtree").agg(F.max(F.expr("if(place = 0, at, 0)")).alias("n"), F.max(F.expr("if(place <> 0, at, 0)")).alias("most"))
+    met = counts.join(sizes, F.col("host") == F.col("big"))
+    return met.where(f"subtree & 1 = 0 or most >= {SAME_PLACE} * n or n >= {MOST_PAGES} * pages").select("subtree")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages -> (row, text); ``row`` packs every column of pages but the html itself."""
-    known = Scratch(pages.sparkSession).table(templates(pages, url, html), "templates").withColumnRenamed("host", "known")
-    known = F.broadcast(known) if known.count() <= BROADCAST_HOSTS else known
+    known = Scratch(pages.sparkSession).table(templates(pages, url, html), "templates")
     rows = pages.select(packed(pages.drop(html)).alias("row"), host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").cast("string").alias("html"))
-    rows = rows.join(known, F.col("host") == F.col("known"), "left").select("row", "html", "templates")
-    return rows.mapInArrow(_texts, f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    out = f"row {rows.schema['row'].dataType.simpleString()}, text string"
+    if known.count() <= BROADCAST_TEMPLATES:
+        hashes = array("q", known.toArrow().column("subtree").combine_chunks().sort().to_numpy().tobytes())
+        return rows.mapInArrow(_texts(pages.sparkSession.sparkContext.broadcast(Sorted(hashes))), out)
+    page = F.unhex(F.sha2(F.concat("host", F.lit("\n"), F.coalesce("html", F.lit(""))), 256)).alias("page")
+    rows = rows.select("*", page)
+    own = rows.dropDuplicates(["page"]).mapInArrow(_own, "page binary, subtree long").join(known, "subtree")
+    own = own.groupBy("page").agg(F.collect_list("subtree").alias("templates"))
+    return rows.join(own, "page", "left").select("row", "host", "html", "templates").mapInArrow(_texts(None), out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
