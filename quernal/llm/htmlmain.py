@@ -3,7 +3,7 @@
 Pass one hashes the subtree of every block element of every page; Spark counts in how many different parents on its host
 each hash occurs, so copies of a page count once.  Pass two extracts text and deletes the subtrees that recur on the
 host, together with what tag, class or role says is no article (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, reader comments).  Where a page marks its article, text comes from there alone.
+forms, scripts, reader comments).  Where a page marks its article and there is text in it, text comes from there alone.
 
 Sites do repeat sentences, and copy articles with small changes.  So a prose element in an article (paragraph, heading,
 list item, cell, quote) is a template only if it keeps its place, counted from the start or the end of the article, or
@@ -52,7 +52,19 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _FREE = frozenset(("html", "body", "article", "main"))
 #: A start tag closes these if they are open above the nearest element of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_ARTICLE = re.compile(r"<(?:article|main)[\s>]|role\s*=\s*[\"']?main\b", re.I)
+_MAIN = re.compile(r"""(?:^|\s)role\s*=\s*["']?main\b""", re.I)
+
+
+def _is_comment(attributes: str, nested: bool) -> bool:
+    """Of an article: is it a reader comment, teaser or advert?  In another article any word of its marks tells, else
+    only a whole class or comment-..., for sites write class="post comments-open" on their articles."""
+    for name, *values in _MARKS.findall(attributes):
+        value = "".join(values).lower()
+        if name.lower() == "class" and any(c in _NAMES or c.startswith("comment-") for c in value.split()):
+            return True
+        if nested and name.lower() == "class" and not _NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+            return True
+    return False
 
 
 def _is_no_article(tag: str, attributes: str) -> bool:
@@ -78,7 +90,6 @@ def read(html: str, templates: Container[int] | None, host: str = "") -> tuple[s
     """(main text, (hash, place, hash of the parent) of the page's block subtrees).  Place 0 is anywhere; prose in an
     article also has places from its start (1, 2, ..) and from its end (-1, -2, ..).  templates: hashes to delete; None
     only collects hashes."""
-    marked = bool(_ARTICLE.search(html))
     blocks: list[tuple[str, bool, list[int]]] = []  # text, in article, the open elements it is in: deleted with any of them
     hashes: set[tuple[int, int, int]] = set()
     gone: set[int] = set()  # ids of elements found to be templates
@@ -128,7 +139,7 @@ def read(html: str, templates: Container[int] | None, host: str = "") -> tuple[s
                 places = 0
 
     def text(raw: str) -> None:
-        if templates is not None and stack and not stack[-1][2] and (stack[-1][3] or not marked) and raw:
+        if templates is not None and stack and not stack[-1][2] and raw:
             pieces.append(unescape(raw))
 
     at, size = 0, len(html)
@@ -167,8 +178,11 @@ def read(html: str, templates: Container[int] | None, host: str = "") -> tuple[s
                     break
             flush()
         dropped, inside = stack[-1][2:4] if stack else (False, False)
-        dropped = dropped or _is_no_article(tag, m[3])
-        inside = inside or tag in ("article", "main") or "role" in m[3] and bool(re.search(r"role\s*=\s*[\"']?main\b", m[3], re.I))
+        dropped = dropped or _is_no_article(tag, m[3]) or tag == "article" and _is_comment(m[3], inside)
+        if not inside and not dropped and (tag in ("article", "main") or _MAIN.search(m[3])):
+            flush()
+            inside = True
+        inside = inside and not dropped
         place = 0
         if inside and tag in _PROSE:
             place = places = places + 1
@@ -187,7 +201,8 @@ def read(html: str, templates: Container[int] | None, host: str = "") -> tuple[s
         own = [block for block in kept if not block[1] or gone_prose.isdisjoint(block[2])]
         if 2 * (len(kept) - len(own)) < sum(block[1] for block in kept):
             kept = own
-    return "\n".join(block[0] for block in kept), hashes
+    article = [block for block in kept if block[1]]
+    return "\n".join(block[0] for block in article or kept), hashes
 
 
 def _wrapped(html: str | None) -> str:
