@@ -10,6 +10,9 @@ none) share the notices found in any of them; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import cache
+from importlib import resources
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,10 @@ STEPS: tuple[tuple[str, str], ...] = (
     (r"©|\(c\)", " copyright "),
     (r"[^\p{L}\p{N}]+", " "),
 )
+#: Stands in for the first step, which also deletes lines of prose that a wrapping begins with 'copyright' or the item
+#: '(c)' of a list (the oracle's SQL keeps that step).  A copyright line names a year or a holder; RE2 can't read this.
+_PROSE_WORDS = "notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|disclaimers?|treat(?:y|ies)|acts?|protections?|permissions?|infringements?|rights?|ownership|status|or|and|in|on|is|are|as|for|to|that|which|with|under|patent|trademark|the (?:software|program|library|work|document)"
+COPYRIGHT_LINE = rf"(?m)^[^\p{{L}}\n]*(?:copyright\b(?!\s*(?:[,;.]|(?:{_PROSE_WORDS})\b))[^\n]*|©[^\n]*|\(c\)(?:[^\n]*(?:©|copyright \d|\b(?:19|20)\d\d\b)[^\n]*|[ \t]+[^\n,;:]{{1,40}}))$"
 ANY_SPELLING = rf"\b({'|'.join(SPELLINGS)})\b"
 
 _GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
@@ -43,7 +50,8 @@ _BSD_NAME = " 3. Neither the name of the copyright holder nor the names of its c
 _BSD_AS_IS = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 _MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
-#: Fixed values: (licence, text).  Whole texts of public licences; a title line may or may not be there.
+#: Fixed values: (licence, text).  Short licences, and the header of Apache-2.0; a title line may or may not be there.
+#: Longer ones are in the folder ``published``, see published().
 LICENCES: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT),
     ("0BSD", f"{_GRANT}. {_AS_IS}"), ("0BSD", f"BSD Zero Clause License\n{_GRANT}. {_AS_IS}"),
@@ -65,7 +73,7 @@ def digested(rows: DataFrame, text: str) -> DataFrame:
     """rows without the column ``text``, but with ``digest``, that of its normal form."""
     others = [F.col(c) for c in rows.columns if c != text]
     plain = F.lower(F.coalesce(F.col(text), F.lit("")))
-    for pattern, replacement in STEPS:
+    for pattern, replacement in ((COPYRIGHT_LINE, " "), *STEPS[1:]):
         plain = F.regexp_replace(plain, pattern, replacement)
     spelt = F.col("plain")
     for word, other in SPELLINGS.items():
@@ -75,6 +83,17 @@ def digested(rows: DataFrame, text: str) -> DataFrame:
     return rows.select(*others, F.sha2(normal.cast("binary"), 256).alias("digest"))
 
 
+@cache
+def published() -> tuple[tuple[str, str], ...]:
+    """(licence, text) of the folder ``published``: as published, and without the appendix that says how to apply it."""
+    found = []
+    for file in sorted(resources.files("quernal.llm").joinpath("published").iterdir(), key=lambda f: f.name):
+        licence, text = file.name.removesuffix(".txt"), file.read_text("utf-8")
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        found += [(licence, text), *([(licence, terms), (licence, terms + end)] if end else [])]
+    return tuple(found)
+
+
 def _known(spark: SparkSession, entries: tuple[tuple[str, str], ...]) -> DataFrame:
     """Digests of a fixed list of texts: as many rows as the list has."""
     rows = spark.createDataFrame(list(dict.fromkeys(entries)), "licence string, known_text string")
@@ -86,7 +105,7 @@ def licences(docs: DataFrame) -> DataFrame:
     sorted licences that lines of it give notice of."""
     spark = docs.sparkSession
     whole = digested(docs.select("doc_id", "text"), "text")
-    whole = whole.join(_known(spark, LICENCES), F.col("digest") == F.col("known"), "left").select("doc_id", "digest", "licence")
+    whole = whole.join(_known(spark, LICENCES + published()), F.col("digest") == F.col("known"), "left").select("doc_id", "digest", "licence")
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     noticed = digested(lines, "line").join(_known(spark, NOTICES), F.col("digest") == F.col("known")).groupBy("doc_id").agg(F.sort_array(F.collect_set("licence")).alias("notices"))
     noticed = noticed.withColumnRenamed("doc_id", "noticed_id")
