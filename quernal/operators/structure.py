@@ -1,6 +1,7 @@
 """Structure of source files without tree-sitter: top-level units and definitions, by scanners of our own.
 
-Boundaries are approximate for brace languages; names, kinds and lines of definitions are what callers rely on.
+A unit of more than LARGEST bytes is cut at its members, and so are they, as long as there are any.  Boundaries are
+approximate for brace languages; names, kinds and lines of definitions are what callers rely on.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ _QUIET = {
     "rust": r"""//[^\n]*|/\*.*?\*/|r#*".*?"#*|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\\n])'""",
     "": r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""",
 }
+#: After a closing brace: the member goes on; after the end of a member: comments and blanks of its line are its own.
+_GOES_ON, _REST_OF_LINE = re.compile(r"\s*(?:else\b|catch\b|finally\b|while\b|[;,.)\]?:=])"), re.compile(r"(?:[ \t\r]*\n)?")
 
 
 def _quiet(source: str, language: str) -> str:
@@ -108,6 +111,81 @@ def units(source: str, language: str | None) -> list[tuple[int, int]]:
     return []
 
 
+def _python_cuts(source: str, size) -> list[int]:
+    """Line starts at which statements of more than LARGEST bytes are cut: those of the statements in them."""
+    starts = [0, *(m.end() for m in re.finditer("\n", source))]
+    cuts: list[int] = []
+    waiting: list[ast.AST] = list(ast.parse(source).body)
+    while waiting:
+        node = waiting.pop()
+        last = max((n.end_lineno for n in ast.walk(node) if hasattr(n, "end_lineno")), default=0)
+        first = min((n.lineno for n in ast.walk(node) if hasattr(n, "lineno")), default=1)
+        if size(starts[first - 1], starts[last] if last < len(starts) else len(source)) <= LARGEST:
+            continue
+        for field in ("body", "handlers", "orelse", "finalbody", "cases"):
+            for child in getattr(node, field, None) if isinstance(getattr(node, field, None), list) else ():
+                cuts.append(starts[min(n.lineno for n in ast.walk(child) if hasattr(n, "lineno")) - 1])
+                waiting.append(child)
+    return cuts
+
+
+def _brace_cuts(quiet: str, start: int, end: int, go: bool) -> list[int]:
+    """Ends of the members of a unit: a ``;``, ``,`` or closing brace one level inside its widest bracket, and the
+    place after the opening of it."""
+    opened: list[int] = []
+    widest = (0, 0)
+    for i in range(start, end):
+        if quiet[i] in "{([":
+            opened.append(i)
+        elif quiet[i] in "})]" and opened:
+            widest = max(widest, (i - opened[-1], -opened.pop()))
+    if opened:  # left open: up to the end
+        widest = max(widest, (end - opened[0], -opened[0]))
+    if not widest[0]:
+        return []
+    first, depth, cuts = -widest[1], 0, [_REST_OF_LINE.match(quiet, 1 - widest[1]).end()]
+    for i in range(first + 1, first + widest[0]):
+        depth += (quiet[i] in "{([") - (quiet[i] in "})]")
+        if depth == 0 and (quiet[i] in ";,}" or quiet[i] == "\n" and go):
+            if quiet[i] != "}" or not _GOES_ON.match(quiet, i + 1):
+                cuts.append(_REST_OF_LINE.match(quiet, i + 1).end())
+    return [*cuts, first + widest[0]]
+
+
+def _ruby_cuts(source: str, start: int, end: int) -> list[int]:
+    """Starts of the definitions that are least indented below the unit's own line."""
+    found = [(len(m[1].expandtabs(8)), m.start()) for m in re.finditer(r"(?m)^([ \t]+)(?:class|module|def)\b", source[start:end])]
+    own = len(re.match(r"[ \t]*", source[start:end])[0].expandtabs(8))
+    deeper = [f for f in found if f[0] > own]
+    return [start + at for indent, at in deeper if indent == min(deeper)[0]]
+
+
+def descended(source: str, language: str | None, ranges: list[tuple[int, int]], size) -> list[tuple[int, int]]:
+    """``ranges`` with those of more than LARGEST bytes cut at their members; ``size`` tells the bytes of a range.  The
+    parts cover all of the unit; what has no members stays whole."""
+    if language not in _DEFINITIONS and language != "python" or all(size(a, b) <= LARGEST for a, b in ranges):
+        return ranges
+    python = _python_cuts(source, size) if language == "python" else []
+    quiet = _quiet(source, language or "")
+    out: list[tuple[int, int]] = []
+    waiting = sorted(ranges, reverse=True)
+    while waiting:
+        start, end = waiting.pop()
+        cuts: list[int] = []
+        if size(start, end) > LARGEST:
+            cuts = python if language == "python" else _ruby_cuts(source, start, end) if language == "ruby" else _brace_cuts(quiet, start, end, language == "go")
+        cuts = sorted({c for c in cuts if start < c < end})
+        if not cuts:
+            out.append((start, end))
+            continue
+        parts = list(zip([start, *cuts], [*cuts, end], strict=True))
+        if language == "python":
+            out += parts
+        else:
+            waiting += reversed(parts)
+    return out
+
+
 def merged(ranges: list[tuple[int, int]], largest: int = LARGEST) -> list[tuple[int, int]]:
     """Neighbours at most one byte apart join while the whole stays within ``largest``."""
     out: list[tuple[int, int]] = []
@@ -143,6 +221,7 @@ def chunks(source: str, language: str | None) -> list[dict]:
             to_byte.append(to_byte[-1] + len(c.encode()))
         at = to_byte.__getitem__
     found = units(source, language)
+    found = descended(source, language, found, lambda a, b: at(b) - at(a))
     ranges = merged([(at(a), at(b)) for a, b in found]) if found else line_ranges(raw)
     names = [(name, kind, line, at(offset)) for name, kind, line, offset in definitions(source, language)] if found else []
     out = []

@@ -410,9 +410,13 @@ def detect_language(spark, sf_dir):
 SOURCES = (("a.py", "import os\n\n\nclass Loader:\n    def run(self):\n        pass\n\n\ndef compute(x):\n    return x\n", "python"), ("b.rs", "pub struct Config { a: u8 }\n\nfn one() -> u8 { 1 }\n\ntrait Greet { fn hi(&self); }\n", "rust"), ("c.rb", "module Helpers\n  def hello\n  end\nend\n", "ruby"), ("d.go", "package main\n\nfunc Add(a int) int {\n\treturn a\n}\n", "go"), ("e.txt", "plain\ntext\n", None))
 
 
+#: One class of some 17 kB, which has to be cut at its members.
+LARGE = ("Big.java", "public class Big {\n" + "".join(f"    int method{i}(int x) {{\n" + "        x = x + 1;\n" * 20 + "        return x;\n    }\n\n" for i in range(40)) + "}\n", "java")
+
+
 @_register("structural_chunks")
 def structural_chunks(spark, sf_dir):
-    return chunking.chunk_files(spark.createDataFrame(list(SOURCES), "file_path string, content string, language string")).drop("symbols")
+    return chunking.chunk_files(spark.createDataFrame([*SOURCES, LARGE], "file_path string, content string, language string")).drop("symbols")
 
 
 @_register("extract_definitions")
