@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernal.functions import ranking, tokens
@@ -215,13 +215,18 @@ _RELATED = f"SEMI JOIN (SELECT a.qid, d.file_path FROM {_ANCHORS} a JOIN {DOCS}
 
 @_register("find_related", f"WITH {semantic_sql(DOCS, _ANCHORS, K, _RELATED)} {_sel('sm')}")
 def find_related(spark, sf_dir):
-    """For the stated anchors, the most similar chunks of the same language but the anchor."""
+    """For the stated anchors, the most similar chunks of the same language (of any, if theirs is null) but the anchor, filled up with zeros."""
     docs = corpus.documents(spark, sf_dir)
     anchors = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("content").alias("query"), F.col("lang").alias("asked_lang"), F.col("file_path").alias("anchor"))
     embedded = dense.HashEncoder().encode(docs, "content", list(lexical.KEY))
     scores = dense.semantic_scores(anchors.select("qid", "query"), embedded, dense.HashEncoder())
-    allowed = scores.join(docs.select(*lexical.KEY, "lang"), list(lexical.KEY)).join(F.broadcast(anchors.select("qid", "asked_lang", "anchor")), "qid")
-    return _out(lexical.top_k(allowed.where("lang = asked_lang and file_path <> anchor").select("qid", *lexical.KEY, "score"), K, "semantic"))
+    scored = scores.join(docs.select(*lexical.KEY, "lang"), list(lexical.KEY)).join(F.broadcast(anchors.select("qid", "asked_lang", "anchor")), "qid")
+    allowed = "(asked_lang is null or lang = asked_lang) and file_path <> anchor"
+    # only the first chunks of each language can fill a result up: K of them and the anchor itself
+    firsts = docs.select(*lexical.KEY, "lang", F.row_number().over(Window.partitionBy("lang").orderBy(*lexical.KEY)).alias("place")).where(f"place <= {K + 1}").drop("place")
+    fill = anchors.select("qid", "asked_lang", "anchor").join(F.broadcast(firsts), F.expr(allowed)).withColumn("score", F.lit(0.0))
+    both = scored.where(allowed).select("qid", *lexical.KEY, "score").unionByName(fill.select("qid", *lexical.KEY, "score"))
+    return _out(lexical.top_k(both.groupBy("qid", *lexical.KEY).agg(F.max("score").alias("score")), K, "semantic"))
 
 
 def _legs(spark, sf_dir, chunks, queries):
