@@ -2,10 +2,11 @@
 
 A text is normalised (case, copyright lines, equivalent spellings, punctuation, white space), digested whole, and joined
 to the digests of known licences, which are made by the same expressions.  One-sentence licence notices, which sit on a
-line of a larger text, are looked up line by line in the same way.  Native throughout.
+line of a larger text, are looked up line by line by the same digests: there are few of them, so they are a literal map
+and no line leaves its row.  Native throughout.
 
-Defined cases: a null or empty text has the digest of the empty text and no licence; rows that repeat a doc_id (or have
-none) share the notices found in any of them; an empty table gives no rows.
+Defined cases: a null or empty text has the digest of the empty text and no licence; every row is judged by itself, so ids
+may repeat or be null; a text of any length is one row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from functools import cache
 from importlib import resources
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernal.llm.text import once, table
@@ -46,6 +47,7 @@ ANY_SPELLING = rf"\b({'|'.join(SPELLINGS)})\b"
 _GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_POINTS = str.maketrans({"1": "*", "2": "*", "3": "*"})
 _BSD_NAME = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 _BSD_AS_IS = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 _MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -61,6 +63,8 @@ LICENCES: tuple[tuple[str, str], ...] = (
     ("BSD-3-Clause", _BSD + _BSD_NAME + _BSD_AS_IS), ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD + _BSD_NAME + _BSD_AS_IS),
     ("Apache-2.0", _APACHE),
 )
+#: The BSD licences with points for the numbers of their list (no other digits are in them).
+LICENCES += tuple((name, text.removeprefix(title).translate(_BSD_POINTS)) for name, text in LICENCES if name.startswith("BSD") for title in {"", f"{name[:3]} {name[4:]} License\n"})
 #: Fixed values: (licence, notice of one line).
 NOTICES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
@@ -69,18 +73,30 @@ NOTICES: tuple[tuple[str, str], ...] = (
 )
 
 
-def digested(rows: DataFrame, text: str) -> DataFrame:
-    """rows without the column ``text``, but with ``digest``, that of its normal form."""
-    others = [F.col(c) for c in rows.columns if c != text]
-    plain = F.lower(F.coalesce(F.col(text), F.lit("")))
+#: Every notice has this in it, whatever its spelling: other lines aren't normalised.
+ANY_NOTICE = r"(?i)licen[cs]"
+
+
+def _plain(text: Column) -> Column:
+    plain = F.lower(F.coalesce(text, F.lit("")))
     for pattern, replacement in ((COPYRIGHT_LINE, " "), *STEPS[1:]):
         plain = F.regexp_replace(plain, pattern, replacement)
-    spelt = F.col("plain")
+    return plain
+
+
+def _respelt(plain: Column) -> Column:
+    """Few texts have a word to respell: one look spares many passes."""
+    spelt = plain
     for word, other in SPELLINGS.items():
         spelt = F.regexp_replace(spelt, rf"\b{word}\b", other)
-    rows = rows.select(*others, once(plain).alias("plain"))  # few texts have a word to respell: one look spares many passes
-    normal = F.btrim(F.when(F.col("plain").rlike(ANY_SPELLING), spelt).otherwise(F.col("plain")))
-    return rows.select(*others, F.sha2(normal.cast("binary"), 256).alias("digest"))
+    return F.sha2(F.btrim(F.when(plain.rlike(ANY_SPELLING), spelt).otherwise(plain)).cast("binary"), 256)
+
+
+def digested(rows: DataFrame, text: str) -> DataFrame:
+    """rows without the column ``text``, but with ``digest``, that of its normal form."""
+    others = [F.col(c) for c in rows.columns if c != text]
+    rows = rows.select(*others, once(_plain(F.col(text))).alias("plain"))
+    return rows.select(*others, _respelt(F.col("plain")).alias("digest"))
 
 
 @cache
@@ -100,17 +116,23 @@ def _known(spark: SparkSession, entries: tuple[tuple[str, str], ...]) -> DataFra
     return F.broadcast(digested(rows, "known_text").withColumnRenamed("digest", "known").distinct())
 
 
+def _noticed(spark: SparkSession, text: Column) -> Column:
+    """The sorted licences that lines of a text give notice of."""
+    known = [F.lit(x) for row in _known(spark, NOTICES).collect() for x in (row.known, row.licence)]
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(ANY_NOTICE))
+    digests = F.transform(F.transform(lines, _plain), _respelt)
+    found = F.transform(digests, lambda d: F.element_at(F.create_map(*known), d))
+    return F.when(text.rlike(ANY_NOTICE), F.sort_array(F.array_distinct(F.array_compact(found))))
+
+
 def licences(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, digest, licence, notices): the licence that the whole text is, or null, and the
     sorted licences that lines of it give notice of."""
     spark = docs.sparkSession
-    whole = digested(docs.select("doc_id", "text"), "text")
-    whole = whole.join(_known(spark, LICENCES + published()), F.col("digest") == F.col("known"), "left").select("doc_id", "digest", "licence")
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    noticed = digested(lines, "line").join(_known(spark, NOTICES), F.col("digest") == F.col("known")).groupBy("doc_id").agg(F.sort_array(F.collect_set("licence")).alias("notices"))
-    noticed = noticed.withColumnRenamed("doc_id", "noticed_id")
-    out = whole.join(noticed, F.expr("doc_id <=> noticed_id"), "left")
-    return out.select("doc_id", "digest", "licence", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = rows.select("doc_id", F.coalesce(_noticed(spark, F.col("text")), F.array().cast("array<string>")).alias("notices"), "text")
+    whole = digested(rows, "text").join(_known(spark, LICENCES + published()), F.col("digest") == F.col("known"), "left")
+    return whole.select("doc_id", "digest", "licence", "notices")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,19 @@ def test_published_texts(spark):
 def test_copyright_lines(spark):
     lines = ["Copyright (c) 2020 A", "(c) 2020 A", "(C) Some Body", "© A", "# Copyright 2020 A, B", "Copyright: A", "Copyright <year> <name>", "Copyright by The Authors", "Copyright The X Project Developers"]
     assert set(found(spark, [f"{line}\n{licences._MIT}" for line in lines])) == {"MIT"}
+
+
+def test_wraps_and_points(spark):
+    mit = "\n".join(textwrap.wrap(licences._MIT.split(" IN NO EVENT")[0], 70)) + "\nIN NO EVENT SHALL THE AUTHORS OR\nCOPYRIGHT HOLDERS BE LIABLE" + licences._MIT.split("COPYRIGHT HOLDERS BE LIABLE")[1]
+    three = licences._BSD + licences._BSD_NAME + licences._BSD_AS_IS
+    starred = [text.replace(" 1. ", "\n\n  * ").replace(" 2. ", "\n  * ").replace(" 3. ", "\n  * ") for text in (licences._BSD + licences._BSD_AS_IS, three)]
+    dashed = starred[1].replace("* ", "- ")
+    assert found(spark, ["Copyright (c) 2020 A\n\n" + mit, *starred, dashed]) == ["MIT", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause"]
+
+
+def test_rows_are_judged_by_themselves(spark):
+    rows = [(None, "nothing"), (None, "x\nReleased under the MIT licence."), (7, "licensed UNDER cc by 4.0"), (7, "plain"), (8, None), (9, ""), (10, "word " * 300_000 + "\nLicensed under CC BY 4.0")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as licence", "'y' as digest", "'z' as plain", "1 as notices")
+    got = licences.licences(frame).collect()
+    assert sorted((r.doc_id or 0, r.licence, r.notices) for r in got) == sorted([(0, None, []), (0, None, ["MIT"]), (7, None, ["CC-BY-4.0"]), (7, None, []), (8, None, []), (9, None, []), (10, None, ["CC-BY-4.0"])])
+    assert len({r.digest for r in got if r.doc_id in (8, 9)}) == 1
