@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernal.llm.scratch import Scratch
+from quernal.llm.scratch import Scratch, exists
 from quernal.llm.text import packed, table
 
 _L, _R = "\x01", "\x02"
@@ -30,16 +30,19 @@ def _either_case(word: str) -> str:
 
 _NAMES = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
 #: kind -> (pattern, condition a match m must meet), in the order kinds are listed in; the first three are the base.
+#: A run of one class of characters may have its least length in the pattern: a shorter run has no longer one in it.
 RULES: dict[str, tuple[str, str]] = {
     "assign": (rf"""(?:{_NAMES})["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", "long value"),
-    "access": ("AKIA[A-Z0-9]+", "20"),
-    "hex": ("[0-9a-f]+", "24"),
+    "access": ("AKIA[A-Z0-9]{16,}", "20"),
+    "hex": ("[0-9a-f]{24,}", "24"),
     "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", "0"),
     "jwt": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "32"),
     "forge": ("gh[pousr]_[A-Za-z0-9]+", "40"),
 }
 BASE = ("assign", "access", "hex")
 RULE_VERSION = "secrets-1"
+#: Unseen blobs whose digests (64 characters each) are broadcast at most; beyond it they are joined by shuffling.
+BROADCAST_BLOBS = 100_000
 _VALUE = rf"""^(?:{_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
 
@@ -80,17 +83,59 @@ def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def findings(paths: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def findings(paths: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """paths with a text -> (spans of unseen blobs by :func:`scan`, ledger rows (blob, rule_version) they add).
 
     ``ledger`` has the (blob, rule_version) pairs scanned before; their spans are in the store the caller keeps.
     """
     blobs = paths.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-    unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("seen"))
-        unseen = unseen.join(seen, F.col("blob") == F.col("seen"), "left_anti")
-    return scan(unseen), unseen.select("blob", F.lit(RULE_VERSION).alias("rule_version"))
+    fold = lambda rows: rows.groupBy("blob").agg(F.first("text").alias("text"))
+    if ledger is None:
+        unseen = fold(blobs)
+    else:
+        seen = ledger.where(F.col("rule_version") == version).select(F.col("blob").alias("seen"))
+        new = Scratch(paths.sparkSession).table(blobs.select("blob").distinct().join(seen, F.col("blob") == F.col("seen"), "left_anti"), "new").withColumnRenamed("blob", "new_blob")
+        if new.count() <= BROADCAST_BLOBS:  # little is new: the texts seen before aren't shuffled
+            unseen = fold(blobs.join(F.broadcast(new), F.col("blob") == F.col("new_blob"), "left_semi"))
+        else:
+            unseen = fold(blobs).join(new, F.col("blob") == F.col("new_blob"), "left_semi")
+    return scan(unseen), unseen.select("blob", F.lit(version).alias("rule_version"))
+
+
+class Ledger:
+    """A ledger kept in a folder that all executors share: tables ``seen`` (blob, rule_version) and ``spans`` (as of
+    :func:`scan`, with rule_version), both only ever appended to.
+
+    Spans are written before the blobs they are of count as seen: a run that is lost in between is made again, and the
+    spans it left are read once (they are distinct by blob, version, kind and place in the text).
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        there = exists(self.spark, f"{self.folder}/{name}/_SUCCESS")
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}") if there else self.spark.createDataFrame([], schema)
+
+    def seen(self) -> DataFrame:
+        return self._read("seen", "blob string, rule_version string")
+
+    def spans(self, version: str = RULE_VERSION) -> DataFrame:
+        rows = self._read("spans", "blob string, kind string, place int, start long, `end` long, rule_version string")
+        return rows.where(F.col("rule_version") == version).drop("rule_version").distinct()
+
+    def update(self, versions: DataFrame, version: str = RULE_VERSION) -> None:
+        """versions with a text, of any paths and times: scan the blobs not yet seen under this rule version."""
+        spans, added = findings(versions, self.seen(), version)
+        scratch = Scratch(self.spark)
+        added = scratch.table(added, "added")  # what is new is decided once, before anything is appended
+        spans.select("blob", "kind", F.col("place").cast("int").alias("place"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(version).alias("rule_version")).write.mode("append").parquet(f"{self.folder}/spans")
+        added.write.mode("append").parquet(f"{self.folder}/seen")
+        scratch.drop("added")
+
+    def of(self, paths: DataFrame, version: str = RULE_VERSION) -> DataFrame:
+        """paths with a text, all seen -> as :func:`secrets`, from the ledger alone."""
+        return _joined(paths, self.spans(version))
 
 
 def _at(place: int):
@@ -112,8 +157,10 @@ def secrets(paths: DataFrame, ledger: DataFrame | None = None, known: DataFrame
     ``known`` has the spans (as of :func:`scan`) of the blobs that ``ledger`` says were scanned before.
     """
     spans, _ = findings(paths, ledger)
-    if known is not None:
-        spans = spans.unionByName(known)
+    return _joined(paths, spans if known is None else spans.unionByName(known))
+
+
+def _joined(paths: DataFrame, spans: DataFrame) -> DataFrame:
     found = Scratch(paths.sparkSession).table(by_blob(spans), "found").withColumnRenamed("blob", "found_blob")
     rows = paths.select(packed(paths).alias("row"), blob_of(F.col("text")).alias("blob"))
     out = rows.join(found, F.col("blob") == F.col("found_blob"), "left")
@@ -123,13 +170,9 @@ def secrets(paths: DataFrame, ledger: DataFrame | None = None, known: DataFrame
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: findings of every document, from an empty ledger."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = docs.select("doc_id", blob_of(F.col("text")).alias("blob"))
-    spans, _ = findings(docs)
-    found = Scratch(spark).table(by_blob(spans), "found").withColumnRenamed("blob", "found_blob")
-    out = rows.join(found, F.col("blob") == F.col("found_blob"), "left")
-    counts = [F.coalesce(f"n_{kind}", F.lit(0)).cast("long").alias(f"n_{kind}") for kind in BASE]
-    return out.select("doc_id", *counts, F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    done = secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [f"n_{kind}" for kind in BASE]
+    return done.select("row.doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
 def _oracle() -> str:
