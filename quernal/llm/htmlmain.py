@@ -1,29 +1,35 @@
 """Main text of web pages, by site template removal.
 
-Pass one hashes the subtree of every block element of every page; Spark counts in how many different parents on its host
-each hash occurs, so copies of a page count once.  Pass two extracts text and deletes the subtrees that recur on the
-host, together with what tag, class or role says is no article (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, reader comments).  Where a page marks its article and there is text in it, text comes from there alone.
+Every block element of a page has a subtree hash, made of its start tag, its text and the hashes of its children, so one
+pass over a page hashes all of its subtrees.  Spark counts in how many different parents on its host each hash occurs
+(so copies of a page count once), and subtrees that recur on the host are deleted from its pages, in articles too.  Tags
+help: scripts, menus, headers, footers, sidebars, adverts, forms and reader comments are known by tag, role or class, and
+where a page marks its article and there is text in it, text comes from there alone.
 
 Sites do repeat sentences, and copy articles with small changes.  So a prose element in an article (paragraph, heading,
-list item, cell, quote) is a template only if it keeps its place, counted from the start or the end of the article, or
-is on most pages of the host; and if half of an article's blocks or more would go so, it is taken for a copy and stays whole.
+list item, cell, quote) is a template only if it is on MOST_PAGES of the host's different pages and keeps its place there,
+counted from the start or the end of the article; and if half of an article's blocks or more would go so, it is taken for
+a copy and stays whole.
 
-The count is absolute, so a host may have any number of templates.  They are broadcast behind a count; beyond it each
-page is joined with those of its own subtrees.
+The count is absolute, so a host may have any number of templates.  They are broadcast behind a count (eight bytes each);
+beyond it each page is joined with those of its own subtrees.
 
-Defined cases: null or empty html gives empty text; broken markup is read as far as it goes, a tag left open closes with
-its parent; a null or odd url is the host ''; rows that repeat a page count once and get equal texts.
+Defined cases: null or empty html gives empty text; broken markup is read as far as it goes, in time linear in its length:
+a tag left open closes with its parent, after a quote that never closes tags end at the next '>', and what is nested deeper
+than MAX_DEPTH elements counts as content of the last of them; a null or odd url is the host ''; rows that repeat a page
+count once and get equal texts.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from array import array
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Container, Iterator
+from hashlib import blake2b
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,180 +40,242 @@ from quernal.llm.text import packed, table
 
 #: A subtree is template if it is in so many different parents on its host.
 MIN_PAGES = 5
-#: Prose in articles must also be at one place in so great a share of its parents, or on so great a share of the pages.
+#: Prose in articles must also be at one place in so great a share of its parents, and on so great a share of the pages.
 SAME_PLACE, MOST_PAGES = 0.8, 0.5
-#: Template hashes that are broadcast at most; beyond it they are joined to pages by shuffling.
-BROADCAST_TEMPLATES = 8_000_000
-
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*>""", re.S)
+#: Template hashes that are broadcast at most, eight bytes each; beyond it they are joined to pages by shuffling.
+BROADCAST_TEMPLATES = 4_000_000
+MAX_DEPTH = 512
+#: The place that stands for a whole page, see subtrees().
+WHOLE = -(1 << 31)
+
+#: What follows the '<' of a tag up to its '>', quoted attribute values whole; each character is looked at once.
+_TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>""")
+_PLAIN_TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""")
 _MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|$|/)|aria-hidden\s*=\s*["']?true""", re.I)
+_MAIN = re.compile(r"""(?:^|\s)role\s*=\s*["']?main\b""", re.I)
+_WORDS = re.compile(r"[^a-z0-9]+")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd td th tr figcaption caption address summary".split())
 _BLOCK = _PROSE | frozenset("html body article main section div ul ol dl table thead tbody tfoot figure details center hgroup nav header footer aside form fieldset menu dialog search".split())
 _NEVER = frozenset("head script style noscript template iframe object svg canvas audio video nav header footer aside form fieldset button select textarea label dialog menu search title xmp".split())
 _NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words that leave a name of the kind above what it is: comment-list, ad-slot, site-header.
+_PARTS = frozenset("area bar block body bottom box button buttons container content entry form global group inner item items left link links list main mobile outer page panel posts primary reply right row section secondary section signup site slot thread top unit wrap wrapper".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: In an article these hold its own headline.
+_OWN_HEAD = frozenset("header masthead banner".split())
+_OWN_PARTS = _PARTS - {"entry", "page", "main", "content", "body"}
 _FREE = frozenset(("html", "body", "article", "main"))
 #: A start tag closes these if they are open above the nearest element of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_MAIN = re.compile(r"""(?:^|\s)role\s*=\s*["']?main\b""", re.I)
-
+_P = ({"p"}, {"div", "section", "article", "main", "body", "td", "th", "li", "blockquote", "button", "table"})
 
-def _is_comment(attributes: str, nested: bool) -> bool:
-    """Of an article: is it a reader comment, teaser or advert?  In another article any word of its marks tells, else
-    only a whole class or comment-..., for sites write class="post comments-open" on their articles."""
-    for name, *values in _MARKS.findall(attributes):
-        value = "".join(values).lower()
-        if name.lower() == "class" and any(c in _NAMES or c.startswith("comment-") for c in value.split()):
-            return True
-        if nested and name.lower() == "class" and not _NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
 
-
-def _is_no_article(tag: str, attributes: str) -> bool:
-    if tag in _NEVER:
+def _is_no_article(tag: str, attributes: str, inside: bool) -> bool:
+    """Is the element none of the article's, by tag, role or name?  A class or id counts whole (``comments``, ``comment-list``,
+    not ``comments-open`` or ``share-price``); in an article, a header is its own."""
+    if tag in _NEVER and not (inside and tag in _OWN_HEAD):
         return True
-    if not attributes or tag in _FREE:
+    if not attributes or tag in ("html", "body", "main"):
         return False
     if _HIDDEN.search(attributes):
         return True
     for name, *values in _MARKS.findall(attributes):
-        words = re.split(r"[^a-z0-9]+", "".join(values).lower())
-        if not (_ROLES if name.lower() == "role" else _NAMES).isdisjoint(words):
-            return True
+        for value in "".join(values).lower().split():
+            if name.lower() == "role":
+                if value in _ROLES and not (inside and value == "banner"):
+                    return True
+                continue
+            words = [w for w in _WORDS.split(value) if w and not w.isdigit()]
+            names, parts = (_NAMES - _OWN_HEAD, _OWN_PARTS) if inside else (_NAMES, _PARTS)
+            if any(w in names for w in words) and all(w in names or w in parts for w in words):
+                return True
     return False
 
 
-def _hash(html: str, start: int, end: int, host: str) -> int:
-    subtree = host + "\n" + " ".join(html[start:end].split())
-    return int.from_bytes(hashlib.blake2b(subtree.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-
-
-def read(html: str, templates: Container[int] | None, host: str = "") -> tuple[str, set[tuple[int, int, int]]]:
-    """(main text, (hash, place, hash of the parent) of the page's block subtrees).  Place 0 is anywhere; prose in an
-    article also has places from its start (1, 2, ..) and from its end (-1, -2, ..).  templates: hashes to delete; None
-    only collects hashes."""
-    blocks: list[tuple[str, bool, list[int]]] = []  # text, in article, the open elements it is in: deleted with any of them
-    hashes: set[tuple[int, int, int]] = set()
-    gone: set[int] = set()  # ids of elements found to be templates
-    gone_prose: set[int] = set()  # of them, prose in articles
-    stack: list[tuple[str, int, bool, bool, int, int, list]] = []  # tag, start, dropped, in article, id, place, (hash, place) of children
+class Page(NamedTuple):
+    """Block elements of a page in order: what is around each (its place in these lists, or -1), its subtree hash, whether
+    it is free (html, body, article and main are no templates), and for prose in an article which article that is and
+    its place in it from 1, else (0, 0); how much prose each article has; blocks of text with the element they are in
+    and whether that is in an article.  The first element is the page itself."""
+
+    parents: list[int]
+    hashes: list[int]
+    free: list[bool]
+    places: list[tuple[int, int]]
+    prose: list[int]
+    blocks: list[tuple[str, int, bool]]
+
+
+def parse(html: str | None, host: str = "") -> Page:
+    """One pass over a page."""
+    page = Page([], [], [], [], [0], [])
+    if not html:
+        return page
+    seed = blake2b(host.encode("utf-8", "surrogatepass"), digest_size=8)
+    parents, hashes, free, places, prose, blocks = page
+    hashers: list = []
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, nearest block element, dropped, in an article
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
-    waiting: list[tuple[int, int, int]] = []  # prose of the open article, until its length is known
-    ids = places = 0
 
     def flush() -> None:
         if pieces:
             own = " ".join("".join(pieces).split())
             if own:
-                blocks.append((own, bool(stack) and stack[-1][3], [e[4] for e in stack]))
+                blocks.append((own, stack[-1][1], stack[-1][3]))
             pieces.clear()
 
-    def close(upto: int, end: int) -> None:
+    def start(tag: str, attributes: str, dropped: bool, inside: bool) -> None:
+        around = stack[-1][1] if stack else -1
+        own = around
+        if tag in _BLOCK:
+            own = len(parents)
+            parents.append(around)
+            hashes.append(0)
+            free.append(tag in _FREE)
+            hashers.append(seed.copy())
+            if inside and tag in _PROSE:
+                prose[-1] += 1
+                places.append((len(prose) - 1, prose[-1]))
+            else:
+                places.append((0, 0))
+        hashers[own].update(f"<{tag} {' '.join(attributes.split())}".encode("utf-8", "surrogatepass"))
+        stack.append((tag, own, dropped, inside))
+        opened[tag] += 1
+
+    def close(upto: int) -> None:
         """Close the elements from place ``upto`` of the stack on."""
-        nonlocal places
         while len(stack) > upto:
-            tag, start, dropped, inside, own, place, children = stack[-1]
-            outermost = inside and not (len(stack) > 1 and stack[-2][3])
-            if tag in _BLOCK or outermost:
-                if not dropped or templates is None:
+            tag, own, dropped, inside = stack[-1]
+            if tag in _BLOCK:
+                if not dropped:
                     flush()
-                if templates is None:
-                    h = _hash(html, start, end, host)
-                    for child, at_place in children:
-                        if at_place:
-                            waiting.append((child, at_place, h))
-                        else:
-                            hashes.add((child, 0, h))
-                    children = []
-                    if tag in _BLOCK and tag not in _FREE:
-                        children.append((h & ~1 | (place > 0), place))
-                elif templates and tag not in _FREE and tag in _BLOCK:
-                    h = _hash(html, start, end, host)
-                    if (h & ~1 | (place > 0)) in templates:
-                        (gone_prose if place else gone).add(own)
+                digest = hashers[own].digest()
+                hashers[own] = None
+                hashes[own] = int.from_bytes(digest, "big", signed=True) & ~1 | (places[own][1] > 0)
+                if parents[own] >= 0:
+                    hashers[parents[own]].update(digest)
+            else:
+                if inside and not stack[-2][3]:
+                    flush()
+                hashers[own].update(b">")
             stack.pop()
-            if children and stack:
-                stack[-1][6].extend(children)
-            if outermost:
-                for child, at_place, parent in waiting:
-                    hashes.update(((child, 0, parent), (child, at_place, parent), (child, at_place - places - 1, parent)))
-                waiting.clear()
-                places = 0
+            opened[tag] -= 1
 
     def text(raw: str) -> None:
-        if templates is not None and stack and not stack[-1][2] and raw:
-            pieces.append(unescape(raw))
-
-    at, size = 0, len(html)
+        if raw:
+            hashers[stack[-1][1]].update(" ".join(raw.split()).encode("utf-8", "surrogatepass"))
+            if not stack[-1][2]:
+                pieces.append(unescape(raw) if "&" in raw else raw)
+
+    start("html", "", False, False)
+    at, size, tags = 0, len(html), _TAG
+    last = html.rfind(">")
     while at < size:
-        m = _TOKEN.search(html, at)
-        if m is None:
+        begin = html.find("<", at)
+        if begin < 0 or begin > last:
             text(html[at:])
             break
-        text(html[at : m.start()])
-        at = m.end()
-        tag = m[2].lower() if m[2] else None
-        if tag is None:
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            text(html[at:begin])
+            at = size if end < 0 else end + 3
+            continue
+        if html[begin + 1 : begin + 2] in ("!", "?"):
+            text(html[at:begin])
+            at = html.find(">", begin) + 1
+            continue
+        m = tags.match(html, begin + 1)
+        if m is None and tags is _TAG and _PLAIN_TAG.match(html, begin + 1):
+            tags = _PLAIN_TAG  # a quote never closes: from here on quotes don't count, so nothing is looked at twice
             continue
+        if m is None:
+            text(html[at : begin + 1])
+            at = begin + 1
+            continue
+        text(html[at:begin])
+        at = m.end()
+        tag, attributes = m[2].lower(), m[3]
         if m[1]:
             if tag == "br":
                 flush()
-                continue
-            for place in range(len(stack) - 1, -1, -1):
-                if stack[place][0] == tag:
-                    close(place, at)
-                    break
-                if tag not in _BLOCK and stack[place][0] in _BLOCK:
-                    break
+            elif opened[tag]:
+                for place in range(len(stack) - 1, 0, -1):
+                    if stack[place][0] == tag:
+                        close(place)
+                        break
+                    if tag not in _BLOCK and stack[place][0] in _BLOCK:
+                        break
             continue
         if tag in _VOID:
             if tag in ("br", "hr"):
                 flush()
             continue
         if tag in _CLOSES or tag in _BLOCK:
-            closes, within = _CLOSES.get(tag, ({"p"}, {"div", "section", "article", "main", "body", "td", "th", "li", "blockquote", "button", "table"}))
-            for place in range(len(stack) - 1, -1, -1):
-                if stack[place][0] in closes:
-                    close(place, m.start())
-                    break
-                if stack[place][0] in within:
-                    break
+            closes, within = _CLOSES.get(tag, _P)
+            if any(opened[t] for t in closes):
+                for place in range(len(stack) - 1, 0, -1):
+                    if stack[place][0] in closes:
+                        close(place)
+                        break
+                    if stack[place][0] in within:
+                        break
             flush()
-        dropped, inside = stack[-1][2:4] if stack else (False, False)
-        dropped = dropped or _is_no_article(tag, m[3]) or tag == "article" and _is_comment(m[3], inside)
-        if not inside and not dropped and (tag in ("article", "main") or _MAIN.search(m[3])):
+        if tag in ("html", "body") and opened[tag]:
+            continue
+        dropped, inside = stack[-1][2:]
+        dropped = dropped or _is_no_article(tag, attributes, inside)
+        if not inside and not dropped and (tag in ("article", "main") or _MAIN.search(attributes)):
             flush()
             inside = True
-        inside = inside and not dropped
-        place = 0
-        if inside and tag in _PROSE:
-            place = places = places + 1
-        ids += 1
-        stack.append((tag, m.start(), dropped, inside, ids, place, []))
+            prose.append(0)
+        deep = len(stack) >= MAX_DEPTH
+        if not deep:
+            start(tag, attributes, dropped, inside and not dropped)
         if tag in _RAW:
             end = _RAW[tag].search(html, at)
+            if not deep:
+                hashers[stack[-1][1]].update(html[at : end.start() if end else size].encode("utf-8", "surrogatepass"))
+                close(len(stack) - 1)
             at = end.end() if end else size
-            close(len(stack) - 1, at)
-        elif m[3].endswith("/") and tag not in _BLOCK:
-            stack.pop()
+        elif not deep and attributes.endswith("/") and tag not in _BLOCK:
+            close(len(stack) - 1)
     flush()
-    close(0, size)
-    kept = [block for block in blocks if gone.isdisjoint(block[2])]
-    if gone_prose:
-        own = [block for block in kept if not block[1] or gone_prose.isdisjoint(block[2])]
-        if 2 * (len(kept) - len(own)) < sum(block[1] for block in kept):
-            kept = own
-    article = [block for block in kept if block[1]]
-    return "\n".join(block[0] for block in article or kept), hashes
-
-
-def _wrapped(html: str | None) -> str:
-    """A page without html or body elements still has an element for its text to be in."""
-    return f"<html>{html}" if html else ""
+    close(0)
+    return page
+
+
+def subtrees(page: Page) -> set[tuple[int, int, int]]:
+    """(hash, place, hash of the parent) of the page's subtrees.  Place 0 is anywhere; prose in an article also has places
+    from its start (1, 2, ..) and from its end (-1, -2, ..).  The page itself is there once, at place WHOLE."""
+    found: set[tuple[int, int, int]] = set()
+    for own, h, free, (article, place) in zip(page.parents, page.hashes, page.free, page.places, strict=True):
+        if not free:
+            around = page.hashes[own]
+            found.add((h, 0, around))
+            if place:
+                found.update(((h, place, around), (h, place - page.prose[article] - 1, around)))
+    if page.hashes:
+        found.add((0, WHOLE, page.hashes[0]))
+    return found
+
+
+def main_text(page: Page, templates: Container[int]) -> str:
+    """The blocks of the article, or of the page, that are in no template."""
+    gone, gone_prose = [False] * len(page.parents), [False] * len(page.parents)
+    for i, (own, h) in enumerate(zip(page.parents, page.hashes, strict=True)):
+        here = not page.free[i] and h in templates
+        gone[i] = (own >= 0 and gone[own]) or (here and not h & 1)
+        gone_prose[i] = (own >= 0 and gone_prose[own]) or (here and bool(h & 1))
+    kept = [block for block in page.blocks if not gone[block[1]]]
+    own = [block for block in kept if not gone_prose[block[1]]]
+    if 2 * (len(kept) - len(own)) < sum(block[2] for block in kept):
+        kept = own
+    article = [block for block in kept if block[2]]
+    return "\n".join(block[0] for block in article or kept)
 
 
 class Sorted:
@@ -224,41 +292,46 @@ class Sorted:
         return at < len(self.values) and self.values[at] == value
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, len(batch), 256):
-            part = batch.slice(start, 256)
-            hosts, found = [], []
-            for host, html in zip(part.column("host").to_pylist(), part.column("html"), strict=True):
-                own = read(_wrapped(html.as_py()), None, host)[1]
-                hosts += [host] * len(own)
-                found += own
-            columns = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True))], names=["host", "subtree", "place", "parent"])
+            yield batch.slice(start, 256)
+
+
+def _pages(part: pa.RecordBatch) -> Iterator[Page]:
+    for html, host in zip(part.column("html"), part.column("host").to_pylist(), strict=True):
+        yield parse(html.as_py(), host)
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _parts(batches):
+        hosts, found = [], []
+        for host, page in zip(part.column("host").to_pylist(), _pages(part), strict=True):
+            own = subtrees(page)
+            hosts += [host] * len(own)
+            found += own
+        columns = zip(*found, strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True))], names=["host", "subtree", "place", "parent"])
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, len(batch), 256):
-            part = batch.slice(start, 256)
-            pages, found = [], []
-            for page, host, html in zip(part.column("page").to_pylist(), part.column("host").to_pylist(), part.column("html"), strict=True):
-                own = {h for h, _, _ in read(_wrapped(html.as_py()), None, host)[1]}
-                pages += [page] * len(own)
-                found += own
-            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.binary()), pa.array(found, pa.int64())], names=["page", "subtree"])
+    for part in _parts(batches):
+        pages, found = [], []
+        for name, page in zip(part.column("page").to_pylist(), _pages(part), strict=True):
+            own = {h for h, free in zip(page.hashes, page.free, strict=True) if not free}
+            pages += [name] * len(own)
+            found += own
+        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.binary()), pa.array(found, pa.int64())], names=["page", "subtree"])
 
 
 def _texts(known):
     """known: a broadcast of all templates, or None where each page has its own in a column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
-                owns = [known.value] * len(part) if known else [frozenset(own.as_py() or ()) for own in part.column("templates")]
-                texts = [read(_wrapped(html.as_py()), own, host)[0] for html, host, own in zip(part.column("html"), part.column("host").to_pylist(), owns, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+        for part in _parts(batches):
+            owns = [known.value] * len(part) if known else [frozenset(own.as_py() or ()) for own in part.column("templates")]
+            texts = [main_text(page, own) for page, own in zip(_pages(part), owns, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
     return run
 
@@ -270,12 +343,14 @@ def host_of(url: Column) -> Column:
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages -> (subtree): hashes, host included, of the subtrees that recur on the host."""
     rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").cast("string").alias("html"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages")).where(f"pages >= {MIN_PAGES}").withColumnRenamed("host", "big")
     found = rows.mapInArrow(_subtrees, "host string, subtree long, place int, parent long").distinct()
+    # a hash is of one host, so its host needn't be counted apart; whole pages are counted by host
     counts = found.groupBy("host", "subtree", "place").agg(F.count("*").alias("at")).where(f"at >= {MIN_PAGES}")
-    counts = counts.groupBy("host", "subtree").agg(F.max(F.expr("if(place = 0, at, 0)")).alias("n"), F.max(F.expr("if(place <> 0, at, 0)")).alias("most"))
-    met = counts.join(sizes, F.col("host") == F.col("big"))
-    return met.where(f"subtree & 1 = 0 or most >= {SAME_PLACE} * n or n >= {MOST_PAGES} * pages").select("subtree")
+    counts = Scratch(pages.sparkSession).table(counts, "counts")
+    sizes = counts.where(f"place = {WHOLE}").select(F.col("host").alias("big"), F.col("at").alias("pages"))
+    met = counts.where(f"place <> {WHOLE}").groupBy("host", "subtree").agg(F.max(F.expr("if(place = 0, at, 0)")).alias("n"), F.max(F.expr("if(place <> 0, at, 0)")).alias("most"))
+    prose = met.where(f"subtree & 1 = 1 and most >= {SAME_PLACE} * n").join(sizes, F.col("host") == F.col("big")).where(f"n >= {MOST_PAGES} * pages")
+    return met.where("subtree & 1 = 0").select("subtree").unionByName(prose.select("subtree"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

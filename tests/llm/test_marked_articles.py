@@ -2,7 +2,7 @@
 
 import pytest
 
-from quernal.llm.htmlmain import _wrapped, read
+from quernal.llm.htmlmain import main_text, parse
 
 
 @pytest.mark.parametrize(
@@ -17,10 +17,10 @@ from quernal.llm.htmlmain import _wrapped, read
     ],
 )
 def test_main_text_in_plain_divs(odd):
-    assert read(_wrapped(f"<body>{odd}<div>main text</div></body>"), frozenset())[0] == "main text"
+    assert main_text(parse(f"<body>{odd}<div>main text</div></body>"), frozenset()) == "main text"
 
 
 def test_marked_text_alone():
     page = '<body><div>around</div><article class="post comments-open"><p>text</p><article class="comment-item">reader</article></article></body>'
-    assert read(_wrapped(page), frozenset())[0] == "text"
-    assert read(_wrapped('<body>around<span role="main">text</span>after</body>'), frozenset())[0] == "text"
+    assert main_text(parse(page), frozenset()) == "text"
+    assert main_text(parse('<body>around<span role="main">text</span>after</body>'), frozenset()) == "text"
