@@ -2,8 +2,8 @@
 
 Features of a text are which hashed words, word pairs and pairs one word apart it has.  Training is FTRL-proximal:
 each coordinate has a learning rate of its own, and the L1 term leaves most weights exactly zero, so the model is a
-short table of indices and weights, at most 2**HASH_BITS, that is broadcast.  Words are compared lower-cased with ASCII
-punctuation at their ends left in place but a second form without it added, so "idiot," counts as "idiot".
+short table of indices and weights, at most 2**HASH_BITS, that is broadcast.  Words are compared lower-cased (A-Z), and
+ASCII punctuation separates them like white space, so "idiot," counts as "idiot" and "you-idiot" as two words.
 
 Training reads at most TRAIN_ROWS labelled rows (documented bound); scoring reads every whole text.
 
@@ -46,8 +46,8 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text of each feature, hashed feature) in pieces: words without end punctuation, pairs, and pairs one apart."""
-    bare = np.where(_PUNCTUATION[data], np.uint8(32), data)  # punctuation splits words here
+    """(text of each feature, hashed feature) in pieces: words, pairs, and pairs one apart."""
+    bare = np.where(_PUNCTUATION[data], np.uint8(32), data)
     w = kernel.words(bare, offsets)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))
     h = w.hashes
