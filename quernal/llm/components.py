@@ -1,8 +1,8 @@
 """Connected components of a graph of links, by alternating large-star and small-star steps.
 
-Each step is a group-by and a join, each round ends in a written table, and nothing is gathered on the driver but one
-count and one checksum a round.  A node with very many neighbours is one row of the small side of the join, so the
-engine can split its rows.
+Each step is a group-by and a join, and nothing is gathered on the driver but one count and one checksum a round.  The
+least neighbour of each node is a written table, so that a join with it shuffles both of its sides itself: then the engine
+can split a node with very many neighbours over tasks, which it can't where the group-by's own shuffle is used again.
 """
 
 from __future__ import annotations
@@ -33,10 +33,12 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         known = (n, mark)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _star(both).withColumn("m", F.least("u", "m"))
+        least = scratch.table(_star(both).withColumn("m", F.least("u", "m")), f"{name}-{i}-least")
         large = _joined(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _joined(large, _star(large))
+        large = scratch.table(large, f"{name}-{i}-large")
+        small = _joined(large, scratch.table(_star(large), f"{name}-{i}-small"))
         flat = small.select(F.inline(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).where("u <> v").distinct()
         edges = scratch.table(flat, f"{name}-{i}")
-        scratch.drop(f"{name}-{i - 1}")
+        for done in (f"{name}-{i - 1}", f"{name}-{i}-least", f"{name}-{i}-large", f"{name}-{i}-small"):
+            scratch.drop(done)
     raise RuntimeError("links don't settle")

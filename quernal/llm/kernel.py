@@ -132,3 +132,31 @@ def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """The values of a list column without nulls, and where each list begins in them (one more at the end)."""
     values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     return values, offsets
+
+
+def binaries(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a column of binaries without nulls that hold 64-bit numbers."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint64, at[-1] // 8) if data is not None and at[-1] else np.zeros(0, np.uint64)), at // 8
+
+
+def common(left: np.ndarray, at: np.ndarray, right: np.ndarray, to: np.ndarray, most: int = BLOCK_BYTES) -> np.ndarray:
+    """How many values the i-th set of ``left`` and the i-th of ``right`` have in common; sets begin at ``at`` and ``to``.
+
+    Pairs are handled in blocks of about ``most`` values: one sort brings equal values of a pair next to each other.
+    """
+    n = len(at) - 1
+    out = np.zeros(n, np.int64)
+    sizes = np.cumsum(np.diff(at) + np.diff(to))
+    row = 0
+    while row < n:
+        stop = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + most, "right")))
+        own = [np.repeat(np.arange(stop - row), np.diff(x[row : stop + 1])) for x in (at, to)]
+        owner, values = np.concatenate(own), np.concatenate([left[at[row] : at[stop]], right[to[row] : to[stop]]])
+        order = np.lexsort((values, owner))
+        owner, values = owner[order], values[order]
+        again = (owner[1:] == owner[:-1]) & (values[1:] == values[:-1])
+        out[row:stop] = np.bincount(owner[1:][again], minlength=stop - row)
+        row = stop
+    return out
