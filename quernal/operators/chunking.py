@@ -1,7 +1,8 @@
 """Chunks: greedy line packing (native) and structural chunks with definitions (a parser per language, in Python).
 
-Line chunking is a fold over the lines' byte lengths inside the row; slices are cut from the UTF-8 bytes, so multibyte
-text stays exact.  Only structural chunking, which needs a parser, runs Python, once per file, in Arrow batches.
+Line chunking is a fold over the lines' byte lengths inside the row; a chunk is put together from its own lines, so
+multibyte text stays exact and the time is linear in the text.  Only structural chunking, which needs a parser, runs
+Python, once per file, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -18,40 +19,41 @@ TARGET = 1500
 CHUNK = "file_path string, chunk_no int, start_byte int, end_byte int, start_line int, end_line int, language string, content string, symbols array<struct<name:string,kind:string,line:int>>"
 
 
-def line_bounds(text: Column, target: int = TARGET) -> Column:
-    """array<struct<s, e>>: byte ranges of whole lines packed up to ``target`` bytes; they tile the text."""
-    lines = F.filter(F.split(text, r"(?<=\n)"), lambda x: x != "")
-    sizes = F.transform(lines, lambda x: F.octet_length(x))
-    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("cur"), F.lit(0).alias("at"))
+def _lines(text: Column) -> Column:
+    return F.when(text.rlike(r"\S"), F.filter(F.split(text, r"(?<=\n)"), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+
+
+def line_bounds(lines: Column, target: int = TARGET) -> Column:
+    """Lines of a text -> array<struct<s, e, first, n>>: byte ranges of whole lines packed up to ``target`` bytes, which tile
+    the text, with the first line of each (from 0) and how many they are."""
+    start = F.struct(F.array().cast("array<struct<at:int,line:int>>").alias("ends"), F.lit(0).alias("cur"), F.lit(0).alias("at"), F.lit(0).alias("line"))
 
     def add(acc: Column, n: Column) -> Column:
         full = (acc["cur"] > 0) & (acc["cur"] + n > target)
         return F.struct(
-            F.when(full, F.concat(acc["ends"], F.array(acc["at"]))).otherwise(acc["ends"]).alias("ends"),
-            F.when(full, n).otherwise(acc["cur"] + n).alias("cur"), (acc["at"] + n).alias("at"),
+            F.when(full, F.concat(acc["ends"], F.array(F.struct(acc["at"].alias("at"), acc["line"].alias("line"))))).otherwise(acc["ends"]).alias("ends"),
+            F.when(full, n).otherwise(acc["cur"] + n).alias("cur"), (acc["at"] + n).alias("at"), (acc["line"] + 1).alias("line"),
         )
 
     def bounds(acc: Column) -> Column:
-        ends = F.concat(acc["ends"], F.array(acc["at"]))
-        return F.zip_with(F.concat(F.array(F.lit(0)), acc["ends"]), ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
-
-    packed = F.aggregate(sizes, start, add, bounds)
-    return F.when(text.rlike(r"\S"), packed).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
-
+        ends = F.concat(acc["ends"], F.array(F.struct(acc["at"].alias("at"), acc["line"].alias("line"))))
+        starts = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("line"))), acc["ends"])
+        return F.zip_with(starts, ends, lambda s, e: F.struct(s["at"].alias("s"), e["at"].alias("e"), s["line"].alias("first"), (e["line"] - s["line"]).alias("n")))
 
-def _newlines(x: Column) -> Column:
-    return F.char_length(x) - F.char_length(F.replace(x, F.lit("\n"), F.lit("")))
+    packed = F.aggregate(F.transform(lines, lambda x: F.octet_length(x)), start, add, bounds)
+    return F.filter(packed, lambda b: b["n"] > 0)
 
 
 def chunk_lines(files: DataFrame, target: int = TARGET) -> DataFrame:
     """files (file_path, content[, language]) -> chunks in file order, each with its byte range and 1-based lines."""
     language = F.col("language") if "language" in files.columns else F.lit(None).cast("string")
-    rows = files.select("file_path", language.alias("language"), F.col("content").alias("whole"), F.posexplode(line_bounds(F.col("content"), target)).alias("chunk_no", "b"))
-    raw = F.encode("whole", "UTF-8")
-    cut = lambda s, n: F.decode(F.substring(raw, s, n), "UTF-8")
-    rows = rows.select("file_path", "language", "chunk_no", F.col("b.s").alias("start_byte"), F.col("b.e").alias("end_byte"), cut(F.col("b.s") + 1, F.col("b.e") - F.col("b.s")).alias("content"), (_newlines(cut(F.lit(1), F.col("b.s"))) + 1).alias("start_line"))
-    end = F.col("start_line") + _newlines(F.col("content")) - F.endswith("content", F.lit("\n")).cast("int")
-    return rows.select("file_path", "chunk_no", "start_byte", "end_byte", "start_line", end.alias("end_line"), "language", "content", F.array().cast("array<struct<name:string,kind:string,line:int>>").alias("symbols"))
+    rows = files.select("file_path", language.alias("language"), _lines(F.col("content")).alias("lines"))
+    rows = rows.select("file_path", "language", "lines", line_bounds(F.col("lines"), target).alias("bounds"))
+    cut = F.transform("bounds", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["first"].alias("first"), b["n"].alias("n"), F.array_join(F.slice("lines", b["first"] + 1, b["n"]), "").alias("content")))
+    rows = rows.select("file_path", "language", F.posexplode(cut).alias("chunk_no", "b"))
+    start = F.col("b.first") + 1
+    symbols = F.array().cast("array<struct<name:string,kind:string,line:int>>").alias("symbols")
+    return rows.select("file_path", "chunk_no", F.col("b.s").alias("start_byte"), F.col("b.e").alias("end_byte"), start.alias("start_line"), (start + F.col("b.n") - 1).alias("end_line"), "language", F.col("b.content").alias("content"), symbols)
 
 
 def _structural(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

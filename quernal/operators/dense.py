@@ -1,68 +1,163 @@
-"""Embeddings: the hashing encoder as sparse rows, dense cosine, nearest neighbours.
+"""Embeddings: encoders to sparse unit vectors, exact similarity search of a batch of queries, dense cosine.
 
-The hashing encoder needs no dense vectors: a chunk is its non-zero buckets, and cosine is an equi-join on the bucket.
+A stated set of queries is compared with all vectors in blocks: its matrix is broadcast, each task multiplies slices of
+its vectors with it and sends on only the best k of each slice, so what is shuffled is a few rows for each query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernal.functions import batches
 from quernal.functions.tokens import tokenize
 from quernal.operators.lexical import KEY, top_k
 
 BUCKETS = 256
+VECTOR = "array<struct<bucket:int,weight:double>>"
+#: Queries of one block: their matrix has so many rows at most, whatever the batch.
+MOST_QUERIES = 2048
+#: Query vectors that knn() broadcasts at once; more queries are taken in blocks.
+MOST_VECTORS = 10_000
 
 
 class Encoder(Protocol):
-    """The extension point: texts to sparse unit vectors."""
+    """The extension point: texts to sparse unit vectors of ``size`` places."""
+
+    size: int
 
     def encode(self, rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
-        """rows -> (keys..., bucket, weight), without rows for a zero vector."""
+        """rows -> (keys..., vector): one row for each, an empty vector for a text without tokens."""
+
+
+def _hashed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens, buckets = batches.Tokens(), {}
+    for part in batches.parts(found):
+        vectors = []
+        for text in part.column("text").to_pylist():
+            counts: dict[int, int] = {}
+            for token, n in tokens.count(text).items():
+                bucket = buckets.get(token)
+                if bucket is None:
+                    if len(buckets) >= batches.REMEMBERED:
+                        buckets.clear()
+                    bucket = buckets[token] = md5(token.encode(), usedforsecurity=False).digest()[0]
+                counts[bucket] = counts.get(bucket, 0) + n
+            norm = sum(n * n for n in counts.values()) ** 0.5
+            vectors.append([(bucket, n / norm) for bucket, n in sorted(counts.items())])
+        yield pa.RecordBatch.from_arrays([part.column("key"), batches.structs(vectors, [("bucket", pa.int32()), ("weight", pa.float64())])], names=["key", "vector"])
 
 
 class HashEncoder:
     """Counts of tokens by the first byte of their MD5, scaled to length one."""
 
-    def encode(self, rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
-        tokens = rows.select(*keys, F.explode(tokenize(text)).alias("token"))
-        bucket = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 2), 16, 10).cast("int")
-        counts = tokens.select(*keys, bucket.alias("bucket")).groupBy(*keys, "bucket").agg(F.count("*").cast("double").alias("c"))
-        norms = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-        return counts.join(norms, keys).select(*keys, "bucket", (F.col("c") / F.col("norm")).alias("weight"))
-
-
-class TableEncoder:
-    """Mean of token vectors from a table (term, vector array<double>), scaled to length one."""
-
-    def __init__(self, vectors: DataFrame):
-        self.vectors = vectors
+    size = BUCKETS
 
     def encode(self, rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
-        tokens = rows.select(*keys, F.explode(tokenize(text)).alias("term")).join(self.vectors, "term")
-        sums = tokens.select(*keys, F.posexplode("vector").alias("bucket", "x")).groupBy(*keys, "bucket").agg(F.sum("x").alias("c"))
-        norms = sums.groupBy(*keys).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm")).where("norm > 0")
-        return sums.join(norms, keys).select(*keys, "bucket", (F.col("c") / F.col("norm")).alias("weight"))
+        slim = rows.select(F.struct(*keys).alias("key"), F.col(text).alias("text"))
+        return slim.mapInArrow(_hashed, f"key {slim.schema['key'].dataType.simpleString()}, vector {VECTOR}").select("key.*", "vector")
 
 
-def semantic_scores(queries: DataFrame, embedded: DataFrame, encoder: Encoder) -> DataFrame:
-    """(qid, file_path, chunk_no, score) for pairs that share a bucket."""
-    asked = encoder.encode(queries, "query", ["qid"]).withColumnRenamed("weight", "asked")
-    return embedded.join(asked, "bucket").groupBy("qid", *KEY).agg(F.sum(F.col("weight") * F.col("asked")).alias("score"))
+class TableEncoder:
+    """Mean of token vectors from a table (term, vector array<double>) of ``size`` places, scaled to length one."""
 
+    def __init__(self, vectors: DataFrame, size: int):
+        self.vectors, self.size = vectors, size
 
-def semantic_topk(queries: DataFrame, chunks: DataFrame, embedded: DataFrame, k: int, encoder: Encoder | None = None) -> DataFrame:
-    """The k most similar chunks, always min(k, n) of them: chunks that share nothing score 0.
+    @classmethod
+    def load(cls, spark, path: str) -> TableEncoder:
+        """A static embedding model kept as Parquet: rows (term, vector), all vectors of one length."""
+        vectors = spark.read.parquet(path).select(F.lower("term").alias("term"), F.col("vector").cast("array<double>").alias("vector"))
+        sizes = vectors.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+        if not sizes[0] or sizes[0] != sizes[1]:
+            raise ValueError(f"not a table of equally long vectors: {path}")
+        return cls(vectors.dropDuplicates(["term"]), sizes[0])
 
-    Only the first k chunks by key can fill a result up with zeros, so only they are added.
+    def encode(self, rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
+        named = rows.select(F.struct(*keys).alias("key"), F.col(text).alias("text")).distinct()
+        tokens = named.select("key", F.explode(tokenize("text")).alias("term")).join(self.vectors, "term")
+        sums = tokens.select("key", F.posexplode("vector").alias("bucket", "x")).groupBy("key", "bucket").agg(F.sum("x").alias("c"))
+        lists = sums.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("bucket", "c"))).alias("v"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
+        scaled = F.when(F.col("norm") > 0, F.transform("v", lambda x: F.struct(x["bucket"].alias("bucket"), (x["c"] / F.col("norm")).alias("weight"))))
+        found = lists.select(F.col("key").alias("known"), scaled.alias("v"))
+        return named.join(found, F.col("key") == F.col("known"), "left").select("key.*", F.coalesce("v", F.array().cast(VECTOR)).alias("vector"))
+
+
+def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
+    out = np.zeros((len(vectors), size))
+    values = vectors.flatten()
+    rows = np.repeat(np.arange(len(vectors)), pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False))
+    out[rows, values.field("bucket").to_numpy(zero_copy_only=False)] = values.field("weight").to_numpy(zero_copy_only=False)
+    return out
+
+
+class _Block:
+    """Queries as a matrix, and what limits each: its language (if any) and the chunk it is not to find."""
+
+    def __init__(self, asked: pa.Table, size: int):
+        self.qids = asked.column("qid").combine_chunks()
+        self.matrix = _matrix(asked.column("vector").combine_chunks(), size).T
+        self.limits = list(zip(*(asked.column(c).to_pylist() for c in ("language", "but_path", "but_no")), strict=True)) if "language" in asked.column_names else []
+
+    def best(self, part: pa.RecordBatch, vectors: np.ndarray, k: int) -> pa.RecordBatch:
+        """The k best rows of part, which are in order of their keys, for each query."""
+        scores = (vectors @ self.matrix).T
+        if self.limits:
+            languages, paths, numbers = (np.array(part.column(c).to_pylist(), object) for c in ("language", *KEY))
+            of = {language: languages != language for language, _, _ in self.limits if language is not None}
+            for i, (language, path, number) in enumerate(self.limits):
+                if language is not None:
+                    scores[i, of[language]] = -np.inf
+                scores[i, (paths == path) & (numbers == number)] = -np.inf
+        # a stable sort leaves ties in the order of their keys
+        best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
+        query, row = np.repeat(np.arange(best.shape[0]), best.shape[1]), best.ravel()
+        score = scores[query, row]
+        there = np.isfinite(score)
+        keys = part.select(list(KEY)).take(pa.array(row[there]))
+        return pa.RecordBatch.from_arrays([self.qids.take(pa.array(query[there])), *keys.columns, pa.array(score[there])], names=["qid", *KEY, "score"])
+
+
+def _nearest(shared: list, size: int, k: int):
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [_Block(block.value, size) for block in shared]
+        for batch in found:
+            for start in range(0, len(batch), 2000):
+                part = batch.slice(start, 2000)
+                part = part.take(pc.sort_indices(part.select(list(KEY)), sort_keys=[(c, "ascending") for c in KEY]))
+                vectors = _matrix(part.column("vector"), size)
+                for block in blocks:
+                    yield block.best(part, vectors, k)
+
+    return run
+
+
+def semantic_topk(queries: DataFrame, embedded: DataFrame, k: int, encoder: Encoder | None = None) -> DataFrame:
+    """queries (qid, query), embedded (file_path, chunk_no, vector) -> the k most similar chunks of each query, always
+    min(k, n) of them: chunks that share nothing score 0.
+
+    If queries have ``language``, ``but_path`` and ``but_no``, only chunks of that language (any, where it is null) and
+    not that chunk are found, and embedded needs a ``language``.
     """
+    if k < 1:
+        raise ValueError("k must be at least 1")
     encoder = encoder or HashEncoder()
-    scores = semantic_scores(queries, embedded, encoder)
-    fill = queries.select("qid").crossJoin(F.broadcast(chunks.select(*KEY).orderBy(*KEY).limit(k))).withColumn("score", F.lit(0.0))
-    both = scores.unionByName(fill).groupBy("qid", *KEY).agg(F.max("score").alias("score"))
-    return top_k(both, k, "semantic")
+    limits = [c for c in ("language", "but_path", "but_no") if c in queries.columns]
+    columns = [*KEY, "vector", *(["language"] if limits else [])]
+    asked = encoder.encode(queries, "query", ["qid", *limits])
+    kinds = {f.name: f.dataType.simpleString() for f in [*embedded.schema, *asked.schema]}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("qid", *KEY)) + ", score double"
+    blocks = asked.toArrow().combine_chunks().to_batches(max_chunksize=MOST_QUERIES)
+    shared = [queries.sparkSession.sparkContext.broadcast(pa.Table.from_batches([block])) for block in blocks if len(block)]
+    scores = embedded.select(*columns).mapInArrow(_nearest(shared, encoder.size, k), schema)
+    return top_k(scores, k, "semantic")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -78,16 +173,20 @@ def cosine(a: Column, b: Column) -> Column:
 def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """queries (qid, asked), vectors (vec_id, embedding) -> (qid, vec_id, similarity, rank): exact, for a stated query set.
 
-    Norms are computed once per vector; the queries are the broadcast side.
+    Norms are computed once per vector; the queries are the broadcast side, in blocks of MOST_VECTORS.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    from pyspark.sql import Window
-
     asked = queries.select("qid", "asked", F.sqrt(dot(F.col("asked"), F.col("asked"))).alias("asked_norm"))
     normed = vectors.select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    pairs = normed.crossJoin(F.broadcast(asked))
-    size = F.col("norm") * F.col("asked_norm")
-    pairs = pairs.select("qid", "vec_id", F.when(size == 0, 0.0).otherwise(dot(F.col("embedding"), F.col("asked")) / size).alias("similarity"))
+    n = -(-queries.count() // MOST_VECTORS)
+    of_block = F.pmod(F.xxhash64("qid"), F.lit(max(n, 1)))
     best = Window.partitionBy("qid").orderBy(F.round("similarity", 9).desc(), "vec_id")
-    return pairs.select("*", F.row_number().over(best).alias("rank")).where(F.col("rank") <= k)
+    size = F.col("norm") * F.col("asked_norm")
+    found = None
+    for i in range(max(n, 1)):
+        pairs = normed.crossJoin(F.broadcast(asked.where(of_block == i) if n > 1 else asked))
+        pairs = pairs.select("qid", "vec_id", F.when(size == 0, 0.0).otherwise(dot(F.col("embedding"), F.col("asked")) / size).alias("similarity"))
+        ranked = pairs.select("*", F.row_number().over(best).alias("rank")).where(F.col("rank") <= k)
+        found = ranked if found is None else found.unionByName(ranked)
+    return found

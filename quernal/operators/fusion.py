@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernal.functions.ranking import defines, is_symbol_query, path_hits, path_keywords, path_penalty, query_symbols, resolve_alpha
+from quernal.functions.ranking import DEFINITION_KEYWORDS, is_symbol_query, path_hits, path_keywords, path_penalty, query_symbols, resolve_alpha
 from quernal.operators.lexical import KEY, top_k
 
 RRF, DEPTH = 60, 5
@@ -17,7 +17,7 @@ def fuse(queries: DataFrame, semantic: DataFrame, lexical: DataFrame) -> DataFra
     alpha = queries.select("qid", resolve_alpha(F.col("query"), F.col("alpha") if "alpha" in queries.columns else None).alias("a"))
     legs = semantic.select("qid", *KEY, "rank", F.lit(True).alias("sem")).unionByName(lexical.select("qid", *KEY, "rank", F.lit(False).alias("sem")))
     part = F.when(F.col("sem"), F.col("a")).otherwise(1 - F.col("a")) / (RRF + F.col("rank"))
-    return legs.join(F.broadcast(alpha), "qid").groupBy("qid", *KEY).agg(F.sum(part).alias("score"))
+    return legs.join(alpha, "qid").groupBy("qid", *KEY).agg(F.sum(part).alias("score"))
 
 
 def boost_files(scores: DataFrame) -> DataFrame:
@@ -30,13 +30,21 @@ def boost_files(scores: DataFrame) -> DataFrame:
     return rows.select("qid", *KEY, (F.col("score") + gain).alias("score"))
 
 
-def boost_definitions(scores: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def declared(chunks: DataFrame) -> DataFrame:
+    """(name, key): the word that follows a definition keyword and a space, once for each chunk that has it."""
+    pattern = f"(?:{'|'.join(DEFINITION_KEYWORDS)}) (?=([A-Za-z0-9_]+))"
+    return chunks.select(*KEY, F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), 1))).alias("name")).select("name", *KEY)
+
+
+def boost_definitions(scores: DataFrame, queries: DataFrame, names: DataFrame) -> DataFrame:
     """Chunks that define a symbol of the query gain 3 (symbol query) or 1.5 (prose) times the best score, candidates or not.
 
-    A substring test can't be indexed, so this scans contents, but only for queries that have symbols.
+    ``names`` are those of :func:`declared`.  A chunk has "<keyword> <symbol>" as a substring if the symbol begins the word
+    after a keyword: so names and symbols meet by their first characters.
     """
     asked = queries.select("qid", F.explode(query_symbols(F.col("query"))).alias("symbol"), is_symbol_query(F.col("query")).alias("exact"))
-    found = chunks.join(F.broadcast(asked), defines(F.col("content"), F.col("symbol"))).select("qid", *KEY, "exact").distinct()
+    met = names.join(asked, (F.left("name", F.lit(1)) == F.left("symbol", F.lit(1))) & F.startswith("name", F.col("symbol")))
+    found = met.select("qid", *KEY, "exact").distinct()
     peak = scores.groupBy("qid").agg(F.max("score").alias("m"))
     bonus = found.join(peak, "qid").select("qid", *KEY, (F.col("m") * F.when(F.col("exact"), SYMBOL_BOOST).otherwise(EMBEDDED_BOOST)).alias("score"))
     return scores.unionByName(bonus).groupBy("qid", *KEY).agg(F.sum("score").alias("score"))
@@ -46,7 +54,7 @@ def boost_stems(scores: DataFrame, queries: DataFrame, peak: DataFrame | None =
     """Prose queries: a chunk gains max score * the share of query keywords that its file's name answers."""
     asked = queries.where(~is_symbol_query(F.col("query"))).select("qid", path_keywords(F.col("query")).alias("words"))
     peak = scores.groupBy("qid").agg(F.max("score").alias("m")) if peak is None else peak
-    rows = scores.join(F.broadcast(asked), "qid", "left").join(peak, "qid")
+    rows = scores.join(asked, "qid", "left").join(peak, "qid")
     gain = F.when(F.size("words") > 0, F.col("m") * path_hits(F.col("words"), F.col("file_path")) / F.size("words")).otherwise(0.0)
     return rows.select("qid", *KEY, (F.col("score") + F.coalesce(gain, F.lit(0.0))).alias("score"))
 
@@ -61,12 +69,12 @@ def saturate_files(scores: DataFrame) -> DataFrame:
     return scores.select("qid", *KEY, (F.col("score") * F.pow(F.lit(SATURATION), F.row_number().over(order) - 1)).alias("score"))
 
 
-def hybrid_topk(queries: DataFrame, chunks: DataFrame, semantic: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
-    """Legs are the top DEPTH * k of each; chunks give the contents that definitions are looked for in."""
+def hybrid_topk(queries: DataFrame, names: DataFrame, semantic: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
+    """Legs are the top DEPTH * k of each; ``names`` are the declared ones, which definitions are looked for in."""
     scores = boost_files(fuse(queries, semantic, lexical))
     peak = scores.groupBy("qid").agg(F.max("score").alias("m"))
-    scores = boost_stems(boost_definitions(scores, queries, chunks), queries, peak)
+    scores = boost_stems(boost_definitions(scores, queries, names), queries, peak)
     alpha = queries.select("qid", resolve_alpha(F.col("query"), F.col("alpha") if "alpha" in queries.columns else None).alias("a"))
-    rows = scores.join(F.broadcast(alpha), "qid")
+    rows = scores.join(alpha, "qid")
     scores = rows.select("qid", *KEY, (F.col("score") * F.when(F.col("a") < 1, path_penalty(F.col("file_path"))).otherwise(1.0)).alias("score"))
     return top_k(saturate_files(scores), k, "hybrid")

@@ -10,6 +10,13 @@ def content_hash(content: str) -> Column:
     return F.sha2(F.col(content).cast("binary"), 256)
 
 
+def suspects(walk: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Rows of walk (path, size, mtime_nanos, ...) whose size or time isn't that of the manifest: only these are read."""
+    old = manifest.select(F.col("path").alias("old_path"), F.col("size").alias("old_size"), F.col("mtime_nanos").alias("old_mtime"))
+    same = F.expr("path = old_path and size = old_size and mtime_nanos = old_mtime")
+    return walk.join(old, same, "left_anti")
+
+
 def classify(walk: DataFrame, manifest: DataFrame) -> DataFrame:
     """walk (path, size, mtime_nanos, hash), manifest (same) -> (path, state): new, clean, touched or changed.
 

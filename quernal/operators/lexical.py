@@ -1,30 +1,56 @@
 """BM25: term frequencies, lengths, inverse document frequencies, scores, top-k.
 
-Statistics are two hash aggregations; scoring touches only postings of the queries' terms, by a broadcast of the (few)
-query terms where they are few, and top-k is a ranked window that the engine limits before its shuffle.
+A chunk is analysed once, in its row: its terms with their frequencies and its length.  Postings are those lists laid
+out, so building an index shuffles nothing.  Scoring touches only postings of the queries' terms, and top-k is a ranked
+window that the engine limits before its shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernal.functions.tokens import enriched, tokenize
+from quernal.functions import batches
+from quernal.functions.tokens import path_stem, tokenize
 
 KEY = ("file_path", "chunk_no")
 K1, B = 1.5, 0.75
+#: Pairs of a query and a term that are broadcast at most (some 60 bytes each); beyond it they are joined by shuffling.
+BROADCAST_TERMS = 200_000
+
+
+def _analyse(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens = batches.Tokens()
+    for part in batches.parts(found):
+        terms, lengths = [], []
+        for content, stem in zip(part.column("content").to_pylist(), part.column("stem").to_pylist(), strict=True):
+            counts = tokens.count(content)
+            for token, n in tokens.count(stem).items():
+                counts[token] += 2 * n  # the lexical index reads the file's stem twice, behind the content
+            terms.append(list(counts.items()))
+            lengths.append(sum(counts.values()))
+        listed = batches.structs(terms, [("term", pa.string()), ("tf", pa.int64())])
+        yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(lengths, pa.int64()), listed], names=["key", "len", "terms"])
+
+
+def analysed(chunks: DataFrame, stems: bool = True) -> DataFrame:
+    """(file_path, chunk_no, len, terms array<struct<term, tf>>), one row for each chunk; ``stems`` counts those of files."""
+    stem = path_stem("file_path") if stems else F.lit(None).cast("string")
+    rows = chunks.select(F.struct(*KEY).alias("key"), "content", stem.alias("stem"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(_analyse, f"key {kind}, len bigint, terms array<struct<term:string,tf:bigint>>").select("key.*", "len", "terms")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
+def postings(analysed: DataFrame) -> DataFrame:
     """(term, file_path, chunk_no, tf, len): one row for each term of each chunk."""
-    tokens = chunks.select(*KEY, tokenize(enriched("content", "file_path")).alias("tokens"))
-    # outer: a plain explode makes the optimizer filter on the array's size, and so tokenize each text again for that
-    terms = tokens.select(*KEY, F.size("tokens").cast("long").alias("len"), F.explode_outer("tokens").alias("term")).where("term is not null")
-    return terms.groupBy("term", *KEY, "len").agg(F.count("*").alias("tf"))
+    return analysed.select(*KEY, "len", F.inline("terms")).select("term", *KEY, "len", "tf")
 
 
-def doc_lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select(*KEY, F.size(tokenize(enriched("content", "file_path"))).cast("long").alias("len"))
+def doc_lengths(analysed: DataFrame) -> DataFrame:
+    return analysed.select(*KEY, "len")
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -45,9 +71,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25_scores(queries: DataFrame, post: DataFrame, stats: DataFrame) -> DataFrame:
     """(qid, file_path, chunk_no, score) of the chunks with a term of the query."""
     terms = query_terms(queries)
-    wanted = post.join(terms.select("term").distinct(), "term", "left_semi")
+    small = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda rows: rows
+    wanted = post.join(small(terms.select("term").distinct()), "term", "left_semi")
     idf = term_idf(wanted, stats).select("term", "idf")
-    hit = wanted.join(terms.join(idf, "term"), "term").crossJoin(F.broadcast(stats.select("avg_len")))
+    hit = post.join(small(terms.join(idf, "term")), "term").crossJoin(F.broadcast(stats.select("avg_len")))
     tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
     return hit.groupBy("qid", *KEY).agg(F.sum(F.col("mult") * F.col("idf") * tf * (K1 + 1) / (tf + norm)).alias("score"))
 

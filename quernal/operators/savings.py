@@ -10,10 +10,16 @@ BUCKETS = ("All time", "Last 7 days", "Today")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Line-delimited JSON; lines that don't parse are skipped, missing or negative numbers are 0."""
-    lines = spark.read.text(path)
-    rows = lines.select(F.from_json("value", SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).where("r is not null and r._bad is null").select("r.*")
-    return cleaned(rows)
+    """Line-delimited JSON; lines that don't parse are skipped, numbers that are missing, negative or no integers are 0."""
+    return parsed(spark.read.text(path))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """Lines (value) of a ledger, read as :func:`read` does."""
+    loose = "ts string, call string, results string, snippet_chars string, file_chars string, _bad string"
+    rows = lines.select(F.from_json("value", loose, {"columnNameOfCorruptRecord": "_bad"}).alias("r")).where("r is not null and r._bad is null").select("r.*")
+    whole = [F.when(F.col(c).rlike(r"^\d+$"), F.col(c).try_cast("bigint")).alias(c) for c in ("results", "snippet_chars", "file_chars")]
+    return cleaned(rows.select(F.col("ts").try_cast("double").alias("ts"), "call", *whole))
 
 
 def cleaned(rows: DataFrame) -> DataFrame:
@@ -51,10 +57,11 @@ def tokens_text(chars: int) -> str:
     return f"~{tokens / 1e6:.1f}M" if tokens >= 1_000_000 else f"~{tokens / 1e3:.1f}k" if tokens >= 1000 else f"~{tokens}"
 
 
-def report(rows: list) -> str:
-    """A line for each bucket, in alphabetical order."""
+def report(rows: list, by_call: list = ()) -> str:
+    """A line for each bucket, in alphabetical order, and one for each kind of call."""
     lines = []
     for row in sorted(rows, key=lambda r: r["bucket"]):
         percent = row["saved_chars"] * 100 // row["file_chars"] if row["file_chars"] else 0
         lines.append(f"{row['bucket']:<12} {row['calls']:>6} calls  {tokens_text(row['saved_chars']):>8} tokens saved ({percent}%)")
+    lines += [f"{row['call']:<12} {row['n']:>6} calls" for row in sorted(by_call, key=lambda r: r["call"])]
     return "\n".join(lines)

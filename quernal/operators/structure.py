@@ -160,10 +160,20 @@ def _ruby_cuts(source: str, start: int, end: int) -> list[int]:
     return [start + at for indent, at in deeper if indent == min(deeper)[0]]
 
 
+def _indent_cuts(source: str, start: int, end: int, pattern: str) -> list[int]:
+    """Starts of the least indented lines of the pattern after the unit's first line."""
+    found = [(len(m[1].expandtabs(8)), m.start(1)) for m in re.finditer(rf"(?m)^([ \t]*){pattern}", source[start:end]) if m.start(1)]
+    return [start + at for indent, at in found if indent == min(found)[0]]
+
+
+#: Members of units without brackets: Ruby has definitions, YAML keys and items, Markdown items of lists.
+_MEMBERS = {"yaml": r"(?:- |[^\s#:-][^:\n]*:)", "markdown": r"(?:[-*+]|\d+[.)])[ \t]"}
+
+
 def descended(source: str, language: str | None, ranges: list[tuple[int, int]], size) -> list[tuple[int, int]]:
     """``ranges`` with those of more than LARGEST bytes cut at their members; ``size`` tells the bytes of a range.  The
     parts cover all of the unit; what has no members stays whole."""
-    if language not in _DEFINITIONS and language != "python" or all(size(a, b) <= LARGEST for a, b in ranges):
+    if language not in _DEFINITIONS and language not in ("python", "json", *_MEMBERS) or all(size(a, b) <= LARGEST for a, b in ranges):
         return ranges
     python = _python_cuts(source, size) if language == "python" else []
     quiet = _quiet(source, language or "")
@@ -173,7 +183,10 @@ def descended(source: str, language: str | None, ranges: list[tuple[int, int]],
         start, end = waiting.pop()
         cuts: list[int] = []
         if size(start, end) > LARGEST:
-            cuts = python if language == "python" else _ruby_cuts(source, start, end) if language == "ruby" else _brace_cuts(quiet, start, end, language == "go")
+            if language in _MEMBERS:
+                cuts = _indent_cuts(source, start, end, _MEMBERS[language])
+            else:
+                cuts = python if language == "python" else _ruby_cuts(source, start, end) if language == "ruby" else _brace_cuts(quiet, start, end, language == "go")
         cuts = sorted({c for c in cuts if start < c < end})
         if not cuts:
             out.append((start, end))

@@ -1,151 +1,213 @@
-"""The search index: relations written as a Parquet generation, and the query operations over them."""
+"""The search index: relations written as a Parquet generation, and the query operations over them.
+
+A refresh lists the tree without reading it, reads only files whose size or time is new, and only what came of files that
+really changed is analysed and embedded anew: everything else is copied from the tables of the generation before.  An
+unchanged tree writes nothing.
+"""
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernal.operators import chunking, dense, fusion, incremental, lexical, locate, savings
-from quernal.sources.files import read_tree
+from quernal.plans.storage import Folder, scratch
+from quernal.sources.files import read_files, read_tree
 
-VERSION = 1
+VERSION = 2
 KEY = list(lexical.KEY)
-#: Below it one generation is written range-partitioned by term, so that row-group statistics prune postings.
-TABLES = ("chunks", "postings", "lengths", "embedded", "defs", "refs", "manifest")
+#: What is derived from chunks alone, chunk by chunk.
+DERIVED = ("postings", "lengths", "embedded", "declared", "defs", "refs")
+TABLES = ("chunks", *DERIVED, "manifest")
+#: Tables that are range-partitioned and sorted by a column when written, so that row-group statistics prune their reads.
+SORTED = {"postings": "term", "declared": "name", "defs": "name", "refs": "name"}
+MANIFEST = "path string, size bigint, mtime_nanos bigint, hash string"
+
+
+def _derived(chunks: DataFrame, encoder: dense.Encoder) -> dict[str, DataFrame]:
+    found = scratch(lexical.analysed(chunks))
+    return {
+        "postings": lexical.postings(found), "lengths": lexical.doc_lengths(found), "embedded": encoder.encode(chunks, "content", KEY),
+        "declared": fusion.declared(chunks), "defs": locate.symbol_defs(chunks), "refs": locate.symbol_refs(chunks),
+    }
 
 
 class SearchIndex:
-    """Chunks, postings, embeddings and symbols, with the operations over them; everything returned is lazy."""
+    """Chunks, postings, embeddings and symbols, with the operations over them; everything returned is lazy.
+
+    With a ``ledger`` (a path) each search is run once more when it is asked for, to log what it saved.
+    """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], encoder: dense.Encoder | None = None, ledger: str | None = None):
-        self.spark, self.tables, self.encoder, self.ledger = spark, tables, encoder or dense.HashEncoder(), ledger
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], encoder: dense.Encoder | None = None, ledger: str | None = None, root: str | None = None):
+        self.spark, self.tables, self.encoder, self.ledger, self.root = spark, tables, encoder or dense.HashEncoder(), ledger, root
 
     @classmethod
     def of_chunks(cls, chunks: DataFrame, encoder: dense.Encoder | None = None, **more) -> SearchIndex:
         encoder = encoder or dense.HashEncoder()
-        tables = {"chunks": chunks, "postings": lexical.postings(chunks), "lengths": lexical.doc_lengths(chunks), "embedded": encoder.encode(chunks, "content", KEY), "defs": locate.symbol_defs(chunks), "refs": locate.symbol_refs(chunks)}
-        return cls(chunks.sparkSession, tables, encoder, **more)
+        return cls(chunks.sparkSession, {"chunks": chunks, **_derived(chunks, encoder)}, encoder, **more)
 
     @classmethod
     def of_tree(cls, spark: SparkSession, root: str, include_text: bool = False, **more) -> SearchIndex:
-        return cls.of_chunks(chunking.chunk_files(read_tree(spark, root, include_text)), **more)
+        chunks = scratch(chunking.chunk_files(read_tree(spark, root, include_text)))
+        if chunks.isEmpty():
+            raise ValueError(f"no supported files under {root}")
+        return cls.of_chunks(chunks, root=root, **more)
 
     # -- persistence: a generation is a folder of tables; CURRENT names the one that readers use -----------------
 
     @staticmethod
-    def current(home: str) -> str | None:
+    def state(spark: SparkSession, home: str) -> dict | None:
+        """What CURRENT says, if it can be read and all tables of that generation are there."""
+        folder = Folder(spark, home)
         try:
-            with open(os.path.join(home, "CURRENT"), encoding="utf-8") as f:
-                state = json.load(f)
-        except (OSError, ValueError):
+            found = json.loads(folder.read("CURRENT") or "")
+        except (ValueError, Py4JJavaError):  # no JSON, or a file whose checksum is wrong
             return None
-        return state["path"] if state.get("version") == VERSION and os.path.isdir(state.get("path", "")) else None
+        if not isinstance(found, dict) or found.get("version") != VERSION or not isinstance(found.get("generation"), str):
+            return None
+        there = Folder(spark, f"{folder.qualified()}/{found['generation']}")
+        return found | {"path": there.path} if all(there.exists(f"{t}/_SUCCESS") for t in TABLES) else None
 
     @classmethod
     def open(cls, spark: SparkSession, home: str, **more) -> SearchIndex | None:
-        """The current generation, or None: no cache is never an error."""
-        path = cls.current(home)
-        return None if path is None else cls(spark, {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}, **more)
+        """The current generation, or None: a cache that is missing or broken is never an error."""
+        state = cls.state(spark, home)
+        if state is None:
+            return None
+        return cls(spark, {t: spark.read.parquet(f"{state['path']}/{t}") for t in TABLES}, **({"root": state.get("root")} | more))
 
     def save(self, home: str) -> SearchIndex:
-        """Write a new generation, then swap the pointer to it; the pointer is the commit."""
-        path = os.path.join(os.path.abspath(home), f"gen-{uuid.uuid4().hex}")
-        chunks = self.tables["chunks"]
-        chunks.write.parquet(f"{path}/chunks")
-        built = SearchIndex.of_chunks(self.spark.read.parquet(f"{path}/chunks"), self.encoder)
-        for name in ("postings", "embedded", "defs", "refs", "lengths"):
-            table = built.tables[name]
-            if name in ("postings", "defs", "refs"):
-                by = "term" if name == "postings" else "name"
-                table = table.repartitionByRange(by).sortWithinPartitions(by)
+        """Write a new generation, then swap the pointer to it; the pointer is the commit.
+
+        The generation before is kept for those who still read it; older ones go.
+        """
+        folder = Folder(self.spark, home)
+        before = self.state(self.spark, home)
+        generation = f"gen-{uuid.uuid4().hex}"
+        path = f"{folder.qualified()}/{generation}"
+        manifest = self.tables.get("manifest", self.spark.createDataFrame([], MANIFEST))
+        for name, table in (*((t, self.tables[t]) for t in TABLES[:-1]), ("manifest", manifest)):
+            if name in SORTED:
+                table = table.repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name])
             table.write.parquet(f"{path}/{name}")
-        self.tables.get("manifest", self.spark.createDataFrame([], "path string, size bigint, mtime_nanos bigint, hash string")).write.parquet(f"{path}/manifest")
-        swap = os.path.join(home, f".current-{uuid.uuid4().hex}")
-        with open(swap, "w", encoding="utf-8") as f:
-            json.dump({"version": VERSION, "path": path}, f)
-        os.replace(swap, os.path.join(home, "CURRENT"))
-        return SearchIndex.open(self.spark, home, encoder=self.encoder, ledger=self.ledger)
+        folder.write("CURRENT", json.dumps({"version": VERSION, "generation": generation, "root": self.root}))
+        for old in folder.names():
+            if old.startswith("gen-") and old not in (generation, before and before["generation"]):
+                folder.delete(old)
+        return SearchIndex.open(self.spark, home, encoder=self.encoder, ledger=self.ledger, root=self.root)
 
     @classmethod
     def refresh(cls, spark: SparkSession, root: str, home: str, include_text: bool = False, **more) -> SearchIndex:
-        """Incremental build: chunks of files that didn't change stay, the rest are made anew, statistics follow."""
-        os.makedirs(home, exist_ok=True)
-        walk = read_tree(spark, root, include_text)
-        hashed = walk.select(F.col("file_path").alias("path"), "size", "mtime_nanos", incremental.content_hash("content").alias("hash"))
-        before = cls.current(home)
-        old = cls.open(spark, home, **more)
-        if old is None:
-            index = cls.of_chunks(chunking.chunk_files(walk), **more)
-        else:
-            states = incremental.classify(hashed, old.tables["manifest"])
-            dirty = states.where(F.col("state").isin("new", "changed")).select(F.col("path").alias("file_path"))
-            fresh = chunking.chunk_files(walk.join(dirty, "file_path", "left_semi"))
-            index = cls.of_chunks(incremental.rebuild(old.tables["chunks"], states, fresh), **more)
-        index.tables["manifest"] = hashed
-        out = index.save(home)
-        if before:
-            shutil.rmtree(before, ignore_errors=True)
-        return out
+        """Incremental build; see the module."""
+        walk = scratch(read_tree(spark, root, include_text, with_content=False).select(F.col("file_path").alias("path"), "size", "mtime_nanos", "language"))
+        old = cls.open(spark, home, root=root, **more)
+        manifest = old.tables["manifest"] if old else spark.createDataFrame([], MANIFEST)
+        suspects = incremental.suspects(walk, manifest)
+        gone = incremental.deleted(walk, manifest)
+        # content and hash are of one reading; a file that changes after the walk has another time at the next one
+        read = read_files(suspects.select(F.col("path").alias("file_path"), "size", "mtime_nanos", "language"), root)
+        read = scratch(read.select("*", incremental.content_hash("content").alias("hash")))
+        hashed = read.select(F.col("file_path").alias("path"), "size", "mtime_nanos", "hash")
+        if old and read.isEmpty() and gone.isEmpty():
+            return old
+        states = incremental.classify(hashed, manifest)
+        dirty = scratch(states.where(F.col("state").isin("new", "changed")).select(F.col("path").alias("file_path")))
+        chunks = scratch(chunking.chunk_files(read.join(dirty, "file_path", "left_semi").where("content is not null")))
+        if old is None and chunks.isEmpty():
+            raise ValueError(f"no supported files under {root}")
+        index = cls.of_chunks(chunks, root=root, **more)
+        if old:
+            replaced = scratch(dirty.unionByName(gone.select(F.col("path").alias("file_path"))))
+            index.tables = {t: old.tables[t].join(replaced, "file_path", "left_anti").unionByName(index.tables[t]) for t in TABLES[:-1]}
+        kept = manifest.join(hashed.unionByName(gone.select("path", *[F.lit(None).cast(k).alias(c) for c, k in (("size", "bigint"), ("mtime_nanos", "bigint"), ("hash", "string"))])), "path", "left_anti")
+        index.tables["manifest"] = kept.unionByName(hashed)
+        return index.save(home)
 
     @staticmethod
-    def clear(home: str) -> None:
-        shutil.rmtree(home, ignore_errors=True)
+    def clear(spark: SparkSession, home: str) -> None:
+        Folder(spark, home).delete()
 
     # -- queries --------------------------------------------------------------------------------------------------
 
     def _asked(self, query: str, alpha: float | None = None) -> DataFrame:
         return self.spark.createDataFrame([(0, query, alpha)], "qid int, query string, alpha double")
 
-    def _chosen(self, languages: list[str] | None, paths: list[str] | None) -> DataFrame | None:
+    def _chosen(self, languages: list[str] | None, paths: list[str] | None, lenient: bool) -> DataFrame | None:
         """Keys of the chunks in any of the languages or at any of the paths; None without a filter."""
         if not languages and not paths:
             return None
-        return self.tables["chunks"].where(F.col("language").isin(languages or []) | F.col("file_path").isin(paths or [])).select(*KEY)
+        found = self.tables["chunks"].where(F.col("language").isin(languages or []) | F.col("file_path").isin(paths or [])).select(*KEY)
+        return None if lenient and found.isEmpty() else found
 
-    def search(self, query: str, k: int = 5, mode: str = "hybrid", alpha: float | None = None, languages: list[str] | None = None, paths: list[str] | None = None) -> DataFrame:
-        """Ranked chunks; a blank query finds nothing.  A filter that matches nothing gives no rows."""
+    def search(self, query: str, k: int = 5, mode: str = "hybrid", alpha: float | None = None, languages: list[str] | None = None, paths: list[str] | None = None, context: int | None = None, lenient_filters: bool = False) -> DataFrame:
+        """Ranked chunks; a blank query finds nothing.  A filter that matches nothing gives no rows, or with
+        ``lenient_filters`` counts as none.  ``context`` adds a column with so many lines above and below."""
         if k < 1:
             raise ValueError("k must be at least 1")
         if mode not in ("hybrid", "semantic", "bm25"):
             raise ValueError(f"unknown mode: {mode}")
-        found = self.batch(self._asked(query, alpha).where(F.lit(bool(query.strip()))), k, mode, self._chosen(languages, paths)).drop("qid")
-        return found.join(self.tables["chunks"], KEY).orderBy("rank")
+        found = self.batch(self._asked(query, alpha).where(F.lit(bool(query.strip()))), k, mode, self._chosen(languages, paths, lenient_filters)).drop("qid")
+        return self._finished(found, "search", context)
+
+    def _finished(self, found: DataFrame, call: str, context: int | None) -> DataFrame:
+        rows = found.join(self.tables["chunks"], KEY)
+        if self.ledger:
+            rows = scratch(rows)
+            self.log_call(rows, call, float(int(time.time())))
+        return (rows if context is None else self.with_context(rows, context)).orderBy("rank")
+
+    def with_context(self, found: DataFrame, n: int) -> DataFrame:
+        """found with ``context``: its lines and n around them, read from the tree; null where the file can't be read."""
+        if self.root is None:
+            return found.withColumn("context", F.lit(None).cast("string"))
+        paths = found.select("file_path").distinct().select("file_path", *[F.lit(None).cast(t).alias(c) for c, t in (("size", "bigint"), ("mtime_nanos", "bigint"), ("language", "string"))])
+        return locate.context(found, read_files(paths, self.root).where("content is not null"), n)
 
     def batch(self, queries: DataFrame, k: int, mode: str = "hybrid", chosen: DataFrame | None = None) -> DataFrame:
         """queries (qid, query[, alpha]) -> (qid, file_path, chunk_no, score, rank, source), all queries in one plan."""
         pick = lambda t: t if chosen is None else t.join(chosen, KEY, "left_semi")
-        chunks, embedded, posts = pick(self.tables["chunks"]), pick(self.tables["embedded"]), pick(self.tables["postings"])
-        stats = lexical.corpus_stats(self.tables["lengths"])
         depth = fusion.DEPTH * k if mode == "hybrid" else k
         if mode != "semantic":
-            scores = pick(lexical.bm25_scores(queries, self.tables["postings"], stats)) if chosen is not None else lexical.bm25_scores(queries, posts, stats)
+            scores = pick(lexical.bm25_scores(queries, self.tables["postings"], lexical.corpus_stats(self.tables["lengths"])))
             words = lexical.top_k(scores.where("score > 0"), depth, "bm25")
             if mode == "bm25":
                 return words
-        meaning = dense.semantic_topk(queries, chunks, embedded, depth, self.encoder)
-        return meaning if mode == "semantic" else fusion.hybrid_topk(queries, chunks, meaning, words, k)
+        meaning = dense.semantic_topk(queries, pick(self.tables["embedded"]), depth, self.encoder)
+        if mode == "semantic":
+            return meaning
+        return fusion.hybrid_topk(queries, pick(self.tables["declared"]), scratch(meaning), scratch(words), k)
 
-    def find_related(self, file_path: str, line: int, k: int = 5) -> DataFrame:
+    def find_related(self, file_path: str, line: int, k: int = 5, context: int | None = None) -> DataFrame:
         """Chunks of the same language most like the one at a line, without itself."""
-        anchor = locate.resolve(self.spark.createDataFrame([(0, file_path, line)], "aid int, file_path string, line int"), self.tables["chunks"])
-        row = anchor.join(self.tables["chunks"].select(*KEY, "content", "language"), KEY).first()
+        own = self.tables["chunks"].where(F.col("file_path") == file_path)
+        anchor = locate.resolve(self.spark.createDataFrame([(0, file_path, line)], "aid int, file_path string, line int"), own)
+        row = anchor.join(own.select(*KEY, "content", "language"), KEY).first()
         if row is None:
             return self.search("", k)
-        chunks = self.tables["chunks"].where(~((F.col("file_path") == row.file_path) & (F.col("chunk_no") == row.chunk_no)))
-        chunks = chunks if row.language is None else chunks.where(F.col("language") == row.language)
-        found = dense.semantic_topk(self._asked(row.content), chunks, self.tables["embedded"].join(chunks.select(*KEY), KEY, "left_semi"), k, self.encoder)
-        return found.drop("qid").join(self.tables["chunks"], KEY).orderBy("rank")
+        asked = self.spark.createDataFrame([(0, row.content, row.language, row.file_path, row.chunk_no)], "qid int, query string, language string, but_path string, but_no int")
+        embedded = self.tables["embedded"].join(self.tables["chunks"].select(*KEY, "language"), KEY)
+        return self._finished(dense.semantic_topk(asked, embedded, k, self.encoder).drop("qid"), "find_related", context)
 
     def symbol(self, name: str) -> DataFrame:
-        return locate.symbol(self.spark.createDataFrame([(name,)], "name string"), self.tables["chunks"])
+        return self._symbols(self.spark.createDataFrame([(name,)], "name string"))
+
+    def _symbols(self, names: DataFrame) -> DataFrame:
+        return locate.symbol_among(names, self.tables["defs"], self.tables["refs"], self.tables["chunks"])
 
     def symbols_at(self, file_path: str, line: int) -> DataFrame:
-        return locate.symbols_at(self.spark.createDataFrame([(0, file_path, line)], "aid int, file_path string, line int"), self.tables["chunks"])
+        anchors = self.spark.createDataFrame([(0, file_path, line)], "aid int, file_path string, line int")
+        at = locate.resolve(anchors, self.tables["chunks"].where(F.col("file_path") == file_path))
+        names = at.join(self.tables["defs"].select("name", *KEY), KEY).select("aid", "name").distinct()
+        return names.join(self._symbols(names), "name")
+
+    def with_content(self, rows: DataFrame) -> DataFrame:
+        """Symbol rows with the chunk each is in."""
+        return rows.join(self.tables["chunks"].select(*KEY, "start_line", "end_line", "content"), KEY)
 
     def stats(self) -> DataFrame:
         chunks = self.tables["chunks"]
@@ -153,8 +215,14 @@ class SearchIndex:
         listed = by.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("languages"))
         return chunks.agg(F.countDistinct("file_path").alias("indexed_files"), F.count("*").alias("total_chunks")).crossJoin(listed)
 
+    def file_sizes(self) -> DataFrame:
+        """(file_path, size): bytes of each file, from the manifest where there is one."""
+        if "manifest" in self.tables:
+            return self.tables["manifest"].select(F.col("path").alias("file_path"), "size")
+        return self.tables["chunks"].groupBy("file_path").agg(F.sum(F.octet_length("content")).alias("size"))
+
     def log_call(self, found: DataFrame, call: str, ts: float) -> None:
         """Append one line to the savings ledger, if the index has one."""
         if self.ledger:
-            sizes = self.tables["chunks"].groupBy("file_path").agg(F.sum(F.octet_length("content")).alias("size"))
-            savings.record(found, sizes, call, ts).write.mode("append").json(self.ledger)
+            savings.record(found, self.file_sizes(), call, ts).coalesce(1).write.mode("append").json(self.ledger)
+

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernal.functions import ranking, tokens
 from quernal.operators import chunking, dense, fusion, incremental, lexical, locate, savings
+from quernal.plans.storage import scratch
 from quernal.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,7 +17,6 @@ ORACLES: dict[str, str] = {}
 
 K = 10
 NOW = 1_700_000_000.0
-ASKED = 6  # words of a benchmark item that make a query
 PATHS = ("src/main.rs", "lib/a.PY", "x/y.tsx", "b.tar.gz", ".rs", "Makefile", "tests/foo_test.rs", "pkg/__init__.py", "types/lib.d.ts", "legacy/old.go", "latest/x.rb", "a/compat/b.c", "win\\\\tests\\\\x.ts", "docs/readme.md", "q.yml", "z.h")
 ASKS = ("HandlerStack", "_x", "a::b", "a.b", "foo->bar", "encode", "authentication flow", "Auth", "how does parseQuery work", "use HandlerStack and MyParser", "snake_case", "  Auth  ")
 CODE = (("src/stack.rs", 0, "pub struct HandlerStack { }\nimpl HandlerStack {}", 1, 2), ("src/parse.rs", 0, "fn parseQuery(s: &str) {}\nfn add_one() {}", 1, 2), ("py/auth.py", 0, "class Auth:\n    def check(self): HandlerStack()", 1, 2), ("py/auth.py", 1, "# only\n# comments", 4, 5), ("py/auth.py", 2, "def encode(x):\n    return x", 9, 10), ("tests/t.py", 0, "def test_auth():\n    parseQuery(Auth)", 1, 2))
@@ -44,23 +44,27 @@ def _values(rows, names: str) -> str:
 DOCS = "(SELECT source || '/doc_' || doc_id || '.txt' AS file_path, 0 AS chunk_no, lang, text AS content, doc_id, source FROM documents)"
 _PLACE = "[" + ", ".join(map(_s, corpus.PLACES)) + "][try_cast(regexp_extract(source, '([0-9]*)$', 1) AS INT) % 6 + 1]"
 BY_SOURCE = f"(SELECT {_PLACE} || source || '.d.ts' AS file_path, doc_id::INT AS chunk_no, lang, text AS content FROM documents)"
-ASKED_SQL = f"(SELECT item_id AS qid, array_to_string(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:{ASKED}], ' ') AS query FROM benchmark)"
+ASKED_SQL = "(SELECT item_id AS qid, text AS query FROM benchmark)"
+_AT = lambda values, n: "[" + ", ".join(map(_s, values)) + f"][{n} % {len(values)} + 1]"
+DOC_PATHS = f"(SELECT {_AT(corpus.PLACES, f'(doc_id // {len(corpus.NAMES)})')} || source || '/' || doc_id || '/' || {_AT(corpus.NAMES, 'doc_id')} AS path FROM documents)"
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.array_join(F.slice(words, 1, ASKED), " ").alias("query"))
+    """Every benchmark item is a query, whole."""
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-def code(spark: SparkSession) -> DataFrame:
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some source files, and every document as a chunk of its source's file."""
     rows = spark.createDataFrame(list(CODE), "file_path string, chunk_no int, content string, start_line int, end_line int")
+    rows = rows.unionByName(corpus.documents_by_source(spark, sf_dir).select(*lexical.KEY, "content", F.lit(1).alias("start_line"), F.lit(9).alias("end_line")))
     found = rows.select("*", F.when(F.endswith("file_path", F.lit(".rs")), "rust").otherwise("python").alias("language"))
     names = F.regexp_extract_all("content", F.lit(r"\b(?:struct|fn|class|def) ([A-Za-z_][A-Za-z0-9_]*)"), 1)
     return found.select("*", F.transform(names, lambda n: F.struct(F.lower(n).alias("name"), F.lit("function").alias("kind"), F.col("start_line").alias("line"))).alias("symbols"))
 
 
 CODE_SQL = f"""(SELECT *, [lower(n) for n in regexp_extract_all(content, '\\b(?:struct|fn|class|def) ([A-Za-z_][A-Za-z0-9_]*)', 1)] AS names
-  FROM {_values(CODE, "file_path, chunk_no, content, start_line, end_line")})"""
+  FROM (SELECT * FROM {_values(CODE, "file_path, chunk_no, content, start_line, end_line")} UNION ALL SELECT file_path, chunk_no, content, 1, 9 FROM {BY_SOURCE}))"""
 
 
 def bm25_sql(chunks: str, queries: str, k: int, extra: str = "") -> str:
@@ -110,8 +114,9 @@ def _out(scores: DataFrame) -> DataFrame:
 
 
 def _index(chunks: DataFrame):
-    post = lexical.postings(chunks)
-    return post, lexical.corpus_stats(lexical.doc_lengths(chunks))
+    """Postings and statistics; the texts are analysed once."""
+    found = scratch(lexical.analysed(chunks))
+    return lexical.postings(found), lexical.corpus_stats(lexical.doc_lengths(found))
 
 
 def _sel(table: str) -> str:
@@ -120,9 +125,8 @@ def _sel(table: str) -> str:
 
 @_register("tokenize_terms", f"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({tokens.sql_tokenize('content')}) AS term FROM {DOCS}) GROUP BY term")
 def tokenize_terms(spark, sf_dir):
-    each = corpus.documents(spark, sf_dir).select("doc_id", F.explode(tokens.tokenize("content")).alias("term"))
-    counts = each.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return counts.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    each = lexical.postings(lexical.analysed(corpus.documents(spark, sf_dir), stems=False))
+    return each.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
 @_register("corpus_stats", f"SELECT count(DISTINCT file_path) AS indexed_files, count(*) AS total_chunks, count(DISTINCT lang) AS languages FROM {DOCS}")
@@ -137,7 +141,7 @@ def language_histogram(spark, sf_dir):
 
 @_register("doc_lengths", f"SELECT file_path, chunk_no, len({tokens.sql_tokenize(tokens.sql_enriched('content', 'file_path'))})::BIGINT AS len FROM {DOCS}")
 def doc_lengths(spark, sf_dir):
-    return lexical.doc_lengths(corpus.documents(spark, sf_dir))
+    return lexical.doc_lengths(lexical.analysed(corpus.documents(spark, sf_dir)))
 
 
 @_register("term_idf", f"WITH {bm25_sql(DOCS, ASKED_SQL, K)} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -174,7 +178,7 @@ def bm25_filtered(spark, sf_dir):
 @_register("hash_embed", f"WITH {semantic_sql(DOCS, ONE, K)} SELECT file_path, bucket, round(w, 6) AS weight FROM dw")
 def hash_embed(spark, sf_dir):
     rows = dense.HashEncoder().encode(corpus.documents(spark, sf_dir), "content", list(lexical.KEY))
-    return rows.select("file_path", "bucket", F.round("weight", 6).alias("weight"))
+    return rows.select("file_path", F.inline("vector")).select("file_path", "bucket", F.round("weight", 6).alias("weight"))
 
 
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
@@ -206,7 +210,7 @@ def knn_batch(spark, sf_dir):
 def semantic_topk(spark, sf_dir):
     docs = corpus.documents(spark, sf_dir)
     embedded = dense.HashEncoder().encode(docs, "content", list(lexical.KEY))
-    return _out(dense.semantic_topk(asked(spark, sf_dir), docs, embedded, K))
+    return _out(dense.semantic_topk(asked(spark, sf_dir), embedded, K))
 
 
 _ANCHORS = f"(SELECT doc_id AS qid, lang, content AS query, file_path AS anchor FROM {DOCS} WHERE doc_id % 50 = 0)"
@@ -216,23 +220,21 @@ _RELATED = f"SEMI JOIN (SELECT a.qid, d.file_path FROM {_ANCHORS} a JOIN {DOCS}
 @_register("find_related", f"WITH {semantic_sql(DOCS, _ANCHORS, K, _RELATED)} {_sel('sm')}")
 def find_related(spark, sf_dir):
     """For the stated anchors, the most similar chunks of the same language (of any, if theirs is null) but the anchor, filled up with zeros."""
-    docs = corpus.documents(spark, sf_dir)
-    anchors = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("content").alias("query"), F.col("lang").alias("asked_lang"), F.col("file_path").alias("anchor"))
-    embedded = dense.HashEncoder().encode(docs, "content", list(lexical.KEY))
-    scores = dense.semantic_scores(anchors.select("qid", "query"), embedded, dense.HashEncoder())
-    scored = scores.join(docs.select(*lexical.KEY, "lang"), list(lexical.KEY)).join(F.broadcast(anchors.select("qid", "asked_lang", "anchor")), "qid")
-    allowed = "(asked_lang is null or lang = asked_lang) and file_path <> anchor"
-    # only the first chunks of each language can fill a result up: K of them and the anchor itself
-    firsts = docs.select(*lexical.KEY, "lang", F.row_number().over(Window.partitionBy("lang").orderBy(*lexical.KEY)).alias("place")).where(f"place <= {K + 1}").drop("place")
-    fill = anchors.select("qid", "asked_lang", "anchor").join(F.broadcast(firsts), F.expr(allowed)).withColumn("score", F.lit(0.0))
-    both = scored.where(allowed).select("qid", *lexical.KEY, "score").unionByName(fill.select("qid", *lexical.KEY, "score"))
-    return _out(lexical.top_k(both.groupBy("qid", *lexical.KEY).agg(F.max("score").alias("score")), K, "semantic"))
+    docs = corpus.documents(spark, sf_dir).withColumnRenamed("lang", "language")
+    anchors = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("content").alias("query"), "language", F.col("file_path").alias("but_path"), F.col("chunk_no").alias("but_no"))
+    embedded = dense.HashEncoder().encode(docs, "content", [*lexical.KEY, "language"])
+    return _out(dense.semantic_topk(anchors, embedded, K))
 
 
 def _legs(spark, sf_dir, chunks, queries):
     embedded = dense.HashEncoder().encode(chunks, "content", list(lexical.KEY))
     depth = fusion.DEPTH * K
-    return dense.semantic_topk(queries, chunks, embedded, depth), lexical.bm25_topk(queries, *_index(chunks), depth)
+    return dense.semantic_topk(queries, embedded, depth), lexical.bm25_topk(queries, *_index(chunks), depth)
+
+
+def _fused(spark, sf_dir, chunks, queries):
+    """Few rows for each query, which all that follows reads several times."""
+    return scratch(fusion.fuse(queries, *_legs(spark, sf_dir, chunks, queries)))
 
 
 def _hybrid_sql(chunks: str, queries: str, steps: str, last: str) -> str:
@@ -248,58 +250,74 @@ def rrf_fusion(spark, sf_dir):
 @_register("multi_chunk_boost", _hybrid_sql(BY_SOURCE, ASKED_SQL, f"{FUSE_SQL}, {B1_SQL}", _sel("b1")))
 def multi_chunk_boost(spark, sf_dir):
     queries, docs = asked(spark, sf_dir), corpus.documents_by_source(spark, sf_dir)
-    return _out(fusion.boost_files(fusion.fuse(queries, *_legs(spark, sf_dir, docs, queries))))
+    return _out(fusion.boost_files(_fused(spark, sf_dir, docs, queries)))
 
 
 _CODE_ASKS = _values([(i, q) for i, q in enumerate(ASKS)], "qid, query")
-_CODE_SCORES = f"f0 AS (SELECT qid, file_path, chunk_no, (1.0 + length(query)) / (1 + length(content)) AS score FROM {_CODE_ASKS} q, {CODE_SQL} c WHERE chunk_no = 0)"
+_CODE_SCORES = f"f0 AS (SELECT qid, file_path, chunk_no, (1.0 + length(query)) / (1 + length(content)) AS score FROM {_CODE_ASKS} q, {CODE_SQL} c)"
 _CODE_FA = FUSE_SQL.split("f0 AS")[0].rstrip(", \n").replace("QUERIES", _CODE_ASKS)
 
 
-def _code_scores(spark):
+def _code_scores(spark, sf_dir):
+    """Every chunk scored by lengths for each of a dozen stated queries."""
     asks = spark.createDataFrame(list(enumerate(ASKS)), "qid int, query string")
-    chunks = code(spark)
-    pairs = chunks.where("chunk_no = 0").crossJoin(F.broadcast(asks))
-    return asks, chunks, pairs.select("qid", *lexical.KEY, ((1.0 + F.char_length("query")) / (1 + F.char_length("content"))).alias("score"))
+    chunks = code(spark, sf_dir)
+    pairs = chunks.crossJoin(F.broadcast(asks))
+    return asks, fusion.declared(chunks), pairs.select("qid", *lexical.KEY, ((1.0 + F.char_length("query")) / (1 + F.char_length("content"))).alias("score"))
 
 
 @_register("definition_boost", f"WITH {_CODE_FA}, {_CODE_SCORES}, {B1_SQL}, {B2_SQL.replace('CHUNKS', CODE_SQL)} {_sel('b2')}")
 def definition_boost(spark, sf_dir):
-    asks, chunks, scores = _code_scores(spark)
-    return _out(fusion.boost_definitions(fusion.boost_files(scores), asks, chunks))
+    asks, names, scores = _code_scores(spark, sf_dir)
+    return _out(fusion.boost_definitions(fusion.boost_files(scores), asks, names))
 
 
 @_register("path_stem_boost", f"WITH {_CODE_FA}, {_CODE_SCORES}, {B1_SQL}, {B2_SQL.replace('CHUNKS', CODE_SQL)}, {B4_SQL} {_sel('b4')}")
 def path_stem_boost(spark, sf_dir):
-    asks, chunks, scores = _code_scores(spark)
+    asks, names, scores = _code_scores(spark, sf_dir)
     first = fusion.boost_files(scores)
     peak = first.groupBy("qid").agg(F.max("score").alias("m"))
-    return _out(fusion.boost_stems(fusion.boost_definitions(first, asks, chunks), asks, peak))
+    return _out(fusion.boost_stems(fusion.boost_definitions(first, asks, names), asks, peak))
+
+
+ALL_PATHS = f"(SELECT path FROM {_values(PATHS, 'path')} UNION ALL SELECT path FROM {DOC_PATHS} UNION ALL SELECT url FROM pages)"
 
 
-@_register("path_penalty", f"SELECT path, round({ranking.sql_penalty('path')}, 6) AS penalty FROM {_values(PATHS, 'path')}")
+def _paths(spark, sf_dir):
+    """Odd paths, one for each document, and the addresses of pages."""
+    rows = spark.createDataFrame([(p,) for p in PATHS], "path string").unionByName(corpus.document_paths(spark, sf_dir))
+    return rows.unionByName(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path")))
+
+
+@_register("path_penalty", f"SELECT path, round({ranking.sql_penalty('path')}, 6) AS penalty FROM {ALL_PATHS}")
 def path_penalty(spark, sf_dir):
-    paths = spark.createDataFrame([(p,) for p in PATHS], "path string")
+    paths = _paths(spark, sf_dir)
     return paths.select("path", F.round(ranking.path_penalty(F.col("path")), 6).alias("penalty"))
 
 
 @_register("file_saturation", _hybrid_sql(BY_SOURCE, ASKED_SQL, f"{FUSE_SQL}, {B1_SQL}, b4 AS (SELECT * FROM b1), {FINAL_SQL}", _sel("b6")))
 def file_saturation(spark, sf_dir):
     queries, docs = asked(spark, sf_dir), corpus.documents_by_source(spark, sf_dir)
-    boosted = fusion.boost_files(fusion.fuse(queries, *_legs(spark, sf_dir, docs, queries)))
+    boosted = fusion.boost_files(_fused(spark, sf_dir, docs, queries))
     return _out(fusion.saturate_files(fusion.penalise_paths(boosted)))
 
 
 @_register("hybrid_topk", _hybrid_sql(BY_SOURCE, ASKED_SQL, f"{FUSE_SQL}, {B1_SQL}, {B2_SQL}, {B4_SQL}, {FINAL_SQL}", _sel(f"b6 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(b6.score, 9) DESC, file_path, b6.chunk_no) <= {K}")))
 def hybrid_topk(spark, sf_dir):
     queries, docs = asked(spark, sf_dir), corpus.documents_by_source(spark, sf_dir)
-    return _out(fusion.hybrid_topk(queries, docs, *_legs(spark, sf_dir, docs, queries), K))
+    legs = [scratch(leg) for leg in _legs(spark, sf_dir, docs, queries)]
+    return _out(fusion.hybrid_topk(queries, fusion.declared(docs), *legs, K))
+
+
+ALL_ASKS = f"(SELECT query FROM {_values(ASKS, 'query')} UNION ALL SELECT text FROM benchmark UNION ALL SELECT DISTINCT unnest(regexp_extract_all(text, '({tokens.IDENTIFIER})', 1)) FROM benchmark)"
 
 
 @_register("symbol_query_classify", rf"""SELECT query, regexp_matches(q, {_s(ranking.SYMBOL_QUERY)}) AS is_symbol, CASE WHEN regexp_matches(q, {_s(ranking.SYMBOL_QUERY)}) THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS alpha,
-  list_distinct(regexp_extract_all(query, {_s('(' + ranking.EMBEDDED_SYMBOL + ')')}, 1)).list_sort() AS embedded FROM (SELECT query, regexp_replace(query, '^\s+|\s+$', '', 'g') AS q FROM {_values(ASKS, 'query')})""")
+  list_distinct(regexp_extract_all(query, {_s('(' + ranking.EMBEDDED_SYMBOL + ')')}, 1)).list_sort() AS embedded FROM (SELECT query, regexp_replace(query, '^\s+|\s+$', '', 'g') AS q FROM {ALL_ASKS})""")
 def symbol_query_classify(spark, sf_dir):
-    asks = spark.createDataFrame([(q,) for q in ASKS], "query string")
+    """Odd queries, every benchmark item, and every identifier in one."""
+    items = asked(spark, sf_dir)
+    asks = spark.createDataFrame([(q,) for q in ASKS], "query string").unionByName(items.select("query")).unionByName(items.select(F.explode(tokens.identifiers("query")).alias("query")).distinct())
     embedded = F.array_sort(F.array_distinct(F.regexp_extract_all("query", F.lit(f"({ranking.EMBEDDED_SYMBOL})"), 1)))
     return asks.select("query", ranking.is_symbol_query(F.col("query")).alias("is_symbol"), ranking.resolve_alpha(F.col("query")).alias("alpha"), embedded.alias("embedded"))
 
@@ -332,12 +350,12 @@ def context_window(spark, sf_dir):
     return rows.select("file_path", "chunk_no", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
-@_register("resolve_location", f"""{_LINES}, a AS (SELECT file_path, doc_id AS aid, 5 AS line FROM {DOCS}),
+@_register("resolve_location", f"""{_LINES}, a AS (SELECT file_path, doc_id AS aid, (doc_id % 40 + 1)::INT AS line FROM {DOCS}),
 g AS (SELECT aid, file_path, chunk_no, start_line, CASE WHEN start_line <= line AND line < end_line THEN 0 WHEN line = end_line THEN 1 WHEN NOT (len(string_split(content, chr(10))) > 0 AND len([x for x in string_split(content, chr(10)) if regexp_matches(x, '\\S')]) > 0 AND len([x for x in string_split(content, chr(10)) if regexp_matches(x, '\\S') AND NOT regexp_matches(x, '^\\s*(//|/\\*|\\*|#|<!--)')]) = 0) THEN 2 END AS grade, greatest(start_line - line, line - end_line, 0) AS gap FROM a JOIN lc USING (file_path))
 SELECT aid, file_path, chunk_no, grade = 0 AS exact FROM g WHERE grade IS NOT NULL QUALIFY row_number() OVER (PARTITION BY aid ORDER BY grade, CASE WHEN grade < 2 THEN 0 ELSE gap END, CASE WHEN grade = 2 THEN -start_line ELSE 0 END, chunk_no) = 1""")
 def resolve_location(spark, sf_dir):
     docs = corpus.documents(spark, sf_dir)
-    return locate.resolve(docs.select(F.col("doc_id").alias("aid"), "file_path", F.lit(5).alias("line")), chunking.chunk_lines(docs.select("file_path", "content")))
+    return locate.resolve(docs.select(F.col("doc_id").alias("aid"), "file_path", (F.col("doc_id") % 40 + 1).cast("int").alias("line")), chunking.chunk_lines(docs.select("file_path", "content")))
 
 
 @_register("symbol_refs", f"SELECT name, count(*) AS chunks FROM (SELECT file_path, unnest(list_distinct([lower(t) for t in regexp_extract_all(content, '({tokens.IDENTIFIER})', 1)])) AS name FROM {DOCS}) GROUP BY name")
@@ -354,12 +372,12 @@ SELECT name, 'def' AS role, 'function' AS kind, line::INT AS line, file_path, ch
 UNION ALL SELECT name, 'ref', CASE WHEN name IN (SELECT name FROM d) THEN 'function' ELSE 'unknown' END, line::INT, file_path, chunk_no::INT FROM r SEMI JOIN {_TRACE} t USING (name)""")
 def symbol_trace(spark, sf_dir):
     names = spark.createDataFrame([("handlerstack",), ("parsequery",), ("auth",), ("encode",), ("nothing",)], "name string")
-    return locate.symbol(names, code(spark))
+    return locate.symbol(names, code(spark, sf_dir))
 
 
 @_register("trivial_doc_chunks", f"""SELECT file_path, chunk_no::INT AS chunk_no, (len(l) > 0 AND len([x for x in l if NOT regexp_matches(x, '^\\s*(//|/\\*|\\*|#|<!--)')]) = 0) AS trivial FROM (SELECT file_path, chunk_no, [x for x in string_split(content, chr(10)) if regexp_matches(x, '\\S')] AS l FROM (SELECT file_path, chunk_no, content FROM {DOCS} UNION ALL SELECT file_path, chunk_no, content FROM {CODE_SQL}))""")
 def trivial_doc_chunks(spark, sf_dir):
-    rows = corpus.documents(spark, sf_dir).select(*lexical.KEY, "content").unionByName(code(spark).select(*lexical.KEY, "content"))
+    rows = corpus.documents(spark, sf_dir).select(*lexical.KEY, "content").unionByName(code(spark, sf_dir).select(*lexical.KEY, "content"))
     return rows.select(*lexical.KEY, ranking.is_trivial_doc(F.col("content")).alias("trivial"))
 
 
@@ -406,10 +424,9 @@ def savings_calls(spark, sf_dir):
 _LANGS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in corpus.EXTENSIONS.items()) + "}"
 
 
-@_register("detect_language", f"SELECT path, {_LANGS}[lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1))] AS language FROM {_values(PATHS, 'path')}")
+@_register("detect_language", f"SELECT path, {_LANGS}[lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1))] AS language FROM {ALL_PATHS}")
 def detect_language(spark, sf_dir):
-    paths = spark.createDataFrame([(p,) for p in PATHS], "path string")
-    return paths.select("path", corpus.detect_language(F.col("path")).alias("language"))
+    return _paths(spark, sf_dir).select("path", corpus.detect_language(F.col("path")).alias("language"))
 
 
 SOURCES = (("a.py", "import os\n\n\nclass Loader:\n    def run(self):\n        pass\n\n\ndef compute(x):\n    return x\n", "python"), ("b.rs", "pub struct Config { a: u8 }\n\nfn one() -> u8 { 1 }\n\ntrait Greet { fn hi(&self); }\n", "rust"), ("c.rb", "module Helpers\n  def hello\n  end\nend\n", "ruby"), ("d.go", "package main\n\nfunc Add(a int) int {\n\treturn a\n}\n", "go"), ("e.txt", "plain\ntext\n", None))
@@ -419,11 +436,17 @@ SOURCES = (("a.py", "import os\n\n\nclass Loader:\n    def run(self):\n        p
 LARGE = ("Big.java", "public class Big {\n" + "".join(f"    int method{i}(int x) {{\n" + "        x = x + 1;\n" * 20 + "        return x;\n    }\n\n" for i in range(40)) + "}\n", "java")
 
 
+def _files(spark, sf_dir):
+    """Every document as a Markdown file, and source files of several languages."""
+    docs = corpus.documents(spark, sf_dir).select("file_path", "content", F.lit("markdown").alias("language"))
+    return docs.unionByName(spark.createDataFrame([*SOURCES, LARGE], "file_path string, content string, language string"))
+
+
 @_register("structural_chunks")
 def structural_chunks(spark, sf_dir):
-    return chunking.chunk_files(spark.createDataFrame([*SOURCES, LARGE], "file_path string, content string, language string")).drop("symbols")
+    return chunking.chunk_files(_files(spark, sf_dir)).drop("symbols")
 
 
 @_register("extract_definitions")
 def extract_definitions(spark, sf_dir):
-    return locate.symbol_defs(chunking.chunk_files(spark.createDataFrame(list(SOURCES), "file_path string, content string, language string")))
+    return locate.symbol_defs(chunking.chunk_files(_files(spark, sf_dir)))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import os
-import shutil
 from collections import OrderedDict
 from typing import NamedTuple
 
 from pyspark.sql import SparkSession
 
+from quernal.operators import dense
 from quernal.plans.index import SearchIndex
 from quernal.plans.render import human_size
+from quernal.plans.storage import Folder
 from quernal.sources.files import cloned, is_git_url
 
 MOST_OPEN = 10
@@ -60,40 +61,74 @@ def cache_dir(root: str, source: Source, include_text: bool, encoder: str) -> st
     return os.path.join(root, f"{digest}-{VERSION}")
 
 
-def dir_size(folder: str) -> int:
-    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+def dir_size(spark: SparkSession, folder: str) -> int:
+    return Folder(spark, folder).size()
 
 
-def status(root: str) -> str:
-    homes = [d for d in (os.listdir(root) if os.path.isdir(root) else []) if os.path.isdir(os.path.join(root, d))]
-    return f"{len(homes)} indexes, {human_size(sum(dir_size(os.path.join(root, d)) for d in homes))} in {root}"
+def status(spark: SparkSession, root: str | None) -> str:
+    """How many indexes there are, and how large."""
+    if root is None:
+        return "caching is switched off"
+    folder = Folder(spark, root)
+    return f"{len(folder.names())} indexes, {human_size(folder.size())} in {root}"
 
 
-def clear(root: str, source: Source | None = None, include_text: bool = False, encoder: str = DEFAULT_ENCODER) -> None:
+def info(spark: SparkSession, root: str | None, source: Source, include_text: bool = False, encoder: str = DEFAULT_ENCODER) -> str:
+    """Is a source's index there, how large is it, how many files are in it, when was it written."""
+    lines = [f"source    {source.key}", f"encoder   {encoder}"]
+    if root is None:
+        return "\n".join([*lines, "caching is switched off"])
+    home = cache_dir(root, source, include_text, encoder)
+    state = SearchIndex.state(spark, home)
+    lines.append(f"cache     {home}")
+    if state is None:
+        return "\n".join([*lines, "status    not cached"])
+    files = spark.read.parquet(f"{state['path']}/manifest").count()
+    folder = Folder(spark, home)
+    return "\n".join([*lines, "status    cached", f"size      {human_size(folder.size())}", f"files     {files}", f"modified  {folder.modified('CURRENT') // 1000}"])
+
+
+def clear(spark: SparkSession, root: str, source: Source | None = None, include_text: bool = False, encoder: str = DEFAULT_ENCODER) -> None:
     """Delete one index, or all; nothing there is no error."""
-    shutil.rmtree(root if source is None else cache_dir(root, source, include_text, encoder), ignore_errors=True)
+    Folder(spark, root if source is None else cache_dir(root, source, include_text, encoder)).delete()
+
+
+def load_encoder(spark: SparkSession, named: str) -> dense.Encoder:
+    """``hash``, or the path of a token table."""
+    return dense.HashEncoder() if named == DEFAULT_ENCODER else dense.TableEncoder.load(spark, named)
 
 
 class Session:
-    """Open indexes, at most MOST_OPEN; the one used longest ago goes first."""
+    """Open indexes, at most MOST_OPEN; the one used longest ago goes first.  Without a ``root`` nothing is kept on disk."""
 
-    def __init__(self, spark: SparkSession, root: str, most: int = MOST_OPEN):
-        self.spark, self.root, self.most = spark, root, most
-        self.held: OrderedDict[str, SearchIndex] = OrderedDict()
+    def __init__(self, spark: SparkSession, root: str | None, most: int = MOST_OPEN, encoder: str | None = None, clones: str | None = None, ledger: str | None = None):
+        self.spark, self.root, self.most, self.named, self.clones, self.ledger = spark, root, most, resolve_encoder(encoder), clones, ledger
+        self.held: OrderedDict[tuple, SearchIndex] = OrderedDict()
 
     def get(self, handle: str, ref: str | None = None, include_text: bool = False) -> SearchIndex:
         source = resolve_source(handle, ref)
-        if source.key not in self.held:
-            home = cache_dir(self.root, source, include_text, resolve_encoder())
-            if is_git_url(source.handle):
-                index = SearchIndex.open(self.spark, home)
-                if index is None:
-                    with cloned(source.handle, source.ref) as tree:
-                        index = SearchIndex.refresh(self.spark, tree, home, include_text)
-            else:
-                index = SearchIndex.refresh(self.spark, source.handle, home, include_text)
-            self.held[source.key] = index
-        self.held.move_to_end(source.key)
+        held = (source.key, include_text, self.named)
+        if held not in self.held:
+            self.held[held] = self._open(source, include_text)
+        self.held.move_to_end(held)
         while len(self.held) > self.most:
             self.held.popitem(last=False)
-        return self.held[source.key]
+        return self.held[held]
+
+    def _open(self, source: Source, include_text: bool) -> SearchIndex:
+        more = {"encoder": load_encoder(self.spark, self.named), "ledger": self.ledger}
+        home = self.root and cache_dir(self.root, source, include_text, self.named)
+
+        def build(tree: str) -> SearchIndex:
+            if home is None:
+                return SearchIndex.of_tree(self.spark, tree, include_text, **more)
+            return SearchIndex.refresh(self.spark, tree, home, include_text, **more)
+
+        if not is_git_url(source.handle):
+            return build(source.handle)
+        index = SearchIndex.open(self.spark, home, root=None, **more) if home else None
+        if index is None:
+            with cloned(source.handle, source.ref, self.clones) as tree:
+                index = build(tree)
+            index.root = None  # the clone is gone
+        return index

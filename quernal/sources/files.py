@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -82,13 +83,40 @@ def walk(root: str, wanted: tuple[str, ...]) -> list[tuple[str, int, int]]:
                 if entry.name not in SKIPPED and not is_ignored(path, True, patterns):
                     enter(entry.path, patterns)
             elif entry.name.endswith(wanted) and not is_ignored(path, False, patterns):
-                stat = entry.stat()
+                try:
+                    stat = entry.stat()
+                except OSError:  # gone since the folder was listed
+                    continue
                 found.append((path, stat.st_size, stat.st_mtime_ns))
 
     enter(root, [p for e in wanted for p in (f"!**/*{e}", f"!*{e}")])
     return sorted(found)
 
 
+def read_file(root: str, path: str) -> str | None:
+    """A file's text; None if it is over a megabyte, not UTF-8 or can't be read."""
+    try:
+        with open(os.path.join(root, path), "rb") as f:
+            raw = f.read(MOST_BYTES + 1)
+        return raw.decode("utf-8") if len(raw) <= MOST_BYTES else None
+    except (OSError, UnicodeDecodeError):
+        return None
+
+
+def read_files(files: DataFrame, root: str) -> DataFrame:
+    """files (file_path, size, mtime_nanos, language) of a tree -> with ``content``, null where :func:`read_file` gives none."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), FILES_A_TASK):
+                part = batch.slice(start, FILES_A_TASK)
+                texts = pa.array([read_file(root, path) for path in part.column("file_path").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "content"])
+
+    kept = files.select("file_path", "size", "mtime_nanos", "language")
+    return kept.mapInArrow(read, "file_path string, size bigint, mtime_nanos bigint, language string, content string")
+
+
 class _Files(InputPartition):
     def __init__(self, files: list[tuple[str, int, int]]):
         super().__init__(None)
@@ -96,10 +124,8 @@ class _Files(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root = options["root"]
-        self.wanted = extensions(options.get("includeText", "false") == "true")
-        self.content = options.get("withContent", "true") == "true"
+    def __init__(self, root: str, include_text: bool, content: bool):
+        self.root, self.wanted, self.content = root, extensions(include_text), content
 
     def partitions(self):
         files = walk(self.root, self.wanted)
@@ -109,12 +135,8 @@ class _Reader(DataSourceReader):
         for path, size, mtime in partition.files:
             content = None
             if self.content:
-                if size > MOST_BYTES:
-                    continue
-                try:
-                    with open(os.path.join(self.root, path), "rb") as f:
-                        content = f.read().decode("utf-8")
-                except (OSError, UnicodeDecodeError):
+                content = read_file(self.root, path)
+                if content is None:
                     continue
             yield path, size, mtime, content
 
@@ -130,7 +152,8 @@ class TreeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> _Reader:
-        return _Reader(dict(self.options))
+        flag = lambda name, default: self.options.get(name, default).lower() == "true"
+        return _Reader(self.options["root"], flag("includeText", "false"), flag("withContent", "true"))
 
 
 def read_tree(spark: SparkSession, root: str, include_text: bool = False, with_content: bool = True) -> DataFrame:
@@ -150,9 +173,10 @@ def is_git_url(handle: str) -> bool:
 
 
 @contextmanager
-def cloned(url: str, ref: str | None = None) -> Iterator[str]:
-    """A shallow clone in a temporary folder of the driver, which goes at the end."""
-    with tempfile.TemporaryDirectory() as folder:
+def cloned(url: str, ref: str | None = None, within: str | None = None) -> Iterator[str]:
+    """A shallow clone in a temporary folder, which goes at the end.  Executors read it, so on a cluster ``within`` has to be
+    a mounted folder that they share with the driver; without it the machine's own temporary folder is taken."""
+    with tempfile.TemporaryDirectory(dir=within) as folder:
         subprocess.run(["git", "clone", "--quiet", "--depth", "1", *(["--branch", ref] if ref else []), "--", url, folder], check=True)
         yield folder
 

@@ -38,3 +38,19 @@ def test_one_large_member():
 def test_no_members_stay_whole():
     source = "x = '''" + "long text\n" * 600 + "'''\n"
     assert [c["content"] for c in structure.chunks(source, "python")] == [source]
+
+
+@pytest.mark.parametrize(
+    ("language", "source"),
+    [
+        ("json", '{\n  "items": [\n' + ",\n".join(f'    {{"id": {i}, "name": "a {{ b", "text": "{"x" * 80}"}}' for i in range(200)) + "\n  ]\n}\n"),
+        ("yaml", "items:\n" + "".join(f"  - id: {i}\n    text: {'x' * 80}\n" for i in range(200))),
+        ("markdown", "# list\n\n" + "".join(f"- item {i} {'x' * 80}\n  goes on\n" for i in range(200))),
+        ("c", "void f(void)\n{\n" + "    if (x) {\n        step(1, 2);\n    } else {\n        step(2, 1);\n    }\n" * 200 + "}\n"),
+        ("javascript", "const all = {\n" + "".join(f"  f{i}: function () {{\n    return '{'x' * 80}';\n  }},\n" for i in range(100)) + "};\n"),
+    ],
+)
+def test_other_languages(language, source):
+    chunks = structure.chunks(source, language)
+    assert len(source) > 2 * structure.LARGEST and all(c["end_byte"] - c["start_byte"] <= structure.LARGEST for c in chunks)
+    assert "".join(c["content"] for c in chunks).split() == source.split()

@@ -25,13 +25,13 @@ def test_encoder_precedence():
     assert session.resolve_encoder("", "") == "hash" and session.resolve_encoder("flag", "  ") == "  "
 
 
-def test_sizes_and_clear(tmp_path):
+def test_sizes_and_clear(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "x").write_bytes(b"0123456789")
     (tmp_path / "a" / "b" / "y").write_bytes(b"01234")
-    assert session.dir_size(str(tmp_path)) == 15 and "1 indexes, 15 B" in session.status(str(tmp_path))
-    session.clear(str(tmp_path))
-    session.clear(str(tmp_path))
+    assert session.dir_size(spark, str(tmp_path)) == 15 and "1 indexes, 15 B" in session.status(spark, str(tmp_path))
+    session.clear(spark, str(tmp_path))
+    session.clear(spark, str(tmp_path))
     assert not tmp_path.exists()
 
 
