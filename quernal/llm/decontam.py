@@ -15,7 +15,8 @@ ones) leaves few positions, a second one of its seeds leaves few seeds, and only
 a fixed greatest size and only save work: the join on the full hash and the comparison of words decide.
 
 Defined cases: null or wordless texts and items overlap with nothing; items of fewer than seven words are too short to
-be evidence; rows that repeat a doc_id (or have none) share one verdict; an empty benchmark leaves every document.
+be evidence; every row is judged by its own text, so ids may repeat or be null (overlaps() names documents by doc_id and
+a fingerprint of the text); an empty benchmark leaves every document.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.classic.column import Column as ClassicColumn
 
 from quernal.llm.scratch import Scratch
 from quernal.llm.text import packed, table
@@ -35,7 +35,8 @@ REACH = WINDOW - 1
 LEAST_LONGS, MOST_LONGS = 1 << 14, 1 << 17
 #: Benchmark seeds that are broadcast at most (about 300 bytes each); beyond it the same join is shuffled.
 BROADCAST_SEEDS = 200_000
-BROADCAST_IDS = 2_000_000
+#: Contaminated rows that are broadcast at most (some 100 bytes each).
+BROADCAST_IDS = 200_000
 
 
 def _words(text: Column) -> Column:
@@ -66,14 +67,11 @@ def _bitmap(hashes: DataFrame, column: str, longs: int) -> Column:
     """A literal array of longs with a bit set for each hash; read by :func:`_in`."""
     word = F.col(column).bitwiseAND(F.lit(longs - 1))
     rows = hashes.groupBy(word.alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, 58) as int))")).alias("bits")).collect()
-    bits = np.zeros(longs, ">i8")
+    bits = np.zeros(longs, np.int64)
     for row in rows:
         bits[row.i] = row.bits
-    # one literal: an expression that makes the array would be evaluated for each element it is looked up for
-    jvm, gateway = hashes.sparkSession._jvm, hashes.sparkSession.sparkContext._gateway
-    array = gateway.new_array(gateway.jvm.long, longs)
-    jvm.java.nio.ByteBuffer.wrap(bits.tobytes()).asLongBuffer().get(array)
-    return ClassicColumn(jvm.org.apache.spark.sql.functions.lit(array))
+    # split and cast are folded into one literal when the plan is made, so the array isn't made anew for each lookup
+    return F.split(F.lit(",".join(map(str, bits.tolist()))), ",").cast("array<bigint>")
 
 
 def _in(bitmap: Column, h: Column, longs: int) -> Column:
@@ -85,9 +83,14 @@ def _around(h: str, i: Column) -> Column:
     return F.slice(h, F.greatest(i - REACH, F.lit(1)), REACH * 2 + max(map(len, MASKS)))
 
 
+def _mark(text: Column) -> Column:
+    """Tells texts under one doc_id apart: 128 bits, for there may be any number of rows without an id."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (doc_id, text), benchmark (item_id, text) -> (doc_id, item_id, matched): the most words that agree in one
-    window, for each document and item with an overlap that counts."""
+    """docs (doc_id, text), benchmark (item_id, text) -> (doc_id, mark, item_id, matched): the most words that agree in
+    one window, for each document and item with an overlap that counts; ``mark`` is the text's fingerprint."""
     scratch = Scratch(docs.sparkSession)
     items = benchmark.select("item_id", _hashed(F.col("text")).alias("h"))
     items = items.where(F.size("h") >= min(map(len, MASKS))).select("*", _bigrams("h").alias("g"))
@@ -100,43 +103,47 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         longs *= 2
     pairs, known = _bitmap(seeds, "pair", longs), _bitmap(seeds, "seed", longs)
     # no filter on a computed column here: it would be pushed below and inlined into the lambdas, once per element
-    step = docs.select("doc_id", _hashed(F.col("text")).alias("h"))
-    step = step.select("doc_id", "h", _bigrams("h").alias("g"))
-    step = step.select("doc_id", "h", F.array_compact(F.transform("g", lambda g, i: F.when(_in(pairs, g, longs), i + 1))).alias("at"))
+    step = docs.select("doc_id", _mark(F.col("text")).alias("mark"), _hashed(F.col("text")).alias("h"))
+    step = step.select("doc_id", "mark", "h", _bigrams("h").alias("g"))
+    step = step.select("doc_id", "mark", "h", F.array_compact(F.transform("g", lambda g, i: F.when(_in(pairs, g, longs), i + 1))).alias("at"))
     hit = F.flatten(F.transform("at", lambda i: F.transform(F.filter(_seeds(F.col("h"), i), lambda s: s.isNotNull() & _in(known, s, longs)), lambda s: F.struct(i.alias("i"), s.alias("s")))))
-    step = step.select("doc_id", "h", hit.alias("hits"))
-    step = step.select("doc_id", "h", F.explode_outer("hits").alias("hit")).where("hit is not null").select("doc_id", F.col("hit.i").alias("i"), F.col("hit.s").alias("hash"), _around("h", F.col("hit.i")).alias("doc_words"))
+    step = step.select("doc_id", "mark", "h", hit.alias("hits"))
+    step = step.select("doc_id", "mark", "h", F.explode_outer("hits").alias("hit")).where("hit is not null").select("doc_id", "mark", F.col("hit.i").alias("i"), F.col("hit.s").alias("hash"), _around("h", F.col("hit.i")).alias("doc_words"))
     met = step.join(F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds, F.col("hash") == F.col("seed"))
     lead = F.least(F.lit(REACH), F.col("i") - 1, F.col("j") - 1)
     from_hit = lambda c, i: F.slice(c, F.least(F.lit(REACH), F.col(i) - 1) - lead + 1, 2 * REACH + max(map(len, MASKS)))
-    met = met.select("doc_id", "item_id", F.least(F.lit(WINDOW), F.col("n")).alias("w"), from_hit("doc_words", "i").alias("a"), from_hit("item_words", "j").alias("b"))
-    met = met.select("doc_id", "item_id", "w", F.slice(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), 1, F.least(F.size("a"), F.size("b"))).alias("same")).where("size(same) >= w")
+    met = met.select("doc_id", "mark", "item_id", F.least(F.lit(WINDOW), F.col("n")).alias("w"), from_hit("doc_words", "i").alias("a"), from_hit("item_words", "j").alias("b"))
+    met = met.select("doc_id", "mark", "item_id", "w", F.slice(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), 1, F.least(F.size("a"), F.size("b"))).alias("same")).where("size(same) >= w")
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("w") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("w")), F.lit(0), lambda t, x: t + x)))
-    met = met.select("doc_id", "item_id", "w", best.cast("long").alias("matched")).where(f"100 * matched >= {AGREE} * w")
-    return met.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+    met = met.select("doc_id", "mark", "item_id", "w", best.cast("long").alias("matched")).where(f"100 * matched >= {AGREE} * w")
+    return met.groupBy("doc_id", "mark", "item_id").agg(F.max("matched").alias("matched"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_ids, matched), one row for each doc_id with an overlap that counts."""
-    found = overlaps(docs, benchmark).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("matched").alias("matched"))
+    """(doc_id, mark, item_ids, matched), one row for each text of a doc_id with an overlap that counts."""
+    found = overlaps(docs, benchmark).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("matched").alias("matched"))
     return Scratch(docs.sparkSession).table(found, "found")
 
 
+def _judged(docs: DataFrame, benchmark: DataFrame, how: str) -> DataFrame:
+    """docs -> (row, item_ids, matched) joined with what was found of each row; ``row`` packs every column of docs."""
+    found = contaminated(docs.select("doc_id", "text"), benchmark).withColumnsRenamed({"doc_id": "found_id", "mark": "found_mark"})
+    found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("id"), _mark(F.col("text")).alias("own_mark"))
+    return rows.join(found, F.expr("id <=> found_id and own_mark = found_mark"), how)
+
+
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without an overlap that counts, with their own columns."""
-    gone = contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("gone"))
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("id"))
-    return rows.join(gone, F.expr("id <=> gone"), "left_anti").select("row.*")
+    return _judged(docs, benchmark, "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: every document with the benchmark items that it overlaps, and whether it is kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    out = docs.select("doc_id").join(found.withColumnRenamed("doc_id", "found_id"), F.expr("doc_id <=> found_id"), "left")
+    out = _judged(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), "left")
     none = F.array().cast("array<bigint>")
-    return out.select("doc_id", F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"), F.col("found_id").isNull().alias("kept"))
+    return out.select("row.doc_id", F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"), F.col("matched").isNull().alias("kept"))
 
 
 _SPAN = "(" + " UNION ALL ".join(f"SELECT {n} AS m, {len(mask)} AS span, [{', '.join(str(i) for i, b in enumerate(mask) if b == '1')}] AS reads" for n, mask in enumerate(MASKS)) + ")"

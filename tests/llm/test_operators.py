@@ -202,9 +202,9 @@ def test_licences(spark):
 
 def test_html():
     article = "<html><head><title>t</title></head><body><header>top</header><nav><ul><li>menu</ul></nav><div class='ad box'>buy</div><article><h1>A &amp; B</h1><p>one\n two&nbsp;three <b>four</b>five<br>six<p>seven<script>if (a<b) x('</p>')</script><div class=comments><p>reader</div><!-- c --></article><footer>&copy;</footer>"
-    assert htmlmain.read(htmlmain._wrapped(article), frozenset())[0] == "A & B\none two three fourfive\nsix\nseven"
-    assert htmlmain.read(htmlmain._wrapped("plain &lt;b&gt; text"), frozenset())[0] == "plain <b> text"
-    assert htmlmain.read(htmlmain._wrapped(None), frozenset())[0] == "" and htmlmain.read(htmlmain._wrapped("<p <a b"), frozenset()) is not None
+    assert htmlmain.main_text(htmlmain.parse(article), frozenset()) == "A & B\none two three fourfive\nsix\nseven"
+    assert htmlmain.main_text(htmlmain.parse("plain &lt;b&gt; text"), frozenset()) == "plain <b> text"
+    assert htmlmain.main_text(htmlmain.parse(None), frozenset()) == "" and htmlmain.main_text(htmlmain.parse("<p <a b"), frozenset()) == "<p <a b"
 
 
 def test_site_templates(spark):
