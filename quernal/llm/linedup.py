@@ -137,12 +137,9 @@ def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            (left, at), (right, to) = (kernel.binaries(batch.column(side)) for side in ("left", "right"))
+            both = kernel.common(left, at, right, to)
+            good = 100 * both >= percent * (np.diff(at) + np.diff(to) - both)
             yield batch.select(["yd", "yl"]).filter(pa.array(good))
 
     return run
@@ -184,7 +181,8 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     schema = "doc_id long, line long, set_a long, set_b long, size long, bitmap long, bitmap2 long, prefix array<long>, keys array<long>"
     lines = scratch.table(texts.mapInArrow(_lines(rank, percent), schema), "lines")
     equal = lines.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "line")).alias("e"), F.count("*").alias("n")).where("n > 1")
-    equal = equal.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "e")
+    # written, here and below, so that the join shuffles both sides itself and the engine can split a very common key
+    equal = scratch.table(equal.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "e"), "equal")
     copies = lines.join(equal, F.expr("set_a = a and set_b = b and (doc_id > e.doc_id or (doc_id = e.doc_id and line > e.line))")).select("doc_id", "line").distinct()
     copies = scratch.table(copies, "copies")
     first = lines.join(_small(copies.withColumnsRenamed({"doc_id": "cd", "line": "cl"})), F.expr("doc_id = cd and line = cl"), "left_anti")
@@ -197,6 +195,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     keyed = first.select(F.explode("keys").alias("key"), "doc_id", "line", "size", "bitmap", "bitmap2")
     hubs = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "line", "size", "bitmap", "bitmap2")).alias("h"), F.count("*").alias("n")).where("n > 1").select("key", "h.*")
+    hubs = scratch.table(hubs, "hubs")
     pairs = hubs.alias("x").join(keyed.alias("y"), F.expr(f"x.key = y.key and {earlier} and {alike}")).select(*named).distinct()
     found = verify.matched(pairs, "hubs")
 
@@ -219,8 +218,8 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     done = later.withColumnsRenamed({"doc_id": "fd", "line": "fl"})
     rest = pairs.join(done, F.expr("yd = fd and yl = fl"), "left_anti").select("xd", "xl", "yd", "yl")
     later = later.unionByName(verify.matched(rest, "rest"))
-    scratch.drop("candidates")
-    scratch.drop("lines")
+    for done in ("candidates", "lines", "equal", "hubs"):
+        scratch.drop(done)
     return copies.unionByName(found).unionByName(later).distinct()
 
 
@@ -232,7 +231,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     gone = removed_lines(docs, percent)
     gone = Scratch(docs.sparkSession).table(gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.sort_array(F.collect_set("line")).alias("gone")), "gone")
     rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("whole"))
-    rows = rows.join(_small(gone), F.col("id") == F.col("gone_id"), "left")
+    # a document may have lost any number of lines: what is broadcast is bounded by lines, not by rows
+    lost = gone.agg(F.count("*") + F.sum(F.size("gone"))).first()[0] or 0
+    rows = rows.join(F.broadcast(gone) if lost <= BROADCAST_ROWS else gone, F.col("id") == F.col("gone_id"), "left")
     left = F.array_join(F.filter(F.split("whole", "\n"), lambda line, i: ~F.array_contains("gone", i.cast("long"))), "\n")
     text = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(left)
     n_lines = F.coalesce(F.size(F.split("whole", "\n")), F.lit(0)).cast("long")
