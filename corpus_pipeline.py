@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go; n_chars follows the text."""
-    return linedup.strip(docs).withColumns(_recounted(docs))
+    """Lines that match an earlier line go, and with them documents that have nothing else; n_chars follows the text."""
+    return linedup.strip(docs, keep_emptied=False).withColumns(_recounted(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quernal.llm import kernel
 from quernal.llm.scratch import Scratch
-from quernal.llm.text import packed, table
+from quernal.llm.text import WORD, once, packed, table
 
 SKETCH_BITS = 18
 #: Min-hash values of a line's set by which near copies find the earliest of them before the prefix join.
@@ -240,9 +240,12 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     return rows.select("row", text.alias("text"), n_lines.alias("n_lines"), F.coalesce("gone", F.array().cast("array<long>")).alias("removed"))
 
 
-def strip(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with their removed lines gone from ``text``, and no other change to rows or columns."""
+def strip(docs: DataFrame, percent: int = 80, keep_emptied: bool = True) -> DataFrame:
+    """docs with their removed lines gone from ``text``, and no other change to columns; documents that have no word left
+    because of that go too unless ``keep_emptied``."""
     done = dedup_lines(docs, percent)
+    if not keep_emptied:
+        done = done.select("row", once(F.col("text")).alias("text"), "removed").where((F.size("removed") == 0) | F.col("text").rlike(WORD))
     return done.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
