@@ -12,7 +12,11 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table.  A scan of few partitions may be a single row group, which one task reads: then its rows are dealt out to all
+    cores.  A scan of more than two partitions a core, which any large table is, stays as it is and shuffles nothing."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= 2 * cores else rows
 
 
 def words_of(text: Column) -> Column:
