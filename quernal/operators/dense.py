@@ -1,12 +1,14 @@
 """Embeddings: encoders to sparse unit vectors, exact similarity search of a batch of queries, dense cosine.
 
 A stated set of queries is compared with all vectors in blocks: its matrix is broadcast, each task multiplies slices of
-its vectors with it and sends on only the best k of each slice, so what is shuffled is a few rows for each query.
+its vectors with it and sends on only the best k of each slice, so what is shuffled is a few rows for each query.  More
+than MOST_SHARED queries take several passes over the vectors, so that driver and tasks hold no more of them at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import md5
 from typing import Protocol
 
@@ -19,11 +21,14 @@ from pyspark.sql import functions as F
 from quernal.functions import batches
 from quernal.functions.tokens import tokenize
 from quernal.operators.lexical import KEY, top_k
+from quernal.plans.storage import scratch
 
 BUCKETS = 256
 VECTOR = "array<struct<bucket:int,weight:double>>"
 #: Queries of one block: their matrix has so many rows at most, whatever the batch.
 MOST_QUERIES = 2048
+#: Queries of one pass over the vectors, about: they go through the driver and to all tasks, some 3 kB each.
+MOST_SHARED = 8 * MOST_QUERIES
 #: Query vectors that knn() broadcasts at once; more queries are taken in blocks.
 MOST_VECTORS = 10_000
 
@@ -154,10 +159,19 @@ def semantic_topk(queries: DataFrame, embedded: DataFrame, k: int, encoder: Enco
     asked = encoder.encode(queries, "query", ["qid", *limits])
     kinds = {f.name: f.dataType.simpleString() for f in [*embedded.schema, *asked.schema]}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("qid", *KEY)) + ", score double"
-    blocks = asked.toArrow().combine_chunks().to_batches(max_chunksize=MOST_QUERIES)
-    shared = [queries.sparkSession.sparkContext.broadcast(pa.Table.from_batches([block])) for block in blocks if len(block)]
-    scores = embedded.select(*columns).mapInArrow(_nearest(shared, encoder.size, k), schema)
-    return top_k(scores, k, "semantic")
+
+    def ranked(some: pa.Table) -> DataFrame:
+        blocks = some.combine_chunks().to_batches(max_chunksize=MOST_QUERIES)
+        shared = [queries.sparkSession.sparkContext.broadcast(pa.Table.from_batches([block])) for block in blocks if len(block)]
+        return top_k(embedded.select(*columns).mapInArrow(_nearest(shared, encoder.size, k), schema), k, "semantic")
+
+    some = asked.limit(MOST_SHARED + 1).toArrow()
+    if some.num_rows <= MOST_SHARED:
+        return ranked(some)
+    asked = scratch(asked)
+    passes = -(-asked.count() // MOST_SHARED)
+    of_pass = F.pmod(F.xxhash64("qid"), F.lit(passes))
+    return reduce(DataFrame.unionByName, [scratch(ranked(asked.where(of_pass == i).toArrow())) for i in range(passes)])
 
 
 def dot(a: Column, b: Column) -> Column:

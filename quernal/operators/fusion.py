@@ -9,6 +9,8 @@ from quernal.functions.ranking import DEFINITION_KEYWORDS, is_symbol_query, path
 from quernal.operators.lexical import KEY, top_k
 
 RRF, DEPTH = 60, 5
+#: Pairs of a query and a symbol that are broadcast at most (some 60 bytes each).
+BROADCAST_SYMBOLS = 200_000
 FILE_BOOST, SYMBOL_BOOST, EMBEDDED_BOOST, SATURATION = 0.2, 3.0, 1.5, 0.5
 
 
@@ -40,10 +42,17 @@ def boost_definitions(scores: DataFrame, queries: DataFrame, names: DataFrame) -
     """Chunks that define a symbol of the query gain 3 (symbol query) or 1.5 (prose) times the best score, candidates or not.
 
     ``names`` are those of :func:`declared`.  A chunk has "<keyword> <symbol>" as a substring if the symbol begins the word
-    after a keyword: so names and symbols meet by their first characters.
+    after a keyword: so names and symbols meet by their first characters.  Symbols too many to broadcast meet the beginnings
+    of distinct names, as long as symbols are, by equality.
     """
     asked = queries.select("qid", F.explode(query_symbols(F.col("query"))).alias("symbol"), is_symbol_query(F.col("query")).alias("exact"))
-    met = names.join(asked, (F.left("name", F.lit(1)) == F.left("symbol", F.lit(1))) & F.startswith("name", F.col("symbol")))
+    if asked.count() <= BROADCAST_SYMBOLS:
+        met = names.join(F.broadcast(asked), (F.left("name", F.lit(1)) == F.left("symbol", F.lit(1))) & F.startswith("name", F.col("symbol")))
+    else:
+        lengths = F.array(*[F.lit(row.n) for row in asked.select(F.char_length("symbol").alias("n")).distinct().collect()])
+        begun = names.select("name").distinct().select("name", F.explode(F.filter(lengths, lambda n: n <= F.char_length("name"))).alias("n"))
+        begun = begun.select("name", F.left("name", F.col("n")).alias("symbol")).join(asked.select("symbol").distinct(), "symbol")
+        met = names.join(begun, "name").join(asked, "symbol")
     found = met.select("qid", *KEY, "exact").distinct()
     peak = scores.groupBy("qid").agg(F.max("score").alias("m"))
     bonus = found.join(peak, "qid").select("qid", *KEY, (F.col("m") * F.when(F.col("exact"), SYMBOL_BOOST).otherwise(EMBEDDED_BOOST)).alias("score"))

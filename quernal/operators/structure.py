@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 TARGET, LARGEST = 1500, 3000
@@ -54,9 +55,10 @@ def definitions(source: str, language: str | None) -> list[tuple[str, str, int,
                 found.add((node.name.lower(), kind, node.lineno, at))
     else:
         quiet = _quiet(source, language or "")
+        newlines = [m.start() for m in re.finditer("\n", quiet)]
         for kind, pattern in _DEFINITIONS.get(language or "", ()):
             for m in re.finditer(pattern, quiet):
-                found.add((m[1].lower(), kind, quiet.count("\n", 0, m.start(1)) + 1, m.start(1)))
+                found.add((m[1].lower(), kind, bisect_left(newlines, m.start(1)) + 1, m.start(1)))
     return sorted(found, key=lambda d: (d[3], d[1]))
 
 
@@ -237,12 +239,13 @@ def chunks(source: str, language: str | None) -> list[dict]:
     found = descended(source, language, found, lambda a, b: at(b) - at(a))
     ranges = merged([(at(a), at(b)) for a, b in found]) if found else line_ranges(raw)
     names = [(name, kind, line, at(offset)) for name, kind, line, offset in definitions(source, language)] if found else []
+    newlines, places = [m.start() for m in re.finditer(b"\n", raw)], [place for *_, place in names]
     out = []
     for start, end in ranges:
         text = raw[start:end].decode("utf-8", "ignore")
         if not text:
             continue
-        first = 1 + raw.count(b"\n", 0, start)
-        own = [{"name": n, "kind": k, "line": line} for n, k, line, o in names if start <= o < end]
+        first = 1 + bisect_left(newlines, start)
+        own = [{"name": n, "kind": k, "line": line} for n, k, line, _ in names[bisect_left(places, start) : bisect_left(places, end)]]
         out.append({"chunk_no": len(out), "start_byte": start, "end_byte": end, "start_line": first, "end_line": first + text.count("\n") - text.endswith("\n"), "content": text, "symbols": own})
     return out

@@ -152,6 +152,25 @@ def test_declared_names_meet_symbols(spark):
     assert got == {("def", "a"), ("Foo", "a"), ("encodeAll", "b"), ("Foo", "d")}
 
 
+def test_many_symbols_meet_names_by_equality(spark, monkeypatch):
+    names = spark.createDataFrame([("encodeAll", "a", 0), ("Foo", "b", 0), ("Foo", "b", 1), ("Fo", "c", 0), ("bar", "d", 0)], "name string, file_path string, chunk_no int")
+    asks = spark.createDataFrame([(0, "Foo"), (1, "x::encode"), (2, "use FooBar or MyParser"), (3, "F"), (4, "nothing to find")], "qid int, query string")
+    scores = spark.createDataFrame([(i, "b", 0, 1.0 + i) for i in range(5)], "qid int, file_path string, chunk_no int, score double")
+    want = sorted(fusion.boost_definitions(scores, asks, names).collect())
+    monkeypatch.setattr(fusion, "BROADCAST_SYMBOLS", 0)
+    assert sorted(fusion.boost_definitions(scores, asks, names).collect()) == want
+    assert {(r.qid, r.file_path) for r in want} > {(0, "b"), (1, "a"), (3, "c")}
+
+
+def test_queries_in_passes(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"f{i % 7}", i, f"word{i} alpha beta{i % 3}") for i in range(40)], "file_path string, chunk_no int, content string")
+    asks = spark.createDataFrame([(i, f"word{i} beta{i % 3}") for i in range(11)] + [(11, "")], "qid int, query string")
+    embedded = dense.HashEncoder().encode(chunks, "content", list(lexical.KEY))
+    want = sorted(dense.semantic_topk(asks, embedded, 5).collect())
+    monkeypatch.setattr(dense, "MOST_SHARED", 4)
+    assert sorted(dense.semantic_topk(asks, embedded, 5).collect()) == want and len(want) == 60
+
+
 def test_token_tables(spark, tmp_path):
     spark.createDataFrame([("alpha", [1.0, 0.0]), ("beta", [0.0, 2.0])], "term string, vector array<double>").write.parquet(f"{tmp_path}/table")
     encoder = dense.TableEncoder.load(spark, f"{tmp_path}/table")

@@ -1,5 +1,7 @@
 """Units of many kilobytes are cut at their members."""
 
+import time
+
 import pytest
 
 from quernal.operators import structure
@@ -54,3 +56,12 @@ def test_other_languages(language, source):
     chunks = structure.chunks(source, language)
     assert len(source) > 2 * structure.LARGEST and all(c["end_byte"] - c["start_byte"] <= structure.LARGEST for c in chunks)
     assert "".join(c["content"] for c in chunks).split() == source.split()
+
+
+def test_lines_are_counted_in_linear_time():
+    source = "".join(f"int f{i}(int x)\n{{\n    return x;\n}}\n" for i in range(60_000))
+    began = time.time()
+    chunks = structure.chunks(source, "c")
+    assert time.time() - began < 20
+    assert all(c["start_line"] == 1 + source.count("\n", 0, c["start_byte"]) for c in chunks[:: len(chunks) // 50])
+    assert [d["line"] for c in chunks for d in c["symbols"]] == list(range(1, 240_001, 4))
