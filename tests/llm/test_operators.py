@@ -1,6 +1,7 @@
 """Each operator against plain Python, on rows with nulls, copies, ties, odd texts and clashing column names."""
 
 import random
+import time
 from itertools import combinations
 
 import duckdb
@@ -94,6 +95,15 @@ def test_line_dedup(docs, corpus):
     assert linedup.strip(docs).columns == docs.columns
 
 
+def test_lines_go_from_a_long_text_in_linear_time(spark, monkeypatch):
+    n = 100_000
+    docs = spark.range(1, 3).select(F.col("id").alias("doc_id"), F.concat(F.lit("first\n"), F.array_join(F.sequence(F.lit(0), F.lit(n)), "\n")).alias("text"))
+    monkeypatch.setattr(linedup, "removed_lines", lambda rows, percent: spark.range(1, n + 1).select(F.lit(2).alias("doc_id"), F.col("id").alias("line")))
+    began = time.time()
+    whole, cut = (r.text for r in linedup.dedup_lines(docs).orderBy("row.doc_id").collect())
+    assert time.time() - began < 30 and whole.count("\n") == n + 1 and cut == f"first\n{n}"
+
+
 def test_stages_keep_columns_and_take_empty_tables(spark, docs, nothing, tmp_path):
     spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
