@@ -1,8 +1,8 @@
-"""The ten operator queries and their SQL."""
+"""The operator queries and their SQL."""
 
 from __future__ import annotations
 
-from quernal.llm import decontam, htmlmain, langid, licences, linedup, mixing, neardup, quality, secrets, toxicity
+from quernal.llm import annforest, decontam, hardneg, htmlmain, langid, licences, linedup, mixing, neardup, quality, secrets, toxicity, whitening
 
 QUERIES = {
     "op1_linedup": linedup.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_neardup": neardup.query,
     "op9_secrets": secrets.query,
     "op10_decontam": decontam.query,
+    "op11_whitening": whitening.query,
+    "op12_annforest": annforest.query,
+    "op13_hardneg": hardneg.query,
 }
 #: Operators that SQL can express; the others are tested against brute force or held-out rows.
 ORACLES = {
@@ -23,4 +26,5 @@ ORACLES = {
     "op6_mixing": mixing.ORACLE,
     "op9_secrets": secrets.ORACLE,
     "op10_decontam": decontam.ORACLE,
+    "op13_hardneg": hardneg.ORACLE,
 }
