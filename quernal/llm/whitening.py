@@ -38,7 +38,7 @@ SCALE, OFFSET, LIMIT = 64, 1_000_000, float(1 << 40)
 #: Passes that orthogonalise: at least, at most; and how near to the identity the whitened covariance has to come.
 PASSES, MOST_PASSES, IDENTITY = 3, 6, 1e-9
 #: The shift as a share of the Gram's trace, and the least variance of a component as a share of the greatest.
-SHIFT, RANK = 1e-13, 1e-11
+SHIFT, RANK = 1e-13, 1e-20
 ROWS = 4096
 _GROUPS = 32
 
@@ -150,7 +150,7 @@ def fit(kept: DataFrame, components: int = COMPONENTS) -> Whitening | None:
     slim = kept.select("v")
     centre = Centre(n, size, _total(slim, lambda part: scaled(part, size).sum(axis=0), np.int64))
     factors: list[np.ndarray] = []
-    best = None
+    best, total = None, 0.0
     for done in range(MOST_PASSES):
 
         def gram(part: pa.RecordBatch, known: tuple[np.ndarray, ...] = tuple(factors)) -> np.ndarray:
@@ -159,7 +159,11 @@ def fit(kept: DataFrame, components: int = COMPONENTS) -> Whitening | None:
                 rows = _solved(rows, factor)
             return rows.T @ rows
 
-        factors.append(_factor(_total(slim, gram, np.float64).reshape(size, size), shifted=done == 0))
+        found = _total(slim, gram, np.float64).reshape(size, size)
+        total = total or float(np.trace(found)) / n  # of the first pass: the variance before any shift
+        if not total:
+            return Whitening(centre, np.zeros((size, 0)), np.zeros(0), 0.0, 0.0)
+        factors.append(_factor(found, shifted=done == 0))
         if done + 1 < PASSES:
             continue
         whole = factors[0]
@@ -167,11 +171,8 @@ def fit(kept: DataFrame, components: int = COMPONENTS) -> Whitening | None:
             whole = factor @ whole
         _, singular, axes = np.linalg.svd(whole)
         variances = singular**2 / n
-        rank = int((variances > RANK * variances[0]).sum()) if variances[0] > 0 else 0
-        k = min(components, rank)
-        best = Whitening(centre, axes[:k].T.copy(), variances[:k], float(variances.sum()), 0.0)
-        if k == 0:
-            return best
+        k = min(components, int((variances > RANK * variances[0]).sum()))
+        best = Whitening(centre, axes[:k].T.copy(), variances[:k], total, 0.0)
 
         def whitened_gram(part: pa.RecordBatch, found: Whitening = best) -> np.ndarray:
             white = found.project(centre.rows(part))
