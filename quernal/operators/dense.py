@@ -149,14 +149,14 @@ def semantic_topk(queries: DataFrame, embedded: DataFrame, k: int, encoder: Enco
     min(k, n) of them: chunks that share nothing score 0.
 
     If queries have ``language``, ``but_path`` and ``but_no``, only chunks of that language (any, where it is null) and
-    not that chunk are found, and embedded needs a ``language``.
+    not that chunk are found, and embedded needs a ``language``.  Queries that have their ``vector`` need no text.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     encoder = encoder or HashEncoder()
     limits = [c for c in ("language", "but_path", "but_no") if c in queries.columns]
     columns = [*KEY, "vector", *(["language"] if limits else [])]
-    asked = encoder.encode(queries, "query", ["qid", *limits])
+    asked = queries.select("qid", *limits, "vector") if "vector" in queries.columns else encoder.encode(queries, "query", ["qid", *limits])
     kinds = {f.name: f.dataType.simpleString() for f in [*embedded.schema, *asked.schema]}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("qid", *KEY)) + ", score double"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernal.functions.ranking import DEFINITION_KEYWORDS, is_symbol_query, path_hits, path_keywords, path_penalty, query_symbols, resolve_alpha
@@ -32,10 +32,15 @@ def boost_files(scores: DataFrame) -> DataFrame:
     return rows.select("qid", *KEY, (F.col("score") + gain).alias("score"))
 
 
+def declared_names(content: str) -> Column:
+    """The distinct words that follow a definition keyword and a space."""
+    pattern = f"(?:{'|'.join(DEFINITION_KEYWORDS)}) (?=([A-Za-z0-9_]+))"
+    return F.array_distinct(F.regexp_extract_all(content, F.lit(pattern), 1))
+
+
 def declared(chunks: DataFrame) -> DataFrame:
     """(name, key): the word that follows a definition keyword and a space, once for each chunk that has it."""
-    pattern = f"(?:{'|'.join(DEFINITION_KEYWORDS)}) (?=([A-Za-z0-9_]+))"
-    return chunks.select(*KEY, F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), 1))).alias("name")).select("name", *KEY)
+    return chunks.select(*KEY, F.explode(declared_names("content")).alias("name")).select("name", *KEY)
 
 
 def boost_definitions(scores: DataFrame, queries: DataFrame, names: DataFrame) -> DataFrame:

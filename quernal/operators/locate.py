@@ -29,11 +29,13 @@ def symbol(names: DataFrame, chunks: DataFrame) -> DataFrame:
     return symbol_among(names, symbol_defs(chunks), symbol_refs(chunks), chunks)
 
 
-def symbol_among(names: DataFrame, defs: DataFrame, refs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The same from tables of all definitions and references."""
+def symbol_among(names: DataFrame, defs: DataFrame, refs: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """The same from tables of all definitions and references; without ``chunks`` the latter have their ``line``."""
     asked = names.select(F.lower("name").alias("name")).distinct()
     defs = defs.join(asked, "name", "left_semi")
-    refs = refs.join(asked, "name", "left_semi").join(chunks.select(*KEY, F.col("start_line").cast("int").alias("line")), list(KEY))
+    refs = refs.join(asked, "name", "left_semi")
+    if chunks is not None:
+        refs = refs.join(chunks.select(*KEY, F.col("start_line").cast("int").alias("line")), list(KEY))
     first = defs.groupBy("name").agg(F.min(F.struct(*KEY, "line", "kind")).alias("d")).select("name", F.col("d.kind").alias("kind"))
     refs = refs.join(first, "name", "left").select("name", F.lit("ref").alias("role"), F.coalesce("kind", F.lit("unknown")).alias("kind"), "line", *KEY)
     return defs.select("name", F.lit("def").alias("role"), "kind", "line", *KEY).unionByName(refs)

@@ -1,55 +1,85 @@
-"""The search index: relations written as a Parquet generation, and the query operations over them.
+"""The search index: segments of relations on disk, and the query operations over them.
 
-A refresh lists the tree without reading it, reads only files whose size or time is new, and only what came of files that
-really changed is analysed and embedded anew: everything else is copied from the tables of the generation before.  An
-unchanged tree writes nothing.
+A refresh lists the tree without reading it, reads only files whose size or time is new, and analyses and embeds only what
+really changed.  What comes of that is a new segment beside those that are there, with the documents that are dead since;
+an unchanged tree writes nothing.  See :mod:`quernal.plans.store` for commits, snapshots and conflicts.
 """
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernal.operators import chunking, dense, fusion, incremental, lexical, locate, savings
-from quernal.plans.storage import Folder, scratch
-from quernal.sources.files import read_files, read_tree
+from quernal.functions import batches
+from quernal.functions.tokens import identifiers
+from quernal.operators import blocks, chunking, dense, fusion, incremental, lexical, locate, savings
+from quernal.plans.storage import Folder, scratch, scratch_root
+from quernal.plans.store import BUCKETS, MOST_TERMS, SYMBOLS, Commit, Conflict, Store, within, within_blocks
+from quernal.sources.files import normalise_path, read_files, read_tree
 
-VERSION = 2
 KEY = list(lexical.KEY)
-#: What is derived from chunks alone, chunk by chunk.
-DERIVED = ("postings", "lengths", "embedded", "declared", "defs", "refs")
-TABLES = ("chunks", *DERIVED, "manifest")
-#: Tables that are range-partitioned and sorted by a column when written, so that row-group statistics prune their reads.
-SORTED = {"postings": "term", "declared": "name", "defs": "name", "refs": "name"}
 MANIFEST = "path string, size bigint, mtime_nanos bigint, hash string"
-
-
-def _derived(chunks: DataFrame, encoder: dense.Encoder) -> dict[str, DataFrame]:
-    found = scratch(lexical.analysed(chunks))
-    return {
-        "postings": lexical.postings(found), "lengths": lexical.doc_lengths(found), "embedded": encoder.encode(chunks, "content", KEY),
-        "declared": fusion.declared(chunks), "defs": locate.symbol_defs(chunks), "refs": locate.symbol_refs(chunks),
-    }
+#: Times that a refresh begins anew because others have changed the same files meanwhile.
+ATTEMPTS = 5
+#: Files that are replaced, and documents that are found, up to which they are looked up by value; more meet in a join.
+MOST_VALUES = 1000
+#: Postings of all terms of a batch from which on top-k is pruned: below it, scoring them all is one short job.
+PRUNE_FROM = 50_000_000
+
+
+def names_of(chunks: DataFrame) -> DataFrame:
+    """(name, kind, line, doc, key, role): definitions, references, and words behind a definition keyword, in one pass."""
+    kind = "array<struct<role:string,name:string,kind:string,line:int>>"
+    entry = lambda role, name, kind, line: F.struct(F.lit(role).alias("role"), name.alias("name"), kind.cast("string").alias("kind"), line.cast("int").alias("line"))
+    none, start = F.lit(None), F.col("start_line")
+    named = F.array_distinct(F.transform(identifiers("content"), lambda t: F.lower(t)))
+    own = F.transform("symbols", lambda s: s["name"])
+    defs = F.transform("symbols", lambda s: entry("def", s["name"], s["kind"], s["line"])).cast(kind)
+    refs = F.transform(F.array_except(named, own), lambda t: entry("ref", t, none, start)).cast(kind)
+    declared = F.transform(fusion.declared_names("content"), lambda t: entry("declared", t, none, none)).cast(kind)
+    rows = chunks.select("doc", *KEY, F.inline(F.concat(defs, refs, declared)))
+    parts = max(1, chunks.rdd.getNumPartitions() // 4)
+    rows = rows.repartitionByRange(parts, "role", "name") if parts > 1 else rows.coalesce(1)
+    return rows.select("name", "kind", "line", "doc", *KEY, "role").sortWithinPartitions("role", "name", "doc")
 
 
 class SearchIndex:
-    """Chunks, postings, embeddings and symbols, with the operations over them; everything returned is lazy.
+    """A snapshot of an index, with the operations over it.
 
-    With a ``ledger`` (a path) each search is run once more when it is asked for, to log what it saved.
+    A search runs small jobs at once, for its terms and best documents; what it returns is a DataFrame.  With a ``ledger`` (a
+    path) each search is run once more when it is asked for, to log what it saved.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], encoder: dense.Encoder | None = None, ledger: str | None = None, root: str | None = None):
-        self.spark, self.tables, self.encoder, self.ledger, self.root = spark, tables, encoder or dense.HashEncoder(), ledger, root
+    def __init__(self, spark: SparkSession, store: Store, commit: Commit, encoder: dense.Encoder | None = None, ledger: str | None = None, root: str | None = None):
+        self.spark, self.store, self.commit, self.encoder, self.ledger, self.root = spark, store, commit, encoder or dense.HashEncoder(), ledger, root
+        self.alive = store.alive(commit)
+
+    @property
+    def tables(self) -> dict[str, DataFrame]:
+        """The live relations: chunks, embedded, manifest, and declared, defs and refs by role."""
+        names = self.store.live("names", self.commit)
+        by_role = {"declared": names.where("role = 'declared'").select("name", "doc", *KEY), "defs": names.where("role = 'def'").drop("role"), "refs": names.where("role = 'ref'").drop("role", "kind")}
+        return {t: self.store.live(t, self.commit) for t in ("chunks", "embedded", "manifest")} | by_role
+
+    @staticmethod
+    def _derive(encoder: dense.Encoder) -> dict:
+        return {"embedded": lambda kept: encoder.encode(kept, "content", ["doc", *KEY, "language"]), "names": names_of}
 
     @classmethod
-    def of_chunks(cls, chunks: DataFrame, encoder: dense.Encoder | None = None, **more) -> SearchIndex:
-        encoder = encoder or dense.HashEncoder()
-        return cls(chunks.sparkSession, {"chunks": chunks, **_derived(chunks, encoder)}, encoder, **more)
+    def of_chunks(cls, chunks: DataFrame, encoder: dense.Encoder | None = None, home: str | None = None, root: str | None = None, **more) -> SearchIndex:
+        """An index of a table of chunks, in ``home`` or, without one, among the session's intermediate tables."""
+        spark, encoder = chunks.sparkSession, encoder or dense.HashEncoder()
+        store = Store(spark, home or f"{scratch_root(spark)}/index-{uuid.uuid4().hex}")
+        symbols = F.col("symbols").cast(SYMBOLS) if "symbols" in chunks.columns else F.array().cast(SYMBOLS).alias("symbols")
+        chunks = scratch(chunks.withColumn("symbols", symbols))
+        files = chunks.groupBy(F.col("file_path").alias("path")).agg(F.sum(F.octet_length("content")).alias("size"))
+        files = files.select("path", "size", F.lit(None).cast("bigint").alias("mtime_nanos"), F.lit(None).cast("string").alias("hash"), F.lit(False).alias("gone"))
+        base = store.latest()
+        delta = store.write(chunks, cls._derive(encoder), files, replaced=tuple(base.ids) if base else ())
+        return cls(spark, store, store.append(base, delta, root), encoder, root=root, **more)
 
     @classmethod
     def of_tree(cls, spark: SparkSession, root: str, include_text: bool = False, **more) -> SearchIndex:
@@ -58,75 +88,88 @@ class SearchIndex:
             raise ValueError(f"no supported files under {root}")
         return cls.of_chunks(chunks, root=root, **more)
 
-    # -- persistence: a generation is a folder of tables; CURRENT names the one that readers use -----------------
+    # -- persistence ----------------------------------------------------------------------------------------------
 
     @staticmethod
-    def state(spark: SparkSession, home: str) -> dict | None:
-        """What CURRENT says, if it can be read and all tables of that generation are there."""
-        folder = Folder(spark, home)
-        try:
-            found = json.loads(folder.read("CURRENT") or "")
-        except (ValueError, Py4JJavaError):  # no JSON, or a file whose checksum is wrong
-            return None
-        if not isinstance(found, dict) or found.get("version") != VERSION or not isinstance(found.get("generation"), str):
-            return None
-        there = Folder(spark, f"{folder.qualified()}/{found['generation']}")
-        return found | {"path": there.path} if all(there.exists(f"{t}/_SUCCESS") for t in TABLES) else None
+    def state(spark: SparkSession, home: str) -> Commit | None:
+        """The last commit, if it can be read and all tables of its segments are there."""
+        return Store(spark, home).latest()
 
     @classmethod
-    def open(cls, spark: SparkSession, home: str, **more) -> SearchIndex | None:
-        """The current generation, or None: a cache that is missing or broken is never an error."""
-        state = cls.state(spark, home)
-        if state is None:
-            return None
-        return cls(spark, {t: spark.read.parquet(f"{state['path']}/{t}") for t in TABLES}, **({"root": state.get("root")} | more))
+    def open(cls, spark: SparkSession, home: str, version: int | None = None, **more) -> SearchIndex | None:
+        """The last commit or a certain one, or None: a cache that is missing or broken is never an error."""
+        store = Store(spark, home)
+        commit = store.latest() if version is None else store.commit(version)
+        return None if commit is None else cls(spark, store, commit, **({"root": commit.root} | more))
 
     def save(self, home: str) -> SearchIndex:
-        """Write a new generation, then swap the pointer to it; the pointer is the commit.
-
-        The generation before is kept for those who still read it; older ones go.
-        """
-        folder = Folder(self.spark, home)
-        before = self.state(self.spark, home)
-        generation = f"gen-{uuid.uuid4().hex}"
-        path = f"{folder.qualified()}/{generation}"
-        manifest = self.tables.get("manifest", self.spark.createDataFrame([], MANIFEST))
-        for name, table in (*((t, self.tables[t]) for t in TABLES[:-1]), ("manifest", manifest)):
-            if name in SORTED:
-                table = table.repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name])
-            table.write.parquet(f"{path}/{name}")
-        folder.write("CURRENT", json.dumps({"version": VERSION, "generation": generation, "root": self.root}))
-        for old in folder.names():
-            if old.startswith("gen-") and old not in (generation, before and before["generation"]):
-                folder.delete(old)
-        return SearchIndex.open(self.spark, home, encoder=self.encoder, ledger=self.ledger, root=self.root)
+        """A copy of the live chunks as an index of one segment, in place of what is in ``home``."""
+        return SearchIndex.of_chunks(self.tables["chunks"].drop("doc"), self.encoder, home, self.root, ledger=self.ledger)
 
     @classmethod
     def refresh(cls, spark: SparkSession, root: str, home: str, include_text: bool = False, **more) -> SearchIndex:
-        """Incremental build; see the module."""
+        """Bring the index up to the tree; see the module.  If another refresh has changed the same files meanwhile, this one
+        begins anew from there."""
+        for attempt in range(ATTEMPTS):
+            try:
+                return cls._refreshed(spark, root, home, include_text, **more)
+            except Conflict:
+                if attempt + 1 == ATTEMPTS:
+                    raise
+        raise AssertionError
+
+    @classmethod
+    def _refreshed(cls, spark: SparkSession, root: str, home: str, include_text: bool, encoder: dense.Encoder | None = None, **more) -> SearchIndex:
+        encoder, store = encoder or dense.HashEncoder(), Store(spark, home)
+        base = store.latest()
         walk = scratch(read_tree(spark, root, include_text, with_content=False).select(F.col("file_path").alias("path"), "size", "mtime_nanos", "language"))
-        old = cls.open(spark, home, root=root, **more)
-        manifest = old.tables["manifest"] if old else spark.createDataFrame([], MANIFEST)
-        suspects = incremental.suspects(walk, manifest)
-        gone = incremental.deleted(walk, manifest)
+        old = scratch(store.live("manifest", base)) if base else spark.createDataFrame([], f"{MANIFEST}, gone boolean, first_doc bigint, last_doc bigint")
+        suspects = incremental.suspects(walk, old)
+        gone = incremental.deleted(walk, old)
         # content and hash are of one reading; a file that changes after the walk has another time at the next one
         read = read_files(suspects.select(F.col("path").alias("file_path"), "size", "mtime_nanos", "language"), root)
         read = scratch(read.select("*", incremental.content_hash("content").alias("hash")))
+        if base and read.isEmpty() and gone.isEmpty():
+            return cls(spark, store, base, encoder, root=root, **more)
         hashed = read.select(F.col("file_path").alias("path"), "size", "mtime_nanos", "hash")
-        if old and read.isEmpty() and gone.isEmpty():
-            return old
-        states = incremental.classify(hashed, manifest)
-        dirty = scratch(states.where(F.col("state").isin("new", "changed")).select(F.col("path").alias("file_path")))
+        dirty = scratch(incremental.classify(hashed, old).where(F.col("state").isin("new", "changed")).select(F.col("path").alias("file_path")))
         chunks = scratch(chunking.chunk_files(read.join(dirty, "file_path", "left_semi").where("content is not null")))
-        if old is None and chunks.isEmpty():
+        if base is None and chunks.isEmpty():
             raise ValueError(f"no supported files under {root}")
-        index = cls.of_chunks(chunks, root=root, **more)
-        if old:
-            replaced = scratch(dirty.unionByName(gone.select(F.col("path").alias("file_path"))))
-            index.tables = {t: old.tables[t].join(replaced, "file_path", "left_anti").unionByName(index.tables[t]) for t in TABLES[:-1]}
-        kept = manifest.join(hashed.unionByName(gone.select("path", *[F.lit(None).cast(k).alias(c) for c, k in (("size", "bigint"), ("mtime_nanos", "bigint"), ("hash", "string"))])), "path", "left_anti")
-        index.tables["manifest"] = kept.unionByName(hashed)
-        return index.save(home)
+        clean = hashed.join(dirty.withColumnRenamed("file_path", "path"), "path", "left_anti").join(old.select("path", "first_doc", "last_doc"), "path", "left")
+        none = [F.lit(None).cast(kind).alias(c) for c, kind in (("first_doc", "bigint"), ("last_doc", "bigint"))]
+        files = clean.unionByName(hashed.join(dirty.withColumnRenamed("file_path", "path"), "path", "left_semi").select("*", *none)).withColumn("gone", F.lit(False))
+        files = scratch(files.unionByName(gone.join(old, "path").select("path", "size", "mtime_nanos", "hash", *none, F.lit(True).alias("gone"))))
+        replaced = dirty.unionByName(gone.select(F.col("path").alias("file_path")))
+        delta = store.write(chunks, cls._derive(encoder), files, cls._dying(store, base, old, replaced) if base else None)
+        commit = store.append(base, delta, root, lambda: files.select("path"))
+        return cls(spark, store, commit, encoder, root=root, **more)
+
+    @staticmethod
+    def _dying(store: Store, base: Commit, old: DataFrame, replaced: DataFrame) -> DataFrame:
+        """Live chunks of files that are replaced: few files by their ranges of documents, so that little is read."""
+        files = old.where("first_doc is not null").join(replaced.withColumnRenamed("file_path", "path"), "path", "left_semi")
+        few = files.select("first_doc", "last_doc").limit(MOST_VALUES + 1).collect()
+        chunks = store.live("chunks", base)
+        return chunks.where(within([tuple(r) for r in few])) if len(few) <= MOST_VALUES else chunks.join(replaced, "file_path", "left_semi")
+
+    @classmethod
+    def compact(cls, spark: SparkSession, home: str, **more) -> SearchIndex:
+        """Merge all segments into one without the dead; vectors are kept.  A commit that comes between is a conflict."""
+        store = Store(spark, home)
+        base = store.latest()
+        if base is None:
+            raise ValueError(f"no index in {home}")
+        vectors = store.live("embedded", base).select(*KEY, "vector")
+        derive = {"embedded": lambda kept: kept.select("doc", *KEY, "language").join(vectors, KEY).select("doc", *KEY, "language", "vector"), "names": names_of}
+        files = scratch(store.live("manifest", base).select("path", "size", "mtime_nanos", "hash", F.lit(False).alias("gone")))
+        delta = store.write(store.live("chunks", base).drop("doc"), derive, files, replaced=tuple(base.ids))
+        commit = store.append(base, delta, base.root)
+        return cls(spark, store, commit, **({"root": base.root} | more))
+
+    @staticmethod
+    def collect_garbage(spark: SparkSession, home: str, older_than: float) -> int:
+        return Store(spark, home).collect_garbage(older_than)
 
     @staticmethod
     def clear(spark: SparkSession, home: str) -> None:
@@ -137,12 +180,11 @@ class SearchIndex:
     def _asked(self, query: str, alpha: float | None = None) -> DataFrame:
         return self.spark.createDataFrame([(0, query, alpha)], "qid int, query string, alpha double")
 
-    def _chosen(self, languages: list[str] | None, paths: list[str] | None, lenient: bool) -> DataFrame | None:
-        """Keys of the chunks in any of the languages or at any of the paths; None without a filter."""
+    def chosen(self, languages: list[str] | None, paths: list[str] | None, lenient: bool = False) -> list[tuple[int, int]] | None:
+        """The documents in any of the languages or at any of the paths, as ranges of their numbers; None without a filter."""
         if not languages and not paths:
             return None
-        found = self.tables["chunks"].where(F.col("language").isin(languages or []) | F.col("file_path").isin(paths or [])).select(*KEY)
-        return None if lenient and found.isEmpty() else found
+        return self.store.ranges(self.commit, languages, paths) or (None if lenient else [])
 
     def search(self, query: str, k: int = 5, mode: str = "hybrid", alpha: float | None = None, languages: list[str] | None = None, paths: list[str] | None = None, context: int | None = None, lenient_filters: bool = False) -> DataFrame:
         """Ranked chunks; a blank query finds nothing.  A filter that matches nothing gives no rows, or with
@@ -151,11 +193,15 @@ class SearchIndex:
             raise ValueError("k must be at least 1")
         if mode not in ("hybrid", "semantic", "bm25"):
             raise ValueError(f"unknown mode: {mode}")
-        found = self.batch(self._asked(query, alpha).where(F.lit(bool(query.strip()))), k, mode, self._chosen(languages, paths, lenient_filters)).drop("qid")
+        asked = self._asked(query, alpha)
+        found = self.batch(asked if query.strip() else asked.limit(0), k, mode, self.chosen(languages, paths, lenient_filters)).drop("qid")
         return self._finished(found, "search", context)
 
     def _finished(self, found: DataFrame, call: str, context: int | None) -> DataFrame:
-        rows = found.join(self.tables["chunks"], KEY)
+        """found, at most k rows, with the chunks it names, read by their files."""
+        best = found.collect()
+        chunks = self.store.live("chunks", self.commit).where(F.col("file_path").isin(sorted({r.file_path for r in best}))).drop("doc")
+        rows = self.spark.createDataFrame(best, found.schema).join(chunks, KEY)
         if self.ledger:
             rows = scratch(rows)
             self.log_call(rows, call, float(int(time.time())))
@@ -168,42 +214,103 @@ class SearchIndex:
         paths = found.select("file_path").distinct().select("file_path", *[F.lit(None).cast(t).alias(c) for c, t in (("size", "bigint"), ("mtime_nanos", "bigint"), ("language", "string"))])
         return locate.context(found, read_files(paths, self.root).where("content is not null"), n)
 
-    def batch(self, queries: DataFrame, k: int, mode: str = "hybrid", chosen: DataFrame | None = None) -> DataFrame:
-        """queries (qid, query[, alpha]) -> (qid, file_path, chunk_no, score, rank, source), all queries in one plan."""
-        pick = lambda t: t if chosen is None else t.join(chosen, KEY, "left_semi")
+    def words(self, queries: DataFrame, k: int, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+        """The lexical leg: (qid, key, score, rank, source).  Only buckets of the queries' terms are read."""
+        terms, small = self._terms(queries)
+        if small is None:
+            terms = scratch(terms)
+            buckets = [r.b for r in terms.select(blocks.bucket_column("term", BUCKETS).alias("b")).distinct().collect()]
+        else:
+            buckets = sorted({blocks.bucket_of(t, BUCKETS) for t in small})
+        counts = self.store.table("df", self.commit.ids)
+        counts = counts.where(F.col("term").isin(small)) if small is not None else counts.join(terms.select("term").distinct(), "term", "left_semi")
+        weights = blocks.weighed(terms, counts.groupBy("term").agg(F.sum("df").alias("df")), self.commit.n)
+        if small is not None:  # few rows: counted once, here
+            weights = self.spark.createDataFrame(weights.collect(), weights.schema)
+        else:
+            weights = scratch(weights)
+        post = self.store.blocks(self.commit, buckets, small)
+        inside, near = within(ranges), within_blocks(ranges)
+        post = post if near is None else post.where(near)
+        alive = self.alive if inside is None else lambda rows: self.alive(rows.where(inside))
+        total = weights.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+        if total >= PRUNE_FROM:
+            found = blocks.pruned(weights, post, self.commit.avg_len, k, scratch, alive)
+        else:
+            found = blocks.exhaustive(weights, post, self.commit.avg_len, k, alive)
+        return lexical.top_k(self._keyed(found), k, "bm25")
+
+    def _terms(self, queries: DataFrame) -> tuple[DataFrame, list[str] | None]:
+        """(qid, term, mult) of queries; few of them are cut here, and their terms are listed."""
+        some = queries.select("qid", "query").limit(MOST_VALUES + 1).collect()
+        if len(some) > MOST_VALUES:
+            return lexical.query_terms(queries), None
+        tokens = batches.Tokens()
+        rows = [(r.qid, term, float(n)) for r in some for term, n in tokens.count(r.query).items()]
+        listed = sorted({term for _, term, _ in rows})
+        kind = queries.schema["qid"].dataType.simpleString()
+        return self.spark.createDataFrame(rows, f"qid {kind}, term string, mult double"), listed if len(listed) <= MOST_TERMS else None
+
+    def _keyed(self, found: DataFrame) -> DataFrame:
+        """found (qid, doc, score) with the keys of its documents; few documents are looked up by number."""
+        some = found.limit(MOST_VALUES + 1).collect()
+        keys = self.store.table("chunks", self.commit.ids).select("doc", *KEY)
+        if len(some) > MOST_VALUES:
+            return found.join(keys, "doc").drop("doc")
+        keys = keys.where(F.col("doc").isin(sorted({r.doc for r in some})))
+        return self.spark.createDataFrame(some, found.schema).join(F.broadcast(keys), "doc").drop("doc")
+
+    def batch(self, queries: DataFrame, k: int, mode: str = "hybrid", ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+        """queries (qid, query[, alpha]) -> (qid, file_path, chunk_no, score, rank, source), all queries in one plan;
+        ``ranges`` are those of :meth:`chosen`."""
+        inside = within(ranges)
+        pick = lambda t: t if inside is None else t.where(inside)
         depth = fusion.DEPTH * k if mode == "hybrid" else k
-        if mode != "semantic":
-            scores = pick(lexical.bm25_scores(queries, self.tables["postings"], lexical.corpus_stats(self.tables["lengths"])))
-            words = lexical.top_k(scores.where("score > 0"), depth, "bm25")
-            if mode == "bm25":
-                return words
+        if mode == "bm25":
+            return self.words(queries, depth, ranges)
         meaning = dense.semantic_topk(queries, pick(self.tables["embedded"]), depth, self.encoder)
         if mode == "semantic":
             return meaning
+        words = self.words(queries, depth, ranges)
         return fusion.hybrid_topk(queries, pick(self.tables["declared"]), scratch(meaning), scratch(words), k)
 
+    def _place(self, file_path: str) -> str:
+        """A path as the index has it, however it is written."""
+        return normalise_path(self.root, file_path) if self.root else file_path
+
+    def _at(self, file_path: str, line: int) -> DataFrame:
+        """(aid, file_path, chunk_no, exact): the chunk at a line."""
+        anchors = self.spark.createDataFrame([(0, file_path, line)], "aid int, file_path string, line int")
+        return locate.resolve(anchors, self.tables["chunks"].where(F.col("file_path") == file_path))
+
     def find_related(self, file_path: str, line: int, k: int = 5, context: int | None = None) -> DataFrame:
-        """Chunks of the same language most like the one at a line, without itself."""
-        own = self.tables["chunks"].where(F.col("file_path") == file_path)
-        anchor = locate.resolve(self.spark.createDataFrame([(0, file_path, line)], "aid int, file_path string, line int"), own)
-        row = anchor.join(own.select(*KEY, "content", "language"), KEY).first()
+        """Chunks of the same language most like the one at a line, without itself, by the vectors that are kept."""
+        file_path = self._place(file_path)
+        embedded = self.tables["embedded"]
+        asked = embedded.where(F.col("file_path") == file_path).join(self._at(file_path, line), KEY)
+        row = asked.select(*KEY, "language", "vector").first()
         if row is None:
             return self.search("", k)
-        asked = self.spark.createDataFrame([(0, row.content, row.language, row.file_path, row.chunk_no)], "qid int, query string, language string, but_path string, but_no int")
-        embedded = self.tables["embedded"].join(self.tables["chunks"].select(*KEY, "language"), KEY)
-        return self._finished(dense.semantic_topk(asked, embedded, k, self.encoder).drop("qid"), "find_related", context)
+        kind = embedded.schema["vector"].dataType.simpleString()
+        asked = self.spark.createDataFrame([(0, row.language, row.file_path, row.chunk_no, row.vector)], f"qid int, language string, but_path string, but_no int, vector {kind}")
+        same = embedded if row.language is None else embedded.where(F.col("language") == row.language)
+        return self._finished(dense.semantic_topk(asked, same, k, self.encoder).drop("qid"), "find_related", context)
 
     def symbol(self, name: str) -> DataFrame:
-        return self._symbols(self.spark.createDataFrame([(name,)], "name string"))
+        return self._symbols([name])
 
-    def _symbols(self, names: DataFrame) -> DataFrame:
-        return locate.symbol_among(names, self.tables["defs"], self.tables["refs"], self.tables["chunks"])
+    def _symbols(self, names: list[str]) -> DataFrame:
+        """Names are looked for by value, so that sorted files tell which of their parts to read."""
+        low = sorted({n.lower() for n in names})
+        asked = self.spark.createDataFrame([(n,) for n in low], "name string")
+        named = lambda t: self.tables[t].where(F.col("name").isin(low))
+        return locate.symbol_among(asked, named("defs"), named("refs"))
 
     def symbols_at(self, file_path: str, line: int) -> DataFrame:
-        anchors = self.spark.createDataFrame([(0, file_path, line)], "aid int, file_path string, line int")
-        at = locate.resolve(anchors, self.tables["chunks"].where(F.col("file_path") == file_path))
-        names = at.join(self.tables["defs"].select("name", *KEY), KEY).select("aid", "name").distinct()
-        return names.join(self._symbols(names), "name")
+        file_path = self._place(file_path)
+        own = self.tables["defs"].where(F.col("file_path") == file_path)
+        names = [r.name for r in self._at(file_path, line).join(own, KEY).select("name").distinct().collect()]
+        return self._symbols(names).select("name", F.lit(0).alias("aid"), "role", "kind", "line", *KEY)
 
     def with_content(self, rows: DataFrame) -> DataFrame:
         """Symbol rows with the chunk each is in."""
@@ -216,13 +323,10 @@ class SearchIndex:
         return chunks.agg(F.countDistinct("file_path").alias("indexed_files"), F.count("*").alias("total_chunks")).crossJoin(listed)
 
     def file_sizes(self) -> DataFrame:
-        """(file_path, size): bytes of each file, from the manifest where there is one."""
-        if "manifest" in self.tables:
-            return self.tables["manifest"].select(F.col("path").alias("file_path"), "size")
-        return self.tables["chunks"].groupBy("file_path").agg(F.sum(F.octet_length("content")).alias("size"))
+        """(file_path, size): bytes of each file."""
+        return self.tables["manifest"].select(F.col("path").alias("file_path"), "size")
 
     def log_call(self, found: DataFrame, call: str, ts: float) -> None:
         """Append one line to the savings ledger, if the index has one."""
         if self.ledger:
             savings.record(found, self.file_sizes(), call, ts).coalesce(1).write.mode("append").json(self.ledger)
-

@@ -13,6 +13,7 @@ from quernal.operators import dense
 from quernal.plans.index import SearchIndex
 from quernal.plans.render import human_size
 from quernal.plans.storage import Folder
+from quernal.plans.store import Store
 from quernal.sources.files import cloned, is_git_url
 
 MOST_OPEN = 10
@@ -83,9 +84,8 @@ def info(spark: SparkSession, root: str | None, source: Source, include_text: bo
     lines.append(f"cache     {home}")
     if state is None:
         return "\n".join([*lines, "status    not cached"])
-    files = spark.read.parquet(f"{state['path']}/manifest").count()
-    folder = Folder(spark, home)
-    return "\n".join([*lines, "status    cached", f"size      {human_size(folder.size())}", f"files     {files}", f"modified  {folder.modified('CURRENT') // 1000}"])
+    files = Store(spark, home).live("manifest", state).count()
+    return "\n".join([*lines, "status    cached", f"size      {human_size(Folder(spark, home).size())}", f"files     {files}", f"modified  {int(state.at)}"])
 
 
 def clear(spark: SparkSession, root: str, source: Source | None = None, include_text: bool = False, encoder: str = DEFAULT_ENCODER) -> None:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -57,24 +59,44 @@ class Folder:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
-        """Write a small text file whole: under another name first, then renamed."""
-        new, files = self._at(f".{name}-{uuid.uuid4().hex}")
+    def create(self, name: str, text: str) -> bool:
+        """Write a small text file whole, only if there is none of that name; False if there is.
+
+        It is written under another name first.  Locally a hard link gives it its own, elsewhere a rename that doesn't
+        overwrite: either fails if another writer was faster.
+        """
+        path, files = self._at(name)
+        files.mkdirs(path.getParent())
+        new, _ = self._at(f"{name}.{uuid.uuid4().hex}.new")
         stream = files.create(new, True)
         stream.write(bytearray(text.encode("utf-8")))
         stream.close()
-        path, _ = self._at(name)
-        if not files.rename(new, path):  # most file systems don't rename over a file
-            files.delete(path, False)
-            if not files.rename(new, path):
-                raise OSError(f"can't write {path}")
+        jvm = self.spark.sparkContext._jvm
+        try:
+            if files.getUri().getScheme() == "file":
+                plain = [files.makeQualified(p).toUri().getPath() for p in (new, path)]
+                try:
+                    os.link(*plain)
+                except FileExistsError:
+                    return False
+                return True
+            kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+            options = self.spark.sparkContext._gateway.new_array(kind, 1)
+            options[0] = kind.NONE
+            try:
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(new, path, options)
+            except Py4JJavaError as error:
+                if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+                    return False
+                raise
+            return True
+        finally:
+            files.delete(new, False)
 
 
-def scratch(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder that the session names in spark.checkpoint.dir and read it back: what several branches of a
-    plan read is made once.  In local mode a folder of our own serves if none is named.  It goes when the application ends.
-    """
-    spark = df.sparkSession
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, in the one that the session names in spark.checkpoint.dir.  In
+    local mode a folder of our own serves if none is named.  It goes when the application ends."""
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     app = spark.sparkContext.applicationId
     if not named:
@@ -90,6 +112,12 @@ def scratch(df: DataFrame) -> DataFrame:
         path, files = root._at()
         files.mkdirs(path)
         files.deleteOnExit(path)
-    out = f"{root.path}/{uuid.uuid4().hex}"
+    return root.path
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's intermediate tables and read it back: what several branches of a plan read is made once."""
+    spark = df.sparkSession
+    out = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(out)
     return spark.read.schema(df.schema).parquet(out)

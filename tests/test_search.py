@@ -103,8 +103,8 @@ def test_walk_and_index(spark, tmp_path):
     (tree / "keep.go").unlink()
     again = SearchIndex.refresh(spark, str(tree), home)
     assert {(r.file_path, r.content.strip()) for r in again.tables["chunks"].collect()} == {("main.rs", "fn other() {}"), ("_private/x.py", "def parse_query():\n    return HandlerStack")}
-    # the generation before stays for those who still read it
-    assert len([d for d in os.listdir(home) if d.startswith("gen-")]) == 2 and index.search("HandlerStack", k=2).count() == 2
+    # segments stay for those who still read them
+    assert len(os.listdir(f"{home}/chunks")) == 2 and index.search("HandlerStack", k=2).count() == 2
     SearchIndex.clear(spark, home)
     assert SearchIndex.open(spark, home) is None
 
