@@ -5,11 +5,12 @@ range: the documents (as offsets in the range), term frequencies and lengths, an
 frequency and the least length.  Blocks are built where the documents are, in order of their numbers, so no posting is
 shuffled; they are stored in buckets by a hash of the term, so that a query reads the buckets of its terms alone.
 
-:func:`exhaustive` scores every posting of the queries' terms.  :func:`pruned` gives the same top k (Turtle and Flood's
-MaxScore, with Ding and Suel's block bounds, as joins): documents of a query's strongest terms are scored whole first, and the
-k-th of these scores is a threshold.  Terms that together can't reach it are no reason to look at a document, so only
-postings of the others are read, but for blocks whose own bound falls short; what the left-out terms add is looked up only
-for documents that may still get there.
+:func:`exhaustive` scores every posting of the queries' terms, :func:`gathered` does so in numpy, where blocks of a range
+meet as they are: some ten times as fast.  :func:`pruned` gives the same top k (Turtle and Flood's MaxScore, with Ding and
+Suel's block bounds, as joins): documents of a query's strongest terms are scored whole first, and the k-th of these scores
+is a threshold.  Terms that together can't reach it are no reason to look at a document, so only postings of the others are
+read, but for blocks whose own bound falls short; what the left-out terms add is looked up only for documents that may
+still get there.  A query of which that would leave out little is scored exhaustively.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +29,15 @@ from quernal.functions import batches
 from quernal.functions.tokens import path_stem
 from quernal.operators.lexical import K1, B
 
-SHIFT = 8
+SHIFT = 10
 SCHEMA = "term string, range bigint, n int, most_tf int, least_len int, docs array<int>, tfs array<int>, lens array<int>"
 #: Postings of a query's strongest terms, for each wanted result, that the first threshold comes from; documents of them
 #: that are scored whole, for each wanted result.
 SEED_POSTINGS, SEED_DOCS = 50, 4
+#: How many times as many postings a query has as pruning leaves, for it to be pruned.
+WORTH = 3
+#: Queries times documents that are scored at once in a task (8 bytes each, a few times over).
+CELLS = 1 << 21
 #: Scores that differ by less are equal, as everywhere in ranking.
 SLACK = 1e-9
 
@@ -121,6 +127,83 @@ def exhaustive(weights: DataFrame, blocks: DataFrame, avg_len: float, k: int, al
     return best(_scored(blocks, weights, avg_len, alive), k)
 
 
+class Weights:
+    """Weights of the terms of some queries, which every task holds."""
+
+    def __init__(self, rows: list[tuple[object, str, float]]):
+        """rows (qid, term, w)."""
+        terms, qids = sorted({t for _, t, _ in rows}), list(dict.fromkeys(q for q, _, _ in rows))
+        self.terms, self.qids = pa.array(terms, pa.string()), qids
+        place, number = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(qids)}
+        listed = sorted((place[t], number[q], w) for q, t, w in rows)
+        self.queries, self.weights = np.array([q for _, q, _ in listed], np.int64), np.array([w for _, _, w in listed])
+        self.first = np.searchsorted([t for t, _, _ in listed], np.arange(len(terms) + 1))
+
+
+def _gathered(shared, avg_len: float, k: int, kind: str, dead: np.ndarray, ranges: list[tuple[int, int]] | None):
+    """Blocks in order of their ranges -> the k best documents (and ties) of each query among every few ranges."""
+
+    def best_of(weights: Weights, docs: np.ndarray, term: np.ndarray, scored: np.ndarray) -> pa.RecordBatch:
+        n, (there, doc) = len(weights.qids), np.unique(docs, return_inverse=True)
+        fine = ~np.isin(there, dead) if len(dead) else np.ones(len(there), bool)
+        if ranges is not None:
+            fine &= np.any([(there >= a) & (there <= b) for a, b in ranges], axis=0) if ranges else False
+        times = np.diff(weights.first)[term]  # each posting counts for all queries of its term
+        at = np.repeat(weights.first[term] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        cell = weights.queries[at] * len(there) + np.repeat(doc, times)
+        scores = np.bincount(cell, np.repeat(scored, times) * weights.weights[at], n * len(there)).reshape(n, -1)
+        scores = np.where(fine, scores, 0.0)
+        rounded = np.round(scores, 9)
+        cut = np.partition(rounded, -k, axis=1)[:, -k] if k < len(there) else np.zeros(n)
+        query, column = np.nonzero((rounded >= cut[:, None]) & (scores > 0))
+        return pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(there[column]), pa.array(scores[query, column])], names=["no", "doc", "score"])
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights: Weights = shared.value
+        most, held, size, last = max(1, CELLS // len(weights.qids)), [], 0, None
+        for batch in found:
+            terms = pc.index_in(batch.column("term"), weights.terms)
+            batch = batch.filter(pc.is_valid(terms))
+            if not len(batch):
+                continue
+            terms, numbers = terms.drop_null().to_numpy(), batch.column("range").to_numpy()
+            docs, tfs, lens = (batch.column(c).flatten().to_numpy() for c in ("docs", "tfs", "lens"))
+            n = batch.column("n").to_numpy()
+            ends = np.cumsum(n)
+            # only between ranges can what is held be scored: cut the batch where the range changes
+            for some in np.split(np.arange(len(n)), np.flatnonzero(np.diff(numbers)) + 1):
+                if numbers[some[0]] != last:
+                    if size >= most:
+                        yield best_of(weights, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                        held, size = [], 0
+                    size, last = size + (1 << SHIFT), numbers[some[0]]
+                a, b = ends[some[0]] - n[some[0]], ends[some[-1]]
+                tf = tfs[a:b]
+                scored = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[a:b] / (avg_len or 1.0)))
+                held.append(((numbers[some[0]] << SHIFT) + docs[a:b], np.repeat(terms[some], n[some]), scored))
+        if held:
+            yield best_of(weights, *(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def gathered(weights: list[tuple[object, str, float]], kind: str, blocks: DataFrame, avg_len: float, k: int, dead: np.ndarray, ranges: list[tuple[int, int]] | None) -> DataFrame:
+    """The same as :func:`exhaustive` for weights (qid, term, w) that every task can hold, qid of the given type, without
+    the ``dead`` documents and within ``ranges``, if there are any."""
+    spark = blocks.sparkSession
+    if not weights:
+        return spark.createDataFrame([], f"qid {kind}, doc bigint, score double")
+    held = Weights(weights)
+    shared = spark.sparkContext.broadcast(held)
+    rows = blocks.select("range", "term", "n", "docs", "tfs", "lens")
+    rows = rows.repartition("range").sortWithinPartitions("range")
+    found = rows.mapInArrow(_gathered(shared, avg_len, k, kind, dead, ranges), "no int, doc bigint, score double")
+    qids = spark.createDataFrame(list(enumerate(held.qids)), f"no int, qid {kind}")
+    order = Window.partitionBy("no").orderBy(F.round("score", 9).desc())
+    found = found.select("*", F.rank().over(order).alias("place")).where(F.col("place") <= k)
+    return found.join(F.broadcast(qids), "no").select("qid", "doc", "score")
+
+
 def _completed(found: DataFrame, weights: DataFrame, blocks: DataFrame, avg_len: float) -> DataFrame:
     """found (qid, doc, score) with what the given terms add to each."""
     asked = found.join(weights.select("qid", "term", "w"), "qid", "left").withColumn("range", F.shiftright("doc", SHIFT))
@@ -146,7 +229,8 @@ def pruned(weights: DataFrame, blocks: DataFrame, avg_len: float, k: int, table:
     seeds = _completed(table(seeds), ranked.where(~seed), blocks, avg_len)
     kth = seeds.select("*", F.row_number().over(first).alias("i")).where(F.col("i") == k).select("qid", (F.col("score") - SLACK * (1 + F.col("score"))).alias("least"))
     ranked = table(ranked.join(kth, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0))))
-    reason = F.col("onward") >= F.col("least")
+    ranked = ranked.select("*", F.sum("df").over(Window.partitionBy("qid")).alias("all"), F.sum(F.when(F.col("onward") >= F.col("least"), F.col("df")).otherwise(0)).over(Window.partitionBy("qid")).alias("some"))
+    reason = (F.col("onward") >= F.col("least")) | (F.col("some") * WORTH > F.col("all"))
     enough = F.col("w") * impact(F.col("most_tf"), F.col("least_len"), avg_len) + F.col("whole") - F.col("ub") >= F.col("least")
     met = blocks.join(ranked.where(reason).select("qid", "term", "w", "ub", "whole", "least"), "term").where(enough)
     each = met.select("qid", "w", "range", F.inline(F.arrays_zip("docs", "tfs", "lens")))

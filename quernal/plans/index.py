@@ -7,9 +7,11 @@ an unchanged tree writes nothing.  See :mod:`quernal.plans.store` for commits, s
 
 from __future__ import annotations
 
+import math
 import time
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from quernal.functions import batches
 from quernal.functions.tokens import identifiers
 from quernal.operators import blocks, chunking, dense, fusion, incremental, lexical, locate, savings
 from quernal.plans.storage import Folder, scratch, scratch_root
-from quernal.plans.store import BUCKETS, MOST_TERMS, SYMBOLS, Commit, Conflict, Store, within, within_blocks
+from quernal.plans.store import BROADCAST_DEAD, BUCKETS, MOST_TERMS, SYMBOLS, Commit, Conflict, Store, within, within_blocks
 from quernal.sources.files import normalise_path, read_files, read_tree
 
 KEY = list(lexical.KEY)
@@ -26,8 +28,10 @@ MANIFEST = "path string, size bigint, mtime_nanos bigint, hash string"
 ATTEMPTS = 5
 #: Files that are replaced, and documents that are found, up to which they are looked up by value; more meet in a join.
 MOST_VALUES = 1000
-#: Postings of all terms of a batch from which on top-k is pruned: below it, scoring them all is one short job.
-PRUNE_FROM = 50_000_000
+#: Queries whose terms every task holds; more are joined with the blocks.
+MOST_QUERIES = 10_000
+#: Postings of all terms of a batch from which on top-k is pruned: below it, scoring them all in numpy takes less.
+PRUNE_FROM = 2_000_000_000
 
 
 def names_of(chunks: DataFrame) -> DataFrame:
@@ -149,9 +153,11 @@ class SearchIndex:
     def _dying(store: Store, base: Commit, old: DataFrame, replaced: DataFrame) -> DataFrame:
         """Live chunks of files that are replaced: few files by their ranges of documents, so that little is read."""
         files = old.where("first_doc is not null").join(replaced.withColumnRenamed("file_path", "path"), "path", "left_semi")
-        few = files.select("first_doc", "last_doc").limit(MOST_VALUES + 1).collect()
+        few = files.select("path", "first_doc", "last_doc").limit(MOST_VALUES + 1).collect()
         chunks = store.live("chunks", base)
-        return chunks.where(within([tuple(r) for r in few])) if len(few) <= MOST_VALUES else chunks.join(replaced, "file_path", "left_semi")
+        if len(few) > MOST_VALUES:
+            return chunks.join(replaced, "file_path", "left_semi")
+        return chunks.where(within([(r.first_doc, r.last_doc) for r in few]) & F.col("file_path").isin([r.path for r in few]))
 
     @classmethod
     def compact(cls, spark: SparkSession, home: str, **more) -> SearchIndex:
@@ -216,49 +222,70 @@ class SearchIndex:
 
     def words(self, queries: DataFrame, k: int, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
         """The lexical leg: (qid, key, score, rank, source).  Only buckets of the queries' terms are read."""
-        terms, small = self._terms(queries)
-        if small is None:
-            terms = scratch(terms)
-            buckets = [r.b for r in terms.select(blocks.bucket_column("term", BUCKETS).alias("b")).distinct().collect()]
-        else:
-            buckets = sorted({blocks.bucket_of(t, BUCKETS) for t in small})
-        counts = self.store.table("df", self.commit.ids)
-        counts = counts.where(F.col("term").isin(small)) if small is not None else counts.join(terms.select("term").distinct(), "term", "left_semi")
-        weights = blocks.weighed(terms, counts.groupBy("term").agg(F.sum("df").alias("df")), self.commit.n)
-        if small is not None:  # few rows: counted once, here
-            weights = self.spark.createDataFrame(weights.collect(), weights.schema)
+        if k < 1:
+            raise ValueError("k must be at least 1")
+        kind = queries.schema["qid"].dataType.simpleString()
+        some = queries.select("qid", "query").limit(MOST_QUERIES + 1).collect()
+        if len(some) <= MOST_QUERIES:
+            tokens = batches.Tokens()
+            weights = self._weights([(r.qid, term, n) for r in some for term, n in tokens.count(r.query).items()])
+            postings, terms = sum(df for _, _, df, _ in weights), sorted({t for _, t, _, _ in weights})
+            near = within_blocks(ranges)
+            post = self.store.blocks(self.commit, sorted({blocks.bucket_of(t, BUCKETS) for t in terms}), terms)
+            post = post if near is None else post.where(near)
+            if postings < PRUNE_FROM and self.commit.dead <= BROADCAST_DEAD:
+                found = blocks.gathered([(q, t, w) for q, t, _, w in weights], kind, post, self.commit.avg_len, k, self._dead(), ranges)
+            else:
+                found = self._pruned(self.spark.createDataFrame(weights, f"qid {kind}, term string, df bigint, w double"), post, k, ranges)
         else:
-            weights = scratch(weights)
-        post = self.store.blocks(self.commit, buckets, small)
-        inside, near = within(ranges), within_blocks(ranges)
-        post = post if near is None else post.where(near)
+            found = self._many_words(queries, k, ranges)
+        return self._keyed(found, k, len(some) * k <= MOST_VALUES)
+
+    def _weights(self, asked: list[tuple]) -> list[tuple]:
+        """asked (qid, term, times) -> (qid, term, df, w) of the terms that some live document has."""
+        terms = sorted({t for _, t, _ in asked})
+        df: dict[str, int] = {}
+        rows = self.store.table("df", self.commit.ids).select("term", "df")
+        rows = rows.where(F.col("term").isin(terms)) if len(terms) <= MOST_TERMS else rows.join(F.broadcast(self.spark.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")
+        for r in rows.collect() if terms else []:  # a row for each term and segment
+            df[r.term] = df.get(r.term, 0) + r.df
+        n = self.commit.n
+        return [(q, t, df[t], times * math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1)) for q, t, times in asked if df.get(t, 0) > 0]
+
+    def _many_words(self, queries: DataFrame, k: int, ranges: list[tuple[int, int]] | None) -> DataFrame:
+        """The same for queries that no single process should hold."""
+        terms = scratch(lexical.query_terms(queries))
+        buckets = [r.b for r in terms.select(blocks.bucket_column("term", BUCKETS).alias("b")).distinct().collect()]
+        df = self.store.table("df", self.commit.ids).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+        near = within_blocks(ranges)
+        post = self.store.blocks(self.commit, buckets, None)
+        return self._pruned(scratch(blocks.weighed(terms, df, self.commit.n)), post if near is None else post.where(near), k, ranges)
+
+    def _pruned(self, weights: DataFrame, post: DataFrame, k: int, ranges: list[tuple[int, int]] | None) -> DataFrame:
+        inside = within(ranges)
         alive = self.alive if inside is None else lambda rows: self.alive(rows.where(inside))
-        total = weights.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-        if total >= PRUNE_FROM:
-            found = blocks.pruned(weights, post, self.commit.avg_len, k, scratch, alive)
-        else:
-            found = blocks.exhaustive(weights, post, self.commit.avg_len, k, alive)
-        return lexical.top_k(self._keyed(found), k, "bm25")
+        return blocks.pruned(weights, post, self.commit.avg_len, k, scratch, alive)
 
-    def _terms(self, queries: DataFrame) -> tuple[DataFrame, list[str] | None]:
-        """(qid, term, mult) of queries; few of them are cut here, and their terms are listed."""
-        some = queries.select("qid", "query").limit(MOST_VALUES + 1).collect()
-        if len(some) > MOST_VALUES:
-            return lexical.query_terms(queries), None
-        tokens = batches.Tokens()
-        rows = [(r.qid, term, float(n)) for r in some for term, n in tokens.count(r.query).items()]
-        listed = sorted({term for _, term, _ in rows})
-        kind = queries.schema["qid"].dataType.simpleString()
-        return self.spark.createDataFrame(rows, f"qid {kind}, term string, mult double"), listed if len(listed) <= MOST_TERMS else None
+    def _dead(self) -> np.ndarray:
+        if not self.commit.dead:
+            return np.zeros(0, np.int64)
+        return self.store.table("dead", self.commit.ids).select("doc").toArrow().column("doc").to_numpy()
 
-    def _keyed(self, found: DataFrame) -> DataFrame:
-        """found (qid, doc, score) with the keys of its documents; few documents are looked up by number."""
+    def _keyed(self, found: DataFrame, k: int, few: bool) -> DataFrame:
+        """found (qid, doc, score), the best and their ties, with keys and ranks; few documents are looked up by number."""
+        kind = found.schema["qid"].dataType.simpleString()
+        found = found if few else scratch(found)
         some = found.limit(MOST_VALUES + 1).collect()
         keys = self.store.table("chunks", self.commit.ids).select("doc", *KEY)
         if len(some) > MOST_VALUES:
-            return found.join(keys, "doc").drop("doc")
-        keys = keys.where(F.col("doc").isin(sorted({r.doc for r in some})))
-        return self.spark.createDataFrame(some, found.schema).join(F.broadcast(keys), "doc").drop("doc")
+            return lexical.top_k(found.join(keys, "doc").drop("doc"), k, "bm25")
+        named = {r.doc: (r.file_path, r.chunk_no) for r in keys.where(F.col("doc").isin(sorted({r.doc for r in some}))).collect()} if some else {}
+        ranked, place = [], {}
+        for r in sorted(some, key=lambda r: (-round(r.score, 9), named[r.doc])):
+            place[r.qid] = place.get(r.qid, 0) + 1
+            if place[r.qid] <= k:
+                ranked.append((r.qid, *named[r.doc], r.score, place[r.qid], "bm25"))
+        return self.spark.createDataFrame(ranked, f"qid {kind}, file_path string, chunk_no int, score double, rank int, source string")
 
     def batch(self, queries: DataFrame, k: int, mode: str = "hybrid", ranges: list[tuple[int, int]] | None = None) -> DataFrame:
         """queries (qid, query[, alpha]) -> (qid, file_path, chunk_no, score, rank, source), all queries in one plan;

@@ -39,15 +39,15 @@ SCHEMAS = {
     "embedded": "doc bigint, file_path string, chunk_no int, language string, vector array<struct<bucket:int,weight:double>>",
     "names": "name string, kind string, line int, doc bigint, file_path string, chunk_no int, role string",
     "postings": f"{blocks.SCHEMA}, bucket int",
-    "df": "term string, df bigint",
+    "df": "term string, df bigint, tokens bigint",
     "dead": "doc bigint",
     "manifest": "path string, size bigint, mtime_nanos bigint, hash string, gone boolean, first_doc bigint, last_doc bigint",
 }
 PARTS = {"names": ["role"], "postings": ["bucket"]}
 #: A document's number: bits of its place in a part of its segment, of the part, and of the segment.
 ROW_BITS, PART_BITS = 24, 20
-#: Buckets of a segment's postings; segments of fewer postings than this have one (numbered -1).
-BUCKETS, WHOLE = 64, 200_000
+#: Buckets of a segment's postings; segments of less text than this have one (numbered -1).
+BUCKETS, WHOLE = 64, 1 << 20
 #: Text of a part of a segment, about, where there are fewer parts than cores; and where there are more.
 SMALL_PART, LARGE_PART = 1 << 21, 1 << 28
 #: Dead documents that are broadcast at most (8 bytes each); more are left out by a shuffled join.
@@ -202,11 +202,11 @@ class Store:
 
     def ranges(self, commit: Commit, languages: list[str] | None, paths: list[str] | None) -> list[tuple[int, int]]:
         """Documents in any of the languages or at any of the paths, as ranges of numbers: segments are in order of
-        language and path."""
+        language and path, so there is a range for each language and segment, or path, language and segment."""
         found = [(first, last) for s in commit.segments for language, first, last in s[3] if language in (languages or [])]
         if paths:
-            rows = self.live("manifest", commit).where(F.col("path").isin(paths) & F.col("first_doc").isNotNull())
-            found += [(r.first_doc, r.last_doc) for r in rows.select("first_doc", "last_doc").collect()]
+            rows = self.table("chunks", commit.ids).where(F.col("file_path").isin(paths)).groupBy("segment", "language", "file_path")
+            found += [(r.a, r.b) for r in rows.agg(F.min("doc").alias("a"), F.max("doc").alias("b")).collect()]
         return found
 
     def blocks(self, commit: Commit, buckets: Iterable[int], terms: list[str] | None) -> DataFrame:
@@ -250,27 +250,25 @@ class Store:
         self._write("chunks", segment, rows.select(*[c.split()[0] for c in SCHEMAS["chunks"].split(", ")]))
         kept = self._written("chunks", segment)
         post = blocks.built(kept)
-        totals = {"n": 0, "tokens": 0}
+        bucketed, died = size >= WHOLE, 0
         if minus is not None:
             minus = scratch(minus.select("doc", "file_path", "content"))
-            lost = scratch(blocks.built(minus))
-            totals["n"], totals["tokens"] = minus.count(), lost.agg(F.coalesce(F.sum(blocks.n_tokens(lost)), F.lit(0))).first()[0]
-        found: dict[str, object] = {"bucketed": False}
+            lost, died = blocks.built(minus), minus.count()
+        found: dict[str, object] = {}
 
         def write_postings() -> None:
-            rows = post.withColumn("bucket", blocks.bucket_column("term", BUCKETS))
-            rows = scratch(rows)
-            postings, tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(blocks.n_tokens(rows)), F.lit(0))).first()
-            found["tokens"], found["bucketed"] = tokens, postings >= WHOLE
-            if postings >= WHOLE:  # a large bucket takes several files, each with a part of its ranges
-                salt = F.pmod(F.shiftright("range", 14), F.lit(max(1, n >> 22)))
-                self._write("postings", segment, rows.repartition("bucket", salt).sortWithinPartitions("bucket", "term", "range"))
+            if bucketed:  # a large bucket takes several files, each with a part of its ranges
+                salt = F.pmod(F.shiftright("range", 12), F.lit(max(1, n >> 22)))
+                rows = post.withColumn("bucket", blocks.bucket_column("term", BUCKETS)).repartition("bucket", salt)
             else:
-                self._write("postings", segment, rows.withColumn("bucket", F.lit(-1)).coalesce(1).sortWithinPartitions("term", "range"))
-            df = rows.groupBy("term").agg(F.sum("n").alias("df"))
+                rows = post.withColumn("bucket", F.lit(-1)).coalesce(1)
+            self._write("postings", segment, rows.sortWithinPartitions("bucket", "term", "range"))
+            kept_blocks = self._written("postings", segment)
+            df = kept_blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum(blocks.n_tokens(kept_blocks)).alias("tokens"))
             if minus is not None:
-                df = df.unionByName(lost.groupBy("term").agg((-F.sum("n")).alias("df")))
-            self._write("df", segment, df.repartitionByRange(max(1, parts // 4), "term").sortWithinPartitions("term") if postings >= WHOLE else df.coalesce(1).sortWithinPartitions("term"))
+                df = df.unionByName(lost.groupBy("term").agg((-F.sum("n")).alias("df"), (-F.sum(blocks.n_tokens(lost))).alias("tokens")))
+            self._write("df", segment, (df.repartitionByRange(max(1, parts // 4), "term") if bucketed else df.coalesce(1)).sortWithinPartitions("term"))
+            found["tokens"] = self._written("df", segment).agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
 
         def write_manifest() -> None:
             docs = kept.groupBy(F.col("file_path").alias("path")).agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
@@ -290,7 +288,7 @@ class Store:
         with ThreadPoolExecutor(len(jobs)) as pool:
             for job in [pool.submit(job) for job in jobs]:
                 job.result()
-        return Delta((segment, n, bool(found["bucketed"]), found["languages"]), n - totals["n"], found["tokens"] - totals["tokens"], totals["n"], replaced)
+        return Delta((segment, n, bucketed, found["languages"]), n - died, found["tokens"], died, replaced)
 
 
 def within(ranges: list[tuple[int, int]] | None, doc: Column | None = None) -> Column | None:
