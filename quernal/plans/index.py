@@ -149,6 +149,22 @@ class SearchIndex:
         commit = store.append(base, delta, root, lambda: files.select("path"))
         return cls(spark, store, commit, encoder, root=root, **more)
 
+    def upsert(self, chunks: DataFrame, gone: DataFrame | None = None) -> SearchIndex:
+        """Files of a table put in the place of those of the same path, and files that go (file_path): a segment and a commit
+        on top of this snapshot's."""
+        files = chunks.groupBy(F.col("file_path").alias("path")).agg(F.sum(F.octet_length("content")).alias("size"))
+        rows = files.select("path", "size", F.lit(False).alias("gone"))
+        if gone is not None:
+            rows = rows.unionByName(gone.select(F.col("file_path").alias("path"), F.lit(0).cast("bigint").alias("size"), F.lit(True).alias("gone")))
+        rows = scratch(rows.select("path", "size", F.lit(None).cast("bigint").alias("mtime_nanos"), F.lit(None).cast("string").alias("hash"), "gone"))
+        symbols = F.col("symbols").cast(SYMBOLS) if "symbols" in chunks.columns else F.array().cast(SYMBOLS).alias("symbols")
+        chunks = chunks.withColumn("symbols", symbols)
+        replaced = rows.select(F.col("path").alias("file_path"))
+        minus = self._dying(self.store, self.commit, self.store.live("manifest", self.commit), replaced)
+        delta = self.store.write(chunks, self._derive(self.encoder), rows, minus)
+        commit = self.store.append(self.commit, delta, self.root, lambda: rows.select("path"))
+        return SearchIndex(self.spark, self.store, commit, self.encoder, self.ledger, self.root)
+
     @staticmethod
     def _dying(store: Store, base: Commit, old: DataFrame, replaced: DataFrame) -> DataFrame:
         """Live chunks of files that are replaced: few files by their ranges of documents, so that little is read."""

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernal.functions import ranking, tokens
-from quernal.operators import chunking, dense, fusion, incremental, lexical, locate, savings
+from quernal.operators import blocks, chunking, dense, fusion, incremental, lexical, locate, savings
+from quernal.plans import store
+from quernal.plans.index import SearchIndex
 from quernal.plans.storage import scratch
 from quernal.sources import corpus
 
@@ -175,6 +177,54 @@ def bm25_filtered(spark, sf_dir):
     return _out(lexical.top_k(scores.join(chosen, list(lexical.KEY), "left_semi"), K, "bm25"))
 
 
+def _kept(docs: DataFrame) -> SearchIndex:
+    """Documents as an index on disk."""
+    line = lambda name, value: F.lit(value).alias(name)
+    return SearchIndex.of_chunks(docs.select(*lexical.KEY, F.col("lang").alias("language"), "content", line("start_byte", 0), F.octet_length("content").alias("end_byte"), line("start_line", 1), line("end_line", 1)))
+
+
+@_register("bm25_index", ORACLES["bm25_batch"])
+def bm25_index(spark, sf_dir):
+    """The same from posting blocks in buckets, of which only those of the queries' terms are read."""
+    return _out(_kept(corpus.documents(spark, sf_dir)).words(asked(spark, sf_dir), K))
+
+
+@_register("bm25_pruned", ORACLES["bm25_batch"])
+def bm25_pruned(spark, sf_dir):
+    """The same by bounds: documents that can't be among the best are not scored."""
+    index = _kept(corpus.documents(spark, sf_dir))
+    terms = scratch(lexical.query_terms(asked(spark, sf_dir)))
+    buckets = [r.b for r in terms.select(blocks.bucket_column("term", store.BUCKETS).alias("b")).distinct().collect()]
+    df = index.store.table("df", index.commit.ids).groupBy("term").agg(F.sum("df").alias("df"))
+    weights = scratch(blocks.weighed(terms, df, index.commit.n))
+    found = blocks.pruned(weights, index.store.blocks(index.commit, buckets, None), index.commit.avg_len, K, scratch)
+    keys = index.store.table("chunks", index.commit.ids).select("doc", *lexical.KEY)
+    return _out(lexical.top_k(found.join(keys, "doc"), K, "bm25"))
+
+
+@_register("index_filtered", ORACLES["bm25_filtered"])
+def index_filtered(spark, sf_dir):
+    """The selector as ranges of documents: blocks outside them aren't read, nothing is joined."""
+    index = _kept(corpus.documents(spark, sf_dir))
+    return _out(index.words(asked(spark, sf_dir), K, index.chosen(["en"], None)))
+
+
+_STAYED = f"(SELECT * FROM {DOCS} WHERE doc_id % 11 <> 0)"
+
+
+@_register("index_upsert", f"WITH {bm25_sql(_STAYED, ASKED_SQL, K)} {_sel('bm')}")
+def index_upsert(spark, sf_dir):
+    """An index of an older state of the documents, brought up by one segment of those that came, went or changed: its
+    statistics and results are those of the new state."""
+    docs = corpus.documents(spark, sf_dir)
+    old = docs.where("doc_id % 7 <> 0").withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("old "), "content")).otherwise(F.col("content")))
+    came = docs.where("doc_id % 11 <> 0 and (doc_id % 7 = 0 or doc_id % 5 = 0)")
+    line = lambda name, value: F.lit(value).alias(name)
+    came = came.select(*lexical.KEY, F.col("lang").alias("language"), "content", line("start_byte", 0), F.octet_length("content").alias("end_byte"), line("start_line", 1), line("end_line", 1))
+    index = _kept(old).upsert(came, docs.where("doc_id % 11 = 0 and doc_id % 7 <> 0").select("file_path"))
+    return _out(index.words(asked(spark, sf_dir), K))
+
+
 @_register("hash_embed", f"WITH {semantic_sql(DOCS, ONE, K)} SELECT file_path, bucket, round(w, 6) AS weight FROM dw")
 def hash_embed(spark, sf_dir):
     rows = dense.HashEncoder().encode(corpus.documents(spark, sf_dir), "content", list(lexical.KEY))

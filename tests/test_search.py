@@ -128,7 +128,7 @@ def test_ranked_limit_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Python" not in plan and "Arrow" not in plan
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "tokenize_terms", "hybrid_topk", "line_chunks", "savings_summary", "dirty_classify", "context_window"])
+@pytest.mark.parametrize("name", ["bm25_topk", "tokenize_terms", "hybrid_topk", "line_chunks", "savings_summary", "dirty_classify", "context_window", "bm25_index", "bm25_pruned", "index_filtered", "index_upsert"])
 def test_oracles(spark, name):
     db = duckdb.connect()
     for table in ("documents", "benchmark", "conversations", "embeddings", "pages", "labels"):
