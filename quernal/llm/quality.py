@@ -8,7 +8,10 @@ is DataFrame expressions: one pass over the texts and no shuffle.
 A word is a run of characters other than ASCII white space.  Windows of eight words are compared by 64-bit hashes that
 are built in three doubling steps (pairs, fours, eights), so a window costs three hash evaluations, not eight.
 
-Defined cases: a null text counts as empty; an empty text has no words, fails ``few_words`` and is not kept; rows are
+A stored ledger (:func:`store`) answers later policies without the texts (:func:`stored`) and ablations.
+
+Defined cases: a null text counts as empty; a very long text is one row's work, linear but for the sort of its windows; columns
+of docs may have any names; an empty text has no words, fails ``few_words`` and is not kept; rows are
 judged one by one, so repeated rows get equal verdicts; an empty table gives an empty ledger.
 """
 
@@ -19,10 +22,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernal.llm.scratch import Scratch
 from quernal.llm.text import once, packed, table, words_of
 
 WINDOW = 8
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_chars", "n_letters", "n_capitals", "n_stutters", "n_bullet_lines", "n_ellipsis_lines")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_chars", "n_letters", "n_capitals", "n_stutters", "n_bullet_lines", "n_ellipsis_lines", "n_marks", "n_unspaced")
 
 #: name -> condition under which a document fails, over the measurements; a rule's place here is its bit.
 #: Append new rules, never reorder: stored ledgers keep their meaning.
@@ -38,12 +42,19 @@ RULES: dict[str, str] = {
     "bullets": "n_lines > 3 and 100 * n_bullet_lines > 90 * n_lines",
     "ellipses": "n_lines > 3 and 100 * n_ellipsis_lines > 30 * n_lines",
     "stutters": "100 * n_stutters > 20 * n_words",
+    # combining marks are part of letters (Devanagari, Thai); scripts without spaces have long runs, not long words
+    "few_letters_or_marks": "100 * (n_letters + n_marks) < 60 * word_chars",
+    "long_spaced_words": "word_chars > 15 * n_words and 2 * n_unspaced < word_chars",
 }
 BIT = {name: 1 << i for i, name in enumerate(RULES)}
 BASE = ("few_words", "repeated_words")
 #: version -> the rules it applies.
-POLICIES: dict[str, tuple[str, ...]] = {"base-1": BASE, "prose-1": tuple(RULES)}
-POLICY = "prose-1"
+_PROSE_1 = ("few_words", "repeated_words", "symbols", "short_words", "long_words", "few_letters", "capitals", "repeated_lines", "bullets", "ellipses", "stutters")
+_PROSE_2 = ("few_words", "repeated_words", "symbols", "short_words", "long_spaced_words", "few_letters_or_marks", "capitals", "repeated_lines", "bullets", "ellipses", "stutters")
+POLICIES: dict[str, tuple[str, ...]] = {"base-1": BASE, "prose-1": _PROSE_1, "prose-2": _PROSE_2}
+POLICY = "prose-2"
+#: Thai to Tibetan, Burmese, Khmer, kana and Han: scripts written without spaces between words.
+UNSPACED = r"\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 
 
 def mask_of(policy: str) -> int:
@@ -103,6 +114,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_stutters",
         F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]"))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("n_ellipsis_lines"),
+        *[F.when(F.octet_length(joined) == F.char_length(joined), 0).otherwise(F.char_length(joined) - F.char_length(F.regexp_replace(joined, pattern, ""))).cast("long").alias(c) for c, pattern in (("n_marks", r"\p{M}+"), ("n_unspaced", f"[{UNSPACED}]+"))],
     )
     bits = sum((F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()), F.lit(0)).cast("long")
     return step.select("row", *MEASURES, once(bits).alias("failed_bits"))
@@ -126,6 +138,19 @@ def ablations(rows: DataFrame, policies: Mapping[str, tuple[str, ...]] = POLICIE
     return each.groupBy("policy", "without_rule").agg(F.sum("n").alias("n_docs"), F.sum(kept).alias("n_kept"))
 
 
+def store(rows: DataFrame, path: str) -> None:
+    """Append ledger rows to the ledger in a folder, under the number of rules that were known when they were made."""
+    rows.withColumn("rules", F.lit(len(RULES))).write.mode("append").partitionBy("rules").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, policy: str = POLICY) -> DataFrame:
+    """The rows of a stored ledger with ``kept`` by a policy: no text is read.  Rows made before all of the policy's rules
+    were known can't be judged by it: their ``kept`` is null."""
+    known = F.col("rules") >= max(map(list(RULES).index, POLICIES[policy])) + 1
+    rows = spark.read.parquet(path)
+    return rows.withColumn("kept", F.when(known, passes(policy)))
+
+
 def keep(docs: DataFrame, policy: str = POLICY) -> DataFrame:
     """The documents that pass the policy, with their own columns."""
     return ledger(docs).where(passes(policy)).select("row.*")
@@ -138,6 +163,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", *MEASURES, "failed_bits", base.alias("base_failed"), passes().alias("kept"))
 
 
+def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each policy keeps of the documents, whole and with one rule left out, from a stored ledger."""
+    path = f"{Scratch(spark).root}/ledger"
+    store(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), path)
+    return ablations(spark.read.parquet(path))
+
+
 _BITS = " + ".join(f"CASE WHEN {rule} THEN {BIT[name]} ELSE 0 END" for name, rule in RULES.items())
 ORACLE = rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -154,9 +186,14 @@ m AS (
     length(regexp_replace(t, '\P{{L}}', '', 'g'))::BIGINT AS n_letters, length(regexp_replace(t, '\P{{Lu}}', '', 'g'))::BIGINT AS n_capitals,
     len([i for i in range(2, len(words) + 1) if words[i] = words[i - 1]])::BIGINT AS n_stutters,
     len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]')))::BIGINT AS n_bullet_lines,
-    len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$')))::BIGINT AS n_ellipsis_lines
+    len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$')))::BIGINT AS n_ellipsis_lines,
+    length(regexp_replace(t, '\P{{M}}', '', 'g'))::BIGINT AS n_marks, length(regexp_replace(t, '[^{UNSPACED}]', '', 'g'))::BIGINT AS n_unspaced
   FROM w),
 full_m AS (SELECT m.*, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM m LEFT JOIN covered c USING (r)),
 bits AS (SELECT *, ({_BITS})::BIGINT AS failed_bits FROM full_m)
 SELECT doc_id, {", ".join(MEASURES)}, failed_bits, (failed_bits & {mask_of("base-1")}) <> 0 AS base_failed, (failed_bits & {mask_of(POLICY)}) = 0 AS kept FROM bits
 """
+
+_VARIANTS = ", ".join(f"('{p}', {'NULL' if r is None else repr(r)}, {sum(BIT[name] for name in names if name != r)})" for p, names in POLICIES.items() for r in (None, *names))
+ABLATION_ORACLE = f"""WITH q AS ({ORACLE}), v AS (SELECT * FROM (VALUES {_VARIANTS}) v(policy, without_rule, mask))
+SELECT policy, without_rule, count(*)::BIGINT AS n_docs, sum(CASE WHEN failed_bits & mask = 0 THEN 1 ELSE 0 END)::BIGINT AS n_kept FROM q, v GROUP BY policy, without_rule"""

@@ -9,6 +9,7 @@ QUERIES = {
     "op2_licences": licences.query,
     "op3_htmlmain": htmlmain.query,
     "op4_quality": quality.query,
+    "quality_ablations": quality.ablation_query,
     "op5_langid": langid.query,
     "op6_mixing": mixing.query,
     "op7_toxicity": toxicity.query,
@@ -23,6 +24,7 @@ QUERIES = {
 ORACLES = {
     "op2_licences": licences.ORACLE,
     "op4_quality": quality.ORACLE,
+    "quality_ablations": quality.ABLATION_ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op9_secrets": secrets.ORACLE,
     "op10_decontam": decontam.ORACLE,
