@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from quernal.functions.tokens import path_stem, split_identifier
 
-_ID = "[A-Za-z_][A-Za-z0-9_]*"
 # The query patterns, keywords, stopwords and factors that results depend on.
-SYMBOL_QUERY = rf"^(?:{_ID}(?:(?:::|\\|->|\.){_ID})+|_[A-Za-z0-9_]*|[A-Za-z][A-Za-z0-9]*[A-Z_][A-Za-z0-9_]*|[A-Z][A-Za-z0-9]*)$"
+SYMBOL_QUERY = r"^(?:[A-Za-z_][A-Za-z0-9_]*(?:(?:::|\\|->|\.)[A-Za-z_][A-Za-z0-9_]*)+|_[A-Za-z0-9_]*|[A-Za-z][A-Za-z0-9]*[A-Z_][A-Za-z0-9_]*|[A-Z][A-Za-z0-9]*)$"
 EMBEDDED_SYMBOL = r"\b(?:[A-Z][a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*|[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]+)\b"
 DEFINITION_KEYWORDS = ("class", "module", "defmodule", "def", "interface", "struct", "enum", "trait", "func", "function", "fn")
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "has", "have", "how", "if", "in", "is", "it", "not", "of", "on", "or", "the", "to", "was", "with")
@@ -37,14 +36,6 @@ def query_symbols(query: Column) -> Column:
     return F.when(is_symbol_query(query), F.array(last)).otherwise(F.array_distinct(F.regexp_extract_all(query, F.lit(f"({EMBEDDED_SYMBOL})"), 1)))
 
 
-def defines(content: Column, symbol: Column) -> Column:
-    """Whether the content has any "<keyword> <symbol>", as a plain substring."""
-    found = F.lit(False)
-    for keyword in DEFINITION_KEYWORDS:
-        found = found | F.contains(content, F.concat(F.lit(keyword + " "), symbol))
-    return found
-
-
 def path_keywords(query: Column) -> Column:
     words = F.split(F.lower(query), r"\s+")
     return F.filter(words, lambda w: (F.octet_length(w) > 2) & ~w.isin(*STOPWORDS))

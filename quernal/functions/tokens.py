@@ -62,14 +62,8 @@ def path_stem(path: Column | str) -> Column:
     return F.regexp_extract(_col(path), r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def enriched(content: Column | str, path: Column | str) -> Column:
-    """Content followed twice by the file's stem: what the lexical index reads."""
-    stem = path_stem(path)
-    return F.concat_ws(" ", _col(content), stem, stem)
-
-
 def enriched_tokens(content: Column | str, path: Column | str) -> Column:
-    """The tokens of :func:`enriched`, from those of the parts."""
+    """The tokens of what the lexical index reads: the content, followed twice by the file's stem."""
     stem = tokenize(path_stem(path))
     return F.concat(tokenize(content), stem, stem)
 

@@ -7,6 +7,7 @@ than MOST_SHARED queries take several passes over the vectors, so that driver an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import md5
@@ -95,6 +96,82 @@ class TableEncoder:
         return named.join(found, F.col("key") == F.col("known"), "left").select("key.*", F.coalesce("v", F.array().cast(VECTOR)).alias("vector"))
 
 
+class SubwordEncoder:
+    """Static embeddings of subwords: a text's words are cut by greedy longest match over a vocabulary, and the vectors of
+    the pieces, times their weights, are averaged and scaled to length one.  A word that isn't in the vocabulary gets the
+    vector of its parts; characters that no piece begins with are passed over.
+
+    The vocabulary is held by every task, so its size is checked: at most MOST_NUMBERS numbers.
+    """
+
+    MOST_NUMBERS = 1 << 27
+
+    def __init__(self, spark, pieces: list[str], vectors: np.ndarray, weights: np.ndarray | None = None):
+        if vectors.size > self.MOST_NUMBERS or len(pieces) != len(vectors):
+            raise ValueError("a vocabulary of so many numbers isn't held by tasks, or pieces and vectors differ in number")
+        self.size = vectors.shape[1]
+        scaled = vectors * (weights[:, None] if weights is not None else 1.0)
+        number = {}
+        for i, piece in enumerate(pieces):
+            number.setdefault(piece.lower(), i)
+        self.shared = spark.sparkContext.broadcast((number, max(map(len, number), default=0), scaled.astype(np.float32)))
+
+    @classmethod
+    def load(cls, spark, path: str) -> SubwordEncoder:
+        """A Parquet table (piece, vector[, weight]), vectors of one length."""
+        rows = spark.read.parquet(path)
+        weight = F.col("weight").cast("double") if "weight" in rows.columns else F.lit(1.0)
+        rows = rows.select("piece", F.col("vector").cast("array<double>").alias("vector"), weight.alias("weight"))
+        n, least, most = rows.agg(F.count("*"), F.min(F.size("vector")), F.max(F.size("vector"))).first()
+        if not n or least != most or not least or n * least > cls.MOST_NUMBERS:
+            raise ValueError(f"not a table of equally long vectors that tasks can hold: {path}")
+        held = rows.orderBy("piece").toArrow()
+        return cls(spark, held.column("piece").to_pylist(), np.array(held.column("vector").to_pylist()), np.array(held.column("weight").to_pylist()))
+
+    @staticmethod
+    def cut(word: str, number: dict[str, int], longest: int) -> list[int]:
+        """Pieces of a word: at each place the longest that the vocabulary has."""
+        out, at = [], 0
+        while at < len(word):
+            for stop in range(min(len(word), at + longest), at, -1):
+                piece = number.get(word[at:stop])
+                if piece is not None:
+                    out.append(piece)
+                    at = stop
+                    break
+            else:
+                at += 1
+        return out
+
+    def encode(self, rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
+        shared, words_of = self.shared, re.compile(r"[^\W_]+|_").findall
+
+        def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number, longest, vectors = shared.value
+            known: dict[str, list[int]] = {}
+            for part in batches.parts(found):
+                out = []
+                for content in part.column("text").to_pylist():
+                    pieces: list[int] = []
+                    for word in words_of((content or "").lower()):
+                        own = known.get(word)
+                        if own is None:
+                            if len(known) >= batches.REMEMBERED:
+                                known.clear()
+                            own = known[word] = SubwordEncoder.cut(word, number, longest)
+                        pieces += own
+                    mean = np.zeros(vectors.shape[1])
+                    if pieces:
+                        which, times = np.unique(pieces, return_counts=True)
+                        mean = times @ vectors[which].astype(np.float64)
+                    norm = float(np.sqrt(mean @ mean))
+                    out.append([(i, float(x / norm)) for i, x in enumerate(mean)] if norm > 0 else [])
+                yield pa.RecordBatch.from_arrays([part.column("key"), batches.structs(out, [("bucket", pa.int32()), ("weight", pa.float64())])], names=["key", "vector"])
+
+        slim = rows.select(F.struct(*keys).alias("key"), F.col(text).alias("text"))
+        return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, vector {VECTOR}").select("key.*", "vector")
+
+
 def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
     out = np.zeros((len(vectors), size))
     values = vectors.flatten()
@@ -178,12 +255,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Similarity; 0 where either vector is zero."""
-    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
-
-
 def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """queries (qid, asked), vectors (vec_id, embedding) -> (qid, vec_id, similarity, rank): exact, for a stated query set.
 

@@ -1,4 +1,4 @@
-"""Incremental maintenance: which files changed, which went, and the union of what stays with what is new."""
+"""Incremental maintenance: which files changed and which went."""
 
 from __future__ import annotations
 
@@ -30,9 +30,3 @@ def classify(walk: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def deleted(walk: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.join(walk, "path", "left_anti").select("path")
-
-
-def rebuild(chunks: DataFrame, states: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Chunks of clean and touched files stay; ``fresh`` are the chunks of new and changed ones."""
-    clean = states.where(F.col("state").isin("clean", "touched")).select(F.col("path").alias("file_path"))
-    return chunks.join(clean, "file_path", "left_semi").unionByName(fresh)

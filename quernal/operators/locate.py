@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernal.functions.ranking import is_trivial_doc
@@ -10,6 +10,8 @@ from quernal.functions.tokens import identifiers
 from quernal.operators.lexical import KEY
 
 MOST_CONTEXT = 200
+#: Lines of a file that one task orders at most.
+SPAN = 100_000
 
 
 def symbol_defs(chunks: DataFrame) -> DataFrame:
@@ -41,18 +43,65 @@ def symbol_among(names: DataFrame, defs: DataFrame, refs: DataFrame, chunks: Dat
     return defs.select("name", F.lit("def").alias("role"), "kind", "line", *KEY).unionByName(refs)
 
 
+def _nearest_before(rows: DataFrame, by: list[str], pos: str, values: dict[str, Column], reach: int) -> DataFrame:
+    """rows with the greatest of each value over the rows of their group before them by ``pos``, which may be as near as
+    ``reach``; one running pass over each group's order."""
+    frame = Window.partitionBy(*by).orderBy(pos).rangeBetween(Window.unboundedPreceding, -reach)
+    return rows.select("*", *[F.max(v).over(frame).alias(c) for c, v in values.items()])
+
+
 def resolve(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     """anchors (aid, file_path, line) -> (aid, file_path, chunk_no, exact): the chunk that holds the line, else the
-    nearest that isn't only comments; ties prefer symbols, then the later chunk."""
+    nearest that isn't only comments; ties prefer symbols, then the later chunk.
+
+    An as-of join: lines and the ends of chunks are put in one order of their file, and running extremes tell each line the
+    chunks next to it, so the work is that of a sort.  Chunks of a file are in order of their first and last lines, as every
+    chunker makes them.  Files are cut into spans of SPAN lines; what a span doesn't hold comes from the nearest one that
+    does, by the same pass over spans, so no task gets more than a span of a file, or one row for each of its spans.
+    """
+    has = F.size("symbols") > 0 if "symbols" in chunks.columns else F.lit(False)
+    slim = chunks.select(*KEY, F.col("start_line").cast("bigint").alias("s"), F.col("end_line").cast("bigint").alias("e"), has.cast("int").alias("has"), (~is_trivial_doc(F.col("content"))).alias("real"))
+    known = F.struct("e", "s", "has", "chunk_no", "real")
+    no_chunk, no_line = F.lit(None).cast(slim.select(known.alias("k")).schema["k"].dataType), F.lit(None).cast("bigint").alias("anchor")
+    ends = slim.select("file_path", F.col("e").alias("pos"), no_line, known.alias("end"), no_chunk.alias("start"))
+    starts = slim.select("file_path", F.col("s").alias("pos"), no_line, no_chunk.alias("end"), known.alias("start"))
+    asked = anchors.select(F.struct("aid", "line").alias("of"), "file_path", F.col("line").cast("bigint").alias("pos"))
+    lines = asked.select("file_path", "pos").distinct()  # anchors at one line are one event, however many there are
+    lines = lines.select("file_path", "pos", F.col("pos").alias("anchor"), no_chunk.alias("end"), no_chunk.alias("start"))
+    events = ends.unionByName(starts).unionByName(lines).withColumns({"span": F.floor(F.col("pos") / SPAN), "back": -F.col("pos")})
+    end, start = F.col("end"), F.col("start")
+    # what is greatest in these is the first chunk that ends behind or at the line, the best before it, the best behind it
+    behind = {"after": F.when(end.isNotNull(), F.struct((-end["e"]).alias("x"), (-end["chunk_no"]).alias("y"), end["s"].alias("s")))}
+    later = {"next": F.when(start["real"], F.struct((-start["s"]).alias("x"), start["has"].alias("has"), (-start["chunk_no"]).alias("y")))}
+    earlier = {"before": F.when(end["real"], F.struct(end["e"].alias("x"), end["has"].alias("has"), end["s"].alias("s"), (-end["chunk_no"]).alias("y")))}
+    found = _nearest_before(events, ["file_path", "span"], "back", behind | later, 1)
+    found = _nearest_before(found, ["file_path", "span"], "back", {"at": behind["after"]}, 0)
+    found = _nearest_before(found, ["file_path", "span"], "pos", earlier, 1).where("anchor is not null").select("file_path", "span", "anchor", "after", "at", "next", "before")
+    spans = events.groupBy("file_path", "span").agg(*[F.max(v).alias(c) for c, v in (behind | later | earlier).items()]).withColumn("back", -F.col("span"))
+    spans = _nearest_before(spans.select("file_path", "span", "back", *[F.col(c).alias(f"own_{c}") for c in ("after", "next", "before")]), ["file_path"], "back", {"far_after": F.col("own_after"), "far_next": F.col("own_next")}, 1)
+    spans = _nearest_before(spans, ["file_path"], "span", {"far_before": F.col("own_before")}, 1).select("file_path", "span", "far_after", "far_next", "far_before")
+    found = found.join(spans, ["file_path", "span"]).select("file_path", F.col("anchor").alias("pos"), *[F.coalesce(c, f"far_{c}").alias(c) for c in ("after", "next", "before")], F.coalesce("at", "far_after").alias("at"))
+    met = asked.join(found, ["file_path", "pos"]).select("of.aid", "of.line", "file_path", "after", "at", "next", "before")
+    line = F.col("line")
+    held = F.col("after").isNotNull() & (F.col("after.s") <= line)
+    edge = F.col("at").isNotNull() & (-F.col("at.x") == line)
+    gap_next, gap_before = -F.col("next.x") - line, line - F.col("before.x")
+    # equal gaps: the one with symbols, then the later one, which begins behind the line
+    first = F.col("before").isNull() | (gap_next < gap_before) | ((gap_next == gap_before) & (F.col("next.has") >= F.col("before.has")))
+    near = F.when(F.col("next").isNotNull() & first, -F.col("next.y")).otherwise(-F.col("before.y"))
+    number = F.when(held, -F.col("after.y")).when(edge, -F.col("at.y")).otherwise(near)
+    return met.select("aid", "file_path", number.cast(chunks.schema["chunk_no"].dataType).alias("chunk_no"), F.coalesce(held, F.lit(False)).alias("exact")).where("chunk_no is not null")
+
+
+def at_line(chunks: DataFrame, line: int) -> DataFrame:
+    """(key, exact) of the chunk at one line of the one file that the chunks are of: what :func:`resolve` finds."""
     has = F.size("symbols") > 0 if "symbols" in chunks.columns else F.lit(False)
-    rows = chunks.select(*KEY, "start_line", "end_line", has.alias("has"), is_trivial_doc(F.col("content")).alias("trivial"))
-    met = anchors.join(rows, "file_path")
-    line, start, end = F.col("line"), F.col("start_line"), F.col("end_line")
-    grade = F.when((start <= line) & (line < end), 0).when(line == end, 1).when(~F.col("trivial"), 2)
-    gap = F.when(grade < 2, 0).otherwise(F.greatest(start - line, line - end, F.lit(0)))
-    met = met.select("aid", *KEY, grade.alias("grade"), gap.alias("gap"), "has", "start_line").where("grade is not null")
-    best = Window.partitionBy("aid").orderBy("grade", "gap", F.when(F.col("grade") == 2, F.col("has").cast("int")).otherwise(0).desc(), F.when(F.col("grade") == 2, F.col("start_line")).otherwise(0).desc(), "chunk_no")
-    return met.select("*", F.row_number().over(best).alias("i")).where("i = 1").select("aid", *KEY, (F.col("grade") == 0).alias("exact"))
+    start, end = F.col("start_line"), F.col("end_line")
+    grade = F.when((start <= line) & (end > line), 0).when(end == line, 1).when(~is_trivial_doc(F.col("content")), 2)
+    near = F.when(grade == 2, F.greatest(start - line, line - end, F.lit(0))).otherwise(0)
+    rows = chunks.select(*KEY, grade.alias("grade"), near.alias("gap"), F.when(grade == 2, has.cast("int")).otherwise(0).alias("has"), F.when(grade == 2, start).otherwise(0).alias("at"))
+    best = rows.where("grade is not null").orderBy("grade", "gap", F.desc("has"), F.desc("at"), "chunk_no").limit(1)
+    return best.select(*KEY, (F.col("grade") == 0).alias("exact"))
 
 
 def symbols_at(anchors: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ class SearchIndex:
         return {"embedded": lambda kept: encoder.encode(kept, "content", ["doc", *KEY, "language"]), "names": names_of}
 
     @classmethod
-    def of_chunks(cls, chunks: DataFrame, encoder: dense.Encoder | None = None, home: str | None = None, root: str | None = None, **more) -> SearchIndex:
+    def of_chunks(cls, chunks: DataFrame, encoder: dense.Encoder | None = None, home: str | None = None, root: str | None = None, batch: tuple[str, int] | None = None, **more) -> SearchIndex:
         """An index of a table of chunks, in ``home`` or, without one, among the session's intermediate tables."""
         spark, encoder = chunks.sparkSession, encoder or dense.HashEncoder()
         store = Store(spark, home or f"{scratch_root(spark)}/index-{uuid.uuid4().hex}")
@@ -83,7 +83,7 @@ class SearchIndex:
         files = files.select("path", "size", F.lit(None).cast("bigint").alias("mtime_nanos"), F.lit(None).cast("string").alias("hash"), F.lit(False).alias("gone"))
         base = store.latest()
         delta = store.write(chunks, cls._derive(encoder), files, replaced=tuple(base.ids) if base else ())
-        return cls(spark, store, store.append(base, delta, root), encoder, root=root, **more)
+        return cls(spark, store, store.append(base, delta, root, batch=batch), encoder, root=root, **more)
 
     @classmethod
     def of_tree(cls, spark: SparkSession, root: str, include_text: bool = False, **more) -> SearchIndex:
@@ -149,7 +149,7 @@ class SearchIndex:
         commit = store.append(base, delta, root, lambda: files.select("path"))
         return cls(spark, store, commit, encoder, root=root, **more)
 
-    def upsert(self, chunks: DataFrame, gone: DataFrame | None = None) -> SearchIndex:
+    def upsert(self, chunks: DataFrame, gone: DataFrame | None = None, batch: tuple[str, int] | None = None) -> SearchIndex:
         """Files of a table put in the place of those of the same path, and files that go (file_path): a segment and a commit
         on top of this snapshot's."""
         files = chunks.groupBy(F.col("file_path").alias("path")).agg(F.sum(F.octet_length("content")).alias("size"))
@@ -162,7 +162,7 @@ class SearchIndex:
         replaced = rows.select(F.col("path").alias("file_path"))
         minus = self._dying(self.store, self.commit, self.store.live("manifest", self.commit), replaced)
         delta = self.store.write(chunks, self._derive(self.encoder), rows, minus)
-        commit = self.store.append(self.commit, delta, self.root, lambda: rows.select("path"))
+        commit = self.store.append(self.commit, delta, self.root, lambda: rows.select("path"), batch)
         return SearchIndex(self.spark, self.store, commit, self.encoder, self.ledger, self.root)
 
     @staticmethod
@@ -322,9 +322,8 @@ class SearchIndex:
         return normalise_path(self.root, file_path) if self.root else file_path
 
     def _at(self, file_path: str, line: int) -> DataFrame:
-        """(aid, file_path, chunk_no, exact): the chunk at a line."""
-        anchors = self.spark.createDataFrame([(0, file_path, line)], "aid int, file_path string, line int")
-        return locate.resolve(anchors, self.tables["chunks"].where(F.col("file_path") == file_path))
+        """(file_path, chunk_no, exact): the chunk at a line."""
+        return locate.at_line(self.tables["chunks"].where(F.col("file_path") == file_path), line)
 
     def find_related(self, file_path: str, line: int, k: int = 5, context: int | None = None) -> DataFrame:
         """Chunks of the same language most like the one at a line, without itself, by the vectors that are kept."""

@@ -94,8 +94,11 @@ def clear(spark: SparkSession, root: str, source: Source | None = None, include_
 
 
 def load_encoder(spark: SparkSession, named: str) -> dense.Encoder:
-    """``hash``, or the path of a token table."""
-    return dense.HashEncoder() if named == DEFAULT_ENCODER else dense.TableEncoder.load(spark, named)
+    """``hash``, or the path of a table: of subwords, if it has a column ``piece``, else of tokens."""
+    if named == DEFAULT_ENCODER:
+        return dense.HashEncoder()
+    kind = dense.SubwordEncoder if "piece" in spark.read.parquet(named).columns else dense.TableEncoder
+    return kind.load(spark, named)
 
 
 class Session:

@@ -69,6 +69,8 @@ class Commit(NamedTuple):
     tokens: int
     dead: int
     at: float
+    #: The last batch of each stream that is in.
+    batches: dict[str, int] = {}  # noqa: RUF012
 
     @property
     def ids(self) -> list[int]:
@@ -106,7 +108,7 @@ class Store:
             if found["version"] != VERSION:
                 return None
             segments = tuple((s["id"], s["docs"], s["bucketed"], tuple((x[0], x[1], x[2]) for x in s["languages"])) for s in found["segments"])
-            commit = Commit(number, found["root"], segments, found["n"], found["tokens"], found["dead"], found["at"])
+            commit = Commit(number, found["root"], segments, found["n"], found["tokens"], found["dead"], found["at"], found.get("batches", {}))
         except (ValueError, KeyError, TypeError, IndexError, Py4JJavaError):
             return None
         there = all(self.folder.exists(f"{table}/segment={i}/_SUCCESS") for i in commit.ids for table in SCHEMAS)
@@ -116,8 +118,9 @@ class Store:
         numbers = self.numbers()
         return self.commit(numbers[-1]) if numbers else None
 
-    def append(self, base: Commit | None, delta: Delta, root: str | None, touched: Callable[[], DataFrame] | None = None) -> Commit:
-        """Commit ``delta`` on ``base``, or on what others have committed since, if that is about other files."""
+    def append(self, base: Commit | None, delta: Delta, root: str | None, touched: Callable[[], DataFrame] | None = None, batch: tuple[str, int] | None = None) -> Commit:
+        """Commit ``delta`` on ``base``, or on what others have committed since, if that is about other files.  A ``batch`` of
+        a stream that is in already is not committed again."""
         known = self.numbers()
         number = known[-1] if known else 0
         if base is None and number and self.commit(number) is not None:
@@ -126,14 +129,17 @@ class Store:
             base = self._rebased(base, delta, touched)
             number = base.number
         while True:
+            if batch and base and base.batches.get(batch[0], -1) >= batch[1]:
+                return base
+            batches = (base.batches if base else {}) | (dict([batch]) if batch else {})
             kept = tuple(s for s in base.segments if s[0] not in delta.replaced) if base else ()
             n, tokens, dead = (base.n, base.tokens, base.dead) if base else (0, 0, 0)
             if delta.replaced and base:
-                new = Commit(number + 1, root, (*kept, delta.segment), delta.n, delta.tokens, 0, time.time())
+                new = Commit(number + 1, root, (*kept, delta.segment), delta.n, delta.tokens, 0, time.time(), batches)
             else:
-                new = Commit(number + 1, root, (*kept, delta.segment), n + delta.n, tokens + delta.tokens, dead + delta.dead, time.time())
+                new = Commit(number + 1, root, (*kept, delta.segment), n + delta.n, tokens + delta.tokens, dead + delta.dead, time.time(), batches)
             named = [{"id": s[0], "docs": s[1], "bucketed": s[2], "languages": s[3]} for s in new.segments]
-            text = json.dumps({"version": VERSION, "root": root, "segments": named, "n": new.n, "tokens": new.tokens, "dead": new.dead, "at": new.at})
+            text = json.dumps({"version": VERSION, "root": root, "segments": named, "n": new.n, "tokens": new.tokens, "dead": new.dead, "at": new.at, "batches": batches})
             if self.folder.create(f"commits/{new.number:020d}.json", text):
                 return new
             if base is None:

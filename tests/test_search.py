@@ -88,7 +88,7 @@ def test_walk_and_index(spark, tmp_path):
         p = tree / path
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(text if isinstance(text, bytes) else text.encode())
-    assert [p for p, _, _ in files.walk(str(tree), files.extensions())] == ["_private/x.py", "bad.py", "keep.go", "main.rs"]
+    assert sorted(r.file_path for r in files.walk(spark, str(tree), files.extensions()).collect()) == ["_private/x.py", "bad.py", "keep.go", "main.rs"]
     home = str(tmp_path / "home")
     index = SearchIndex.refresh(spark, str(tree), home)
     assert {r.file_path for r in index.tables["chunks"].collect()} == {"main.rs", "_private/x.py", "keep.go"}
