@@ -1,4 +1,4 @@
-"""Embeddings: encoders to sparse unit vectors, exact similarity search of a batch of queries, dense cosine.
+"""Embeddings: encoders to sparse unit vectors, exact similarity search of a batch of queries.
 
 A stated set of queries is compared with all vectors in blocks: its matrix is broadcast, each task multiplies slices of
 its vectors with it and sends on only the best k of each slice, so what is shuffled is a few rows for each query.  More
@@ -16,7 +16,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernal.functions import batches
@@ -30,8 +30,6 @@ VECTOR = "array<struct<bucket:int,weight:double>>"
 MOST_QUERIES = 2048
 #: Queries of one pass over the vectors, about: they go through the driver and to all tasks, some 3 kB each.
 MOST_SHARED = 8 * MOST_QUERIES
-#: Query vectors that knn() broadcasts at once; more queries are taken in blocks.
-MOST_VECTORS = 10_000
 
 
 class Encoder(Protocol):
@@ -249,29 +247,3 @@ def semantic_topk(queries: DataFrame, embedded: DataFrame, k: int, encoder: Enco
     passes = -(-asked.count() // MOST_SHARED)
     of_pass = F.pmod(F.xxhash64("qid"), F.lit(passes))
     return reduce(DataFrame.unionByName, [scratch(ranked(asked.where(of_pass == i).toArrow())) for i in range(passes)])
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)
-
-
-def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """queries (qid, asked), vectors (vec_id, embedding) -> (qid, vec_id, similarity, rank): exact, for a stated query set.
-
-    Norms are computed once per vector; the queries are the broadcast side, in blocks of MOST_VECTORS.
-    """
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    asked = queries.select("qid", "asked", F.sqrt(dot(F.col("asked"), F.col("asked"))).alias("asked_norm"))
-    normed = vectors.select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    n = -(-queries.count() // MOST_VECTORS)
-    of_block = F.pmod(F.xxhash64("qid"), F.lit(max(n, 1)))
-    best = Window.partitionBy("qid").orderBy(F.round("similarity", 9).desc(), "vec_id")
-    size = F.col("norm") * F.col("asked_norm")
-    found = None
-    for i in range(max(n, 1)):
-        pairs = normed.crossJoin(F.broadcast(asked.where(of_block == i) if n > 1 else asked))
-        pairs = pairs.select("qid", "vec_id", F.when(size == 0, 0.0).otherwise(dot(F.col("embedding"), F.col("asked")) / size).alias("similarity"))
-        ranked = pairs.select("*", F.row_number().over(best).alias("rank")).where(F.col("rank") <= k)
-        found = ranked if found is None else found.unionByName(ranked)
-    return found

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernal.functions.ranking import DEFINITION_KEYWORDS, is_symbol_query, path_hits, path_keywords, path_penalty, query_symbols, resolve_alpha
 from quernal.operators.lexical import KEY, top_k
+from quernal.plans.storage import scratch
 
 RRF, DEPTH = 60, 5
 #: Pairs of a query and a symbol that are broadcast at most (some 60 bytes each).
@@ -47,18 +48,16 @@ def boost_definitions(scores: DataFrame, queries: DataFrame, names: DataFrame) -
     """Chunks that define a symbol of the query gain 3 (symbol query) or 1.5 (prose) times the best score, candidates or not.
 
     ``names`` are those of :func:`declared`.  A chunk has "<keyword> <symbol>" as a substring if the symbol begins the word
-    after a keyword: so names and symbols meet by their first characters.  Symbols too many to broadcast meet the beginnings
-    of distinct names, as long as symbols are, by equality.
+    after a keyword: so the beginnings of names, as long as symbols are, meet symbols by equality.
     """
     asked = queries.select("qid", F.explode(query_symbols(F.col("query"))).alias("symbol"), is_symbol_query(F.col("query")).alias("exact"))
-    if asked.count() <= BROADCAST_SYMBOLS:
-        met = names.join(F.broadcast(asked), (F.left("name", F.lit(1)) == F.left("symbol", F.lit(1))) & F.startswith("name", F.col("symbol")))
-    else:
-        lengths = F.array(*[F.lit(row.n) for row in asked.select(F.char_length("symbol").alias("n")).distinct().collect()])
-        begun = names.select("name").distinct().select("name", F.explode(F.filter(lengths, lambda n: n <= F.char_length("name"))).alias("n"))
-        begun = begun.select("name", F.left("name", F.col("n")).alias("symbol")).join(asked.select("symbol").distinct(), "symbol")
-        met = names.join(begun, "name").join(asked, "symbol")
-    found = met.select("qid", *KEY, "exact").distinct()
+    lengths = {row.n: row.c for row in asked.groupBy(F.char_length("symbol").alias("n")).agg(F.count("*").alias("c")).collect()}
+    if not lengths:
+        return scores
+    small = F.broadcast if sum(lengths.values()) <= BROADCAST_SYMBOLS else lambda rows: rows
+    begins = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.char_length("name"))
+    begun = names.select(*KEY, "name", F.explode(begins).alias("n")).select(*KEY, F.left("name", F.col("n")).alias("symbol"))
+    found = begun.join(small(asked), "symbol").select("qid", *KEY, "exact").distinct()
     peak = scores.groupBy("qid").agg(F.max("score").alias("m"))
     bonus = found.join(peak, "qid").select("qid", *KEY, (F.col("m") * F.when(F.col("exact"), SYMBOL_BOOST).otherwise(EMBEDDED_BOOST)).alias("score"))
     return scores.unionByName(bonus).groupBy("qid", *KEY).agg(F.sum("score").alias("score"))
@@ -85,10 +84,11 @@ def saturate_files(scores: DataFrame) -> DataFrame:
 
 def hybrid_topk(queries: DataFrame, names: DataFrame, semantic: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     """Legs are the top DEPTH * k of each; ``names`` are the declared ones, which definitions are looked for in."""
-    scores = boost_files(fuse(queries, semantic, lexical))
+    scores = scratch(boost_files(fuse(queries, semantic, lexical)))  # few rows for each query, which is read three times
     peak = scores.groupBy("qid").agg(F.max("score").alias("m"))
     scores = boost_stems(boost_definitions(scores, queries, names), queries, peak)
-    alpha = queries.select("qid", resolve_alpha(F.col("query"), F.col("alpha") if "alpha" in queries.columns else None).alias("a"))
-    rows = scores.join(alpha, "qid")
-    scores = rows.select("qid", *KEY, (F.col("score") * F.when(F.col("a") < 1, path_penalty(F.col("file_path"))).otherwise(1.0)).alias("score"))
-    return top_k(saturate_files(scores), k, "hybrid")
+    whole = queries.where(resolve_alpha(F.col("query"), F.col("alpha")) >= 1).select("qid", F.lit(True).alias("plain")) if "alpha" in queries.columns else None
+    penalty = path_penalty(F.col("file_path"))
+    if whole is not None:  # meaning alone: paths don't count
+        scores, penalty = scores.join(whole, "qid", "left"), F.when(F.col("plain"), 1.0).otherwise(penalty)
+    return top_k(saturate_files(scores.select("qid", *KEY, (F.col("score") * penalty).alias("score"))), k, "hybrid")

@@ -7,15 +7,18 @@ an unchanged tree writes nothing.  See :mod:`quernal.plans.store` for commits, s
 
 from __future__ import annotations
 
+import functools
 import math
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernal.functions import batches
+from quernal.functions.ranking import query_symbols
 from quernal.functions.tokens import identifiers
 from quernal.operators import blocks, chunking, dense, fusion, incremental, lexical, locate, savings
 from quernal.plans.storage import Folder, scratch, scratch_root
@@ -28,6 +31,8 @@ MANIFEST = "path string, size bigint, mtime_nanos bigint, hash string"
 ATTEMPTS = 5
 #: Files that are replaced, and documents that are found, up to which they are looked up by value; more meet in a join.
 MOST_VALUES = 1000
+#: Symbols up to which their ranges of names are read; of more, all names are.
+MOST_RANGES = 100
 #: Queries whose terms every task holds; more are joined with the blocks.
 MOST_QUERIES = 10_000
 #: Postings of all terms of a batch from which on top-k is pruned: below it, scoring them all in numpy takes less.
@@ -314,8 +319,19 @@ class SearchIndex:
         meaning = dense.semantic_topk(queries, pick(self.tables["embedded"]), depth, self.encoder)
         if mode == "semantic":
             return meaning
-        words = self.words(queries, depth, ranges)
-        return fusion.hybrid_topk(queries, pick(self.tables["declared"]), scratch(meaning), scratch(words), k)
+        with ThreadPoolExecutor(2) as legs:  # neither fills a cluster alone
+            meaning = legs.submit(scratch, meaning)
+            words = legs.submit(self.words, queries, depth, ranges)
+            return fusion.hybrid_topk(queries, pick(self._declared(queries)), meaning.result(), words.result(), k)
+
+    def _declared(self, queries: DataFrame) -> DataFrame:
+        """Declared names that a symbol of the queries may begin: of few symbols each is a range of the sorted names."""
+        symbols = queries.select(F.explode(query_symbols(F.col("query"))).alias("s")).distinct().limit(MOST_RANGES + 1).collect()
+        names = self.tables["declared"]
+        if len(symbols) > MOST_RANGES:
+            return names
+        ranges = [F.col("name").between(r.s, r.s + "\U0010ffff") for r in symbols]
+        return names.where(functools.reduce(lambda a, b: a | b, ranges, F.lit(False)))
 
     def _place(self, file_path: str) -> str:
         """A path as the index has it, however it is written."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernal.functions import ranking, tokens
-from quernal.operators import blocks, chunking, dense, fusion, incremental, lexical, locate, savings
+from quernal.operators import blocks, chunking, dense, fusion, incremental, lexical, locate, metric, savings
 from quernal.plans import store
 from quernal.plans.index import SearchIndex
 from quernal.plans.storage import scratch
@@ -241,7 +241,7 @@ def _knn_sql(where: str, same: str = "true") -> str:
 
 def _knn(spark, sf_dir, where):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    found = dense.knn(vectors.where(where).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("asked")), vectors, K)
+    found = metric.knn(vectors.where(where).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("asked")), vectors, K)
     return found.select("qid", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quernal.functions import ranking, tokens
-from quernal.operators import chunking, dense, locate, savings, structure
+from quernal.operators import chunking, locate, metric, savings, structure
 from quernal.plans import queries, render
 from quernal.plans.index import SearchIndex
 from quernal.sources import files
@@ -66,7 +66,7 @@ def test_structure_falls_back_to_lines():
 
 def test_cosine_and_zero_vector(spark):
     vectors = spark.createDataFrame([(0, [1.0] * 8), (1, [0.7] * 8), (2, [-1.0] * 8), (3, [0.0] * 8)], "vec_id int, embedding array<float>")
-    found = dense.knn(spark.createDataFrame([(9, [1.0] * 8)], "qid int, asked array<float>"), vectors, 4).collect()
+    found = metric.knn(spark.createDataFrame([(9, [1.0] * 8)], "qid int, asked array<float>"), vectors, 4).collect()
     assert [(r.vec_id, round(r.similarity, 6)) for r in sorted(found, key=lambda r: r.rank)] == [(0, 1.0), (1, 1.0), (3, 0.0), (2, -1.0)]
 
 
