@@ -261,7 +261,7 @@ def test_kernel_words():
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracles(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
         db.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     got = registry.QUERIES[name](spark, SMALL)
     columns = sorted(got.columns)
