@@ -9,11 +9,12 @@ from pyspark.sql import SparkSession
 
 from quernal.operators import savings
 from quernal.plans import render, session
+from quernal.plans.storage import Folder
 
 COMMANDS = {
     "search": ("ranked chunks for a query", ["query"]), "related": ("chunks like the one at a line", ["file_path", "line"]), "symbol": ("where a name is defined and referenced", ["name"]),
     "symbols-at": ("the same for all names that the chunk at a line declares", ["file_path", "line"]), "stats": ("build or refresh the index, and count", []), "info": ("is a source's index there", []),
-    "status": ("all indexes", []), "clear": ("delete an index, or all with --all", []), "savings": ("report of a ledger", ["ledger_path"]),
+    "status": ("all indexes", []), "clear": ("delete an index, or all with --all", []), "savings": ("report of the ledger", []),
 }
 
 
@@ -29,10 +30,11 @@ def parser() -> argparse.ArgumentParser:
         command.add_argument("--cache", help="folder of all indexes, or 'none'")
         command.add_argument("--encoder", help="'hash' or the path of a token table")
         command.add_argument("--include-text", action="store_true", help="Markdown, JSON and YAML too")
+        if name in ("search", "related", "savings"):
+            command.add_argument("--ledger", help="where what was saved is logged, or 'none'")
         if name in ("search", "related"):
             command.add_argument("-k", type=int, default=5)
             command.add_argument("--context", type=int, help="lines around each result")
-            command.add_argument("--ledger", help="where to log what was saved")
         if name == "search":
             command.add_argument("--mode", default="hybrid")
             command.add_argument("--alpha", type=float)
@@ -47,7 +49,10 @@ def main(argv: list[str] | None = None) -> str:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("quernal").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "savings":
-        rows = savings.read(spark, a.ledger_path)
+        path = session.ledger_path(a.ledger)
+        if path is None or not Folder(spark, path).exists():
+            return "nothing is logged yet"
+        rows = savings.read(spark, path)
         return savings.report(savings.summary(rows, time.time()).collect(), savings.calls(rows).collect())
     root = session.cache_root() if a.cache is None else None if a.cache == session.NO_CACHE else a.cache
     if a.command == "status":
@@ -63,7 +68,7 @@ def main(argv: list[str] | None = None) -> str:
         return "cleared"
     if a.command == "info":
         return session.info(spark, root, source, a.include_text, encoder)
-    index = session.Session(spark, root, encoder=encoder, ledger=getattr(a, "ledger", None)).get(source.handle, source.ref, a.include_text)
+    index = session.Session(spark, root, encoder=encoder, ledger=session.ledger_path(a.ledger) if "ledger" in a else None).get(source.handle, source.ref, a.include_text)
     if a.command == "stats":
         row = index.stats().first()
         return f"{row.indexed_files} files, {row.total_chunks} chunks, {row.languages}"
@@ -75,7 +80,8 @@ def main(argv: list[str] | None = None) -> str:
         found = index.search(a.query, a.k, a.mode, a.alpha, a.language, a.path, a.context)
     else:
         found = index.find_related(a.file_path, int(a.line), a.k, a.context)
-    return render.results(f"# {a.command}", [r.asDict() for r in found.collect()])
+    rows = [r.asDict() for r in found.collect()]
+    return render.hint(a.query, a.mode) if not rows and a.command == "search" else render.results(f"# {a.command}", rows)
 
 
 def run() -> None:

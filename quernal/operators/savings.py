@@ -52,6 +52,14 @@ def record(found: DataFrame, sizes: DataFrame, call: str, ts: float) -> DataFram
     return snippets.crossJoin(files).select(F.lit(ts).alias("ts"), F.lit(call).alias("call"), "results", "snippet_chars", "file_chars")
 
 
+def records(queries: DataFrame, found: DataFrame, sizes: DataFrame, call: str, ts: float) -> DataFrame:
+    """queries (qid), found (qid, file_path, content), sizes (file_path, size) -> a ledger row for each query of a batch."""
+    snippets = found.groupBy("qid").agg(F.count("*").alias("results"), F.sum(F.octet_length("content")).cast("bigint").alias("snippet_chars"))
+    files = found.select("qid", "file_path").distinct().join(sizes, "file_path").groupBy("qid").agg(F.sum("size").cast("bigint").alias("file_chars"))
+    rows = queries.select("qid").join(snippets, "qid", "left").join(files, "qid", "left")
+    return rows.select(F.lit(ts).alias("ts"), F.lit(call).alias("call"), *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("results", "snippet_chars", "file_chars")])
+
+
 def tokens_text(chars: int) -> str:
     tokens = chars // 4
     return f"~{tokens / 1e6:.1f}M" if tokens >= 1_000_000 else f"~{tokens / 1e3:.1f}k" if tokens >= 1000 else f"~{tokens}"

@@ -12,16 +12,18 @@ import math
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quernal.functions import batches
 from quernal.functions.ranking import query_symbols
 from quernal.functions.tokens import identifiers
 from quernal.operators import blocks, chunking, dense, fusion, incremental, lexical, locate, savings
-from quernal.plans.storage import Folder, scratch, scratch_root
+from quernal.plans.storage import Folder, scratch, scratch_root, temporary
 from quernal.plans.store import BROADCAST_DEAD, BUCKETS, MOST_TERMS, SYMBOLS, Commit, Conflict, Store, within, within_blocks
 from quernal.sources.files import normalise_path, read_files, read_tree
 
@@ -92,10 +94,11 @@ class SearchIndex:
 
     @classmethod
     def of_tree(cls, spark: SparkSession, root: str, include_text: bool = False, **more) -> SearchIndex:
-        chunks = scratch(chunking.chunk_files(read_tree(spark, root, include_text)))
-        if chunks.isEmpty():
-            raise ValueError(f"no supported files under {root}")
-        return cls.of_chunks(chunks, root=root, **more)
+        with temporary(spark):
+            chunks = scratch(chunking.chunk_files(read_tree(spark, root, include_text)))
+            if chunks.isEmpty():
+                raise ValueError(f"no supported files under {root}")
+            return cls.of_chunks(chunks, root=root, **more)
 
     # -- persistence ----------------------------------------------------------------------------------------------
 
@@ -121,7 +124,8 @@ class SearchIndex:
         begins anew from there."""
         for attempt in range(ATTEMPTS):
             try:
-                return cls._refreshed(spark, root, home, include_text, **more)
+                with temporary(spark):
+                    return cls._refreshed(spark, root, home, include_text, **more)
             except Conflict:
                 if attempt + 1 == ATTEMPTS:
                     raise
@@ -221,14 +225,15 @@ class SearchIndex:
         if mode not in ("hybrid", "semantic", "bm25"):
             raise ValueError(f"unknown mode: {mode}")
         asked = self._asked(query, alpha)
-        found = self.batch(asked if query.strip() else asked.limit(0), k, mode, self.chosen(languages, paths, lenient_filters)).drop("qid")
-        return self._finished(found, "search", context)
+        with temporary(self.spark):
+            found = self._ranked(asked if query.strip() else asked.limit(0), k, mode, self.chosen(languages, paths, lenient_filters)).drop("qid")
+            best, schema = found.collect(), found.schema
+        return self._finished(best, schema, "search", context)
 
-    def _finished(self, found: DataFrame, call: str, context: int | None) -> DataFrame:
-        """found, at most k rows, with the chunks it names, read by their files."""
-        best = found.collect()
+    def _finished(self, best: list, schema: StructType, call: str, context: int | None) -> DataFrame:
+        """The best, at most k rows, with the chunks they name, read by their files."""
         chunks = self.store.live("chunks", self.commit).where(F.col("file_path").isin(sorted({r.file_path for r in best}))).drop("doc")
-        rows = self.spark.createDataFrame(best, found.schema).join(chunks, KEY)
+        rows = self.spark.createDataFrame(best, schema).join(chunks, KEY)
         if self.ledger:
             rows = scratch(rows)
             self.log_call(rows, call, float(int(time.time())))
@@ -310,7 +315,15 @@ class SearchIndex:
 
     def batch(self, queries: DataFrame, k: int, mode: str = "hybrid", ranges: list[tuple[int, int]] | None = None) -> DataFrame:
         """queries (qid, query[, alpha]) -> (qid, file_path, chunk_no, score, rank, source), all queries in one plan;
-        ``ranges`` are those of :meth:`chosen`."""
+        ``ranges`` are those of :meth:`chosen`.  With a ledger each query is a line of it."""
+        found = self._ranked(queries, k, mode, ranges)
+        if self.ledger:
+            found = scratch(found)
+            rows = found.join(self.tables["chunks"].select(*KEY, "content"), KEY)
+            savings.records(queries, rows, self.file_sizes(), "search", float(int(time.time()))).coalesce(1).write.mode("append").json(self.ledger)
+        return found
+
+    def _ranked(self, queries: DataFrame, k: int, mode: str, ranges: list[tuple[int, int]] | None) -> DataFrame:
         inside = within(ranges)
         pick = lambda t: t if inside is None else t.where(inside)
         depth = fusion.DEPTH * k if mode == "hybrid" else k
@@ -320,8 +333,8 @@ class SearchIndex:
         if mode == "semantic":
             return meaning
         with ThreadPoolExecutor(2) as legs:  # neither fills a cluster alone
-            meaning = legs.submit(scratch, meaning)
-            words = legs.submit(self.words, queries, depth, ranges)
+            meaning = legs.submit(copy_context().run, scratch, meaning)
+            words = legs.submit(copy_context().run, self.words, queries, depth, ranges)
             return fusion.hybrid_topk(queries, pick(self._declared(queries)), meaning.result(), words.result(), k)
 
     def _declared(self, queries: DataFrame) -> DataFrame:
@@ -352,7 +365,8 @@ class SearchIndex:
         kind = embedded.schema["vector"].dataType.simpleString()
         asked = self.spark.createDataFrame([(0, row.language, row.file_path, row.chunk_no, row.vector)], f"qid int, language string, but_path string, but_no int, vector {kind}")
         same = embedded if row.language is None else embedded.where(F.col("language") == row.language)
-        return self._finished(dense.semantic_topk(asked, same, k, self.encoder).drop("qid"), "find_related", context)
+        found = dense.semantic_topk(asked, same, k, self.encoder).drop("qid")
+        return self._finished(found.collect(), found.schema, "find_related", context)
 
     def symbol(self, name: str) -> DataFrame:
         return self._symbols([name])

@@ -26,6 +26,16 @@ def results(header: str, rows: list) -> str:
     return "\n".join(out)
 
 
+def hint(query: str, mode: str) -> str:
+    """What to try when a search finds nothing."""
+    advice = {
+        "hybrid": "Say it in other words, or look for an exact name with the bm25 mode.",
+        "semantic": "Describe what you look for at more length, or look for an exact name with the bm25 mode.",
+        "bm25": "Write the name just as the code has it, or search by meaning too with the hybrid mode.",
+    }
+    return f'Nothing found for "{query}" in mode {mode}. {advice[mode]}'
+
+
 def location(row: dict) -> str:
     return f"{row['file_path']}:{row['start_line']}-{row['end_line']}"
 

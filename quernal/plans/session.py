@@ -19,6 +19,7 @@ from quernal.sources.files import cloned, is_git_url
 MOST_OPEN = 10
 VERSION = "v1"
 ROOT_VARIABLE, NO_CACHE = "QUERNAL_CACHE_DIR", "none"
+LEDGER_VARIABLE = "QUERNAL_LEDGER"
 ENCODER_VARIABLE, DEFAULT_ENCODER = "QUERNAL_ENCODER", "hash"
 
 
@@ -57,6 +58,13 @@ def cache_root() -> str | None:
     return None if named == NO_CACHE else named or os.path.join(os.path.expanduser("~"), ".cache", "quernal")
 
 
+def ledger_path(asked: str | None = None) -> str | None:
+    """Where the command line logs what searches save: what a call names, else the environment, else a place in the user's
+    home; None if it is switched off by ``none``."""
+    named = asked or os.environ.get(LEDGER_VARIABLE) or os.path.join(os.path.expanduser("~"), ".quernal", "savings")
+    return None if named == NO_CACHE else named
+
+
 def cache_dir(root: str, source: Source, include_text: bool, encoder: str) -> str:
     digest = hashlib.sha256(f"{source.key}|{include_text}|{encoder}".encode()).hexdigest()
     return os.path.join(root, f"{digest}-{VERSION}")

@@ -6,12 +6,16 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 class Folder:
@@ -115,9 +119,24 @@ def scratch_root(spark: SparkSession) -> str:
     return root.path
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`scratch` writes inside are deleted at the end: for calls that need none of them afterwards."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            Folder(spark, path).delete()
+
+
 def scratch(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's intermediate tables and read it back: what several branches of a plan read is made once."""
     spark = df.sparkSession
     out = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(out)
     df.write.parquet(out)
     return spark.read.schema(df.schema).parquet(out)

@@ -10,7 +10,7 @@ from quernal import cli
 from quernal.functions import batches, tokens
 from quernal.operators import chunking, dense, fusion, lexical, savings
 from quernal.plans import index as plans
-from quernal.plans import session, store
+from quernal.plans import session, storage, store
 from quernal.plans.index import SearchIndex
 from quernal.sources import files
 
@@ -118,6 +118,18 @@ def test_searches_are_logged(spark, tree, tmp_path):
     assert {r.call for r in savings.read(spark, ledger).collect()} == {"search", "find_related"}
 
 
+def test_batches_are_logged_and_tables_in_between_go(spark, tree, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    index = SearchIndex.refresh(spark, str(tree), str(tmp_path / "home"), ledger=ledger)
+    queries = spark.createDataFrame([(1, "alpha"), (2, "zzz")], "qid int, query string")
+    assert index.batch(queries, 3, "bm25").count() == 2
+    assert sorted(r.results for r in savings.read(spark, ledger).collect()) == [0, 2]
+    root = storage.Folder(spark, storage.scratch_root(spark))
+    before = set(root.names())
+    assert index.search("alpha", 2, "hybrid").count() == 2
+    assert len(set(root.names()) - before) <= 1  # the rows that the ledger has read
+
+
 def test_numbers_of_a_ledger(spark, tmp_path):
     path = tmp_path / "ledger.jsonl"
     path.write_text('{"ts": 5, "call": "search", "results": 2.5, "snippet_chars": "x", "file_chars": 7}\n{"ts": 6, "snippet_chars": -4, "file_chars": null}\n[1]\nnot json\n')
@@ -125,7 +137,9 @@ def test_numbers_of_a_ledger(spark, tmp_path):
     assert got == [(5.0, "search", 0, 0, 7), (6.0, "unknown", 0, 0, 0)]
 
 
-def test_command_line(spark, tree, tmp_path):
+def test_command_line(spark, tree, tmp_path, monkeypatch):
+    monkeypatch.setenv("QUERNAL_LEDGER", str(tmp_path / "ledger"))
+    assert cli.main(["savings"]) == "nothing is logged yet" == cli.main(["savings", "--ledger", "none"])
     common = ["--source", str(tree), "--cache", str(tmp_path / "cache")]
     assert "not cached" in cli.main(["info", *common])
     assert "2 files" in cli.main(["stats", *common]) and "cached" in cli.main(["info", *common])
@@ -134,6 +148,8 @@ def test_command_line(spark, tree, tmp_path):
     assert "Defined at" in cli.main(["symbol", "alpha", *common]) and "fn beta()" in cli.main(["symbol", "alpha", *common])
     assert "# beta" in cli.main(["symbols-at", "b.rs", "1", *common])
     assert cli.main(["related", "a.py", "3", *common]).startswith("# related")
+    assert "Nothing found" in cli.main(["search", "zzz", "--mode", "bm25", *common]) and "hybrid" in cli.main(["search", "zzz", "--mode", "bm25", *common])
+    assert "3 calls" in cli.main(["savings"]).split("All time")[1].splitlines()[0] or "4 calls" in cli.main(["savings"])
     assert "1 indexes" in cli.main(["status", *common])
     cli.main(["clear", *common])
     assert "0 indexes" in cli.main(["status", *common])
