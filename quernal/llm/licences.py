@@ -11,6 +11,9 @@ may repeat or be null; a text of any length is one row; an empty table gives no
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterable
 from functools import cache
 from importlib import resources
 
@@ -30,16 +33,14 @@ SPELLINGS = {
     "realise": "realize", "recognise": "recognize", "signalling": "signaling", "sub license": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
 
-#: (pattern, replacement), in order; read alike by Java's regular expressions and by RE2.
+#: (pattern, replacement), in order, after copyright lines are gone; read alike by Java's regular expressions and by RE2.
 STEPS: tuple[tuple[str, str], ...] = (
-    (r"(?m)^[^\p{L}\n]*(copyright|©|\(c\))[^\n]*$", " "),
     (r"(?m)^[^\p{L}\n]*all rights reserved[^\p{L}\n]*$", " "),
     (r"https?://", " "),
     (r"©|\(c\)", " copyright "),
     (r"[^\p{L}\p{N}]+", " "),
 )
-#: Stands in for the first step, which also deletes lines of prose that a wrapping begins with 'copyright' or the item
-#: '(c)' of a list (the oracle's SQL keeps that step).  A copyright line names a year or a holder; RE2 can't read this.
+#: A copyright line names a year or a holder: prose that a wrapping begins with 'copyright', or the item '(c)' of a list, is none.
 _PROSE_WORDS = "notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|disclaimers?|treat(?:y|ies)|acts?|protections?|permissions?|infringements?|rights?|ownership|status|or|and|in|on|is|are|as|for|to|that|which|with|under|patent|trademark|the (?:software|program|library|work|document)"
 COPYRIGHT_LINE = rf"(?m)^[^\p{{L}}\n]*(?:copyright\b(?!\s*(?:[,;.]|(?:{_PROSE_WORDS})\b))[^\n]*|©[^\n]*|\(c\)(?:[^\n]*(?:©|copyright \d|\b(?:19|20)\d\d\b)[^\n]*|[ \t]+[^\n,;:]{{1,40}}))$"
 ANY_SPELLING = rf"\b({'|'.join(SPELLINGS)})\b"
@@ -65,12 +66,36 @@ LICENCES: tuple[tuple[str, str], ...] = (
 )
 #: The BSD licences with points for the numbers of their list (no other digits are in them).
 LICENCES += tuple((name, text.removeprefix(title).translate(_BSD_POINTS)) for name, text in LICENCES if name.startswith("BSD") for title in {"", f"{name[:3]} {name[4:]} License\n"})
-#: Fixed values: (licence, notice of one line).
-NOTICES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+#: Fixed values: (licence, a name that notices call it by).
+NAMES: tuple[tuple[str, str], ...] = (
+    ("0BSD", "BSD Zero Clause License"), ("AGPL-3.0", "GNU Affero General Public License"), ("AGPL-3.0", "GNU AGPL"), ("AGPL-3.0", "AGPL"),
+    ("Apache-2.0", "Apache License"), ("Apache-2.0", "Apache"), ("Artistic-2.0", "Artistic License"), ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "Simplified BSD License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", "New BSD License"), ("BSL-1.0", "Boost Software License"),
+    ("CC-BY-4.0", "CC BY"), ("CC-BY-4.0", "Creative Commons Attribution"), ("CC-BY-NC-4.0", "CC BY-NC"), ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial"),
+    ("CC-BY-SA-4.0", "CC BY-SA"), ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike"), ("CC0-1.0", "CC0"), ("EPL-2.0", "Eclipse Public License"),
+    ("GPL-2.0", "GNU General Public License"), ("GPL-2.0", "GNU GPL"), ("GPL-2.0", "GPL"), ("GPL-3.0", "GNU General Public License"), ("GPL-3.0", "GNU GPL"), ("GPL-3.0", "GPL"),
+    ("ISC", "ISC License"), ("LGPL-2.1", "GNU Lesser General Public License"), ("LGPL-2.1", "LGPL"), ("LGPL-3.0", "GNU Lesser General Public License"), ("LGPL-3.0", "LGPL"),
+    ("MIT", "MIT License"), ("MPL-2.0", "Mozilla Public License"), ("MPL-2.0", "MPL"), ("Unlicense", "Unlicense"), ("Zlib", "zlib License"),
 )
+#: How a name goes on if the licence has a version.
+VERSIONED = ("{name} {version}", "{name}, version {version}", "{name} v{version}", "{name} {version} License", "{name} {version} International License")
+#: How a notice begins, in the normal form of its line; what follows is looked up.
+OPENING = r"^ ?(?:spdx license identifier |(?:this (?:work|software|project|program|file|document|code) is )?(?:licen[cs]ed|released|distributed|available) under )(?:the )?(.+)$"
+
+
+def _notices() -> tuple[tuple[str, str], ...]:
+    """(licence, what a notice calls it): each name, with its version if it has one, and the licence's tag."""
+    called = []
+    for licence, name in NAMES:
+        version = licence.rpartition("-")[2]
+        if version.removesuffix(".0").replace(".", "").isdigit() and "." in version:
+            called += [(licence, form.format(name=name, version=v)) for form in VERSIONED for v in dict.fromkeys((version, version.removesuffix(".0")))]
+        else:
+            called.append((licence, name))
+    return (*called, *((licence, tag) for licence in dict(NAMES) for tag in (licence, f"{licence}-only", f"{licence}-or-later")))
+
+
+NOTICES = _notices()
 
 
 #: Every notice has this in it, whatever its spelling: other lines aren't normalised.
@@ -79,7 +104,7 @@ ANY_NOTICE = r"(?i)licen[cs]"
 
 def _plain(text: Column) -> Column:
     plain = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, replacement in ((COPYRIGHT_LINE, " "), *STEPS[1:]):
+    for pattern, replacement in ((COPYRIGHT_LINE, " "), *STEPS):
         plain = F.regexp_replace(plain, pattern, replacement)
     return plain
 
@@ -116,22 +141,27 @@ def _known(spark: SparkSession, entries: tuple[tuple[str, str], ...]) -> DataFra
     return F.broadcast(digested(rows, "known_text").withColumnRenamed("digest", "known").distinct())
 
 
-def _noticed(spark: SparkSession, text: Column) -> Column:
+def _noticed(text: Column) -> Column:
     """The sorted licences that lines of a text give notice of."""
-    known = [F.lit(x) for row in _known(spark, NOTICES).collect() for x in (row.known, row.licence)]
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(ANY_NOTICE))
-    digests = F.transform(F.transform(lines, _plain), _respelt)
-    found = F.transform(digests, lambda d: F.element_at(F.create_map(*known), d))
-    return F.when(text.rlike(ANY_NOTICE), F.sort_array(F.array_distinct(F.array_compact(found))))
+    lines = F.transform(F.filter(F.split(text, "\n"), lambda line: line.rlike(ANY_NOTICE)), _plain)
+    digests = F.transform(F.transform(lines, lambda line: F.regexp_extract(line, OPENING, 1)), _respelt)
+    known = F.create_map(*(F.lit(x) for digest, licence in sorted(noticed().items()) for x in (digest, licence)))
+    return F.when(text.rlike(ANY_NOTICE), F.sort_array(F.array_distinct(F.array_compact(F.transform(digests, lambda d: F.element_at(known, d))))))
 
 
-def licences(docs: DataFrame) -> DataFrame:
+def licences(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, digest, licence, notices): the licence that the whole text is, or null, and the
-    sorted licences that lines of it give notice of."""
+    sorted licences that lines of it give notice of.  ``known`` (licence, text) has licences beside those of this module;
+    of several with one digest the first by name counts, and texts without a word count for nothing."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", F.coalesce(_noticed(spark, F.col("text")), F.array().cast("array<string>")).alias("notices"), "text")
-    whole = digested(rows, "text").join(_known(spark, LICENCES + published()), F.col("digest") == F.col("known"), "left")
+    rows = rows.select("doc_id", F.coalesce(_noticed(F.col("text")), F.array().cast("array<string>")).alias("notices"), "text")
+    texts = _known(spark, LICENCES + published())
+    if known is not None:
+        others = digested(known.select("licence", F.col("text").cast("string").alias("text")), "text").withColumnRenamed("digest", "known")
+        others = others.where(F.col("known") != plain_digest(""))
+        texts = texts.unionByName(others).groupBy("known").agg(F.min("licence").alias("licence"))
+    whole = digested(rows, "text").join(texts, F.col("digest") == F.col("known"), "left")
     return whole.select("doc_id", "digest", "licence", "notices")
 
 
@@ -140,22 +170,54 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def _sql(text: str) -> str:
-    out = f"lower(coalesce({text}, ''))"
-    for pattern, replacement in (*STEPS, *((rf"\b{word}\b", other) for word, other in SPELLINGS.items())):
-        out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
-    return f"sha256(trim({out}))"
+def plain_digest(text: str) -> str:
+    """The digest of a text in plain Python, for texts of ASCII letters and digits: tests and the oracle hold the expressions against it."""
+    plain = text.lower()
+    for pattern, replacement in ((COPYRIGHT_LINE, " "), *STEPS, *((rf"\b{word}\b", other) for word, other in SPELLINGS.items())):
+        plain = re.sub(pattern.replace(r"[^\p{L}\n]", r"[^a-z\n]").replace(r"[^\p{L}\p{N}]", "[^a-z0-9]").replace(r"[^\p{L}]", "[^a-z]"), replacement, plain)
+    return hashlib.sha256(plain.strip(" ").encode()).hexdigest()
+
+
+@cache
+def noticed() -> dict[str, str]:
+    """The licence of each notice's digest."""
+    return {plain_digest(notice): licence for licence, notice in NOTICES}
+
+
+#: RE2 can't look ahead: prose that a line begins with gets a letter before it that no text has, and loses it afterwards.
+_SHIELD = "\ua66e"
+_SQL_STEPS = (
+    (rf"(?m)^([^\p{{L}}\n]*)(copyright\s*(?:[,;.]|(?:{_PROSE_WORDS})\b))", rf"\1{_SHIELD}\2"),
+    (re.sub(r"\(\?!.*?\)\\b\)\)", "", COPYRIGHT_LINE), " "),
+    (_SHIELD, ""),
+    *STEPS,
+)
+
+
+def _sql_plain(text: str) -> str:
+    return _replaced(f"lower(coalesce({text}, ''))", _SQL_STEPS)
+
+
+def _sql_digest(plain: str) -> str:
+    return f"sha256(trim({_replaced(plain, ((rf'\b{word}\b', other) for word, other in SPELLINGS.items()))}))"
+
+
+def _replaced(text: str, steps: Iterable[tuple[str, str]]) -> str:
+    for pattern, replacement in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{replacement}', 'g')"
+    return text
 
 
-def _values(entries: tuple[tuple[str, str], ...]) -> str:
-    return ", ".join(f"('{a}', '{b}')" for a, b in dict.fromkeys(entries))
+def _values(digests: dict[str, str]) -> str:
+    return ", ".join(f"('{licence}', '{digest}')" for digest, licence in sorted(digests.items()))
 
 
 ORACLE = f"""
-WITH k AS (SELECT DISTINCT licence, {_sql("t")} AS digest FROM (VALUES {_values(LICENCES)}) v(licence, t)),
-n AS (SELECT DISTINCT licence, {_sql("t")} AS digest FROM (VALUES {_values(NOTICES)}) v(licence, t)),
-d AS (SELECT doc_id, text, {_sql("text")} AS digest FROM documents),
-l AS (SELECT doc_id, {_sql("line")} AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+WITH k(licence, digest) AS (VALUES {_values({plain_digest(text): name for name, text in LICENCES + published()})}),
+n(licence, digest) AS (VALUES {_values(noticed())}),
+d AS (SELECT doc_id, text, {_sql_digest(_sql_plain("text"))} AS digest FROM documents),
+p AS (SELECT doc_id, {_sql_plain("line")} AS plain FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '{ANY_NOTICE}')),
+l AS (SELECT doc_id, {_sql_digest("called")} AS digest FROM (SELECT doc_id, regexp_extract(plain, '{OPENING}', 1) AS called FROM p)),
 f AS (SELECT doc_id, list_sort(list(DISTINCT licence)) AS notices FROM l JOIN n USING (digest) GROUP BY doc_id)
 SELECT d.doc_id, d.digest, k.licence, coalesce(f.notices, []::VARCHAR[]) AS notices
 FROM d LEFT JOIN k USING (digest) LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id

@@ -2,6 +2,9 @@
 
 import textwrap
 
+import duckdb
+import pyarrow
+
 from quernal.llm import licences
 
 
@@ -57,3 +60,41 @@ def test_rows_are_judged_by_themselves(spark):
     got = licences.licences(frame).collect()
     assert sorted((r.doc_id or 0, r.licence, r.notices) for r in got) == sorted([(0, None, []), (0, None, ["MIT"]), (7, None, ["CC-BY-4.0"]), (7, None, []), (8, None, []), (9, None, []), (10, None, ["CC-BY-4.0"])])
     assert len({r.digest for r in got if r.doc_id in (8, 9)}) == 1
+
+
+def test_notices(spark):
+    lines = {
+        "Licensed under the Apache License, Version 2.0 (the": [], "// SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0"], "# This project is licenced under the MIT licence": ["MIT"],
+        "Licensed under the GNU AGPL v3.": ["AGPL-3.0"], "Distributed under the Boost Software License, Version 1.0.": ["BSL-1.0"], "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.": ["CC-BY-NC-4.0"],
+        "We licensed under protest": [], "Released under the MIT License.\nSPDX-License-Identifier: Apache-2.0\nreleased under the mit license": ["Apache-2.0", "MIT"],
+    }
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert [r.notices for r in licences.licences(rows).orderBy("doc_id").collect()] == list(lines.values())
+
+
+def planted():
+    """Whole licences, wrapped and with holders, among notices and prose."""
+    texts = [None, "", "© notice of a thing", "plain prose", "Copyright notices\nare prose", "(c) Some Body\nwords", "copyright\nnotice", "SPDX-License-Identifier: 0BSD\nx"]
+    for name, text in licences.LICENCES + licences.published():
+        texts += [text, f"Copyright (c) 2020, Some Body\nAll rights reserved.\n\n{text}", f"{name}\n{text}", text.upper()]
+        texts += [f"(c) 1999 A\n\n{textwrap.fill(text, width, break_long_words=False, break_on_hyphens=False)}" for width in (41, 66, 79)]
+    return texts
+
+
+def test_sql_says_the_same_of_planted_rows(spark):
+    texts = planted()
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    documents = pyarrow.table({"doc_id": list(range(len(texts))), "text": texts})
+    with duckdb.connect() as db:
+        db.register("documents", documents)
+        other = {r[0]: r[1:] for r in db.sql(licences.ORACLE).fetchall()}
+    ours = {r.doc_id: (r.digest, r.licence, r.notices) for r in licences.licences(rows).collect()}
+    assert ours == other and len({licence for _, licence, _ in ours.values()}) > 20
+    asked = [i for i, text in enumerate(texts) if text is not None and text.isascii()]
+    assert [licences.plain_digest(texts[i]) for i in asked] == [ours[i][0] for i in asked]
+
+
+def test_known_texts_of_ones_own(spark):
+    own = spark.createDataFrame([("Own-1.0", "Do as you like,\nbut tell."), ("Also", "do as you like but tell"), ("None", None)], "licence string, text string")
+    rows = spark.createDataFrame([(1, "DO AS YOU LIKE but tell!"), (2, licences._MIT), (3, "x"), (4, None), (5, "")], "doc_id long, text string")
+    assert [r.licence for r in licences.licences(rows, own).orderBy("doc_id").collect()] == ["Also", "MIT", None, None, None]
