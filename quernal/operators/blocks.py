@@ -6,7 +6,7 @@ frequency and the least length.  Blocks are built where the documents are, in or
 shuffled; they are stored in buckets by a hash of the term, so that a query reads the buckets of its terms alone.
 
 :func:`exhaustive` scores every posting of the queries' terms, :func:`gathered` does so in numpy, where blocks of a range
-meet as they are: some ten times as fast.  :func:`pruned` gives the same top k (Turtle and Flood's MaxScore, with Ding and
+meet as they are: some ten times as fast, and no posting is a row that is shuffled.  :func:`pruned` gives the same top k (Turtle and Flood's MaxScore, with Ding and
 Suel's block bounds, as joins): documents of a query's strongest terms are scored whole first, and the k-th of these scores
 is a threshold.  Terms that together can't reach it are no reason to look at a document, so only postings of the others are
 read, but for blocks whose own bound falls short; what the left-out terms add is looked up only for documents that may
@@ -37,7 +37,9 @@ SEED_POSTINGS, SEED_DOCS = 50, 4
 #: How many times as many postings a query has as pruning leaves, for it to be pruned.
 WORTH = 3
 #: Queries times documents that are scored at once in a task (8 bytes each, a few times over).
-CELLS = 1 << 21
+CELLS = 1 << 19
+#: Weights of queries' terms that every task holds when documents are pruned (some 200 bytes each); more meet in joins.
+MOST_HELD = 500_000
 #: Scores that differ by less are equal, as everywhere in ranking.
 SLACK = 1e-9
 
@@ -130,75 +132,129 @@ def exhaustive(weights: DataFrame, blocks: DataFrame, avg_len: float, k: int, al
 class Weights:
     """Weights of the terms of some queries, which every task holds."""
 
-    def __init__(self, rows: list[tuple[object, str, float]]):
-        """rows (qid, term, w)."""
-        terms, qids = sorted({t for _, t, _ in rows}), list(dict.fromkeys(q for q, _, _ in rows))
+    def __init__(self, rows: list[tuple[object, str, float, bool]], least: dict[object, float] | None = None):
+        """rows (qid, term, w, strong); with ``least``, the score that a query's documents must reach, terms that aren't
+        strong are no reason to look at a document."""
+        terms, qids = sorted({t for _, t, _, _ in rows}), list(dict.fromkeys(q for q, _, _, _ in rows))
         self.terms, self.qids = pa.array(terms, pa.string()), qids
         place, number = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(qids)}
-        listed = sorted((place[t], number[q], w) for q, t, w in rows)
-        self.queries, self.weights = np.array([q for _, q, _ in listed], np.int64), np.array([w for _, _, w in listed])
-        self.first = np.searchsorted([t for t, _, _ in listed], np.arange(len(terms) + 1))
-
-
-def _gathered(shared, avg_len: float, k: int, kind: str, dead: np.ndarray, ranges: list[tuple[int, int]] | None):
-    """Blocks in order of their ranges -> the k best documents (and ties) of each query among every few ranges."""
-
-    def best_of(weights: Weights, docs: np.ndarray, term: np.ndarray, scored: np.ndarray) -> pa.RecordBatch:
-        n, (there, doc) = len(weights.qids), np.unique(docs, return_inverse=True)
-        fine = ~np.isin(there, dead) if len(dead) else np.ones(len(there), bool)
-        if ranges is not None:
-            fine &= np.any([(there >= a) & (there <= b) for a, b in ranges], axis=0) if ranges else False
-        times = np.diff(weights.first)[term]  # each posting counts for all queries of its term
-        at = np.repeat(weights.first[term] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        cell = weights.queries[at] * len(there) + np.repeat(doc, times)
-        scores = np.bincount(cell, np.repeat(scored, times) * weights.weights[at], n * len(there)).reshape(n, -1)
-        scores = np.where(fine, scores, 0.0)
-        rounded = np.round(scores, 9)
-        cut = np.partition(rounded, -k, axis=1)[:, -k] if k < len(there) else np.zeros(n)
-        query, column = np.nonzero((rounded >= cut[:, None]) & (scores > 0))
-        return pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(there[column]), pa.array(scores[query, column])], names=["no", "doc", "score"])
+        listed = sorted((place[t], number[q], w, strong) for q, t, w, strong in rows)
+        self.queries, self.weights = np.array([q for _, q, _, _ in listed], np.int64), np.array([w for _, _, w, _ in listed])
+        self.strong = np.array([strong for _, _, _, strong in listed], bool)
+        self.first = np.searchsorted([t for t, _, _, _ in listed], np.arange(len(terms) + 1))
+        self.least = None if least is None else np.array([least[q] for q in qids])
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... for each i, sizes[i] of them."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _impact(tf: np.ndarray, length: np.ndarray, avg_len: float) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (avg_len or 1.0)))
+
+
+def _best_of(weights: Weights, held: list[tuple[np.ndarray, ...]], gone: list[np.ndarray], avg_len: float, k: int, ranges: list[tuple[int, int]] | None) -> pa.RecordBatch:
+    """The k best documents (and ties) of each query in some blocks (range, term, n, most_tf, least_len and, of all in a
+    row, docs, tfs, lens), without those that are ``gone``."""
+    number, term, sizes, most_tf, least_len, docs, tfs, lens = (np.concatenate(x) for x in zip(*held, strict=True))
+    (there, doc), n, starts = np.unique(docs, return_inverse=True), len(weights.qids), np.cumsum(sizes) - sizes
+    impacts = _impact(tfs, lens, avg_len)
+    fine = ~np.isin(there, np.concatenate(gone)) if gone else np.ones(len(there), bool)
+    if ranges is not None:
+        fine &= np.any([(there >= a) & (there <= b) for a, b in ranges], axis=0) if ranges else False
+    times = np.diff(weights.first)[term]  # each block counts for all queries of its term
+    block, at = np.repeat(np.arange(len(term)), times), _spread(weights.first[term], times)
+    if weights.least is not None:  # a query passes over ranges whose blocks together can't reach its least
+        ranges_of, own = np.unique(number, return_inverse=True)
+        bound = _impact(most_tf, least_len, avg_len)[block] * weights.weights[at]
+        cell = weights.queries[at] * len(ranges_of) + own[block]
+        hope = np.bincount(cell, bound, n * len(ranges_of)) >= np.repeat(weights.least, len(ranges_of))
+        weak = np.bincount(cell, np.where(weights.strong[at], 0.0, bound), n * len(ranges_of)).reshape(n, -1)
+        at_doc = np.searchsorted(ranges_of, there >> SHIFT)
+        block, at = block[hope[cell]], at[hope[cell]]
+
+    def added(chosen: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
+        """Sums over the chosen pairs of a block and a query's term, in cells of queries and documents."""
+        of, each = at[chosen], sizes[block[chosen]]
+        posting = _spread(starts[block[chosen]], each)
+        cell, gain = np.repeat(weights.queries[of] * len(there), each) + doc[posting], np.repeat(weights.weights[of], each) * impacts[posting]
+        if only is not None:
+            cell, gain = cell[only[cell]], gain[only[cell]]
+        return np.bincount(cell, gain, n * len(there)).reshape(n, -1)
+
+    if weights.least is None:
+        scores = np.where(fine, added(np.arange(len(at))), 0.0)
+    else:
+        scores = np.where(fine, added(np.flatnonzero(weights.strong[at])), 0.0)
+        scores[scores + weak[:, at_doc] < weights.least[:, None]] = 0.0
+        left = np.flatnonzero(~weights.strong[at])
+        left = left[(scores > 0).any(axis=1)[weights.queries[at[left]]]]
+        if len(left):
+            scores += added(left, (scores > 0).ravel())
+        scores[scores < weights.least[:, None]] = 0.0
+    rounded = np.round(scores, 9)
+    cut = np.partition(rounded, -k, axis=1)[:, -k] if k < len(there) else np.zeros(n)
+    query, column = np.nonzero((rounded >= cut[:, None]) & (scores > 0))
+    return pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(there[column]), pa.array(scores[query, column])], names=["no", "doc", "score"])
+
+
+def _gathered(shared, avg_len: float, k: int, ranges: list[tuple[int, int]] | None):
+    """Blocks in order of their ranges, the dead of a range as one without a term -> the k best documents (and ties) of
+    each query among every few ranges."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights: Weights = shared.value
-        most, held, size, last = max(1, CELLS // len(weights.qids)), [], 0, None
+        most, held, gone, size, last = max(1, CELLS // len(weights.qids)), [], [], 0, None
         for batch in found:
             terms = pc.index_in(batch.column("term"), weights.terms)
-            batch = batch.filter(pc.is_valid(terms))
+            batch = batch.filter(pc.or_(pc.is_valid(terms), pc.is_null(batch.column("term"))))
             if not len(batch):
                 continue
-            terms, numbers = terms.drop_null().to_numpy(), batch.column("range").to_numpy()
+            terms = pc.fill_null(pc.index_in(batch.column("term"), weights.terms), -1).to_numpy()
+            numbers, n, most_tf, least_len = (batch.column(c).to_numpy() for c in ("range", "n", "most_tf", "least_len"))
             docs, tfs, lens = (batch.column(c).flatten().to_numpy() for c in ("docs", "tfs", "lens"))
-            n = batch.column("n").to_numpy()
             ends = np.cumsum(n)
             # only between ranges can what is held be scored: cut the batch where the range changes
             for some in np.split(np.arange(len(n)), np.flatnonzero(np.diff(numbers)) + 1):
                 if numbers[some[0]] != last:
                     if size >= most:
-                        yield best_of(weights, *(np.concatenate(x) for x in zip(*held, strict=True)))
-                        held, size = [], 0
+                        if held:
+                            yield _best_of(weights, held, gone, avg_len, k, ranges)
+                        held, gone, size = [], [], 0
                     size, last = size + (1 << SHIFT), numbers[some[0]]
-                a, b = ends[some[0]] - n[some[0]], ends[some[-1]]
-                tf = tfs[a:b]
-                scored = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[a:b] / (avg_len or 1.0)))
-                held.append(((numbers[some[0]] << SHIFT) + docs[a:b], np.repeat(terms[some], n[some]), scored))
+                at = slice(ends[some[0]] - n[some[0]], ends[some[-1]])
+                whole, alive = (numbers[some[0]] << SHIFT) + docs[at], terms[some] >= 0
+                posting = np.repeat(alive, n[some])
+                if not alive.all():
+                    gone.append(whole[~posting])
+                if alive.any():
+                    held.append((*(x[some][alive] for x in (numbers, terms, n, most_tf, least_len)), *(x[posting] for x in (whole, tfs[at], lens[at]))))
         if held:
-            yield best_of(weights, *(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield _best_of(weights, held, gone, avg_len, k, ranges)
 
     return run
 
 
-def gathered(weights: list[tuple[object, str, float]], kind: str, blocks: DataFrame, avg_len: float, k: int, dead: np.ndarray, ranges: list[tuple[int, int]] | None) -> DataFrame:
-    """The same as :func:`exhaustive` for weights (qid, term, w) that every task can hold, qid of the given type, without
-    the ``dead`` documents and within ``ranges``, if there are any."""
+def _gone(dead: DataFrame) -> DataFrame:
+    """Dead documents (doc) as blocks without a term."""
+    rows = dead.select(F.shiftright("doc", SHIFT).alias("range"), (F.col("doc") % (1 << SHIFT)).cast("int").alias("at"))
+    rows = rows.groupBy("range").agg(F.collect_list("at").alias("docs"))
+    none = F.lit(None).cast("string").alias("term")
+    return rows.select("range", none, F.size("docs").alias("n"), F.lit(0).alias("most_tf"), F.lit(0).alias("least_len"), "docs", F.col("docs").alias("tfs"), F.col("docs").alias("lens"))
+
+
+def gathered(weights: Weights, kind: str, blocks: DataFrame, avg_len: float, k: int, dead: DataFrame | None = None, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+    """The same as :func:`exhaustive` for weights that every task can hold, qid of the given type, without the ``dead``
+    documents (doc) and within ``ranges``, if there are any.  Only documents with a strong term are found."""
     spark = blocks.sparkSession
-    if not weights:
+    if not weights.qids:
         return spark.createDataFrame([], f"qid {kind}, doc bigint, score double")
-    held = Weights(weights)
-    shared = spark.sparkContext.broadcast(held)
-    rows = blocks.select("range", "term", "n", "docs", "tfs", "lens")
+    rows = blocks.select("range", "term", "n", "most_tf", "least_len", "docs", "tfs", "lens")
+    rows = rows if dead is None else rows.unionByName(_gone(dead))
     rows = rows.repartition("range").sortWithinPartitions("range")
-    found = rows.mapInArrow(_gathered(shared, avg_len, k, kind, dead, ranges), "no int, doc bigint, score double")
-    qids = spark.createDataFrame(list(enumerate(held.qids)), f"no int, qid {kind}")
+    found = rows.mapInArrow(_gathered(spark.sparkContext.broadcast(weights), avg_len, k, ranges), "no int, doc bigint, score double")
+    qids = spark.createDataFrame(list(enumerate(weights.qids)), f"no int, qid {kind}")
     order = Window.partitionBy("no").orderBy(F.round("score", 9).desc())
     found = found.select("*", F.rank().over(order).alias("place")).where(F.col("place") <= k)
     return found.join(F.broadcast(qids), "no").select("qid", "doc", "score")
@@ -213,9 +269,13 @@ def _completed(found: DataFrame, weights: DataFrame, blocks: DataFrame, avg_len:
     return met.groupBy("qid", "doc").agg((F.first("score") + F.sum(gain)).alias("score"))
 
 
-def pruned(weights: DataFrame, blocks: DataFrame, avg_len: float, k: int, table: Callable[[DataFrame], DataFrame], alive: Alive = lambda rows: rows) -> DataFrame:
+def pruned(weights: DataFrame, blocks: DataFrame, avg_len: float, k: int, table: Callable[[DataFrame], DataFrame], alive: Alive = lambda rows: rows, dead: DataFrame | None = None, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
     """The same as :func:`exhaustive`.  ``table`` writes and reads back what several branches need: a row for each query
-    and term, or for each query and document that is looked at."""
+    and term, or for each query and document that is looked at.  ``dead`` and ``ranges`` say what ``alive`` leaves out.
+
+    Weights that every task can hold are scored in numpy, as in :func:`gathered`, so that no posting is a row of a join;
+    more than MOST_HELD meet the blocks in joins.
+    """
     bounds = blocks.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.max(impact(F.col("most_tf"), F.col("least_len"), avg_len)).alias("most"))
     strong = Window.partitionBy("qid").orderBy(F.col("ub").desc(), "term")
     ranked = weights.join(bounds, "term").select("*", (F.col("w") * F.col("most")).alias("ub"))
@@ -231,6 +291,9 @@ def pruned(weights: DataFrame, blocks: DataFrame, avg_len: float, k: int, table:
     ranked = table(ranked.join(kth, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0))))
     ranked = ranked.select("*", F.sum("df").over(Window.partitionBy("qid")).alias("all"), F.sum(F.when(F.col("onward") >= F.col("least"), F.col("df")).otherwise(0)).over(Window.partitionBy("qid")).alias("some"))
     reason = (F.col("onward") >= F.col("least")) | (F.col("some") * WORTH > F.col("all"))
+    if (held := ranked.select("qid", "term", "w", reason.alias("strong"), "least").limit(MOST_HELD + 1).collect()) and len(held) <= MOST_HELD:
+        some = Weights([(r.qid, r.term, r.w, r.strong) for r in held], {r.qid: r.least for r in held})
+        return best(table(gathered(some, weights.schema["qid"].dataType.simpleString(), blocks, avg_len, k, dead, ranges)), k)
     enough = F.col("w") * impact(F.col("most_tf"), F.col("least_len"), avg_len) + F.col("whole") - F.col("ub") >= F.col("least")
     met = blocks.join(ranked.where(reason).select("qid", "term", "w", "ub", "whole", "least"), "term").where(enough)
     each = met.select("qid", "w", "range", F.inline(F.arrays_zip("docs", "tfs", "lens")))

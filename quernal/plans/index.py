@@ -14,7 +14,6 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from contextvars import copy_context
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,7 +23,7 @@ from quernal.functions.ranking import query_symbols
 from quernal.functions.tokens import identifiers
 from quernal.operators import blocks, chunking, dense, fusion, incremental, lexical, locate, savings
 from quernal.plans.storage import Folder, scratch, scratch_root, temporary
-from quernal.plans.store import BROADCAST_DEAD, BUCKETS, MOST_TERMS, SYMBOLS, Commit, Conflict, Store, within, within_blocks
+from quernal.plans.store import BUCKETS, DERIVED, MOST_TERMS, SYMBOLS, Commit, Conflict, Store, within, within_blocks
 from quernal.sources.files import normalise_path, read_files, read_tree
 
 KEY = list(lexical.KEY)
@@ -37,8 +36,8 @@ MOST_VALUES = 1000
 MOST_RANGES = 100
 #: Queries whose terms every task holds; more are joined with the blocks.
 MOST_QUERIES = 10_000
-#: Postings of all terms of a batch from which on top-k is pruned: below it, scoring them all in numpy takes less.
-PRUNE_FROM = 2_000_000_000
+#: Postings of all terms of a batch from which on top-k is pruned: below it, scoring them all takes less.
+PRUNE_FROM = 10_000_000_000
 
 
 def names_of(chunks: DataFrame) -> DataFrame:
@@ -70,18 +69,23 @@ class SearchIndex:
 
     @property
     def tables(self) -> dict[str, DataFrame]:
-        """The live relations: chunks, embedded, manifest, and declared, defs and refs by role."""
+        """The live relations: chunks, embedded, manifest, and declared, defs and refs by role; those that it has."""
+        found = {t: self.store.live(t, self.commit) for t in ("chunks", "embedded", "manifest") if t not in self.commit.lacks}
+        if "names" in self.commit.lacks:
+            return found
         names = self.store.live("names", self.commit)
         by_role = {"declared": names.where("role = 'declared'").select("name", "doc", *KEY), "defs": names.where("role = 'def'").drop("role"), "refs": names.where("role = 'ref'").drop("role", "kind")}
-        return {t: self.store.live(t, self.commit) for t in ("chunks", "embedded", "manifest")} | by_role
+        return found | by_role
 
     @staticmethod
-    def _derive(encoder: dense.Encoder) -> dict:
-        return {"embedded": lambda kept: encoder.encode(kept, "content", ["doc", *KEY, "language"]), "names": names_of}
+    def _derive(encoder: dense.Encoder, lacks: tuple[str, ...] = ()) -> dict:
+        made = {"embedded": lambda kept: encoder.encode(kept, "content", ["doc", *KEY, "language"]), "names": names_of}
+        return {table: make for table, make in made.items() if table not in lacks}
 
     @classmethod
-    def of_chunks(cls, chunks: DataFrame, encoder: dense.Encoder | None = None, home: str | None = None, root: str | None = None, batch: tuple[str, int] | None = None, **more) -> SearchIndex:
-        """An index of a table of chunks, in ``home`` or, without one, among the session's intermediate tables."""
+    def of_chunks(cls, chunks: DataFrame, encoder: dense.Encoder | None = None, home: str | None = None, root: str | None = None, batch: tuple[str, int] | None = None, only_words: bool = False, **more) -> SearchIndex:
+        """An index of a table of chunks, in ``home`` or, without one, among the session's intermediate tables.  One for words
+        alone (``mode="bm25"``) has no vectors and names: other searches of it are a ValueError."""
         spark, encoder = chunks.sparkSession, encoder or dense.HashEncoder()
         store = Store(spark, home or f"{scratch_root(spark)}/index-{uuid.uuid4().hex}")
         symbols = F.col("symbols").cast(SYMBOLS) if "symbols" in chunks.columns else F.array().cast(SYMBOLS).alias("symbols")
@@ -89,7 +93,7 @@ class SearchIndex:
         files = chunks.groupBy(F.col("file_path").alias("path")).agg(F.sum(F.octet_length("content")).alias("size"))
         files = files.select("path", "size", F.lit(None).cast("bigint").alias("mtime_nanos"), F.lit(None).cast("string").alias("hash"), F.lit(False).alias("gone"))
         base = store.latest()
-        delta = store.write(chunks, cls._derive(encoder), files, replaced=tuple(base.ids) if base else ())
+        delta = store.write(chunks, cls._derive(encoder, DERIVED if only_words else ()), files, replaced=tuple(base.ids) if base else ())
         return cls(spark, store, store.append(base, delta, root, batch=batch), encoder, root=root, **more)
 
     @classmethod
@@ -116,7 +120,7 @@ class SearchIndex:
 
     def save(self, home: str) -> SearchIndex:
         """A copy of the live chunks as an index of one segment, in place of what is in ``home``."""
-        return SearchIndex.of_chunks(self.tables["chunks"].drop("doc"), self.encoder, home, self.root, ledger=self.ledger)
+        return SearchIndex.of_chunks(self.store.live("chunks", self.commit).drop("doc"), self.encoder, home, self.root, only_words=bool(self.commit.lacks), ledger=self.ledger)
 
     @classmethod
     def refresh(cls, spark: SparkSession, root: str, home: str, include_text: bool = False, **more) -> SearchIndex:
@@ -154,7 +158,7 @@ class SearchIndex:
         files = clean.unionByName(hashed.join(dirty.withColumnRenamed("file_path", "path"), "path", "left_semi").select("*", *none)).withColumn("gone", F.lit(False))
         files = scratch(files.unionByName(gone.join(old, "path").select("path", "size", "mtime_nanos", "hash", *none, F.lit(True).alias("gone"))))
         replaced = dirty.unionByName(gone.select(F.col("path").alias("file_path")))
-        delta = store.write(chunks, cls._derive(encoder), files, cls._dying(store, base, old, replaced) if base else None)
+        delta = store.write(chunks, cls._derive(encoder, base.lacks if base else ()), files, cls._dying(store, base, old, replaced) if base else None)
         commit = store.append(base, delta, root, lambda: files.select("path"))
         return cls(spark, store, commit, encoder, root=root, **more)
 
@@ -170,7 +174,7 @@ class SearchIndex:
         chunks = chunks.withColumn("symbols", symbols)
         replaced = rows.select(F.col("path").alias("file_path"))
         minus = self._dying(self.store, self.commit, self.store.live("manifest", self.commit), replaced)
-        delta = self.store.write(chunks, self._derive(self.encoder), rows, minus)
+        delta = self.store.write(chunks, self._derive(self.encoder, self.commit.lacks), rows, minus)
         commit = self.store.append(self.commit, delta, self.root, lambda: rows.select("path"), batch)
         return SearchIndex(self.spark, self.store, commit, self.encoder, self.ledger, self.root)
 
@@ -191,8 +195,7 @@ class SearchIndex:
         base = store.latest()
         if base is None:
             raise ValueError(f"no index in {home}")
-        vectors = store.live("embedded", base).select(*KEY, "vector")
-        derive = {"embedded": lambda kept: kept.select("doc", *KEY, "language").join(vectors, KEY).select("doc", *KEY, "language", "vector"), "names": names_of}
+        derive = {} if base.lacks else {"embedded": lambda kept: kept.select("doc", *KEY, "language").join(store.live("embedded", base).select(*KEY, "vector"), KEY).select("doc", *KEY, "language", "vector"), "names": names_of}
         files = scratch(store.live("manifest", base).select("path", "size", "mtime_nanos", "hash", F.lit(False).alias("gone")))
         delta = store.write(store.live("chunks", base).drop("doc"), derive, files, replaced=tuple(base.ids))
         commit = store.append(base, delta, base.root)
@@ -259,8 +262,9 @@ class SearchIndex:
             near = within_blocks(ranges)
             post = self.store.blocks(self.commit, sorted({blocks.bucket_of(t, BUCKETS) for t in terms}), terms)
             post = post if near is None else post.where(near)
-            if postings < PRUNE_FROM and self.commit.dead <= BROADCAST_DEAD:
-                found = blocks.gathered([(q, t, w) for q, t, _, w in weights], kind, post, self.commit.avg_len, k, self._dead(), ranges)
+            if postings < PRUNE_FROM:
+                held = blocks.Weights([(q, t, w, True) for q, t, _, w in weights])
+                found = blocks.gathered(held, kind, post, self.commit.avg_len, k, self._dead(), ranges)
             else:
                 found = self._pruned(self.spark.createDataFrame(weights, f"qid {kind}, term string, df bigint, w double"), post, k, ranges)
         else:
@@ -290,12 +294,10 @@ class SearchIndex:
     def _pruned(self, weights: DataFrame, post: DataFrame, k: int, ranges: list[tuple[int, int]] | None) -> DataFrame:
         inside = within(ranges)
         alive = self.alive if inside is None else lambda rows: self.alive(rows.where(inside))
-        return blocks.pruned(weights, post, self.commit.avg_len, k, scratch, alive)
+        return blocks.pruned(weights, post, self.commit.avg_len, k, scratch, alive, self._dead(), ranges)
 
-    def _dead(self) -> np.ndarray:
-        if not self.commit.dead:
-            return np.zeros(0, np.int64)
-        return self.store.table("dead", self.commit.ids).select("doc").toArrow().column("doc").to_numpy()
+    def _dead(self) -> DataFrame | None:
+        return self.store.table("dead", self.commit.ids).select("doc") if self.commit.dead else None
 
     def _keyed(self, found: DataFrame, k: int, few: bool) -> DataFrame:
         """found (qid, doc, score), the best and their ties, with keys and ranks; few documents are looked up by number."""
@@ -329,6 +331,8 @@ class SearchIndex:
         depth = fusion.DEPTH * k if mode == "hybrid" else k
         if mode == "bm25":
             return self.words(queries, depth, ranges)
+        if self.commit.lacks:
+            raise ValueError(f"this index was built for words alone: {mode} needs vectors")
         meaning = dense.semantic_topk(queries, pick(self.tables["embedded"]), depth, self.encoder)
         if mode == "semantic":
             return meaning

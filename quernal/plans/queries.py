@@ -178,9 +178,9 @@ def bm25_filtered(spark, sf_dir):
 
 
 def _kept(docs: DataFrame) -> SearchIndex:
-    """Documents as an index on disk."""
+    """Documents as an index on disk, of words alone: no query over it asks for vectors or names."""
     line = lambda name, value: F.lit(value).alias(name)
-    return SearchIndex.of_chunks(docs.select(*lexical.KEY, F.col("lang").alias("language"), "content", line("start_byte", 0), F.octet_length("content").alias("end_byte"), line("start_line", 1), line("end_line", 1)))
+    return SearchIndex.of_chunks(docs.select(*lexical.KEY, F.col("lang").alias("language"), "content", line("start_byte", 0), F.octet_length("content").alias("end_byte"), line("start_line", 1), line("end_line", 1)), only_words=True)
 
 
 @_register("bm25_index", ORACLES["bm25_batch"])
@@ -197,7 +197,8 @@ def bm25_pruned(spark, sf_dir):
     buckets = [r.b for r in terms.select(blocks.bucket_column("term", store.BUCKETS).alias("b")).distinct().collect()]
     df = index.store.table("df", index.commit.ids).groupBy("term").agg(F.sum("df").alias("df"))
     weights = scratch(blocks.weighed(terms, df, index.commit.n))
-    found = blocks.pruned(weights, index.store.blocks(index.commit, buckets, None), index.commit.avg_len, K, scratch)
+    post = index.store.blocks(index.commit, buckets, None).join(F.broadcast(weights.select("term").distinct()), "term", "left_semi")
+    found = blocks.pruned(weights, post, index.commit.avg_len, K, scratch)
     keys = index.store.table("chunks", index.commit.ids).select("doc", *lexical.KEY)
     return _out(lexical.top_k(found.join(keys, "doc"), K, "bm25"))
 

@@ -43,6 +43,8 @@ SCHEMAS = {
     "dead": "doc bigint",
     "manifest": "path string, size bigint, mtime_nanos bigint, hash string, gone boolean, first_doc bigint, last_doc bigint",
 }
+#: Those of them that an index for words alone does without.
+DERIVED = ("embedded", "names")
 PARTS = {"names": ["role"], "postings": ["bucket"]}
 #: A document's number: bits of its place in a part of its segment, of the part, and of the segment.
 ROW_BITS, PART_BITS = 24, 20
@@ -52,7 +54,7 @@ BUCKETS, WHOLE = 64, 1 << 20
 SMALL_PART, LARGE_PART = 1 << 21, 1 << 28
 #: Dead documents that are broadcast at most (8 bytes each); more are left out by a shuffled join.
 BROADCAST_DEAD = 1_000_000
-#: Terms of a batch that are looked for by value in their buckets; more are met by a join.
+#: Terms of a batch that are looked for by value in their buckets; more are met by a join with what every task holds.
 MOST_TERMS = 2000
 
 
@@ -71,6 +73,8 @@ class Commit(NamedTuple):
     at: float
     #: The last batch of each stream that is in.
     batches: dict[str, int] = {}  # noqa: RUF012
+    #: Tables that some segment was written without.
+    lacks: tuple[str, ...] = ()
 
     @property
     def ids(self) -> list[int]:
@@ -89,6 +93,7 @@ class Delta(NamedTuple):
     tokens: int
     dead: int
     replaced: tuple[int, ...] = ()
+    lacks: tuple[str, ...] = ()
 
 
 class Store:
@@ -108,10 +113,10 @@ class Store:
             if found["version"] != VERSION:
                 return None
             segments = tuple((s["id"], s["docs"], s["bucketed"], tuple((x[0], x[1], x[2]) for x in s["languages"])) for s in found["segments"])
-            commit = Commit(number, found["root"], segments, found["n"], found["tokens"], found["dead"], found["at"], found.get("batches", {}))
+            commit = Commit(number, found["root"], segments, found["n"], found["tokens"], found["dead"], found["at"], found.get("batches", {}), tuple(found.get("lacks", ())))
         except (ValueError, KeyError, TypeError, IndexError, Py4JJavaError):
             return None
-        there = all(self.folder.exists(f"{table}/segment={i}/_SUCCESS") for i in commit.ids for table in SCHEMAS)
+        there = all(self.folder.exists(f"{table}/segment={i}/_SUCCESS") for i in commit.ids for table in SCHEMAS if table not in commit.lacks)
         return commit if there else None
 
     def latest(self) -> Commit | None:
@@ -135,11 +140,12 @@ class Store:
             kept = tuple(s for s in base.segments if s[0] not in delta.replaced) if base else ()
             n, tokens, dead = (base.n, base.tokens, base.dead) if base else (0, 0, 0)
             if delta.replaced and base:
-                new = Commit(number + 1, root, (*kept, delta.segment), delta.n, delta.tokens, 0, time.time(), batches)
+                new = Commit(number + 1, root, (*kept, delta.segment), delta.n, delta.tokens, 0, time.time(), batches, delta.lacks)
             else:
-                new = Commit(number + 1, root, (*kept, delta.segment), n + delta.n, tokens + delta.tokens, dead + delta.dead, time.time(), batches)
+                lacks = tuple(sorted({*delta.lacks, *(base.lacks if base else ())}))
+                new = Commit(number + 1, root, (*kept, delta.segment), n + delta.n, tokens + delta.tokens, dead + delta.dead, time.time(), batches, lacks)
             named = [{"id": s[0], "docs": s[1], "bucketed": s[2], "languages": s[3]} for s in new.segments]
-            text = json.dumps({"version": VERSION, "root": root, "segments": named, "n": new.n, "tokens": new.tokens, "dead": new.dead, "at": new.at, "batches": batches})
+            text = json.dumps({"version": VERSION, "root": root, "segments": named, "n": new.n, "tokens": new.tokens, "dead": new.dead, "at": new.at, "batches": batches, "lacks": new.lacks})
             if self.folder.create(f"commits/{new.number:020d}.json", text):
                 return new
             if base is None:
@@ -196,6 +202,8 @@ class Store:
 
     def live(self, name: str, commit: Commit) -> DataFrame:
         """Rows of live documents; of the manifest, the last row of each path that isn't gone."""
+        if name in commit.lacks:
+            raise ValueError(f"this index was built for words alone: it has no table {name}")
         rows = self.table(name, commit.ids)
         if name != "manifest":
             return self.alive(commit)(rows).drop("segment")
@@ -216,9 +224,11 @@ class Store:
         return found
 
     def blocks(self, commit: Commit, buckets: Iterable[int], terms: list[str] | None) -> DataFrame:
-        """Posting blocks in the buckets (and of the terms, if they are few): other folders aren't listed among the reads."""
+        """Posting blocks in the buckets (and of the terms, if they are given): other folders aren't listed among the reads."""
         rows = self.table("postings", commit.ids).where(F.col("bucket").isin(-1, *buckets))
-        return rows if terms is None or len(terms) > MOST_TERMS else rows.where(F.col("term").isin(terms))
+        if terms is not None and len(terms) > MOST_TERMS:  # blocks of other terms in the same buckets aren't passed on
+            return rows.join(F.broadcast(self.spark.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")
+        return rows if terms is None else rows.where(F.col("term").isin(terms))
 
     # -- writing --------------------------------------------------------------------------------------------------
 
@@ -239,7 +249,7 @@ class Store:
     def write(self, chunks: DataFrame, derive: dict[str, Callable[[DataFrame], DataFrame]], manifest: DataFrame, minus: DataFrame | None = None, replaced: tuple[int, ...] = ()) -> Delta:
         """Write a segment of chunks and what ``derive`` (embedded, names) makes of them; nothing is committed yet.
 
-        ``manifest`` (path, size, mtime_nanos, hash, gone) are the files it is about (with first_doc and last_doc where those of
+        Without one of these the segment lacks its table.  ``manifest`` (path, size, mtime_nanos, hash, gone) are the files it is about (with first_doc and last_doc where those of
         another segment stay), ``minus`` (doc, file_path, content) the documents that die with it.
         """
         segment = self.reserved()
@@ -258,13 +268,15 @@ class Store:
         post = blocks.built(kept)
         bucketed, died = size >= WHOLE, 0
         if minus is not None:
-            minus = scratch(minus.select("doc", "file_path", "content"))
+            # in order, so that blocks hold what a range has and not one document
+            minus = minus.select("doc", "file_path", "content")
+            minus = scratch(minus.repartitionByRange("doc").sortWithinPartitions("doc"))
             lost, died = blocks.built(minus), minus.count()
         found: dict[str, object] = {}
 
         def write_postings() -> None:
-            if bucketed:  # a large bucket takes several files, each with a part of its ranges
-                salt = F.pmod(F.shiftright("range", 12), F.lit(max(1, n >> 22)))
+            if bucketed:  # a large bucket takes several files, each with some parts' ranges
+                salt = F.pmod(F.shiftright("range", ROW_BITS - blocks.SHIFT), F.lit(max(1, n >> 18)))
                 rows = post.withColumn("bucket", blocks.bucket_column("term", BUCKETS)).repartition("bucket", salt)
             else:
                 rows = post.withColumn("bucket", F.lit(-1)).coalesce(1)
@@ -294,7 +306,7 @@ class Store:
         with ThreadPoolExecutor(len(jobs)) as pool:
             for job in [pool.submit(job) for job in jobs]:
                 job.result()
-        return Delta((segment, n, bucketed, found["languages"]), n - died, found["tokens"], died, replaced)
+        return Delta((segment, n, bucketed, found["languages"]), n - died, found["tokens"], died, replaced, tuple(t for t in DERIVED if t not in derive))
 
 
 def within(ranges: list[tuple[int, int]] | None, doc: Column | None = None) -> Column | None:

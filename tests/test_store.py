@@ -227,3 +227,29 @@ def test_paths_as_they_are_written(spark, tree, tmp_path):
     for path in ("m2.py", "./m2.py", str(tree / "m2.py"), f"{tree}/../tree/m2.py"):
         assert index.find_related(path, 1, 2).count() == 2 and index.symbols_at(path, 1).count() > 0
     assert index.find_related("none.py", 1, 2).count() == 0
+
+
+def test_an_index_for_words_alone(spark, chunks, queries):
+    index = SearchIndex.of_chunks(chunks, only_words=True)
+    assert not Folder(spark, f"{index.store.home}/names").exists() and not Folder(spark, f"{index.store.home}/embedded").exists()
+    gone = chunks.where("file_path = 'src/f3.py'").select("file_path").distinct()
+    came = chunks.where("file_path = 'src/f5.py'").withColumn("content", F.concat("content", F.lit(" rare1 the7")))
+    index = SearchIndex.open(spark, index.store.home).upsert(came, gone)
+    now = chunks.where("file_path not in ('src/f3.py', 'src/f5.py')").unionByName(came)
+    assert index.commit.lacks == ("embedded", "names") and index.commit.dead > 20
+    assert rows_of(index.words(queries, 10)) == wanted(now, queries, 10)
+    with pytest.raises(ValueError, match="words alone"):
+        index.search("the1", mode="hybrid")
+
+
+def test_many_terms_pass_on_only_their_blocks(index, monkeypatch):
+    monkeypatch.setattr(stores, "MOST_TERMS", 1)
+    found = index.store.blocks(index.commit, range(stores.BUCKETS), ["the7", "the8"])
+    assert {r.term for r in found.select("term").distinct().collect()} == {"the7", "the8"}
+
+
+def test_dying_documents_are_counted_in_blocks(spark, index, chunks, monkeypatch):
+    made, real = [], blocks.built
+    monkeypatch.setattr(blocks, "built", lambda rows: made.append(real(rows)) or made[-1])
+    index.store.write(chunks.limit(1).withColumn("symbols", F.array().cast(stores.SYMBOLS)), {}, spark.createDataFrame([], "path string, size bigint, mtime_nanos bigint, hash string, gone boolean"), index.store.live("chunks", index.commit).orderBy(F.rand(1)))
+    assert made[1].where("term = 'pad'").count() <= 8  # in random order, one for each of 1,500 documents
