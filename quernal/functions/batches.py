@@ -15,8 +15,9 @@ import pyarrow as pa
 from quernal.functions.tokens import IDENTIFIER
 
 ROWS = 256
-#: Identifiers that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: Identifiers that a task remembers (some 300 bytes each); beyond it the memory starts anew.  The frequent ones are back
+#: at once, and what is rare is split anew anyway, so more of them only take memory in each of an executor's workers.
+REMEMBERED = 30_000
 _FIND = re.compile(IDENTIFIER).findall
 _LOWER_UPPER, _UPPER_WORD = re.compile("([a-z])([A-Z])"), re.compile("([A-Z])([A-Z][a-z])")
 
