@@ -27,9 +27,9 @@ from quernal.plans.storage import scratch
 BUCKETS = 256
 VECTOR = "array<struct<bucket:int,weight:double>>"
 #: Queries of one block: their matrix has so many rows at most, whatever the batch.
-MOST_QUERIES = 2048
+MOST_QUERIES = 512
 #: Queries of one pass over the vectors, about: they go through the driver and to all tasks, some 3 kB each.
-MOST_SHARED = 8 * MOST_QUERIES
+MOST_SHARED = 8192
 
 
 class Encoder(Protocol):
@@ -190,15 +190,23 @@ class _Block:
         """The k best rows of part, which are in order of their keys, for each query."""
         scores = (vectors @ self.matrix).T
         if self.limits:
-            languages, paths, numbers = (np.array(part.column(c).to_pylist(), object) for c in ("language", *KEY))
-            of = {language: languages != language for language, _, _ in self.limits if language is not None}
-            for i, (language, path, number) in enumerate(self.limits):
-                if language is not None:
-                    scores[i, of[language]] = -np.inf
-                scores[i, (paths == path) & (numbers == number)] = -np.inf
-        # a stable sort leaves ties in the order of their keys
-        best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
-        query, row = np.repeat(np.arange(best.shape[0]), best.shape[1]), best.ravel()
+            languages, rows_of = np.array(part.column("language").to_pylist(), object), {}
+            for row, key in enumerate(zip(*(part.column(c).to_pylist() for c in KEY), strict=True)):
+                rows_of.setdefault(key, []).append(row)
+            for language in {language for language, _, _ in self.limits if language is not None}:
+                own = [i for i, (asked, _, _) in enumerate(self.limits) if asked == language]
+                scores[np.ix_(own, np.flatnonzero(languages != language))] = -np.inf
+            for i, (_, *key) in enumerate(self.limits):
+                scores[i, rows_of.get(tuple(key), [])] = -np.inf
+        rounded = np.round(scores, 9)
+        if k < rounded.shape[1]:  # the k best and all that tie with the last of them
+            query, row = np.nonzero(rounded >= np.partition(rounded, -k, axis=1)[:, -k, None])
+        else:
+            query, row = np.repeat(np.arange(rounded.shape[0]), rounded.shape[1]), np.tile(np.arange(rounded.shape[1]), rounded.shape[0])
+        order = np.lexsort((row, -rounded[query, row], query))  # ties in the order of their keys
+        query, row = query[order], row[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        query, row = query[place < k], row[place < k]
         score = scores[query, row]
         there = np.isfinite(score)
         keys = part.select(list(KEY)).take(pa.array(row[there]))
@@ -243,7 +251,7 @@ def semantic_topk(queries: DataFrame, embedded: DataFrame, k: int, encoder: Enco
     some = asked.limit(MOST_SHARED + 1).toArrow()
     if some.num_rows <= MOST_SHARED:
         return ranked(some)
-    asked = scratch(asked)
+    asked, embedded = scratch(asked), scratch(embedded.select(*columns))  # texts are encoded once, not in each pass
     passes = -(-asked.count() // MOST_SHARED)
     of_pass = F.pmod(F.xxhash64("qid"), F.lit(passes))
     return reduce(DataFrame.unionByName, [scratch(ranked(asked.where(of_pass == i).toArrow())) for i in range(passes)])
