@@ -25,12 +25,16 @@ def fuse(queries: DataFrame, semantic: DataFrame, lexical: DataFrame) -> DataFra
 
 def boost_files(scores: DataFrame) -> DataFrame:
     """The best chunk of each file gains 0.2 * max score * the file's share of the strongest file's sum."""
-    query, file = Window.partitionBy("qid"), Window.partitionBy("qid", "file_path")
-    best = file.orderBy(F.round("score", 9).desc(), "chunk_no")
-    rows = scores.select("*", F.sum("score").over(file).alias("s"), F.row_number().over(best).alias("i"))
-    rows = rows.select("*", F.max("score").over(query).alias("m"), F.max("s").over(query).alias("top"))
-    gain = F.when((F.col("i") == 1) & (F.col("m") > 0), FILE_BOOST * F.col("m") * F.col("s") / F.col("top")).otherwise(0.0)
-    return rows.select("qid", *KEY, (F.col("score") + gain).alias("score"))
+    # sums and greatest values go ahead of each shuffle, so that a file or query of very many chunks is no task's own, as in a window
+    first = F.struct(F.round("score", 9).alias("r"), (-F.col("chunk_no")).alias("no"), F.col("score").alias("score"))
+    scores = scores.groupBy("qid", *KEY, "score").agg(F.count("*").cast("int").alias("n"))  # of rows that are equal only one gains
+    files = scores.groupBy("qid", "file_path").agg(F.sum(F.col("score") * F.col("n")).alias("s"), F.max("score").alias("most"), F.max(first).alias("first"))
+    peaks = files.groupBy("qid").agg(F.max("most").alias("m"), F.max("s").alias("top"))
+    gain = F.when(F.col("m") > 0, FILE_BOOST * F.col("m") * F.col("s") / F.col("top")).otherwise(0.0)
+    gains = files.join(peaks, "qid").select(F.col("qid").alias("q"), F.col("file_path").alias("f"), "first", gain.alias("gain"))
+    rows = scores.join(gains, (F.col("qid") == F.col("q")) & F.col("file_path").eqNullSafe(F.col("f"))).select("*", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    best = (F.col("i") == 1) & first.eqNullSafe(F.col("first"))
+    return rows.select("qid", *KEY, (F.col("score") + F.when(best, F.col("gain")).otherwise(0.0)).alias("score"))
 
 
 def declared_names(content: str) -> Column:
