@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ KEY = ("file_path", "chunk_no")
 K1, B = 1.5, 0.75
 #: Pairs of a query and a term that are broadcast at most (some 60 bytes each); beyond it they are joined by shuffling.
 BROADCAST_TERMS = 200_000
+#: Queries times chunks that are scored at once in a task (8 bytes each, a few times over).
+CELLS = 1 << 19
 
 
 def _analyse(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,5 +91,73 @@ def top_k(scores: DataFrame, k: int, source: str) -> DataFrame:
     return scores.select("*", F.row_number().over(best).alias("rank")).where(F.col("rank") <= k).withColumn("source", F.lit(source))
 
 
+def _met(part: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place among terms, tf) of the postings of the given terms."""
+    lists = part.column("terms")
+    values = lists.flatten()
+    found = pc.index_in(values.field("term"), terms)
+    there = pc.is_valid(found).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(part)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return rows[there], found.drop_null().to_numpy(), values.field("tf").to_numpy(zero_copy_only=False)[there]
+
+
+def _slices(found: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in found:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
+def bm25_best(queries: DataFrame, analysed: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """The same as :func:`bm25_topk`, from chunks as :func:`analysed` has them: each task scores its chunks for all queries
+    and sends on the k best (and ties) of every few, so no posting is a row.  Queries of more terms than tasks should hold are joined."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    asked = query_terms(queries).limit(BROADCAST_TERMS + 1).collect()
+    if len(asked) > BROADCAST_TERMS:
+        return bm25_topk(queries, postings(analysed), stats, k)
+    spark, kind = analysed.sparkSession, queries.schema["qid"].dataType.simpleString()
+    n, avg_len = stats.select("n", "avg_len").first()
+    terms, qids = sorted({r.term for r in asked}), list(dict.fromkeys(r.qid for r in asked))
+    shared = spark.sparkContext.broadcast(pa.array(terms, pa.string()))
+
+    def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(shared.value), np.int64)
+        for part in _slices(found, 1000):
+            df += np.bincount(_met(part, shared.value)[1], minlength=len(df))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(df)), pa.array(df[df > 0])], names=["term", "df"])
+
+    each = analysed.select("terms").mapInArrow(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")) if terms else None
+    df = np.zeros(len(terms))
+    for r in each.collect() if terms else []:
+        df[r.term] = r.df
+    place, number = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(qids)}
+    listed = sorted((place[r.term], number[r.qid], r.mult) for r in asked)
+    of = np.array([t for t, _, _ in listed], np.int64)
+    weights = np.array([m for _, _, m in listed]) * np.log((n - df[of] + 0.5) / (df[of] + 0.5) + 1)
+    held = spark.sparkContext.broadcast((np.array([q for _, q, _ in listed], np.int64), weights, np.searchsorted(of, np.arange(len(terms) + 1)), len(qids)))
+
+    def score(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_of, weight, first, n_queries = held.value
+        for part in _slices(found, max(1, CELLS // n_queries)):
+            row, term, tf = _met(part, shared.value)
+            gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * part.column("len").to_numpy()[row] / avg_len))
+            times = np.diff(first)[term]
+            at = np.repeat(first[term] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            scores = np.bincount(query_of[at] * len(part) + np.repeat(row, times), np.repeat(gain, times) * weight[at], n_queries * len(part)).reshape(n_queries, -1)
+            rounded = np.round(scores, 9)
+            cut = np.partition(rounded, -k, axis=1)[:, -k] if k < len(part) else np.zeros(n_queries)
+            query, best = np.nonzero((rounded >= cut[:, None]) & (scores > 0))
+            keys = [part.column(c).take(pa.array(best)) for c in KEY]
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), *keys, pa.array(scores[query, best], pa.float64())], names=["no", *KEY, "score"])
+
+    kinds = dict(analysed.dtypes)
+    columns = ", ".join(f"{c} {kinds[c]}" for c in KEY)
+    if not terms:
+        return top_k(spark.createDataFrame([], f"qid {kind}, {columns}, score double"), k, "bm25")
+    found = analysed.select(*KEY, "len", "terms").mapInArrow(score, f"no int, {columns}, score double")
+    names = F.broadcast(spark.createDataFrame(list(enumerate(qids)), f"no int, qid {kind}"))
+    return top_k(found.join(names, "no").select("qid", *KEY, "score"), k, "bm25")
+
+
 def bm25_topk(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int) -> DataFrame:
     return top_k(bm25_scores(queries, post, stats).where("score > 0"), k, "bm25")

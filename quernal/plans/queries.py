@@ -117,8 +117,13 @@ def _out(scores: DataFrame) -> DataFrame:
 
 def _index(chunks: DataFrame):
     """Postings and statistics; the texts are analysed once."""
+    found, stats = _analysed(chunks)
+    return lexical.postings(found), stats
+
+
+def _analysed(chunks: DataFrame):
     found = scratch(lexical.analysed(chunks))
-    return lexical.postings(found), lexical.corpus_stats(lexical.doc_lengths(found))
+    return found, lexical.corpus_stats(lexical.doc_lengths(found))
 
 
 def _sel(table: str) -> str:
@@ -159,12 +164,12 @@ ONE = _values([(1, "the thing of and license")], "qid, query")
 def bm25_topk(spark, sf_dir):
     """The flagship: the best chunks for one query."""
     query = spark.createDataFrame([(1, "the thing of and license")], "qid int, query string")
-    return _out(lexical.bm25_topk(query, *_index(corpus.documents(spark, sf_dir)), K))
+    return _out(lexical.bm25_best(query, *_analysed(corpus.documents(spark, sf_dir)), K))
 
 
 @_register("bm25_batch", f"WITH {bm25_sql(DOCS, ASKED_SQL, K)} {_sel('bm')}")
 def bm25_batch(spark, sf_dir):
-    return _out(lexical.bm25_topk(asked(spark, sf_dir), *_index(corpus.documents(spark, sf_dir)), K))
+    return _out(lexical.bm25_best(asked(spark, sf_dir), *_analysed(corpus.documents(spark, sf_dir)), K))
 
 
 @_register("bm25_filtered", f"WITH {bm25_sql(DOCS, ASKED_SQL, K, f'SEMI JOIN (SELECT file_path FROM {DOCS} WHERE lang IN (' + _s('en') + ')) USING (file_path)')} {_sel('bm')}")
@@ -280,7 +285,7 @@ def find_related(spark, sf_dir):
 def _legs(spark, sf_dir, chunks, queries):
     embedded = dense.HashEncoder().encode(chunks, "content", list(lexical.KEY))
     depth = fusion.DEPTH * K
-    return dense.semantic_topk(queries, embedded, depth), lexical.bm25_topk(queries, *_index(chunks), depth)
+    return dense.semantic_topk(queries, embedded, depth), lexical.bm25_best(queries, *_analysed(chunks), depth)
 
 
 def _fused(spark, sf_dir, chunks, queries):
