@@ -10,11 +10,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from quernal.functions.tokens import IDENTIFIER
 
 ROWS = 256
+#: Texts, and their bytes, whose words are found at once.
+TEXTS, BYTES = 1024, 1 << 21
 #: Identifiers that a task remembers (some 300 bytes each); beyond it the memory starts anew.  The frequent ones are back
 #: at once, and what is rare is split anew anyway, so more of them only take memory in each of an executor's workers.
 REMEMBERED = 30_000
@@ -24,6 +28,8 @@ _LOWER_UPPER, _UPPER_WORD = re.compile("([a-z])([A-Z])"), re.compile("([A-Z])([A
 
 def split(identifier: str) -> tuple[str, ...]:
     low = identifier.lower()
+    if low[1:] == identifier[1:] and "_" not in low:
+        return (low,)
     if "_" in identifier:
         parts = [part for part in low.split("_") if part]
     else:
@@ -51,6 +57,27 @@ class Tokens:
         return out
 
 
+#: Bytes that words are made of: those of IDENTIFIER, digits in front included.
+_OF_WORDS = np.array([chr(byte).isascii() and (chr(byte).isalnum() or chr(byte) == "_") for byte in range(256)])
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray]:
+    """(row, place among the distinct ones) of each identifier of the texts, in order, and the distinct ones, which may have
+    digits in front.  Texts are cut by their bytes, so no string is made for an occurrence."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pc.fill_null(texts, "")), "\n")[0].as_buffer()
+    inside = np.zeros(joined.size + 2, bool)
+    inside[1:-1] = _OF_WORDS[np.frombuffer(joined, np.uint8)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    if not len(edges):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.binary())
+    # every second one of the pieces between edges is a word
+    pieces = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), joined])
+    found = pieces.take(pa.array(np.arange(0, len(pieces), 2))).dictionary_encode()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) + np.int64(1))
+    upto = np.searchsorted(edges[::2], ends)
+    return np.repeat(np.arange(len(texts)), np.diff(upto, prepend=0)), found.indices.to_numpy(), found.dictionary
+
+
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of few rows, so that what is made of long texts stays small."""
     for batch in batches:
@@ -58,6 +85,16 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, ROWS)
 
 
+def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of some BYTES of ``text``, or a single longer one."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        slices = upto // BYTES * len(batch) + np.arange(len(batch)) // TEXTS
+        starts = np.flatnonzero(np.diff(slices, prepend=-1)).tolist()
+        for start, stop in zip(starts, [*starts[1:], len(batch)], strict=True):
+            yield batch.slice(start, stop - start)
+
+
 def structs(lists: list[list[tuple]], fields: list[tuple[str, pa.DataType]]) -> pa.ListArray:
     """Lists of tuples as one Arrow array of lists of structs."""
     offsets = [0]

@@ -1,8 +1,10 @@
 """Embeddings: encoders to sparse unit vectors, exact similarity search of a batch of queries.
 
 A stated set of queries is compared with all vectors in blocks: its matrix is broadcast, each task multiplies slices of
-its vectors with it and sends on only the best k of each slice, so what is shuffled is a few rows for each query.  More
-than MOST_SHARED queries take several passes over the vectors, so that driver and tasks hold no more of them at once.
+its vectors with it and sends on only the best k of all its vectors, so what is shuffled is a few rows for each query and
+task.  Queries that are limited to a language are multiplied with its vectors only.  Products are single ones, whose error
+is bounded; what may be among the best by that bound gets its score in doubles.  More than MOST_SHARED queries take several
+passes over the vectors, so that driver and tasks hold no more of them at once.
 """
 
 from __future__ import annotations
@@ -26,10 +28,14 @@ from quernal.plans.storage import scratch
 
 BUCKETS = 256
 VECTOR = "array<struct<bucket:int,weight:double>>"
-#: Queries of one block: their matrix has so many rows at most, whatever the batch.
-MOST_QUERIES = 512
-#: Queries of one pass over the vectors, about: they go through the driver and to all tasks, some 3 kB each.
-MOST_SHARED = 8192
+#: Identifiers whose buckets a task remembers, some 20 bytes each.
+REMEMBERED = 200_000
+#: Queries and vectors that are multiplied at once.
+MOST_QUERIES, ROWS = 512, 2048
+#: Queries of one pass over the vectors, about: they go through the driver and to all tasks, 2 kB each.
+MOST_SHARED = 32_768
+#: Pairs of a block whose scores are made one by one; beyond it the rows of their queries are multiplied once more, in doubles.
+FEW = 4096
 
 
 class Encoder(Protocol):
@@ -41,22 +47,36 @@ class Encoder(Protocol):
         """rows -> (keys..., vector): one row for each, an empty vector for a text without tokens."""
 
 
+def _buckets(word: bytes) -> bytes:
+    """A byte for each token of an identifier."""
+    word = word.lstrip(b"0123456789")
+    return bytes(md5(token.encode(), usedforsecurity=False).digest()[0] for token in batches.split(word.decode())) if word else b""
+
+
 def _hashed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens, buckets = batches.Tokens(), {}
-    for part in batches.parts(found):
-        vectors = []
-        for text in part.column("text").to_pylist():
-            counts: dict[int, int] = {}
-            for token, n in tokens.count(text).items():
-                bucket = buckets.get(token)
-                if bucket is None:
-                    if len(buckets) >= batches.REMEMBERED:
-                        buckets.clear()
-                    bucket = buckets[token] = md5(token.encode(), usedforsecurity=False).digest()[0]
-                counts[bucket] = counts.get(bucket, 0) + n
-            norm = sum(n * n for n in counts.values()) ** 0.5
-            vectors.append([(bucket, n / norm) for bucket, n in sorted(counts.items())])
-        yield pa.RecordBatch.from_arrays([part.column("key"), batches.structs(vectors, [("bucket", pa.int32()), ("weight", pa.float64())])], names=["key", "vector"])
+    known, sizes, buckets = pa.array([], pa.binary()), np.zeros(0, np.int64), b""
+    for part in batches.texts(found):
+        rows, words, distinct = batches.words(part.column("text"))
+        place = pc.index_in(distinct, known)
+        new = distinct.filter(pc.is_null(place))
+        own = [_buckets(word) for word in new.to_pylist()]
+        number = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        number[pc.is_null(place).to_numpy(zero_copy_only=False)] = len(known) + np.arange(len(new))
+        all_sizes, all_buckets = np.concatenate([sizes, np.array([len(o) for o in own], np.int64)]), buckets + b"".join(own)
+        first, word = np.cumsum(all_sizes) - all_sizes, number[words]
+        times = all_sizes[word]
+        at = np.repeat(first[word] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        cells = np.repeat(rows, times) * BUCKETS + np.frombuffer(all_buckets, np.uint8)[at]
+        counts = np.bincount(cells, minlength=len(part) * BUCKETS).reshape(len(part), BUCKETS)
+        row, bucket = np.nonzero(counts)
+        norms = np.sqrt((counts * counts).sum(axis=1))
+        values = pa.StructArray.from_arrays([pa.array(bucket, pa.int32()), pa.array(counts[row, bucket] / norms[row])], names=["bucket", "weight"])
+        offsets = pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32())
+        yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(offsets, values)], names=["key", "vector"])
+        if len(new) and len(known) < REMEMBERED:  # the first ones of a task are the frequent ones
+            known = pa.concat_arrays([known, new.slice(0, REMEMBERED - len(known))])
+            sizes = all_sizes[: len(known)]
+            buckets = all_buckets[: sizes.sum()]
 
 
 class HashEncoder:
@@ -178,61 +198,120 @@ def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
     return out
 
 
-class _Block:
-    """Queries as a matrix, and what limits each: its language (if any) and the chunk it is not to find."""
+class _Asked:
+    """Queries of one pass: a matrix in order of their languages, the range of it that is limited to each language (None:
+    to none), and the chunks that queries are not to find."""
 
     def __init__(self, asked: pa.Table, size: int):
-        self.qids = asked.column("qid").combine_chunks()
-        self.matrix = _matrix(asked.column("vector").combine_chunks(), size).T
-        self.limits = list(zip(*(asked.column(c).to_pylist() for c in ("language", "but_path", "but_no")), strict=True)) if "language" in asked.column_names else []
-
-    def best(self, part: pa.RecordBatch, vectors: np.ndarray, k: int) -> pa.RecordBatch:
-        """The k best rows of part, which are in order of their keys, for each query."""
-        scores = (vectors @ self.matrix).T
-        if self.limits:
-            languages, rows_of = np.array(part.column("language").to_pylist(), object), {}
-            for row, key in enumerate(zip(*(part.column(c).to_pylist() for c in KEY), strict=True)):
-                rows_of.setdefault(key, []).append(row)
-            for language in {language for language, _, _ in self.limits if language is not None}:
-                own = [i for i, (asked, _, _) in enumerate(self.limits) if asked == language]
-                scores[np.ix_(own, np.flatnonzero(languages != language))] = -np.inf
-            for i, (_, *key) in enumerate(self.limits):
-                scores[i, rows_of.get(tuple(key), [])] = -np.inf
+        limits = [asked.column(c).to_pylist() for c in ("language", "but_path", "but_no")] if "language" in asked.column_names else [[None] * len(asked)]
+        order = sorted(range(len(asked)), key=lambda i: (limits[0][i] is not None, limits[0][i] or ""))
+        asked = asked.take(pa.array(order, pa.int64())).combine_chunks()
+        self.qids, self.matrix = asked.column("qid").combine_chunks(), _matrix(asked.column("vector").combine_chunks(), size)
+        self.norms = np.sqrt(np.einsum("ij,ij->i", self.matrix, self.matrix))
+        self.ranges: dict[str | None, tuple[int, int]] = {}
+        self.hidden: dict[tuple, list[int]] = {}
+        for place, i in enumerate(order):
+            self.ranges[limits[0][i]] = (self.ranges.get(limits[0][i], (place,))[0], place + 1)
+            if len(limits) > 1:
+                self.hidden.setdefault((limits[1][i], limits[2][i]), []).append(place)
+
+
+class _Best:
+    """The k best rows that a task has met for each query: scores, best first, and places in ``keys``, which are in order, so
+    that of equal scores the less place comes first."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.keys = k, None
+        self.scores, self.places = np.full((queries, k), -np.inf), np.full((queries, k), -1)
+
+    def meet(self, keys: pa.Table) -> np.ndarray:
+        """The places of more keys; those that are no longer among the best are forgotten."""
+        held = np.unique(self.places[self.places >= 0])
+        every = pa.concat_tables([self.keys.take(pa.array(held)), keys]) if len(held) else keys
+        order = pc.sort_indices(every, sort_keys=[(c, "ascending") for c in KEY], null_placement="at_start")
+        self.keys = every.take(order).combine_chunks()
+        now = np.empty(len(order), np.int64)
+        now[order.to_numpy()] = np.arange(len(order))
+        there = self.places >= 0
+        self.places[there] = now[np.searchsorted(held, self.places[there])]
+        return now[len(held) :]
+
+    def add(self, query: np.ndarray, place: np.ndarray, score: np.ndarray) -> None:
+        if not len(query):
+            return
+        touched, of = np.unique(query, return_inverse=True)
+        of = np.concatenate([np.repeat(np.arange(len(touched)), self.k), of])
+        place, score = np.concatenate([self.places[touched].ravel(), place]), np.concatenate([self.scores[touched].ravel(), score])
+        order = np.lexsort((place, -np.round(score, 9), of))
+        of, place, score = of[order], place[order], score[order]
+        best = np.arange(len(of)) - np.searchsorted(of, np.arange(len(touched)))[of] < self.k
+        self.places[touched], self.scores[touched] = place[best].reshape(-1, self.k), score[best].reshape(-1, self.k)
+
+
+def _candidates(asked: np.ndarray, norms: np.ndarray, vectors: np.ndarray, single: np.ndarray, kth: np.ndarray, hidden: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the pairs that may come before the query's k-th so far.  Vectors are in order of their keys, so
+    of those that tie with the k-th of this slice the first ones do."""
+    near = asked.astype(np.float32) @ single.T
+    near[hidden] = -np.inf
+    # a sum of n single products is off by less than n + 2 roundings of the product of lengths
+    error = (asked.shape[1] + 16) * 2.0**-23 * norms * np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max())
+    least = np.maximum(np.round(kth, 9) - error - 2e-9, np.finfo(np.float32).min).astype(np.float32)
+    touched = np.flatnonzero(near.max(axis=1) >= least)
+    hit = near[touched] >= least[touched, None]
+    if np.count_nonzero(hit) <= FEW:
+        query, row = np.nonzero(hit)
+        return touched[query], row, np.einsum("ij,ij->i", asked[touched[query]], vectors[row])
+    scores = asked[touched] @ vectors.T
+    scores[~hit] = -np.inf
+    if k < scores.shape[1]:
         rounded = np.round(scores, 9)
-        if k < rounded.shape[1]:  # the k best and all that tie with the last of them
-            query, row = np.nonzero(rounded >= np.partition(rounded, -k, axis=1)[:, -k, None])
-        else:
-            query, row = np.repeat(np.arange(rounded.shape[0]), rounded.shape[1]), np.tile(np.arange(rounded.shape[1]), rounded.shape[0])
-        order = np.lexsort((row, -rounded[query, row], query))  # ties in the order of their keys
-        query, row = query[order], row[order]
-        place = np.arange(len(query)) - np.searchsorted(query, query)
-        query, row = query[place < k], row[place < k]
-        score = scores[query, row]
-        there = np.isfinite(score)
-        keys = part.select(list(KEY)).take(pa.array(row[there]))
-        return pa.RecordBatch.from_arrays([self.qids.take(pa.array(query[there])), *keys.columns, pa.array(score[there])], names=["qid", *KEY, "score"])
-
-
-def _nearest(shared: list, size: int, k: int):
+        last = np.partition(rounded, -k, axis=1)[:, -k, None]
+        above, tied = rounded > last, rounded == last
+        hit = above | tied & (np.cumsum(tied, axis=1) <= k - np.count_nonzero(above, axis=1)[:, None])
+    query, row = np.nonzero(hit & np.isfinite(scores))
+    return touched[query], row, scores[query, row]
+
+
+def _nearest(shared, size: int, k: int):
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [_Block(block.value, size) for block in shared]
+        asked: _Asked = shared.value
+        best = _Best(len(asked.matrix), k)
         for batch in found:
-            for start in range(0, len(batch), 2000):
-                part = batch.slice(start, 2000)
-                part = part.take(pc.sort_indices(part.select(list(KEY)), sort_keys=[(c, "ascending") for c in KEY]))
-                vectors = _matrix(part.column("vector"), size)
-                for block in blocks:
-                    yield block.best(part, vectors, k)
+            if not len(batch):
+                continue
+            places = best.meet(pa.Table.from_batches([batch.select(list(KEY))]))
+            order = np.argsort(places)  # rows by their keys
+            hidden = [(place, i) for place, key in zip(places.tolist(), zip(*(batch.column(c).to_pylist() for c in KEY), strict=True), strict=True) for i in asked.hidden.get(key, ())] if asked.hidden else []
+            hidden_places, hidden_queries = np.array(hidden, np.int64).reshape(-1, 2).T
+            languages = np.array(batch.column("language").to_pylist(), object) if "language" in batch.schema.names else None
+            for language, (begin, end) in asked.ranges.items():
+                own = order if language is None else order[languages[order] == language]
+                for start in range(0, len(own), ROWS):
+                    rows = places[own[start : start + ROWS]]
+                    vectors = _matrix(batch.column("vector").take(pa.array(own[start : start + ROWS])), size)
+                    single = vectors.astype(np.float32)
+                    at = np.minimum(np.searchsorted(rows, hidden_places), len(rows) - 1)
+                    inside = rows[at] == hidden_places
+                    for first in range(begin, end, MOST_QUERIES):
+                        block = slice(first, min(end, first + MOST_QUERIES))
+                        mine = inside & (hidden_queries >= block.start) & (hidden_queries < block.stop)
+                        query, row, score = _candidates(asked.matrix[block], asked.norms[block], vectors, single, best.scores[block, -1], (hidden_queries[mine] - first, at[mine]), k)
+                        best.add(query + first, rows[row], score)
+        for first in range(0, len(asked.matrix) if best.keys is not None else 0, MOST_QUERIES):
+            query, place = np.nonzero(best.places[first : first + MOST_QUERIES] >= 0)
+            keys = best.keys.take(pa.array(best.places[first + query, place]))
+            yield pa.RecordBatch.from_arrays([asked.qids.take(pa.array(first + query)), *(c.combine_chunks() for c in keys.columns), pa.array(best.scores[first + query, place])], names=["qid", *KEY, "score"])
 
     return run
 
 
-def semantic_topk(queries: DataFrame, embedded: DataFrame, k: int, encoder: Encoder | None = None) -> DataFrame:
+def semantic_topk(queries: DataFrame, embedded: DataFrame, k: int, encoder: Encoder | None = None, stored: bool = False) -> DataFrame:
     """queries (qid, query), embedded (file_path, chunk_no, vector) -> the k most similar chunks of each query, always
     min(k, n) of them: chunks that share nothing score 0.
 
     If queries have ``language``, ``but_path`` and ``but_no``, only chunks of that language (any, where it is null) and
     not that chunk are found, and embedded needs a ``language``.  Queries that have their ``vector`` need no text.
+    ``stored`` says that embedded is a table already, which several passes may read.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -243,15 +322,23 @@ def semantic_topk(queries: DataFrame, embedded: DataFrame, k: int, encoder: Enco
     kinds = {f.name: f.dataType.simpleString() for f in [*embedded.schema, *asked.schema]}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("qid", *KEY)) + ", score double"
 
-    def ranked(some: pa.Table) -> DataFrame:
-        blocks = some.combine_chunks().to_batches(max_chunksize=MOST_QUERIES)
-        shared = [queries.sparkSession.sparkContext.broadcast(pa.Table.from_batches([block])) for block in blocks if len(block)]
+    def share(some: pa.Table):
+        return queries.sparkSession.sparkContext.broadcast(_Asked(some, encoder.size))
+
+    def ranked(shared) -> DataFrame:
         return top_k(embedded.select(*columns).mapInArrow(_nearest(shared, encoder.size, k), schema), k, "semantic")
 
-    some = asked.limit(MOST_SHARED + 1).toArrow()
-    if some.num_rows <= MOST_SHARED:
-        return ranked(some)
-    asked, embedded = scratch(asked), scratch(embedded.select(*columns))  # texts are encoded once, not in each pass
-    passes = -(-asked.count() // MOST_SHARED)
-    of_pass = F.pmod(F.xxhash64("qid"), F.lit(passes))
-    return reduce(DataFrame.unionByName, [scratch(ranked(asked.where(of_pass == i).toArrow())) for i in range(passes)])
+    most = max(1, MOST_SHARED * BUCKETS // max(BUCKETS, encoder.size))
+    some = asked.limit(most + 1).toArrow()
+    if some.num_rows <= most:
+        return ranked(share(some))
+    asked = scratch(asked)  # texts are encoded once, not in each pass
+    if not stored:
+        embedded = scratch(embedded.select(*columns))
+    passes = -(-asked.count() // most)
+    of_pass, found = F.pmod(F.xxhash64("qid"), F.lit(passes)), []
+    for i in range(passes):
+        shared = share(asked.where(of_pass == i).toArrow())
+        found.append(scratch(ranked(shared)))
+        shared.unpersist()
+    return reduce(DataFrame.unionByName, found)

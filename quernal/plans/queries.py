@@ -277,9 +277,9 @@ _RELATED = f"SEMI JOIN (SELECT a.qid, d.file_path FROM {_ANCHORS} a JOIN {DOCS}
 def find_related(spark, sf_dir):
     """For the stated anchors, the most similar chunks of the same language (of any, if theirs is null) but the anchor, filled up with zeros."""
     docs = corpus.documents(spark, sf_dir).withColumnRenamed("lang", "language")
-    anchors = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("content").alias("query"), "language", F.col("file_path").alias("but_path"), F.col("chunk_no").alias("but_no"))
-    embedded = dense.HashEncoder().encode(docs, "content", [*lexical.KEY, "language"])
-    return _out(dense.semantic_topk(anchors, embedded, K))
+    embedded = scratch(dense.HashEncoder().encode(docs, "content", [*lexical.KEY, "language", "doc_id"]))  # anchors are among them
+    anchors = embedded.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "vector", "language", F.col("file_path").alias("but_path"), F.col("chunk_no").alias("but_no"))
+    return _out(dense.semantic_topk(anchors, embedded, K, stored=True))
 
 
 def _legs(spark, sf_dir, chunks, queries):
