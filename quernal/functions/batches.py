@@ -64,7 +64,7 @@ _OF_WORDS = np.array([chr(byte).isascii() and (chr(byte).isalnum() or chr(byte)
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray]:
     """(row, place among the distinct ones) of each identifier of the texts, in order, and the distinct ones, which may have
     digits in front.  Texts are cut by their bytes, so no string is made for an occurrence."""
-    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pc.fill_null(texts, "")), "\n")[0].as_buffer()
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pc.fill_null(texts, "")), pa.scalar("\n", texts.type))[0].as_buffer()
     inside = np.zeros(joined.size + 2, bool)
     inside[1:-1] = _OF_WORDS[np.frombuffer(joined, np.uint8)]
     edges = np.flatnonzero(inside[1:] != inside[:-1])

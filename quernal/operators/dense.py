@@ -228,7 +228,7 @@ class _Best:
         """The places of more keys; those that are no longer among the best are forgotten."""
         held = np.unique(self.places[self.places >= 0])
         every = pa.concat_tables([self.keys.take(pa.array(held)), keys]) if len(held) else keys
-        order = pc.sort_indices(every, sort_keys=[(c, "ascending") for c in KEY], null_placement="at_start")
+        order = pc.sort_indices(every, sort_keys=[(c, "ascending") for c in KEY])
         self.keys = every.take(order).combine_chunks()
         now = np.empty(len(order), np.int64)
         now[order.to_numpy()] = np.arange(len(order))
@@ -328,7 +328,7 @@ def semantic_topk(queries: DataFrame, embedded: DataFrame, k: int, encoder: Enco
     def ranked(shared) -> DataFrame:
         return top_k(embedded.select(*columns).mapInArrow(_nearest(shared, encoder.size, k), schema), k, "semantic")
 
-    most = max(1, MOST_SHARED * BUCKETS // max(BUCKETS, encoder.size))
+    most = max(1, MOST_SHARED * BUCKETS // max(BUCKETS, encoder.size, k))  # longer vectors, or more results: fewer at once
     some = asked.limit(most + 1).toArrow()
     if some.num_rows <= most:
         return ranked(share(some))
